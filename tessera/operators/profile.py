@@ -91,14 +91,9 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs, buckets: i
     ``collect_limit`` values is finished from those values directly.
     """
     names = list(columns)
-    vals = df.select(*[as_missing(columns[n].cast("double"), "double", to_null=True).alias(f"v{i}")
-                       for i, n in enumerate(names)])
-    stats = vals.agg(*[F.count(f"v{i}").alias(f"c{i}") for i in range(len(names))],
-                     *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(names))],
-                     *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(names))]).first()
-    # rank targets: (col index, rank) -> value
-    need: dict[tuple[int, int], float | None] = {}
+    vals, stats = _values_and_ranges(df, columns)
     plan: dict[tuple[str, float], tuple[int, int, int, float]] = {}
+    ranks: dict[int, set[int]] = {}
     for i, n in enumerate(names):
         cnt = stats[f"c{i}"]
         for p in probs:
@@ -107,16 +102,49 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs, buckets: i
                 continue
             lo, hi, w = _linear_targets(cnt, p)
             plan[(n, p)] = (i, lo, hi, w)
-            need[(i, lo)] = None
-            need[(i, hi)] = None
+            ranks.setdefault(i, set()).update((lo, hi))
+    need = _order_stats(vals, stats, ranks, buckets, collect_limit)
+    out: dict[tuple[str, float], float | None] = {}
+    for (n, p), (i, lo, hi, w) in plan.items():
+        if lo < 0:
+            out[(n, p)] = None
+            continue
+        a, b = need[(i, lo)], need[(i, hi)]
+        out[(n, p)] = a + (b - a) * w if w else a
+    return out
+
+
+def order_statistic(df: DataFrame, expr: Column, rank: int, buckets: int = 1024, collect_limit: int = 4096):
+    """Value at 0-based ``rank`` of the non-missing values of ``expr`` in ascending order (exact)."""
+    vals, stats = _values_and_ranges(df, {"x": expr})
+    if not stats["c0"] or rank >= stats["c0"]:
+        return None
+    return _order_stats(vals, stats, {0: {rank}}, buckets, collect_limit)[(0, rank)]
+
+
+def _values_and_ranges(df: DataFrame, columns: dict[str, Column]):
+    names = list(columns)
+    vals = df.select(*[as_missing(columns[n].cast("double"), "double", to_null=True).alias(f"v{i}")
+                       for i, n in enumerate(names)])
+    stats = vals.agg(*[F.count(f"v{i}").alias(f"c{i}") for i in range(len(names))],
+                     *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(names))],
+                     *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(names))]).first()
+    return vals, stats
+
+
+def _order_stats(vals: DataFrame, stats, ranks: dict[int, set[int]], buckets: int,
+                 collect_limit: int) -> dict[tuple[int, int], float]:
+    """Histogram narrowing: {(column index, rank) -> value}."""
+    need: dict[tuple[int, int], float | None] = {}
     # probes: (col index, bracket lo, bracket hi, base count below lo) -> list of ranks
     probes: dict[tuple[int, float, float, int], list[int]] = {}
-    for (i, r) in need:
+    for i, rs in ranks.items():
         lo, hi = stats[f"lo{i}"], stats[f"hi{i}"]
-        if lo == hi:
-            need[(i, r)] = lo
-        else:
-            probes.setdefault((i, lo, hi, 0), []).append(r)
+        for r in rs:
+            if lo == hi:
+                need[(i, r)] = lo
+            else:
+                probes.setdefault((i, lo, hi, 0), []).append(r)
     while probes:
         keys = list(probes)
         small = {}
@@ -170,14 +198,7 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs, buckets: i
                 for r_target in probes[key]:
                     need[(i, r_target)] = ordered[r_target - base]
         probes = new_probes
-    out: dict[tuple[str, float], float | None] = {}
-    for (n, p), (i, lo, hi, w) in plan.items():
-        if lo < 0:
-            out[(n, p)] = None
-            continue
-        a, b = need[(i, lo)], need[(i, hi)]
-        out[(n, p)] = a + (b - a) * w if w else a
-    return out
+    return need
 
 
 def quantile_table(spark, values: dict[tuple[str, float], float | None]) -> DataFrame:
