@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def _synthesize(minority: DataFrame, copies: DataFrame, nn: DataFrame, k: int, s
 def smote(df: DataFrame, key: str = "id", features: str = "features", label: str = "label", k: int = 5,
           seed=42, sampling_strategy: float = 1.0, block_rows: int = 2048) -> DataFrame:
     """Add int(strategy * n_maj) - n_min synthetic minority rows."""
-    base = _originals(df, key, features, label)
+    base = _originals(df, key, features, label).persist(StorageLevel.MEMORY_AND_DISK)
     counts = class_counts(base, "label")
     min_lbl, n_min, _, n_maj = _binary(counts)
     n_new = int(sampling_strategy * n_maj - n_min)
@@ -76,7 +77,8 @@ def smote(df: DataFrame, key: str = "id", features: str = "features", label: str
         raise BalanceError(f"SMOTE needs more than k={k} minority rows, got {n_min}")
     if n_new <= 0:
         return base
-    minority = base.filter(F.col("label") == min_lbl).select("id", "features", "label")
+    minority = base.filter(F.col("label") == min_lbl).select("id", "features", "label") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     nn = knn_join(minority, minority, k, exclude_self=True, block_rows=block_rows)
     q, e = divmod(n_new, n_min)
     ranked = exact_rank(minority, "label", "id", seed, rank="r")
@@ -96,13 +98,14 @@ def adasyn(df: DataFrame, key: str = "id", features: str = "features", label: st
            seed=42, block_rows: int = 2048) -> DataFrame:
     """Synthetic count per minority row proportional to the share of other-class rows among
     its k neighbours in the whole table; interpolation toward minority neighbours."""
-    base = _originals(df, key, features, label)
+    base = _originals(df, key, features, label).persist(StorageLevel.MEMORY_AND_DISK)
     counts = class_counts(base, "label")
     min_lbl, n_min, _, n_maj = _binary(counts)
     n_new = n_maj - n_min
     if n_min <= k:
         raise BalanceError(f"ADASYN needs more than k={k} minority rows, got {n_min}")
-    minority = base.filter(F.col("label") == min_lbl).select("id", "features", "label")
+    minority = base.filter(F.col("label") == min_lbl).select("id", "features", "label") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     everyone = base.select("id", "features")
     nn_all = knn_join(minority, everyone, k, exclude_self=True, block_rows=block_rows)
     labels = base.select(F.col("id").alias("rid"), F.col("label").alias("_rl"))
@@ -124,7 +127,7 @@ def tomek_links(df: DataFrame, key: str = "id", features: str = "features", labe
                 block_rows: int = 2048) -> DataFrame:
     """Pairs (id_a < id_b) of opposite-class rows that are each other's nearest neighbour."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(features).alias("features"),
-                     F.col(label).cast("int").alias("label"))
+                     F.col(label).cast("int").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     nn = knn_join(rows, rows, 1, exclude_self=True, block_rows=block_rows).select("qid", "rid")
     lab = rows.select("id", "label")
     a = nn.join(lab.withColumnRenamed("id", "qid").withColumnRenamed("label", "ql"), "qid") \
@@ -146,14 +149,15 @@ def remove_tomek(df: DataFrame, block_rows: int = 2048) -> DataFrame:
 def smote_tomek(df: DataFrame, key: str = "id", features: str = "features", label: str = "label", k: int = 5,
                 seed=42, block_rows: int = 2048) -> DataFrame:
     """SMOTE, then remove both ends of every Tomek link of the result."""
-    return remove_tomek(smote(df, key, features, label, k, seed, block_rows=block_rows), block_rows)
+    balanced = smote(df, key, features, label, k, seed, block_rows=block_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    return remove_tomek(balanced, block_rows)
 
 
 def near_miss(df: DataFrame, key: str = "id", features: str = "features", label: str = "label", k: int = 3,
               block_rows: int = 2048) -> DataFrame:
     """B8 (version 1): keep the n_min majority rows with the smallest mean distance to their
     k nearest minority rows (ties by id); keep every minority row."""
-    base = _originals(df, key, features, label)
+    base = _originals(df, key, features, label).persist(StorageLevel.MEMORY_AND_DISK)
     min_lbl, n_min, maj_lbl, _ = _binary(class_counts(base, "label"))
     if n_min < k:
         raise BalanceError(f"NearMiss needs at least k={k} minority rows, got {n_min}")
@@ -163,7 +167,7 @@ def near_miss(df: DataFrame, key: str = "id", features: str = "features", label:
     # mean of the k distances summed in ascending order (k values per row: bounded)
     avg = nn.groupBy("qid").agg(
         (F.aggregate(F.array_sort(F.collect_list("distance")), F.lit(0.0), lambda a, b: a + b) / F.lit(k))
-        .alias("avg_d"))
+        .alias("avg_d")).persist(StorageLevel.MEMORY_AND_DISK)
     v = order_statistic(avg, F.col("avg_d"), n_min - 1)
     below = avg.filter(F.col("avg_d") < F.lit(v))
     n_below = below.count()

@@ -132,9 +132,11 @@ class _Slabs:
 
 def _block_topk(visits: DataFrame, refs_slabbed: DataFrame, slabs: _Slabs, k: int, metric: str,
                 exclude_self: bool, block_rows: int) -> DataFrame:
-    """Local top-k candidates for every (query, visited slab) pair."""
+    """Local top-k candidates for every (query, visited slab) pair (None when nothing is visited)."""
     spark = visits.sparkSession
     vcount = {r["_slab"]: r["n"] for r in visits.groupBy("_slab").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not vcount:
+        return None
     qchunks = {s: max(1, math.ceil(n / block_rows)) for s, n in vcount.items()}
     # slab table: bounded by MAX_SLABS rows, safe to broadcast
     tab = spark.createDataFrame([(s, slabs.chunks[s], qchunks.get(s, 1)) for s in range(slabs.size)],
@@ -163,49 +165,54 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
-    spark = queries.sparkSession
-    dim = refs.select(F.size(rvec).alias("d")).first()["d"]
+    same = queries is refs and qid == rid and qvec == rvec
+    r = refs.select(F.col(rid).cast("long").alias("_rid"), F.col(rvec).cast("array<double>").alias("_rv")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    dim = r.select(F.size("_rv").alias("d")).first()["d"]
     p = np.random.default_rng(seed).standard_normal(dim)
     p /= np.linalg.norm(p)
     scale = 1.0 if metric == "euclidean" else float(np.max(np.abs(p)))   # gap <= scale * distance
-    q = queries.select(F.col(qid).cast("long").alias("_qid"), F.col(qvec).cast("array<double>").alias("_qv"))
-    q = q.withColumn("_t", _dot(F.col("_qv"), p))
-    r = refs.select(F.col(rid).cast("long").alias("_rid"), F.col(rvec).cast("array<double>").alias("_rv"))
     r = r.withColumn("_t", _dot(F.col("_rv"), p))
-    r = r.persist(StorageLevel.MEMORY_AND_DISK)
     slabs = _Slabs(r, block_rows, max_slabs)
     r_slabbed = slabs.slab_of(r, "_slab").select("_slab", "_rid", "_rv")
+    if same:
+        q = r.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"), "_t")
+    else:
+        q = queries.select(F.col(qid).cast("long").alias("_qid"), F.col(qvec).cast("array<double>").alias("_qv"))
+        q = q.withColumn("_t", _dot(F.col("_qv"), p))
     q = slabs.slab_of(q, "_slab").persist(StorageLevel.MEMORY_AND_DISK)
+    w = Window.partitionBy("_qid").orderBy("_d", "_rid")
 
-    # pass A: own slab
+    # pass A: own slab (with a single slab this is already the whole answer)
     cand_a = _block_topk(q.select("_qid", "_qv", "_slab"), r_slabbed, slabs, k, metric, exclude_self, block_rows)
-    w = Window.partitionBy("_qid").orderBy("_d", "_rid")
     top_a = cand_a.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
-    bound = top_a.groupBy("_qid").agg(F.max("_d").alias("_dk"), F.count(F.lit(1)).alias("_nk"))
-    dist_k = F.when(F.col("_nk") >= k, F.col("_dk")).otherwise(F.lit(float("inf")))
-    if metric == "euclidean":
-        dist_k = F.sqrt(dist_k)            # candidates carry squared distances
-    # float safety: t is a rounded dot product, so widen the reach a little (only adds work)
-    reach = F.least(F.lit(1e300), dist_k * F.lit(scale) * F.lit(1 + 1e-9) + F.lit(1e-9) * (F.abs("_t") + 1))
-    qb = q.join(bound, "_qid", "left").withColumn(
-        "_reach", F.coalesce(reach, F.lit(1e300)))
-    qb = qb.withColumn("_a", F.col("_t") - F.col("_reach")).withColumn("_b", F.col("_t") + F.col("_reach"))
-    # first slab with hi >= a, last slab with lo <= b (one extra slab of margin on each side)
-    his = [float("-inf")] + _strict(slabs.hi) + [float("inf")]
-    los = [float("-inf")] + _strict(slabs.lo) + [float("inf")]
-    qb = Bucketizer(splits=his, inputCol="_a", outputCol="_ia").transform(qb)
-    qb = Bucketizer(splits=los, inputCol="_b", outputCol="_ib").transform(qb)
-    first = F.greatest(F.lit(0), F.col("_ia").cast("int") - 1)
-    last = F.least(F.lit(slabs.size - 1), F.col("_ib").cast("int"))
-    visits_b = (qb.withColumn("_vs", F.explode(F.sequence(first, F.greatest(first, last))))
-                .filter(F.col("_vs") != F.col("_slab"))
-                .select("_qid", "_qv", F.col("_vs").alias("_slab")))
-    cand_b = _block_topk(visits_b, r_slabbed, slabs, k, metric, exclude_self, block_rows)
-    top = (top_a.select(*CAND_COLS).unionByName(cand_b)
-           .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k))
+    if slabs.size > 1:
+        top_a = top_a.persist(StorageLevel.MEMORY_AND_DISK)
+        bound = top_a.groupBy("_qid").agg(F.max("_d").alias("_dk"), F.count(F.lit(1)).alias("_nk"))
+        dist_k = F.when(F.col("_nk") >= k, F.col("_dk")).otherwise(F.lit(float("inf")))
+        if metric == "euclidean":
+            dist_k = F.sqrt(dist_k)            # candidates carry squared distances
+        # float safety: t is a rounded dot product, so widen the reach a little (only adds work)
+        reach = F.least(F.lit(1e300), dist_k * F.lit(scale) * F.lit(1 + 1e-9) + F.lit(1e-9) * (F.abs("_t") + 1))
+        qb = q.join(bound, "_qid", "left").withColumn("_reach", F.coalesce(reach, F.lit(1e300)))
+        qb = qb.withColumn("_a", F.col("_t") - F.col("_reach")).withColumn("_b", F.col("_t") + F.col("_reach"))
+        # first slab with hi >= a, last slab with lo <= b (one extra slab of margin on each side)
+        his = [float("-inf")] + _strict(slabs.hi) + [float("inf")]
+        los = [float("-inf")] + _strict(slabs.lo) + [float("inf")]
+        qb = Bucketizer(splits=his, inputCol="_a", outputCol="_ia").transform(qb)
+        qb = Bucketizer(splits=los, inputCol="_b", outputCol="_ib").transform(qb)
+        first = F.greatest(F.lit(0), F.col("_ia").cast("int") - 1)
+        last = F.least(F.lit(slabs.size - 1), F.col("_ib").cast("int"))
+        visits_b = (qb.withColumn("_vs", F.explode(F.sequence(first, F.greatest(first, last))))
+                    .filter(F.col("_vs") != F.col("_slab"))
+                    .select("_qid", "_qv", F.col("_vs").alias("_slab")))
+        cand_b = _block_topk(visits_b, r_slabbed, slabs, k, metric, exclude_self, block_rows)
+        if cand_b is not None:
+            top_a = (top_a.select(*CAND_COLS).unionByName(cand_b)
+                     .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k))
     d = F.sqrt("_d") if metric == "euclidean" else F.col("_d")
-    return top.select(F.col("_qid").alias("qid"), F.col("_rk").cast("long").alias("rank"),
-                      F.col("_rid").alias("rid"), d.alias("distance"))
+    return top_a.select(F.col("_qid").alias("qid"), F.col("_rk").cast("long").alias("rank"),
+                        F.col("_rid").alias("rid"), d.alias("distance"))
 
 
 CAND_COLS = ["_qid", "_rid", "_d"]

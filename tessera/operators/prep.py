@@ -1,9 +1,11 @@
 """Feature preparation (F1-F8): fit = a few distributed aggregates, transform = one projection.
 
-Fit runs three dependent passes, each one wide aggregate over all columns:
-  1. levels and counts of every binary / categorical column (long-form
-     grouped count) and exact medians of numeric columns;
-  2. exact quartiles of the imputed numeric columns;
+Fit runs dependent passes, each one wide aggregate over all columns:
+  1. one long-form grouped count: levels and counts of every binary /
+     categorical column, and count / min / max of every numeric column;
+  2. exact medians of the numeric columns and exact quartiles of the
+     median-imputed columns, from one histogram-narrowing run (the imputed
+     quartiles are raw order statistics at shifted ranks);
   3. capped-value counts, mean and population sigma of the capped columns.
 The fitted statistics are small (one value per column, or one per level)
 and enter the transform as literals, so transform is a narrow projection
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_missing
-from .profile import exact_quantiles, value_counts
+from .profile import median_and_imputed_quantiles
 from .roles import Roles
 
 # fixed: sklearn StandardScaler treats a scale below 10 * machine epsilon as 1
@@ -144,33 +146,48 @@ class Preprocessor:
         dtypes = dict(df.dtypes)
         model = PrepModel(roles=r, config=cfg, column_order=[c for c in df.columns if c in r.features])
 
-        # pass 1a: levels + counts of coded columns (bounded by max_levels per column)
+        # pass 1: one long-form aggregate gives the levels + counts of every coded column and
+        # the count / min / max of every numeric column (bounded: max_levels per coded column)
         coded = list(r.binary) + list(r.categorical)
-        if coded:
-            prepared = df.select(*[as_missing(F.col(c), dtypes[c], to_null=True).alias(c) for c in coded])
-            vc = value_counts(prepared, coded, dropna=True)
-            limit = cfg.max_levels * len(coded) + 1
-            rows = vc.limit(limit).collect()
-            if len(rows) >= limit:
-                raise ValueError("a coded column has more levels than max_levels")
-            per_col: dict[str, list] = {c: [] for c in coded}
-            for row in rows:
-                per_col[row["column_name"]].append((row["value"], row["n"]))
-            for c, vals in per_col.items():
-                if len(vals) > cfg.max_levels:
-                    raise ValueError(f"{c}: {len(vals)} levels > max_levels={cfg.max_levels}")
-                vals.sort(key=lambda t: (-t[1], t[0]))
-                model.modes[c] = vals[0][0] if vals else None
-                levels = sorted(v for v, _ in vals)
-                (model.codes if c in r.binary else model.levels)[c] = levels
-
         numeric = list(r.numeric)
+        items = [F.struct(F.lit(c).alias("c"), as_missing(F.col(c), dtypes[c], to_null=True).cast("string").alias("s"),
+                          F.lit(None).cast("double").alias("x")) for c in coded]
+        items += [F.struct(F.lit(c).alias("c"), F.lit(None).cast("string").alias("s"),
+                           as_missing(F.col(c).cast("double"), "double", to_null=True).alias("x")) for c in numeric]
+        limit = cfg.max_levels * len(coded) + 2 * len(coded) + len(numeric) + 1
+        rows = []
+        if items:
+            rows = (df.select(F.explode(F.array(*items)).alias("i"))
+                    .groupBy(F.col("i.c").alias("c"), F.col("i.s").alias("s"))
+                    .agg(F.count(F.lit(1)).alias("n"), F.count("i.x").alias("cnt"),
+                         F.min("i.x").alias("lo"), F.max("i.x").alias("hi"))
+                    .limit(limit).collect())
+        if len(rows) >= limit:
+            raise ValueError("a coded column has more levels than max_levels")
+        per_col: dict[str, list] = {c: [] for c in coded}
+        num_stats: dict[str, tuple] = {}
+        for row in rows:
+            if row["c"] in per_col:
+                if row["s"] is not None:
+                    per_col[row["c"]].append((row["s"], row["n"]))
+            else:
+                num_stats[row["c"]] = (row["n"], row["cnt"], row["lo"], row["hi"])
+        for c, vals in per_col.items():
+            if len(vals) > cfg.max_levels:
+                raise ValueError(f"{c}: {len(vals)} levels > max_levels={cfg.max_levels}")
+            vals.sort(key=lambda t: (-t[1], t[0]))
+            model.modes[c] = vals[0][0] if vals else None
+            levels = sorted(v for v, _ in vals)
+            (model.codes if c in r.binary else model.levels)[c] = levels
+
         if numeric:
-            # pass 1b: exact medians of the raw values
-            med = exact_quantiles(df, {c: F.col(c) for c in numeric}, [0.5])
-            model.medians = {c: med[(c, 0.5)] for c in numeric}
-            # pass 2: exact quartiles of the imputed values
-            qs = exact_quantiles(df, {c: model.imputed(c, dtypes) for c in numeric}, [0.25, 0.75])
+            num_stats = {c: num_stats.get(c, (0, 0, None, None)) for c in numeric}
+            stats = {"n": num_stats[numeric[0]][0]}
+            for i, c in enumerate(numeric):
+                stats.update({f"c{i}": num_stats[c][1], f"lo{i}": num_stats[c][2], f"hi{i}": num_stats[c][3]})
+            # pass 2: exact medians, and exact quartiles of the median-imputed values (one narrowing run)
+            model.medians, qs = median_and_imputed_quantiles(df, {c: F.col(c) for c in numeric}, [0.25, 0.75],
+                                                             stats=stats)
             for c in numeric:
                 q1, q3 = qs[(c, 0.25)], qs[(c, 0.75)]
                 model.quartiles[c] = (q1, q3)

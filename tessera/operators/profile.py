@@ -114,6 +114,62 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs, buckets: i
     return out
 
 
+def median_and_imputed_quantiles(df: DataFrame, columns: dict[str, Column], probs, buckets: int = 1024,
+                                 collect_limit: int = 20000, stats: dict | None = None):
+    """Exact medians, and exact quantiles of each column after its missing values are set to that median.
+
+    The imputed column is the raw values plus n_missing copies of the median
+    m, so its value at rank r is raw[r] if raw[r] < m, raw[r - n_missing] if
+    that is > m, else m. All needed raw order statistics come from one
+    narrowing run. Returns ({name: median}, {(name, p): quantile}).
+    """
+    names = list(columns)
+    vals = df.select(*[as_missing(columns[n].cast("double"), "double", to_null=True).alias(f"v{i}")
+                       for i, n in enumerate(names)])
+    if stats is None:      # {n, c<i>, lo<i>, hi<i>}: pass them in when an earlier pass has them
+        stats = vals.agg(F.count(F.lit(1)).alias("n"),
+                         *[F.count(f"v{i}").alias(f"c{i}") for i in range(len(names))],
+                         *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(names))],
+                         *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(names))]).first().asDict()
+    n_all = stats["n"]
+    ranks: dict[int, set[int]] = {}
+    for i in range(len(names)):
+        c, miss = stats[f"c{i}"], n_all - stats[f"c{i}"]
+        if not c:
+            continue
+        want = set(_linear_targets(c, 0.5)[:2])
+        for p in probs:
+            for r in _linear_targets(n_all, p)[:2]:
+                if r < c:
+                    want.add(r)
+                if 0 <= r - miss < c:
+                    want.add(r - miss)
+        ranks[i] = want
+    raw = _order_stats(vals, stats, ranks, buckets, collect_limit) if ranks else {}
+    medians, quants = {}, {}
+    for i, n in enumerate(names):
+        c, miss = stats[f"c{i}"], n_all - stats[f"c{i}"]
+        if not c:
+            medians[n] = None
+            quants.update({(n, p): None for p in probs})
+            continue
+        lo, hi, w = _linear_targets(c, 0.5)
+        m = raw[(i, lo)] + (raw[(i, hi)] - raw[(i, lo)]) * w if w else raw[(i, lo)]
+        medians[n] = m
+
+        def at(r):
+            if r < c and raw[(i, r)] < m:
+                return raw[(i, r)]
+            if 0 <= r - miss < c and raw[(i, r - miss)] > m:
+                return raw[(i, r - miss)]
+            return m
+        for p in probs:
+            lo, hi, w = _linear_targets(n_all, p)
+            a, b = at(lo), at(hi)
+            quants[(n, p)] = a + (b - a) * w if w else a
+    return medians, quants
+
+
 def order_statistic(df: DataFrame, expr: Column, rank: int, buckets: int = 1024, collect_limit: int = 4096):
     """Value at 0-based ``rank`` of the non-missing values of ``expr`` in ascending order (exact)."""
     vals, stats = _values_and_ranges(df, {"x": expr})

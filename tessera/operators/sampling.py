@@ -4,10 +4,11 @@ Order within a class is (md5(key|seed), key). A plain
 ``row_number() OVER (PARTITION BY class ...)`` would put a whole class in
 one task, so ranks are computed in two steps:
 
-1. a histogram of the first ``hex_digits`` md5 digits per class
-   (at most n_classes x 16**hex_digits rows: a proven size bound);
-2. the running count over that small histogram gives each bucket's
-   offset; rows are ranked only inside their (class, bucket) partition.
+1. a histogram of the first 3 md5 hex digits per class (at most
+   n_classes x 4,096 rows: a proven size bound), collected;
+2. its running counts give each bucket's offset (or the bucket where a
+   class's quota is reached, refined by further digits while that bucket
+   is large); rows are ranked only inside their (class, bucket).
 
 Both steps give exactly the plain window's ranks (tests check this).
 """
@@ -16,16 +17,18 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, hash_text
 
-HEX_DIGITS = 4          # 65,536 buckets per class
-MAX_CLASSES = 256       # bound on the histogram: MAX_CLASSES x 16**HEX_DIGITS rows
+HEX_DIGITS = 3          # 4,096 buckets per class and level
+MAX_CLASSES = 256       # bound on a histogram: MAX_CLASSES x 16**HEX_DIGITS rows
+EDGE_ROWS = 1 << 21     # a cut bucket larger than this is split again by the next digits
 
 
-def _with_hash(df: DataFrame, key: str, seed, hex_digits: int) -> DataFrame:
+def _with_hash(df: DataFrame, key: str, seed, hex_digits: int = HEX_DIGITS) -> DataFrame:
     h = hash_text(F.col(key), seed)
     return df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h"), hex_digits))
 
@@ -38,19 +41,51 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r[label]: r["count"] for r in rows}
 
 
-def _cut_points(df: DataFrame, label: str, quotas: dict) -> dict:
-    """For each class: (cut bucket, rows still needed from it). Small driver result."""
-    hist = df.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    quota = _label_map(label, quotas, "long")
-    cut = hist.filter((F.col("before") < quota) & (F.col("before") + F.col("n") >= quota))
-    out = {}
-    for r in cut.select(label, "_b", (quota - F.col("before")).alias("need")).collect():
-        out[r[label]] = (r["_b"], r["need"])
+def _histogram(hashed: DataFrame, label: str, prefix_len: int, where=None) -> dict:
+    """{class: sorted [(hash prefix, rows)]}: at most MAX_CLASSES x 16**HEX_DIGITS entries."""
+    src = hashed if where is None else hashed.filter(where)
+    b = F.substring("_h", 1, prefix_len)
+    rows = src.groupBy(label, b.alias("_p")).agg(F.count(F.lit(1)).alias("n")) \
+              .limit(MAX_CLASSES * 16 ** HEX_DIGITS + 1).collect()
+    if len(rows) > MAX_CLASSES * 16 ** HEX_DIGITS:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r[label], []).append((r["_p"], r["n"]))
+    for v in out.values():
+        v.sort()
     return out
 
 
+def _cut(buckets: list, quota: int):
+    """(prefix of the bucket holding the quota-th row, rows still needed from it, its size)."""
+    before = 0
+    for p, n in buckets:
+        if before + n >= quota:
+            return p, quota - before, n
+        before += n
+    return None
+
+
+def _cut_points(hashed: DataFrame, label: str, quotas) -> dict:
+    """{class: (cut prefix, rows needed from it)}; prefixes are refined while the cut bucket
+    holds more than EDGE_ROWS rows, so the final window ranks a bounded number of rows."""
+    hist = _histogram(hashed, label, HEX_DIGITS)
+    if callable(quotas):
+        quotas = quotas({k: sum(n for _, n in v) for k, v in hist.items()})
+    cuts = {}
+    for k, q in quotas.items():
+        if q <= 0 or k not in hist:
+            continue
+        prefix, need, size = _cut(hist[k], q)
+        while size > EDGE_ROWS and len(prefix) < 32:
+            cond = (F.col(label) == F.lit(k)) & F.col("_h").startswith(prefix)
+            sub = _histogram(hashed, label, len(prefix) + HEX_DIGITS, cond)[k]
+            prefix, need, size = _cut(sub, need)
+        cuts[k] = (prefix, need)
+    return cuts
+
+
 def _label_map(label: str, mapping: dict, value_type: str) -> Column:
     expr = F.lit(None).cast(value_type)
     for k, v in mapping.items():
@@ -59,41 +94,48 @@ def _label_map(label: str, mapping: dict, value_type: str) -> Column:
     return expr
 
 
-def flag_top_per_class(df: DataFrame, label: str, key: str, quotas: dict, seed,
-                       flag: str = "selected", hex_digits: int = HEX_DIGITS) -> DataFrame:
+def flag_top_per_class(df: DataFrame, label: str, key: str, quotas, seed,
+                       flag: str = "selected") -> DataFrame:
     """Add boolean ``flag``: row is among the first quotas[class] rows of its class.
 
-    Rows in buckets before the cut are selected and rows after it are not,
-    with no shuffle; only the cut bucket (about 1/16**hex_digits of a class)
-    is ranked with a window.
+    ``quotas`` is a dict, or a function of the class counts returning one
+    (the counts come from the same histogram). Rows whose hash prefix sorts
+    before the class's cut prefix are selected and rows after it are not,
+    with no shuffle; only the cut bucket (at most EDGE_ROWS rows) is ranked
+    with a window.
     """
-    hashed = _with_hash(df, key, seed, hex_digits)
+    hashed = _with_hash(df, key, seed)
     cuts = _cut_points(hashed, label, quotas)
-    cut_b = _label_map(label, {k: v[0] for k, v in cuts.items()}, "string")
+    plen = _label_map(label, {k: len(v[0]) for k, v in cuts.items()}, "int")
+    cut_p = _label_map(label, {k: v[0] for k, v in cuts.items()}, "string")
     need = _label_map(label, {k: v[1] for k, v in cuts.items()}, "long")
-    full = _label_map(label, {k: True for k, q in quotas.items() if k not in cuts and q > 0}, "boolean")
-    in_cut = F.col("_b") == cut_b
-    rest = hashed.filter(~F.coalesce(in_cut, F.lit(False))).withColumn(
-        flag, F.coalesce(full, F.col("_b") < cut_b, F.lit(False)))
+    head = F.expr("substring(_h, 1, 32)").substr(F.lit(1), plen)
+    in_cut = F.coalesce(head == cut_p, F.lit(False))
+    rest = hashed.filter(~in_cut).withColumn(flag, F.coalesce(head < cut_p, F.lit(False)))
     w = Window.partitionBy(label).orderBy("_h", key)
     edge = hashed.filter(in_cut).withColumn(flag, F.row_number().over(w) <= need)
     return rest.unionByName(edge).drop("_h", "_b")
 
 
-MAX_OFFSET_ROWS = 1 << 20   # broadcast bound for the bucket-offset table
+def exact_rank(df: DataFrame, label: str, key: str, seed, rank: str = "rank") -> DataFrame:
+    """1-based rank of each row within its class by (md5(key|seed), key).
 
-
-def exact_rank(df: DataFrame, label: str, key: str, seed, rank: str = "rank",
-               hex_digits: int = HEX_DIGITS) -> DataFrame:
-    """1-based rank of each row within its class by (md5(key|seed), key)."""
-    n_classes = len(class_counts(df, label))
-    while hex_digits > 1 and n_classes * 16 ** hex_digits > MAX_OFFSET_ROWS:
-        hex_digits -= 1
-    hashed = _with_hash(df, key, seed, hex_digits)
-    hist = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(label, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # offsets has at most n_classes x 16**hex_digits <= MAX_OFFSET_ROWS rows: safe to broadcast.
+    rank = rows of the class in earlier buckets (from the collected
+    histogram, at most MAX_CLASSES x 4,096 entries, broadcast) + row number
+    inside the (class, bucket) partition (about 1/4,096 of the class).
+    """
+    spark = df.sparkSession
+    hashed = _with_hash(df, key, seed)
+    hist = _histogram(hashed, label, HEX_DIGITS)
+    rows = []
+    for k, buckets in hist.items():
+        before = 0
+        for p, n in buckets:
+            rows.append((k, p, before))
+            before += n
+    schema = f"{label} {dict(df.dtypes)[label]}, _b string, _off long"
+    offsets = spark.createDataFrame(rows, schema)
+    # bounded by MAX_CLASSES x 16**HEX_DIGITS rows: safe to broadcast.
     # Labels are non-null here (unlabelled rows are dropped before splitting).
     ranked = hashed.join(F.broadcast(offsets), [label, "_b"])
     wb = Window.partitionBy(label, "_b").orderBy("_h", key)
@@ -129,8 +171,8 @@ def split_quota(counts: dict, test_size: float = 0.3) -> dict:
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.3, seed=42,
                      split_col: str = "split") -> DataFrame:
     """Add ``split`` = 'test' / 'train'; per-class test counts are exact."""
-    quotas = split_quota(class_counts(df, label), test_size)
-    flagged = flag_top_per_class(df, label, key, quotas, seed, flag="_is_test")
+    flagged = flag_top_per_class(df, label, key, lambda counts: split_quota(counts, test_size), seed,
+                                 flag="_is_test")
     return flagged.withColumn(split_col, F.when(F.col("_is_test"), "test").otherwise("train")).drop("_is_test")
 
 
@@ -146,12 +188,12 @@ def undersample(df: DataFrame, label: str, key: str, seed=42, ratio: float | Non
     ratio=None: every class down to the minority count (1:1).
     ratio=r (two classes): majority down to int(n_min / r).
     """
-    counts = class_counts(df, label)
-    n_min = min(counts.values())
-    if ratio is None:
-        quotas = {k: n_min for k in counts}
-    else:
+    def quotas(counts):
+        n_min = min(counts.values())
+        if ratio is None:
+            return {k: n_min for k in counts}
         target = int(n_min / ratio)
-        quotas = {k: (c if c == n_min else min(c, target)) for k, c in counts.items()}
+        return {k: (c if c == n_min else min(c, target)) for k, c in counts.items()}
+
     flagged = flag_top_per_class(df, label, key, quotas, seed, flag="_keep")
     return flagged.filter("_keep").drop("_keep")

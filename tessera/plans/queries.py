@@ -212,8 +212,8 @@ def q_partial_undersample(spark, sf_dir):
 
 # --- naive Bayes cells, metrics, leaderboard (M8, E1-E12, R3, G3-G5) -------------------
 
-def nb_scored(spark, sf_dir, seed=42, ratio=None, var_smoothing=1e-9):
-    model, train, test = _train_rows(spark, sf_dir)
+def nb_scored(spark, sf_dir, seed=42, ratio=None, var_smoothing=1e-9, prepared=None):
+    model, train, test = prepared or _train_rows(spark, sf_dir)
     feats = model.feature_columns()
     bal = undersample(train, "label", R.key, seed=seed, ratio=ratio)
     nb = GaussianNB(varSmoothing=var_smoothing).fit(assemble(bal, feats))
@@ -245,7 +245,9 @@ NB_CELLS = (("B1_RUS", 42, None), ("B4_RUS123", 123, None), ("RUS_partial", 42,
 
 
 def _nb_results(spark, sf_dir):
-    rows = [M.evaluate(nb_scored(spark, sf_dir, seed, ratio), f"{name} + C7_NaiveBayes") for name, seed, ratio in NB_CELLS]
+    prepared = _train_rows(spark, sf_dir)       # one split + preparation shared by all cells
+    rows = [M.evaluate(nb_scored(spark, sf_dir, seed, ratio, prepared=prepared), f"{name} + C7_NaiveBayes")
+            for name, seed, ratio in NB_CELLS]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

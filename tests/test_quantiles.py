@@ -26,3 +26,18 @@ def test_order_statistic(spark):
     ordered = sorted(v for v in vals if v is not None)
     for r in range(len(ordered)):
         assert order_statistic(df, F.col("x"), r, buckets=2, collect_limit=1) == ordered[r]
+
+
+def test_median_and_imputed_quantiles(spark):
+    from tessera.operators.profile import median_and_imputed_quantiles
+    rng = np.random.default_rng(7)
+    x = rng.lognormal(1, 1, 400)
+    vals = [float(v) if i % 5 else None for i, v in enumerate(x)]
+    vals += [None] * 150
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    raw = np.array([v for v in vals if v is not None])
+    med, qs = median_and_imputed_quantiles(df, {"x": F.col("x")}, [0.1, 0.25, 0.75, 0.9], buckets=4, collect_limit=5)
+    assert med["x"] == pytest.approx(np.median(raw))
+    imp = np.array([v if v is not None else np.median(raw) for v in vals])
+    for p in (0.1, 0.25, 0.75, 0.9):
+        assert qs[("x", p)] == pytest.approx(np.quantile(imp, p), rel=1e-12)
