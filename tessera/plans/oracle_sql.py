@@ -87,6 +87,9 @@ ORACLES = {
                               "SELECT CONTROL, label FROM bal"),
     "naive_bayes_scores": _w(TRAIN + _TT + "," + undersample_ctes("trn", "bal", 42) + "," + nb_ctes("bal", "tst", "nb"),
                              f"SELECT CONTROL, label, prediction, {r6('score')} AS score FROM nb"),
+    "stream_naive_bayes_scores": _w(TRAIN + _TT + "," + undersample_ctes("trn", "bal", 42) + ","
+                                    + nb_ctes("bal", "tst", "nb"),
+                                    f"SELECT CONTROL, label, prediction, {r6('score')} AS score FROM nb"),
     "confusion_matrix": _w(TRAIN + _TT + "," + _nb_cell("B1_RUS", 42, None, "0"), "SELECT tn, fp, fn, tp FROM m0_cm"),
     "roc_auc": _w(TRAIN + _TT + "," + _nb_cell("B1_RUS", 42, None, "0"), f"SELECT {r6('roc_auc')} AS roc_auc FROM m0_auc"),
     "rus_naive_bayes_cell": _w(TRAIN + _TT + "," + _nb_cell("B1_RUS", 42, None, "0"), result_select("m0")),

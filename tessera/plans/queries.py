@@ -226,6 +226,24 @@ def q_naive_bayes_scores(spark, sf_dir):
                                                    "score"))
 
 
+def q_stream_naive_bayes_scores(spark, sf_dir):
+    """Streaming predict: the test rows arrive as files and are scored by the fitted preparation
+    and RUS + NB model in micro-batches (Structured Streaming, foreachBatch)."""
+    from ..streaming import score_stream
+    split = survey_split(spark, sf_dir)
+    model = Preprocessor(R).fit(split.filter(F.col("split") == "train"))
+    prepared = model.transform(split, keep=("split",))
+    feats = model.feature_columns()
+    bal = undersample(prepared.filter(F.col("split") == "train"), "label", R.key, seed=42)
+    nb = GaussianNB().fit(assemble(bal, feats))
+    test_raw = split.filter(F.col("split") == "test").drop("split")
+    src = scratch_path(spark, "stream-src")
+    test_raw.repartition(4, R.key).write.parquet(src)
+    sink = score_stream(spark, src, test_raw.schema, model, nb, scratch_path(spark, "stream-sink"))
+    out = spark.read.parquet(sink)
+    return rounded(out.select(R.key, "label", F.col("prediction").cast("int").alias("prediction"), "score"))
+
+
 def q_confusion_matrix(spark, sf_dir):
     """Confusion counts of the RUS + NB cell."""
     return M.confusion(nb_scored(spark, sf_dir))
@@ -301,6 +319,7 @@ QUERIES = {
     "random_undersample_seed123": q_random_undersample_seed123,
     "partial_undersample": q_partial_undersample,
     "naive_bayes_scores": q_naive_bayes_scores,
+    "stream_naive_bayes_scores": q_stream_naive_bayes_scores,
     "confusion_matrix": q_confusion_matrix,
     "roc_auc": q_roc_auc,
     "rus_naive_bayes_cell": q_rus_naive_bayes_cell,
