@@ -3,8 +3,8 @@
 A cell = balance the training rows -> tune a classifier by k-fold grid
 search on the balanced rows (best mean F1 of class 1, first grid point wins
 ties, refit on all balanced rows) -> score the test rows -> one result
-record. The balanced table is persisted once per balancer and shared by
-all classifiers of the matrix. Fits run on the executors; grid points are
+record. The balanced table is built once per balancer, checkpointed to
+the shared checkpoint folder, and shared by all classifiers of the matrix. Fits run on the executors; grid points are
 submitted in parallel driver threads (``parallelism``).
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators.sampling import stratified_folds
+from ..session import cut_lineage
 
 
 def expand_grid(grid: dict[str, list]) -> list[dict]:
@@ -94,12 +95,15 @@ def run_matrix(train: DataFrame, test: DataFrame, balancers: dict[str, Callable[
     results = []
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
     for bal_name in dict.fromkeys(c.balancer for c in cells):
-        balanced = balancers[bal_name](train).persist(StorageLevel.MEMORY_AND_DISK)
+        # reliable checkpoint in spark.checkpoint.dir: the balanced table feeds every fit of the
+        # balancer's cells, so an executor loss must not replay the balancer (a kNN join for SMOTE)
+        balanced = cut_lineage(balancers[bal_name](train))
         for cell in (c for c in cells if c.balancer == bal_name):
             rec, _ = run_cell(cell, balanced, test, folds, seed, key, label, decorate=decorate,
                               parallelism=parallelism)
             results.append(rec.persist(StorageLevel.MEMORY_AND_DISK))
             results[-1].count()
+        balanced.unpersist()
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
