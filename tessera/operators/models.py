@@ -12,6 +12,7 @@ losses, Spark averages them):
 * min_samples_leaf            -> minInstancesPerNode
 * n_estimators                -> numTrees / maxIter
 * max_features sqrt/log2/None -> featureSubsetStrategy sqrt/log2/all
+* extra-trees                 -> RandomCutForest (random cut points per group of trees)
 * learning_rate, subsample    -> stepSize, subsamplingRate
 """
 
@@ -121,7 +122,7 @@ class SkDecisionTree(_Wrapped):
 
 
 class SkRandomForest(_Wrapped):
-    """M4: n_estimators, max_depth, min_samples_leaf, max_features sqrt/log2/None; M10 bootstrap off."""
+    """M4: n_estimators, max_depth, min_samples_leaf, max_features sqrt/log2/None, bootstrap."""
     nEstimators = _p("nEstimators", "trees", TypeConverters.toInt)
     maxDepth = _p("maxDepth", "depth", TypeConverters.identity)
     minSamplesLeaf = _p("minSamplesLeaf", "rows per leaf", TypeConverters.toInt)
@@ -146,6 +147,76 @@ class SkRandomForest(_Wrapped):
                                       seed=self.getOrDefault(self.seed), maxBins=64)
 
 
+class RandomCutForest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
+    """M10 (approximate extra-trees): ``groups`` forests without bootstrap, each grown on features
+    binned at its own random cut points (uniform in [min, max] of every feature), so split
+    thresholds are random per group rather than per node. Score = mean P(1) of the groups."""
+    nEstimators = _p("nEstimators", "trees over all groups", TypeConverters.toInt)
+    maxDepth = _p("maxDepth", "depth", TypeConverters.identity)
+    maxFeatures = _p("maxFeatures", "sqrt, log2 or None", TypeConverters.identity)
+    groups = _p("groups", "groups of trees sharing random cut points", TypeConverters.toInt)
+    cuts = _p("cuts", "random cut points per feature", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, nEstimators=100, maxDepth=None, maxFeatures="sqrt", groups=4, cuts=31,
+                 featuresCol="features", labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
+        super().__init__()
+        self._setDefault(nEstimators=100, maxDepth=None, maxFeatures="sqrt", groups=4, cuts=31, seed=42)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset):
+        import numpy as np
+        from pyspark.ml.stat import Summarizer
+        fc, lc = self.getFeaturesCol(), self.getLabelCol()
+        vec = dataset.select(as_vector(dataset, fc).alias(fc), F.col(lc).cast("double").alias(lc))
+        mm = vec.agg(Summarizer.metrics("min", "max").summary(F.col(fc)).alias("s")).first()["s"]
+        lo, hi = mm["min"].toArray(), mm["max"].toArray()
+        rng = np.random.default_rng(self.getOrDefault(self.seed))
+        g = self.getOrDefault(self.groups)
+        per = max(1, self.getOrDefault(self.nEstimators) // g)
+        mf = self.getOrDefault(self.maxFeatures)
+        members = []
+        for i in range(g):
+            cuts = [sorted(rng.uniform(a, b, self.getOrDefault(self.cuts)).tolist()) for a, b in zip(lo, hi)]
+            binned = vec.withColumn(fc, _binned(as_array(vec, fc), cuts))
+            rf = RandomForestClassifier(numTrees=per, maxDepth=depth(self.getOrDefault(self.maxDepth)),
+                                        bootstrap=False, featureSubsetStrategy="all" if mf is None else str(mf),
+                                        maxBins=self.getOrDefault(self.cuts) + 1,
+                                        seed=self.getOrDefault(self.seed) + i, featuresCol=fc, labelCol=lc)
+            members.append((cuts, rf.fit(binned)))
+        return self._copyValues(RandomCutForestModel(members))
+
+
+def _binned(x, cuts):
+    """Per feature: number of its cut points <= value (a bucket index), as a vector."""
+    from pyspark.ml.functions import array_to_vector
+    table = F.array(*[F.array(*[F.lit(float(c)) for c in cs]) for cs in cuts])
+    return array_to_vector(F.transform(x, lambda v, i: F.size(F.filter(table[i], lambda c: c <= v)).cast("double")))
+
+
+class RandomCutForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
+    def __init__(self, members=None):
+        super().__init__()
+        self.members = members or []
+
+    def _transform(self, dataset):
+        fc = self.getFeaturesCol()
+        out = dataset
+        parts = []
+        for i, (cuts, rf) in enumerate(self.members):
+            tmp = out.withColumn("_x", _binned(as_array(out, fc), cuts))
+            rf = rf.copy().setFeaturesCol("_x").setProbabilityCol(f"_p{i}") \
+                   .setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}")
+            out = rf.transform(tmp).withColumn(f"_s{i}", vector_to_array(f"_p{i}")[1]) \
+                    .drop("_x", f"_p{i}", f"_y{i}", f"_r{i}")
+            parts.append(F.col(f"_s{i}"))
+        score = sum(parts[1:], parts[0]) / F.lit(float(len(parts)))
+        drop = [c for c in (self.getScoreCol(), self.getPredictionCol()) if c in dataset.columns]
+        out = out.drop(*drop).withColumn(self.getScoreCol(), score)
+        out = out.withColumn(self.getPredictionCol(), (F.col(self.getScoreCol()) > 0.5).cast("double"))
+        return out.drop(*[f"_s{i}" for i in range(len(parts))])
+
+
 class SkGradientBoosting(_Wrapped):
     """M5 (and M9 with colsample): n_estimators, max_depth, learning_rate, subsample, colsample."""
     nEstimators = _p("nEstimators", "boosting rounds", TypeConverters.toInt)
@@ -325,8 +396,6 @@ def classifier(name: str, **params) -> Estimator:
         "C1_LogisticRegression": SkLogisticRegression, "C2_KNN": KNNClassifier, "C3_DecisionTree": SkDecisionTree,
         "C4_RandomForest": SkRandomForest, "C5_GradientBoosting": SkGradientBoosting,
         "C6_SVM": CalibratedLinearSVC, "C7_NaiveBayes": GaussianNB, "C8_XGBoost": SkGradientBoosting,
-        "C9_MLP": SkMLP, "ExtraTrees": SkRandomForest,
+        "C9_MLP": SkMLP, "ExtraTrees": RandomCutForest,
     }
-    if name == "ExtraTrees":
-        params.setdefault("bootstrap", False)
     return table[name](**params)

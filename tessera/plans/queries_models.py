@@ -99,9 +99,9 @@ def q_boosted_colsample_cell(spark, sf_dir):
 
 
 def q_extra_trees_cell(spark, sf_dir):
-    """M10 (approximate): partial RUS, forest without bootstrap."""
+    """M10 (approximate): partial RUS, 4 groups of 5 unbootstrapped trees on random cut points."""
     return _cell(spark, sf_dir, "RUS_partial", "ExtraTrees",
-                 lambda: ML.SkRandomForest(nEstimators=20, maxDepth=15, bootstrap=False), {})
+                 lambda: ML.RandomCutForest(nEstimators=20, maxDepth=15, groups=4), {})
 
 
 def q_mlp_cell(spark, sf_dir):
