@@ -11,6 +11,7 @@ one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,12 +89,18 @@ def rates(counts: DataFrame, bands=BANDS, decorate: bool = False) -> DataFrame:
     )
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
-    """One row (roc_auc); mid-ranks for tied scores; 0.0 without both classes or scores."""
+def _score_table(scored: DataFrame, label: str, prediction: str | None, score: str) -> DataFrame:
+    """Rows per (score, prediction) and label: the only pass over the scored rows (map-side combined)."""
     y = F.col(label).cast("int")
-    per_score = (scored.filter(F.col(score).isNotNull())
-                 .groupBy(F.col(score).cast("double").alias("s"))
-                 .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
+    keys = [F.col(score).cast("double").alias("s")]
+    if prediction:
+        keys.append(F.col(prediction).cast("int").alias("p"))
+    return scored.groupBy(*keys).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+
+
+def _auc_from_scores(per_score: DataFrame, buckets: int = 256) -> DataFrame:
+    """Mid-rank AUC from distinct scores (s, pos, neg)."""
+    per_score = per_score.persist(StorageLevel.MEMORY_AND_DISK)
     # range buckets over distinct scores; the boundaries are a bounded list (< buckets values)
     cuts = per_score.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10000)).first()[0]
     splits = [float("-inf")] + sorted(set(cuts or [])) + [float("inf")]
@@ -112,12 +119,33 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", bucke
                              F.col("num") / (F.col("P") * F.col("N"))).otherwise(F.lit(0.0)).alias("roc_auc"))
 
 
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
+    """One row (roc_auc); mid-ranks for tied scores; 0.0 without both classes or scores."""
+    per_score = _score_table(scored, label, None, score).filter(F.col("s").isNotNull())
+    return _auc_from_scores(per_score, buckets)
+
+
 def evaluate(scored: DataFrame, model_name: str, label: str = "label", prediction: str = "prediction",
              score: str | None = "score", bands=BANDS, decorate: bool = False) -> DataFrame:
-    """The result record (FIXTURES section 3 schema) of one scored test table."""
-    counts = confusion(scored, label, prediction)
-    auc = roc_auc(scored, label, score) if score else counts.sparkSession.range(1).select(
-        F.lit(0.0).alias("roc_auc"))
+    """The result record (FIXTURES section 3 schema) of one scored test table.
+
+    One grouped pass over the scored rows, by (score, prediction), feeds both
+    the confusion counts and the AUC.
+    """
+    if not score:
+        counts = confusion(scored, label, prediction)
+        auc = counts.sparkSession.range(1).select(F.lit(0.0).alias("roc_auc"))
+    else:
+        table = _score_table(scored, label, prediction, score).persist(StorageLevel.MEMORY_AND_DISK)
+        p = F.col("p")
+        counts = table.agg(
+            F.sum(F.when(p == 0, F.col("neg")).otherwise(0)).cast("long").alias("tn"),
+            F.sum(F.when(p == 1, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
+            F.sum(F.when(p == 0, F.col("pos")).otherwise(0)).cast("long").alias("fn"),
+            F.sum(F.when(p == 1, F.col("pos")).otherwise(0)).cast("long").alias("tp"))
+        per_score = table.filter(F.col("s").isNotNull()).groupBy("s").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        auc = _auc_from_scores(per_score)
     one = F.lit(1).alias("_one")
     row = rates(counts, bands, decorate).select("*", one).join(F.broadcast(auc.select("*", one)), "_one")
     return row.select(F.lit(model_name).alias("model"), *[c for c in RESULT_COLUMNS if c != "model"])
