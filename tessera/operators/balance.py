@@ -44,10 +44,10 @@ def _originals(df: DataFrame, key: str, features: str, label: str) -> DataFrame:
                      F.lit(None).cast("double").alias("gap"))
 
 
-def _synthesize(minority: DataFrame, copies: DataFrame, nn: DataFrame, k: int, seed, label_value) -> DataFrame:
+def _synthesize(minority: DataFrame, copies: DataFrame, nn: DataFrame, k: int, seed, label_value,
+                max_copies: int) -> DataFrame:
     """Interpolated rows: copies (id, r, g) -> g rows per base along a random minority neighbour."""
-    m = copies.agg(F.max("g")).first()[0] or 0
-    mult = int(m) + 1
+    mult = int(max_copies) + 1
     syn = copies.filter(F.col("g") > 0).select(
         F.col("id").alias("base_id"), "r", F.explode(F.sequence(F.lit(1), F.col("g").cast("int"))).alias("j"))
     syn = syn.select(
@@ -83,7 +83,7 @@ def smote(df: DataFrame, key: str = "id", features: str = "features", label: str
     q, e = divmod(n_new, n_min)
     ranked = exact_rank(minority, "label", "id", seed, rank="r")
     copies = ranked.select("id", "r", (F.lit(q) + (F.col("r") <= e).cast("int")).alias("g"))
-    return base.unionByName(_synthesize(minority, copies, nn, k, seed, min_lbl))
+    return base.unionByName(_synthesize(minority, copies, nn, k, seed, min_lbl, q + (1 if e else 0)))
 
 
 def _round_half_even_div(num, den):
@@ -116,11 +116,13 @@ def adasyn(df: DataFrame, key: str = "id", features: str = "features", label: st
         raise BalanceError("ADASYN: no minority row has a neighbour of another class")
     g = _round_half_even_div(F.col("cnt") * F.lit(n_new), F.lit(total))
     ranked = exact_rank(minority, "label", "id", seed, rank="r")
-    copies = ranked.join(hard.select(F.col("qid").alias("id"), g.alias("g")), "id").select("id", "r", "g")
-    if (copies.agg(F.sum("g")).first()[0] or 0) == 0:
+    copies = ranked.join(hard.select(F.col("qid").alias("id"), g.alias("g")), "id").select("id", "r", "g") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    g_sum, g_max = copies.agg(F.sum("g"), F.max("g")).first()
+    if not g_sum:
         raise BalanceError("ADASYN: rounding leaves no row to generate")
     nn_min = knn_join(minority, minority, k, exclude_self=True, block_rows=block_rows)
-    return base.unionByName(_synthesize(minority, copies, nn_min, k, seed, min_lbl))
+    return base.unionByName(_synthesize(minority, copies, nn_min, k, seed, min_lbl, g_max))
 
 
 def tomek_links(df: DataFrame, key: str = "id", features: str = "features", label: str = "label",

@@ -91,9 +91,13 @@ def _local_topk(k: int, metric: str, exclude_self: bool, chunk_cells: int = 4_00
 class _Slabs:
     """Slab layout of the reference side (small, collected driver metadata)."""
 
-    def __init__(self, refs: DataFrame, block_rows: int, max_slabs: int):
-        n = refs.count()
+    def __init__(self, refs: DataFrame, block_rows: int, max_slabs: int, n: int):
         n_slabs = int(max(1, min(max_slabs, math.ceil(n / block_rows))))
+        if n_slabs == 1:          # everything fits one block: no cut points, no statistics job
+            self.splits = [float("-inf"), float("inf")]
+            self.index, self.n, self.lo, self.hi = {0.0: 0}, [n], [float("-inf")], [float("inf")]
+            self.chunks, self.size = [1], 1
+            return
         cuts = []
         if n_slabs > 1:
             probs = [i / n_slabs for i in range(1, n_slabs)]
@@ -131,10 +135,14 @@ class _Slabs:
 
 
 def _block_topk(visits: DataFrame, refs_slabbed: DataFrame, slabs: _Slabs, k: int, metric: str,
-                exclude_self: bool, block_rows: int) -> DataFrame:
-    """Local top-k candidates for every (query, visited slab) pair (None when nothing is visited)."""
+                exclude_self: bool, block_rows: int, vcount: dict | None = None) -> DataFrame:
+    """Local top-k candidates for every (query, visited slab) pair (None when nothing is visited).
+
+    ``vcount`` (visitors per slab) is computed with one small aggregate unless the caller knows it.
+    """
     spark = visits.sparkSession
-    vcount = {r["_slab"]: r["n"] for r in visits.groupBy("_slab").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if vcount is None:
+        vcount = {r["_slab"]: r["n"] for r in visits.groupBy("_slab").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not vcount:
         return None
     qchunks = {s: max(1, math.ceil(n / block_rows)) for s, n in vcount.items()}
@@ -168,23 +176,41 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     same = queries is refs and qid == rid and qvec == rvec
     r = refs.select(F.col(rid).cast("long").alias("_rid"), F.col(rvec).cast("array<double>").alias("_rv")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    dim = r.select(F.size("_rv").alias("d")).first()["d"]
-    p = np.random.default_rng(seed).standard_normal(dim)
+    if same:
+        q0 = r.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"))
+    else:
+        q0 = queries.select(F.col(qid).cast("long").alias("_qid"), F.col(qvec).cast("array<double>").alias("_qv")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+    # one small action: row counts of both sides and the dimension
+    sides = r.select(F.lit(0).alias("side"), F.size("_rv").alias("d"))
+    if not same:
+        sides = sides.unionByName(q0.select(F.lit(1).alias("side"), F.size("_qv").alias("d")))
+    meta = {row["side"]: (row["n"], row["d"]) for row in
+            sides.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()}
+    n_r, dim = meta.get(0, (0, 0))
+    n_q = n_r if same else meta.get(1, (0, 0))[0]
+    p = np.random.default_rng(seed).standard_normal(max(dim or 0, 1))
     p /= np.linalg.norm(p)
     scale = 1.0 if metric == "euclidean" else float(np.max(np.abs(p)))   # gap <= scale * distance
     r = r.withColumn("_t", _dot(F.col("_rv"), p))
-    slabs = _Slabs(r, block_rows, max_slabs)
+    slabs = _Slabs(r, block_rows, max_slabs, n_r)
     r_slabbed = slabs.slab_of(r, "_slab").select("_slab", "_rid", "_rv")
     if same:
         q = r.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"), "_t")
     else:
-        q = queries.select(F.col(qid).cast("long").alias("_qid"), F.col(qvec).cast("array<double>").alias("_qv"))
-        q = q.withColumn("_t", _dot(F.col("_qv"), p))
-    q = slabs.slab_of(q, "_slab").persist(StorageLevel.MEMORY_AND_DISK)
+        q = q0.withColumn("_t", _dot(F.col("_qv"), p))
+    q = slabs.slab_of(q, "_slab")
+    if slabs.size > 1:
+        q = q.persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy("_qid").orderBy("_d", "_rid")
 
     # pass A: own slab (with a single slab this is already the whole answer)
-    cand_a = _block_topk(q.select("_qid", "_qv", "_slab"), r_slabbed, slabs, k, metric, exclude_self, block_rows)
+    known = ({0: n_q} if slabs.size == 1 else
+             {i: c for i, c in enumerate(slabs.n)} if same else None)
+    cand_a = _block_topk(q.select("_qid", "_qv", "_slab"), r_slabbed, slabs, k, metric, exclude_self, block_rows,
+                         vcount=known)
+    if cand_a is None:
+        return q.sparkSession.createDataFrame([], "qid long, rank long, rid long, distance double")
     top_a = cand_a.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
     if slabs.size > 1:
         top_a = top_a.persist(StorageLevel.MEMORY_AND_DISK)

@@ -6,13 +6,14 @@ docstrings); the SQL oracle of each lives in ``oracle_sql.py``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators.naive_bayes import GaussianNB
 from ..operators.prep import Preprocessor, drop_unlabelled
-from ..operators.profile import class_balance, exact_quantiles, null_profile, null_total, value_counts
+from ..operators.profile import class_balance, null_profile, null_total, value_counts
 from ..operators.roles import role_report
 from ..operators.sampling import stratified_folds, undersample
 from ..sources.adapter import SURVEY_ROLES, survey_view
@@ -28,7 +29,8 @@ def _labelled(spark, sf_dir):
 
 
 def _fit_all(spark, sf_dir):
-    lab = _labelled(spark, sf_dir)
+    # the fit reads the labelled rows in several passes: keep them instead of re-joining each time
+    lab = _labelled(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     return lab, Preprocessor(R).fit(lab)
 
 
