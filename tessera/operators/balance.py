@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_draw
+from ..session import cut_lineage
 from .knn import knn_join
 from .profile import order_statistic
 from .sampling import class_counts, exact_rank
@@ -151,7 +152,7 @@ def remove_tomek(df: DataFrame, block_rows: int = 2048) -> DataFrame:
 def smote_tomek(df: DataFrame, key: str = "id", features: str = "features", label: str = "label", k: int = 5,
                 seed=42, block_rows: int = 2048) -> DataFrame:
     """SMOTE, then remove both ends of every Tomek link of the result."""
-    balanced = smote(df, key, features, label, k, seed, block_rows=block_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    balanced = cut_lineage(smote(df, key, features, label, k, seed, block_rows=block_rows), "smote")
     return remove_tomek(balanced, block_rows)
 
 

@@ -16,10 +16,13 @@ Plan, all on Spark:
    lies within that bound (a contiguous run of slabs). Candidates of both
    passes are merged with a window per query ordered by (distance, ref id).
 
-Within a group, numpy computes distances dimension by dimension (the same
-summation order as an SQL list sum) and keeps each query's local top k by
-(distance, id); the global top k by (distance, id) is a subset of the
-union of local top k, so the result is exact.
+Within a group, numpy screens candidates with one matrix product
+(|q|^2 + |r|^2 - 2 q.r, keeping every pair within a proven rounding band of
+each query's k-th value), then recomputes the survivors' distances
+dimension by dimension (the summation order of an SQL list sum) and keeps
+each query's local top k by (distance, id). The global top k by
+(distance, id) is a subset of the union of local top k, so the result is
+exact.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_SLABS = 4096                 # bound on the slab table (collected, broadcast)
 CAND_SCHEMA = "_qid long, _rid long, _d double"
 
@@ -54,6 +59,39 @@ def _pairwise(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _exact_rows(q: np.ndarray, r: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the listed (query row, ref row) pairs, summed over dimensions in order."""
+    out = np.zeros(len(rows))
+    for j in range(q.shape[1]):
+        diff = q[rows, j] - r[cols, j]
+        out += diff * diff if metric == "euclidean" else np.abs(diff)
+    return out
+
+
+def _screen(q: np.ndarray, r: np.ndarray, r_sq: np.ndarray, k: int, metric: str, exclude):
+    """Candidate pairs that surely contain each query's k nearest (by exact distance).
+
+    Euclidean: squared distances from the BLAS identity |q|^2 + |r|^2 - 2 q.r, whose
+    rounding error is at most tol = 1e-9 * (|q|^2 + max|r|^2) + 1e-300; every pair within
+    2 tol of the k-th screened value is kept, which contains the exact top k.
+    Manhattan has no such identity: all pairs of the (bounded) chunk are exact.
+    """
+    if metric == "euclidean":
+        q_sq = np.einsum("ij,ij->i", q, q)
+        approx = q_sq[:, None] + r_sq[None, :] - 2.0 * (q @ r.T)
+        tol = 1e-9 * (q_sq + r_sq.max()) + 1e-300
+    else:
+        approx = _pairwise(q, r, metric)
+        tol = np.zeros(q.shape[0])
+    if exclude is not None:
+        approx[exclude] = np.inf
+    kk = min(k, approx.shape[1])
+    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+    rows, cols = np.nonzero(approx <= (kth + 2 * tol)[:, None])
+    keep = np.isfinite(approx[rows, cols])
+    return rows[keep], cols[keep]
+
+
 def _local_topk(k: int, metric: str, exclude_self: bool, chunk_cells: int = 4_000_000):
     def fn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or rpdf.empty:
@@ -63,22 +101,18 @@ def _local_topk(k: int, metric: str, exclude_self: bool, chunk_cells: int = 4_00
         rid = rpdf["_rid"].to_numpy(dtype=np.int64)
         qv = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
         rv = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
+        r_sq = np.einsum("ij,ij->i", rv, rv)
         step = max(1, chunk_cells // max(1, len(rid)))
         oq, orr, od = [], [], []
         for s in range(0, len(qid), step):
-            d = _pairwise(qv[s:s + step], rv, metric)
-            if exclude_self:
-                d[qid[s:s + step, None] == rid[None, :]] = np.inf
-            kk = min(k, d.shape[1])
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-            rows, cols = np.nonzero(d <= kth)          # ties at the k-th value all kept
-            keep = np.isfinite(d[rows, cols])
-            rows, cols = rows[keep], cols[keep]
-            dd = d[rows, cols]
-            # per query: order by (d, rid) and keep k
+            qs = qv[s:s + step]
+            excl = (qid[s:s + step, None] == rid[None, :]) if exclude_self else None
+            rows, cols = _screen(qs, rv, r_sq, k, metric, excl)
+            dd = _exact_rows(qs, rv, rows, cols, metric)
+            # per query: order by (exact d, rid) and keep k
             order = np.lexsort((rid[cols], dd, rows))
             rows, cols, dd = rows[order], cols[order], dd[order]
-            first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+            first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.array([], dtype=int)
             pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
             sel = pos < k
             oq.append(qid[s:s + step][rows[sel]])
@@ -158,6 +192,14 @@ def _block_topk(visits: DataFrame, refs_slabbed: DataFrame, slabs: _Slabs, k: in
          .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_qchunks") - 1)))
          .select("_slab", "_rc", "_qc", "_rid", "_rv"))
     keys = ["_slab", "_rc", "_qc"]
+    # The distance blocks are CPU-bound: spread the groups over explicit hash partitions (AQE does
+    # not coalesce a repartition with a given count), one group per partition up to a bound.
+    n_groups = sum(slabs.chunks[s] * qchunks.get(s, 1) for s in vcount)
+    sc = spark.sparkContext
+    n_parts = int(max(1, min(n_groups, max(4 * sc.defaultParallelism,
+                                           int(spark.conf.get("spark.sql.shuffle.partitions"))), MAX_SLABS)))
+    q = q.repartition(n_parts, *keys)
+    r = r.repartition(n_parts, *keys)
     return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(
         _local_topk(k, metric, exclude_self), CAND_SCHEMA)
 
@@ -174,13 +216,15 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
     same = queries is refs and qid == rid and qvec == rvec
-    r = refs.select(F.col(rid).cast("long").alias("_rid"), F.col(rvec).cast("array<double>").alias("_rv")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # both sides are written once to the shared checkpoint folder: every later pass starts from a
+    # file scan (no replay of the inputs' lineage, cheap plans, survives executor loss)
+    r = cut_lineage(refs.select(F.col(rid).cast("long").alias("_rid"),
+                                F.col(rvec).cast("array<double>").alias("_rv")), "knn-refs")
     if same:
         q0 = r.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"))
     else:
-        q0 = queries.select(F.col(qid).cast("long").alias("_qid"), F.col(qvec).cast("array<double>").alias("_qv")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        q0 = cut_lineage(queries.select(F.col(qid).cast("long").alias("_qid"),
+                                        F.col(qvec).cast("array<double>").alias("_qv")), "knn-queries")
     # one small action: row counts of both sides and the dimension
     sides = r.select(F.lit(0).alias("side"), F.size("_rv").alias("d"))
     if not same:

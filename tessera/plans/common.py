@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prep import PrepModel, Preprocessor, drop_unlabelled
 from ..operators.sampling import stratified_split
+from ..session import cut_lineage
 from ..sources.adapter import SURVEY_ROLES, survey_view
 
 DIGITS = 6
@@ -31,7 +32,7 @@ def survey_prepared(spark: SparkSession, sf_dir: str, fit_on: str = "train", see
     """Fit the preparation on train rows ('train') or all labelled rows ('all'); encode all rows."""
     split = survey_split(spark, sf_dir, seed)
     if persist:
-        split = split.persist(StorageLevel.MEMORY_AND_DISK)
+        split = cut_lineage(split, "survey-split")
     fit_rows = split.filter(F.col("split") == "train") if fit_on == "train" else split
     model = Preprocessor(SURVEY_ROLES).fit(fit_rows)
     return model, model.transform(split, keep=("split",))

@@ -18,7 +18,7 @@ from ..operators.roles import role_report
 from ..operators.sampling import stratified_folds, undersample
 from ..sources.adapter import SURVEY_ROLES, survey_view
 from ..sources.io import read_csv, roundtrip, table_shape, write_table
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from .common import assemble, rounded, survey_prepared, survey_split
 
 R = SURVEY_ROLES
@@ -30,7 +30,7 @@ def _labelled(spark, sf_dir):
 
 def _fit_all(spark, sf_dir):
     # the fit reads the labelled rows in several passes: keep them instead of re-joining each time
-    lab = _labelled(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    lab = cut_lineage(_labelled(spark, sf_dir), "labelled")
     return lab, Preprocessor(R).fit(lab)
 
 

@@ -18,6 +18,7 @@ from ..operators.metrics import band_counts
 from ..operators.naive_bayes import GaussianNB
 from ..operators.sampling import undersample
 from ..sources.adapter import SURVEY_ROLES
+from ..session import cut_lineage
 from .common import rounded, survey_prepared
 from .tune import Cell, grid_search, run_cell, run_matrix
 
@@ -28,7 +29,7 @@ def survey_arrays(spark: SparkSession, sf_dir: str):
     feats = model.feature_columns()
     arr = prepared.select(F.col(SURVEY_ROLES.key).cast("long").alias("id"),
                           F.array(*[F.col(c).cast("double") for c in feats]).alias("features"), "label", "split")
-    arr = arr.persist(StorageLevel.MEMORY_AND_DISK)
+    arr = cut_lineage(arr, "survey-arrays")
     return arr.filter(F.col("split") == "train").drop("split"), arr.filter(F.col("split") == "test").drop("split")
 
 
@@ -46,7 +47,7 @@ BALANCERS = {
 
 def _cell(spark, sf_dir, balancer: str, classifier: str, factory, grid: dict) -> DataFrame:
     train, test = survey_arrays(spark, sf_dir)
-    balanced = BALANCERS[balancer](train).persist(StorageLevel.MEMORY_AND_DISK)
+    balanced = cut_lineage(BALANCERS[balancer](train), "balanced")
     rec, _ = run_cell(Cell(balancer, classifier, factory, grid), balanced, test)
     return rounded(rec)
 
@@ -143,6 +144,15 @@ def q_phase3_band_counts(spark, sf_dir):
     return band_counts(board)
 
 
+def q_phase1_naive_bayes_matrix(spark, sf_dir):
+    """The reference's phase-1 cells for naive Bayes - RUS, SMOTE, ADASYN, SMOTE+Tomek (fallback
+    SMOTE) x the phase-1 var_smoothing grid, 3 folds - ranked by avg TPR."""
+    from .experiments import PHASE1_BALANCERS, run_phase
+    train, test = survey_arrays(spark, sf_dir)
+    board = run_phase(train, test, 1, cells=[f"{b} + C7_NaiveBayes" for b in PHASE1_BALANCERS])
+    return rounded(board)
+
+
 QUERIES = {
     "logistic_regression_cell": q_logistic_regression_cell,
     "knn_cell": q_knn_cell,
@@ -158,4 +168,5 @@ QUERIES = {
     "grid_search_scores": q_grid_search_scores,
     "experiment_matrix": q_experiment_matrix,
     "phase3_band_counts": q_phase3_band_counts,
+    "phase1_naive_bayes_matrix": q_phase1_naive_bayes_matrix,
 }

@@ -95,9 +95,9 @@ def run_matrix(train: DataFrame, test: DataFrame, balancers: dict[str, Callable[
     results = []
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
     for bal_name in dict.fromkeys(c.balancer for c in cells):
-        # reliable checkpoint in spark.checkpoint.dir: the balanced table feeds every fit of the
+        # written to the shared checkpoint folder: the balanced table feeds every fit of the
         # balancer's cells, so an executor loss must not replay the balancer (a kNN join for SMOTE)
-        balanced = cut_lineage(balancers[bal_name](train))
+        balanced = cut_lineage(balancers[bal_name](train), "balanced")
         for cell in (c for c in cells if c.balancer == bal_name):
             rec, _ = run_cell(cell, balanced, test, folds, seed, key, label, decorate=decorate,
                               parallelism=parallelism)

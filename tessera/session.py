@@ -54,8 +54,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    spark = spark or df.sparkSession
-    scratch_root(spark)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and scan it back.
+
+    The data is computed once, later plans start from a file scan instead of
+    the whole upstream lineage (cheap to plan, no recomputation after an
+    executor loss), and Parquet keeps column pruning and filter pushdown.
+    Never a local checkpoint.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
