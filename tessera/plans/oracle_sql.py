@@ -41,7 +41,8 @@ ORACLES = {
     "survey_csv_roundtrip": _w(survey_ctes(), "SELECT CONTROL, Class, " + ", ".join(
         f"{r6(c)} AS {c}" for c in NUMERIC) + ", STATUSB, PRIORITY, SEGMENT FROM v"),
     "table_shape": _w(survey_ctes(), "SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_cols FROM v"),
-    "split_parquet_reload": _w(TRAIN, "SELECT split, label, count(*) AS n_rows FROM pr GROUP BY split, label"),
+    "split_parquet_reload": _w(TRAIN, f"SELECT split, label, count(*) AS n_rows, CAST({len(FEATURES)} AS BIGINT) "
+                                      "AS n_features FROM pr GROUP BY split, label"),
     "drop_unlabelled": _w(survey_ctes(), "SELECT CONTROL, Class FROM lab"),
     "role_check": """SELECT column_name, role, CAST(1 AS BIGINT) AS n_roles, CAST(NULL AS VARCHAR) AS problem FROM (VALUES
         ('CONTROL', 'key'), ('Class', 'target'), ('TOTPRICE', 'numeric'), ('ACCTBAL', 'numeric'), ('NUMKIDS', 'numeric'),

@@ -17,7 +17,7 @@ from ..operators.profile import class_balance, null_profile, null_total, value_c
 from ..operators.roles import role_report
 from ..operators.sampling import stratified_folds, undersample
 from ..sources.adapter import SURVEY_ROLES, survey_view
-from ..sources.io import read_csv, roundtrip, table_shape, write_table
+from ..sources.io import read_csv, reload_split, table_shape, write_table
 from ..session import cut_lineage, scratch_path
 from .common import assemble, rounded, survey_prepared, survey_split
 
@@ -49,10 +49,18 @@ def q_table_shape(spark, sf_dir):
 
 
 def q_split_parquet_reload(spark, sf_dir):
-    """Prepared split written to Parquet, reloaded; rows per (split, label)."""
+    """S2+S4: prepared train and test tables written as Parquet stages, reloaded with the label
+    separated from the features; rows per (split, label) and feature count."""
     _, prepared = survey_prepared(spark, sf_dir)
-    back = roundtrip(prepared, "parquet", "split")
-    return back.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+    paths = {}
+    for part in ("train", "test"):
+        paths[part] = write_table(prepared.filter(F.col("split") == part).drop("split"),
+                                  scratch_path(spark, f"stage-{part}"), "parquet")
+    train, test, features = reload_split(spark, paths["train"], paths["test"], "label", R.key)
+    both = train.select(F.lit("train").alias("split"), "label").unionByName(
+        test.select(F.lit("test").alias("split"), "label"))
+    return both.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"),
+                                              F.lit(len(features)).cast("long").alias("n_features"))
 
 
 def q_drop_unlabelled(spark, sf_dir):

@@ -96,3 +96,24 @@ def test_fit_uses_population_sigma(spark):
     mu = sum(xs) / 4
     sd = math.sqrt(sum((x - mu) ** 2 for x in xs) / 4)
     assert m.scale["x"][0] == pytest.approx(mu) and m.scale["x"][1] == pytest.approx(sd)
+
+
+def test_scratch_root_refuses_local_folder_on_cluster(monkeypatch):
+    import tessera.session as S
+
+    class Conf:
+        def get(self, k, default=None):
+            return None
+
+    class SC:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Fake:
+        conf = Conf()
+        sparkContext = SC()
+
+    with pytest.raises(RuntimeError):
+        S.scratch_root(Fake())
