@@ -207,11 +207,15 @@ def _block_topk(visits: DataFrame, refs_slabbed: DataFrame, slabs: _Slabs, k: in
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", rid: str = "id",
              qvec: str = "features", rvec: str = "features", metric: str = "euclidean",
              exclude_self: bool = False, block_rows: int = 2048, seed: int = 7,
-             max_slabs: int = MAX_SLABS) -> DataFrame:
+             max_slabs: int = MAX_SLABS, projection: str = "pca") -> DataFrame:
     """For every query row, its k nearest reference rows.
 
     Returns (qid, rank 1..k, rid, distance); ties are broken by the smaller
     reference id. exclude_self drops pairs with equal ids (self-join).
+    projection: 'pca' projects on the references' first principal component
+    (one distributed fit; the widest direction gives the largest gaps, so the
+    most pruning), 'random' on a seeded random direction. Any unit vector
+    keeps the result exact.
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -234,6 +238,11 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     n_r, dim = meta.get(0, (0, 0))
     n_q = n_r if same else meta.get(1, (0, 0))[0]
     p = np.random.default_rng(seed).standard_normal(max(dim or 0, 1))
+    if projection == "pca" and n_r > block_rows and dim:
+        from pyspark.ml.feature import PCA
+        from pyspark.ml.functions import array_to_vector
+        pc = PCA(k=1, inputCol="_v", outputCol="_pc").fit(r.select(array_to_vector("_rv").alias("_v"))).pc
+        p = np.array(pc.toArray()[:, 0], dtype=np.float64)
     p /= np.linalg.norm(p)
     scale = 1.0 if metric == "euclidean" else float(np.max(np.abs(p)))   # gap <= scale * distance
     r = r.withColumn("_t", _dot(F.col("_rv"), p))

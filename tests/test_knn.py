@@ -12,11 +12,12 @@ def _frame(spark, pts):
     return spark.createDataFrame(pdf, "id long, features array<double>"), pdf
 
 
-def _check(spark, pts, k, metric, block_rows, queries=None):
+def _check(spark, pts, k, metric, block_rows, queries=None, projection="pca"):
     df, pdf = _frame(spark, pts)
     qdf, qpdf = (df, pdf) if queries is None else _frame(spark, queries)
     self_join = queries is None
-    got = knn_join(qdf, df, k, metric=metric, exclude_self=self_join, block_rows=block_rows).toPandas()
+    got = knn_join(qdf, df, k, metric=metric, exclude_self=self_join, block_rows=block_rows,
+                   projection=projection).toPandas()
     want = brute_force_knn(qpdf, pdf, k, metric, exclude_self=self_join)
     got = got.sort_values(["qid", "rank"]).reset_index(drop=True)
     want = want.sort_values(["qid", "rank"]).reset_index(drop=True)
@@ -26,9 +27,10 @@ def _check(spark, pts, k, metric, block_rows, queries=None):
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 @pytest.mark.parametrize("block_rows", [7, 10000])
-def test_random_points(spark, metric, block_rows):
-    pts = np.random.default_rng(1).normal(size=(150, 5))
-    _check(spark, pts, 4, metric, block_rows)
+@pytest.mark.parametrize("projection", ["pca", "random"])
+def test_random_points(spark, metric, block_rows, projection):
+    pts = np.random.default_rng(1).normal(size=(150, 5)) * np.array([5.0, 1.0, 1.0, 0.5, 0.1])
+    _check(spark, pts, 4, metric, block_rows, projection=projection)
 
 
 def test_square_corners_ties_by_id(spark):
