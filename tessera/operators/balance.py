@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +69,7 @@ def _synthesize(minority: DataFrame, copies: DataFrame, nn: DataFrame, k: int, s
 def smote(df: DataFrame, key: str = "id", features: str = "features", label: str = "label", k: int = 5,
           seed=42, sampling_strategy: float = 1.0, block_rows: int = 2048) -> DataFrame:
     """Add int(strategy * n_maj) - n_min synthetic minority rows."""
-    base = _originals(df, key, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    base = _originals(df, key, features, label)
     counts = class_counts(base, "label")
     min_lbl, n_min, _, n_maj = _binary(counts)
     n_new = int(sampling_strategy * n_maj - n_min)
@@ -78,8 +77,7 @@ def smote(df: DataFrame, key: str = "id", features: str = "features", label: str
         raise BalanceError(f"SMOTE needs more than k={k} minority rows, got {n_min}")
     if n_new <= 0:
         return base
-    minority = base.filter(F.col("label") == min_lbl).select("id", "features", "label") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    minority = base.filter(F.col("label") == min_lbl).select("id", "features", "label")
     nn = knn_join(minority, minority, k, exclude_self=True, block_rows=block_rows)
     q, e = divmod(n_new, n_min)
     ranked = exact_rank(minority, "label", "id", seed, rank="r")
@@ -99,26 +97,25 @@ def adasyn(df: DataFrame, key: str = "id", features: str = "features", label: st
            seed=42, block_rows: int = 2048) -> DataFrame:
     """Synthetic count per minority row proportional to the share of other-class rows among
     its k neighbours in the whole table; interpolation toward minority neighbours."""
-    base = _originals(df, key, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    base = _originals(df, key, features, label)
     counts = class_counts(base, "label")
     min_lbl, n_min, _, n_maj = _binary(counts)
     n_new = n_maj - n_min
     if n_min <= k:
         raise BalanceError(f"ADASYN needs more than k={k} minority rows, got {n_min}")
-    minority = base.filter(F.col("label") == min_lbl).select("id", "features", "label") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    minority = base.filter(F.col("label") == min_lbl).select("id", "features", "label")
     everyone = base.select("id", "features")
     nn_all = knn_join(minority, everyone, k, exclude_self=True, block_rows=block_rows)
     labels = base.select(F.col("id").alias("rid"), F.col("label").alias("_rl"))
-    hard = (nn_all.join(labels, "rid").groupBy("qid")
-            .agg(F.count_if(F.col("_rl") != F.lit(min_lbl)).alias("cnt")))
+    # one row per minority row; written once because it feeds a sum and the copy counts
+    hard = cut_lineage(nn_all.join(labels, "rid").groupBy("qid")
+                       .agg(F.count_if(F.col("_rl") != F.lit(min_lbl)).alias("cnt")), "adasyn-hard")
     total = hard.agg(F.sum("cnt")).first()[0] or 0
     if total == 0:
         raise BalanceError("ADASYN: no minority row has a neighbour of another class")
     g = _round_half_even_div(F.col("cnt") * F.lit(n_new), F.lit(total))
     ranked = exact_rank(minority, "label", "id", seed, rank="r")
-    copies = ranked.join(hard.select(F.col("qid").alias("id"), g.alias("g")), "id").select("id", "r", "g") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    copies = ranked.join(hard.select(F.col("qid").alias("id"), g.alias("g")), "id").select("id", "r", "g")
     g_sum, g_max = copies.agg(F.sum("g"), F.max("g")).first()
     if not g_sum:
         raise BalanceError("ADASYN: rounding leaves no row to generate")
@@ -130,7 +127,7 @@ def tomek_links(df: DataFrame, key: str = "id", features: str = "features", labe
                 block_rows: int = 2048) -> DataFrame:
     """Pairs (id_a < id_b) of opposite-class rows that are each other's nearest neighbour."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(features).alias("features"),
-                     F.col(label).cast("int").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+                     F.col(label).cast("int").alias("label"))
     nn = knn_join(rows, rows, 1, exclude_self=True, block_rows=block_rows).select("qid", "rid")
     lab = rows.select("id", "label")
     a = nn.join(lab.withColumnRenamed("id", "qid").withColumnRenamed("label", "ql"), "qid") \
@@ -160,7 +157,7 @@ def near_miss(df: DataFrame, key: str = "id", features: str = "features", label:
               block_rows: int = 2048) -> DataFrame:
     """B8 (version 1): keep the n_min majority rows with the smallest mean distance to their
     k nearest minority rows (ties by id); keep every minority row."""
-    base = _originals(df, key, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    base = _originals(df, key, features, label)
     min_lbl, n_min, maj_lbl, _ = _binary(class_counts(base, "label"))
     if n_min < k:
         raise BalanceError(f"NearMiss needs at least k={k} minority rows, got {n_min}")
@@ -168,9 +165,9 @@ def near_miss(df: DataFrame, key: str = "id", features: str = "features", label:
     majority = base.filter(F.col("label") == maj_lbl)
     nn = knn_join(majority.select("id", "features"), minority.select("id", "features"), k, block_rows=block_rows)
     # mean of the k distances summed in ascending order (k values per row: bounded)
-    avg = nn.groupBy("qid").agg(
+    avg = cut_lineage(nn.groupBy("qid").agg(
         (F.aggregate(F.array_sort(F.collect_list("distance")), F.lit(0.0), lambda a, b: a + b) / F.lit(k))
-        .alias("avg_d")).persist(StorageLevel.MEMORY_AND_DISK)
+        .alias("avg_d")), "nearmiss-avg")
     v = order_statistic(avg, F.col("avg_d"), n_min - 1)
     below = avg.filter(F.col("avg_d") < F.lit(v))
     n_below = below.count()

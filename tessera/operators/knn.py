@@ -31,7 +31,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -253,8 +252,6 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     else:
         q = q0.withColumn("_t", _dot(F.col("_qv"), p))
     q = slabs.slab_of(q, "_slab")
-    if slabs.size > 1:
-        q = q.persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy("_qid").orderBy("_d", "_rid")
 
     # pass A: own slab (with a single slab this is already the whole answer)
@@ -266,7 +263,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
         return q.sparkSession.createDataFrame([], "qid long, rank long, rid long, distance double")
     top_a = cand_a.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
     if slabs.size > 1:
-        top_a = top_a.persist(StorageLevel.MEMORY_AND_DISK)
+        top_a = cut_lineage(top_a, "knn-pass-a")      # k rows per query; feeds the bound and the merge
         bound = top_a.groupBy("_qid").agg(F.max("_d").alias("_dk"), F.count(F.lit(1)).alias("_nk"))
         dist_k = F.when(F.col("_nk") >= k, F.col("_dk")).otherwise(F.lit(float("inf")))
         if metric == "euclidean":

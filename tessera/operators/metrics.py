@@ -11,12 +11,12 @@ one task.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
+from ..session import cut_lineage
 
 # fixed: target bands (Yes TPR, No TPR) and their names
 BANDS = (
@@ -100,7 +100,6 @@ def _score_table(scored: DataFrame, label: str, prediction: str | None, score: s
 
 def _auc_from_scores(per_score: DataFrame, buckets: int = 256) -> DataFrame:
     """Mid-rank AUC from distinct scores (s, pos, neg)."""
-    per_score = per_score.persist(StorageLevel.MEMORY_AND_DISK)
     # range buckets over distinct scores; the boundaries are a bounded list (< buckets values)
     cuts = per_score.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10000)).first()[0]
     splits = [float("-inf")] + sorted(set(cuts or [])) + [float("inf")]
@@ -136,7 +135,8 @@ def evaluate(scored: DataFrame, model_name: str, label: str = "label", predictio
         counts = confusion(scored, label, prediction)
         auc = counts.sparkSession.range(1).select(F.lit(0.0).alias("roc_auc"))
     else:
-        table = _score_table(scored, label, prediction, score).persist(StorageLevel.MEMORY_AND_DISK)
+        # distinct (score, prediction) rows, written once: they feed the counts and the AUC
+        table = cut_lineage(_score_table(scored, label, prediction, score), "score-table")
         p = F.col("p")
         counts = table.agg(
             F.sum(F.when(p == 0, F.col("neg")).otherwise(0)).cast("long").alias("tn"),

@@ -93,7 +93,7 @@ def run_matrix(train: DataFrame, test: DataFrame, balancers: dict[str, Callable[
                decorate: bool = False, parallelism: int = 4) -> DataFrame:
     """All cells; each balancer runs once and its table is shared by its classifiers."""
     results = []
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = train.sparkSession
     for bal_name in dict.fromkeys(c.balancer for c in cells):
         # written to the shared checkpoint folder: the balanced table feeds every fit of the
         # balancer's cells, so an executor loss must not replay the balancer (a kNN join for SMOTE)
@@ -101,9 +101,8 @@ def run_matrix(train: DataFrame, test: DataFrame, balancers: dict[str, Callable[
         for cell in (c for c in cells if c.balancer == bal_name):
             rec, _ = run_cell(cell, balanced, test, folds, seed, key, label, decorate=decorate,
                               parallelism=parallelism)
-            results.append(rec.persist(StorageLevel.MEMORY_AND_DISK))
-            results[-1].count()
-        balanced.unpersist()
+            # one row per cell: keep it as a small local table, not a cached plan
+            results.append(spark.createDataFrame(rec.collect(), rec.schema))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
