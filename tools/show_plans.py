@@ -27,6 +27,11 @@ def main():
     show("Stratified split: rows before the cut bucket need no shuffle; only the cut bucket is ranked", split)
     model = Preprocessor(R).fit(split.filter("split = 'train'"))
     show("Preparation transform: one narrow projection, statistics as literals", model.transform(split))
+    from tessera.operators.knn import knn_join
+    from tessera.sources.adapter import embedding_view
+    emb = embedding_view(spark, sf).withColumnRenamed("vec_id", "id")
+    show("kNN self-join (k=5): written inputs, explicit hash partitioning of (slab, ref chunk, query chunk) "
+         "groups, cogrouped numpy blocks, window per query", knn_join(emb, emb, 5, exclude_self=True, block_rows=256))
 
 
 if __name__ == "__main__":
