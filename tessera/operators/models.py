@@ -295,13 +295,15 @@ class CalibratedLinearSVC(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
         k = self.getOrDefault(self.folds)
         data = stratified_folds(data, lc, key, k=k, seed=self.getOrDefault(self.seed), fold_col="_fold")
         pairs = []
+        # rows per (fold, class) in one small aggregate: training sizes and Platt targets of every fold
+        fc_counts = {(r["_fold"], r[lc]): r["count"] for r in data.groupBy("_fold", lc).count().collect()}
         for i in range(k):
             train, held = data.filter(F.col("_fold") != i), data.filter(F.col("_fold") == i)
-            n = train.count()
+            n = sum(c for (f, _), c in fc_counts.items() if f != i)
             svm = LinearSVC(regParam=1.0 / (self.getOrDefault(self.C) * max(n, 1)), standardization=False,
                             maxIter=self.getOrDefault(self.maxIter), featuresCol=fc, labelCol=lc).fit(train)
             margin = svm.transform(held).select(vector_to_array("rawPrediction")[1].alias("m"), F.col(lc))
-            counts = {r[lc]: r["count"] for r in held.groupBy(lc).count().collect()}
+            counts = {y: c for (f, y), c in fc_counts.items() if f == i}
             t_pos = (counts.get(1.0, 0) + 1.0) / (counts.get(1.0, 0) + 2.0)
             t_neg = 1.0 / (counts.get(0.0, 0) + 2.0)
             t = F.when(F.col(lc) == 1.0, t_pos).otherwise(t_neg)

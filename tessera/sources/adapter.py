@@ -7,6 +7,8 @@ they were made.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,9 @@ def survey_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    # Session-scoped names keep concurrent callers apart.
-    o_name, c_name = f"_tessera_orders_{id(orders)}", f"_tessera_customer_{id(customer)}"
+    # unique session-scoped names keep concurrent callers apart
+    tag = uuid.uuid4().hex[:12]
+    o_name, c_name = f"_tessera_orders_{tag}", f"_tessera_customer_{tag}"
     orders.createOrReplaceTempView(o_name)
     customer.createOrReplaceTempView(c_name)
     sql = SURVEY_VIEW_SQL.replace("FROM orders JOIN customer", f"FROM {o_name} JOIN {c_name}")
