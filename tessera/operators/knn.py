@@ -35,7 +35,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 MAX_SLABS = 4096                 # bound on the slab table (collected, broadcast)
 CAND_SCHEMA = "_qid long, _rid long, _d double"
@@ -218,6 +218,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
+    ship_package(queries.sparkSession)     # the numpy kernel runs in Python workers
     same = queries is refs and qid == rid and qvec == rvec
     # both sides are written once to the shared checkpoint folder: every later pass starts from a
     # file scan (no replay of the inputs' lineage, cheap plans, survives executor loss)

@@ -54,6 +54,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in the Python workers (as ``--py-files`` would).
+
+    Pandas UDFs are pickled by module reference, so executors must import
+    the package. It is zipped once per application and added with
+    ``addPyFile``; Spark copies it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = scratch_root(spark)
+    local = root[len("file:"):] if root.startswith("file:") else root
+    base = local if "://" not in local and os.path.isdir(local) else tempfile.mkdtemp(prefix="tessera-py-")
+    out = os.path.join(base, f"tessera-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def cut_lineage(df, name: str = "stage"):
     """Write ``df`` as Parquet under the shared checkpoint folder and scan it back.
 
