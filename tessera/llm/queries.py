@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, sharding
+from tessera.llm import chat, fm_index, mixing, quality, sharding
 from tessera.llm.tables import table
 
 # Production parameters: weights of the mix by source (others get 1) and the number of shards.
@@ -26,6 +26,14 @@ def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(0.0).alias("score"))
 
 
+def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in all documents by backward search in FM-indexes of document shards."""
+    out = fm_index.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc.doc_id", "hit.n_words", "hit.n_hit", F.size("hit.items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("hit.items", ","), 256).alias("items_sha256"),
+                      (F.col("hit.n_hit") > 0).alias("contaminated"), F.size("hit.spans").cast("long").alias("n_spans"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as reply trees, formatted, and read back from the formatted text."""
     out = chat.format_trees(conversation_nodes(spark, sf_dir))
@@ -44,6 +52,12 @@ def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "doc.source", "doc.text", "copy", "rate", "order_key")
 
 
+def op5_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the log-likelihood-ratio verdict of every document."""
+    out = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return out.select("doc.doc_id", "quality.*")
+
+
 def op6_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards that each match the mixture of sources; shard row counts differ by at most one."""
     docs = table(spark, sf_dir, "documents")
@@ -55,4 +69,5 @@ def op6_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"), "position")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op4_poisson_mixing, op6_stratified_interleaving)}
+QUERIES = {f.__name__: f for f in (
+    op1_fm_index_decontamination, op2_chat_formatting, op4_poisson_mixing, op5_llr_quality, op6_stratified_interleaving)}
