@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fm_index, mixing, quality, sharding
+from tessera.llm import chat, fm_index, mixing, quality, sharding, token_counts
 from tessera.llm.tables import table
 
 # Production parameters: weights of the mix by source (others get 1) and the number of shards.
@@ -69,5 +69,12 @@ def op6_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"), "position")
 
 
+def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole document, by the compiled transducer of the vocabulary."""
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.TOKEN_LIMIT).alias("over_limit"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_fm_index_decontamination, op2_chat_formatting, op4_poisson_mixing, op5_llr_quality, op6_stratified_interleaving)}
+    op1_fm_index_decontamination, op2_chat_formatting, op4_poisson_mixing, op5_llr_quality, op6_stratified_interleaving,
+    op10_transducer_token_counts)}
