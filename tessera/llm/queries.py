@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fm_index, mixing, quality, sharding, token_counts
+from tessera.llm import chat, fm_index, mixing, near_duplicates, quality, sharding, token_counts, token_shards
 from tessera.llm.tables import table
 
 # Production parameters: weights of the mix by source (others get 1) and the number of shards.
@@ -69,6 +69,17 @@ def op6_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"), "position")
 
 
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: ProbMinHash bands, verified on whole texts."""
+    out = near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id")
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fixed-stride token sequences at the slots of a keyed permutation."""
+    return token_shards.training_order(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole document, by the compiled transducer of the vocabulary."""
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -77,4 +88,4 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fm_index_decontamination, op2_chat_formatting, op4_poisson_mixing, op5_llr_quality, op6_stratified_interleaving,
-    op10_transducer_token_counts)}
+    op8_probminhash, op9_training_order, op10_transducer_token_counts)}
