@@ -62,3 +62,45 @@ def llr_scores(texts, trusted, bucket, smoothing=20.0):
     part = sum(target.values()) / sum(raw.values())
     ratio = lambda b: math.log((target[b] + smoothing * part) / part) - math.log(raw[b] + smoothing)
     return [sum(map(ratio, g)) / len(g) if g else None for g in grams]
+
+
+def shingle_weights(text, size=5):
+    w = WORD10.findall((text or "").translate(LOWER))
+    return Counter(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter()
+
+
+def probability_jaccard(a, b):
+    return sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a.keys() | b.keys()) for d in a.keys() & b.keys())
+
+
+def near_classes(docs, similarity=0.8):
+    """{id: class} by comparing all pairs that share a shingle; also the least similarity of any pair at or above the threshold."""
+    parent = {d: d for d, _ in docs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def link(a, b):
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+
+    first, grams, by_gram = {}, {}, {}
+    for d, t in sorted(docs):
+        if (t or "") in first:
+            link(first[t or ""], d)
+            continue
+        first[t or ""] = d
+        grams[d] = shingle_weights(t)
+        for g in grams[d]:
+            by_gram.setdefault(g, set()).add(d)
+    pairs, edges = set(), {}
+    for ds in by_gram.values():
+        pairs.update((a, b) for a in ds for b in ds if a < b)
+    for a, b in pairs:
+        A, B = grams[a], grams[b]
+        if sum((A & B).values()) >= 0.5 * max(sum(A.values()), sum(B.values())) and (s := probability_jaccard(A, B)) >= similarity:
+            edges[a, b] = s
+            link(a, b)
+    return {d: root(d) for d, _ in docs}, edges
