@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fm_index, mixing, near_duplicates, quality, sharding, token_counts, token_shards
+from tessera.llm import chat, fm_index, mixing, near_duplicates, quality, sharding, suffix_dedup, token_counts, token_shards
 from tessera.llm.tables import table
 
 # Production parameters: weights of the mix by source (others get 1) and the number of shards.
@@ -45,6 +45,13 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that start in an earlier document."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated to the target mixture, one row per copy, in global shuffle order."""
     docs = table(spark, sf_dir, "documents")
@@ -87,5 +94,5 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_fm_index_decontamination, op2_chat_formatting, op4_poisson_mixing, op5_llr_quality, op6_stratified_interleaving,
+    op1_fm_index_decontamination, op2_chat_formatting, op3_suffix_array_dedup, op4_poisson_mixing, op5_llr_quality, op6_stratified_interleaving,
     op8_probminhash, op9_training_order, op10_transducer_token_counts)}
