@@ -104,3 +104,23 @@ def near_classes(docs, similarity=0.8):
             edges[a, b] = s
             link(a, b)
     return {d: root(d) for d, _ in docs}, edges
+
+
+def removed_repeats(docs, length=50):
+    """{id: (n_bytes, n_removed, n_spans, kept_sha256)} from a table of every window's smallest document."""
+    bodies = [(d, (t or "").encode()) for d, t in docs]
+    least = {}
+    for d, b in bodies:
+        for i in range(len(b) - length + 1):
+            w = b[i:i + length]
+            if least.get(w, d) >= d:
+                least[w] = d
+    out = {}
+    for d, b in bodies:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if least[b[i:i + length]] < d:
+                gone[i:i + length] = b"\x01" * length
+        spans = bytes(gone).split(b"\x00")
+        out[d] = (len(b), sum(gone), sum(bool(s) for s in spans), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    return out
