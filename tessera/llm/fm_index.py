@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,12 +274,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return out
 
 
-def without_spans(text: str | None, spans: list) -> str | None:
-    """The text with removal spans (bytes) cut out, a line feed in place of each."""
-    if not spans:
-        return text
-    data, out, at = (text or "").encode(), [], 0
-    for s in spans:
-        out += [data[at:s["start"]], b"\n"]
-        at = s["end"]
-    return b"".join([*out, data[at:]]).decode()
+def without_spans(raw: Column, spans: Column) -> Column:
+    """The text (bytes ``raw``) with its removal spans cut out, a line feed in place of each."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out"))
+    between = lambda at, end: F.substring(raw, (at + 1).cast("int"), (end - at).cast("int"))
+    step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], between(a["at"], s["start"]), F.lit("\n").cast("binary")).alias("out"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], between(a["at"], F.octet_length(raw).cast("long")))).cast("string")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str | None = None, **options) -> DataFrame:
+    """``docs`` with the benchmark windows cut out of its texts; documents with no words left go.
+
+    Clean documents come back as they are, also those without words. The
+    column ``length``, if named, is set to the new number of characters of a
+    text that was cut.
+    """
+    found = find_contamination(docs, benchmark, text=text, **options).filter("hit.n_hit < hit.n_words OR hit.n_hit = 0")
+    cut = F.col("hit.n_hit") > 0
+    found = found.withColumn("cut", F.when(cut, without_spans(body(F.col(f"doc.`{text}`")), F.col("hit.spans"))))
+    columns = []
+    for c in docs.columns:
+        own = F.col(f"doc.`{c}`")
+        if c == text:
+            own = F.when(cut, F.col("cut")).otherwise(own)
+        elif c == length:
+            own = F.when(cut, F.char_length("cut")).otherwise(own).cast(docs.schema[c].dataType)
+        columns.append(own.alias(c))
+    return found.select(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fm_index, mixing, near_duplicates, quality, sharding, suffix_dedup, token_counts, token_shards
+from tessera.llm import chat, fm_index, mixing, near_duplicates, pii, quality, sharding, suffix_dedup, token_counts, token_shards
 from tessera.llm.tables import table
 
 # Production parameters: weights of the mix by source (others get 1) and the number of shards.
@@ -76,6 +76,14 @@ def op6_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"), "position")
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base patterns, and tokens of patterns induced from them."""
+    out = pii.find_personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return out.select("doc.doc_id", *[count(k) for k in range(4)], F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+                      pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: ProbMinHash bands, verified on whole texts."""
     out = near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
@@ -95,4 +103,4 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fm_index_decontamination, op2_chat_formatting, op3_suffix_array_dedup, op4_poisson_mixing, op5_llr_quality, op6_stratified_interleaving,
-    op8_probminhash, op9_training_order, op10_transducer_token_counts)}
+    op7_bootstrapped_pii, op8_probminhash, op9_training_order, op10_transducer_token_counts)}
