@@ -124,3 +124,32 @@ def removed_repeats(docs, length=50):
         spans = bytes(gone).split(b"\x00")
         out[d] = (len(b), sum(gone), sum(bool(s) for s in spans), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
     return out
+
+
+PII = (("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+       ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+       ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+       ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")))
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def personal_data(text):
+    """(n_email, n_ip, n_card, n_phone, base_sha256, spans as text) of the base patterns."""
+    found = []
+    for k, (kind, pattern) in enumerate(PII):
+        for m in pattern.finditer(text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else True,
+                  "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                found.append((m.start(), k, m.end()))
+    found.sort()
+    joined = ",".join(f"{PII[k][0]}:{a}:{b}" for a, k, b in found)
+    return (*[sum(f[1] == k for f in found) for k in range(4)], sha(joined), joined)
