@@ -18,12 +18,12 @@ WINDOW = 1 << 20
 SEPARATOR = 10
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "body", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a slice have at most ``limit`` bytes, or it is one row."""
+def slices(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of a slice (``columns``, by default body) have at most ``limit`` bytes, or it is one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.fromiter((len(x) for x in bodies(batch, column)), np.int64, batch.num_rows)
+        sizes = sum(np.fromiter((len(x) for x in bodies(batch, c)), np.int64, batch.num_rows) for c in columns or ("body",))
         ends, first = np.cumsum(sizes), 0
         while first < batch.num_rows:
             used = ends[first - 1] if first else 0

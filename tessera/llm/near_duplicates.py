@@ -27,10 +27,13 @@ from tessera.session import cut_lineage, ship_package
 # Production parameters.
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 25
-BAND_ROWS = 5
-#: Leaders that a bucket sends in a round after the first, from outside its largest class.
-LEADERS = 8
+BANDS = 40
+BAND_ROWS = 8
+#: Leaders that a bucket sends in a round after the first, from outside its largest class, and rows compared with them in one group.
+LEADERS = 256
+CHUNK_ROWS = 1024
+#: Standard deviations below the threshold at which a pair's share of equal registers still gets it verified.
+SLACK = 4.0
 SALTS = 32
 
 _ARRIVAL = 0xA0761D6478BD642F
@@ -86,65 +89,77 @@ def band_codes(holder: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def probability_jaccard(code_a: np.ndarray, a: np.ndarray, code_b: np.ndarray, b: np.ndarray) -> float:
-    """Sum over shared d of 1 / sum_e max(a_e / a_d, b_e / b_d), for weights on sorted distinct codes."""
-    if not len(code_a) or not len(code_b):
-        return 0.0
-    codes = np.union1d(code_a, code_b)
-    x, y = np.zeros(len(codes)), np.zeros(len(codes))
-    x[np.searchsorted(codes, code_a)], y[np.searchsorted(codes, code_b)] = a, b
-    with np.errstate(divide="ignore"):
-        ratio = np.where(y > 0, x / np.where(y > 0, y, 1), np.inf)
-    by = np.argsort(ratio, kind="stable")
-    x, y, ratio = x[by], y[by], ratio[by]
-    above = np.cumsum(x[::-1])[::-1]  # weights of a from here on
-    below = np.cumsum(y) - y  # weights of b before
-    shared = (x > 0) & (y > 0)
-    return float(np.sum(1.0 / ((above[shared] + ratio[shared] * below[shared]) / x[shared])))
+def register_bytes(holder: np.ndarray) -> np.ndarray:
+    """16 bits of each register."""
+    return (A.mix64(holder.ravel()) >> np.uint64(48)).astype("<u2").reshape(holder.shape)
+
+
+def _pieces(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first[k], first[k] + 1, ... (count[k] of them) for every k, end to end."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+def pair_similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Probability Jaccard similarity of each pair of texts on whole shingle counts: the sum over shared shingles d
+    of 1 / sum_e max(a_e / a_d, b_e / b_d); 0 if a text has no words.
+
+    With the shingles of a pair sorted by a_e / b_e, the maxima are the
+    weights of a from d on and those of b, scaled, before d.
+    """
+    sides = []
+    for texts in (left, right):
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(t, len(number)) for t in texts])
+        owner, code, count = shingles(list(number))
+        edge = np.searchsorted(owner, np.arange(len(number) + 1))
+        sizes = np.diff(edge)[which]
+        take = _pieces(edge[:-1][which], sizes)
+        sides.append((np.repeat(np.arange(len(texts)), sizes), code[take], count[take].astype(np.float64)))
+    pair, code = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
+    key, index, where = np.unique(A.mix64(code ^ A.mix64(pair.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True)
+    cut = len(sides[0][0])
+    x, y = np.bincount(where[:cut], sides[0][2], len(key)), np.bincount(where[cut:], sides[1][2], len(key))
+    pair = pair[index]
+    ratio = np.divide(x, y, out=np.full(len(x), np.inf), where=y > 0)
+    by = np.lexsort((ratio, pair))
+    x, y, ratio, pair = x[by], y[by], ratio[by], pair[by]
+    edge = np.searchsorted(pair, np.arange(len(left) + 1))
+    sum_x, sum_y = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(y)))
+    shared = np.flatnonzero((x > 0) & (y > 0))
+    of = pair[shared]
+    above = sum_x[edge[of + 1]] - sum_x[shared]
+    below = sum_y[shared] - sum_y[edge[of]]
+    return np.bincount(of, x[shared] / (above + ratio[shared] * below), len(left))
 
 
 def signed(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(id, copy_of, bands): a digest of the text and its band codes (none without words)."""
+    """(id, copy_of, bands, registers): a digest of the text, its band codes (none without words) and 16 bits of each register."""
     ship_package(docs.sparkSession)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in A.slices(batches):
             texts = A.bodies(part)
             owner, code, count = shingles(texts)
-            codes = band_codes(signatures(owner, code, count.astype(np.float64), len(texts), bands * rows), bands, rows)
+            holder = signatures(owner, code, count.astype(np.float64), len(texts), bands * rows)
+            codes, short = band_codes(holder, bands, rows), register_bytes(holder)
             some = np.zeros(len(texts), bool)
             some[owner] = True
             lists = [codes[k].tolist() if some[k] else [] for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy_of"), pa.array(lists, pa.list_(pa.int64()))],
-                                             ["id", "copy_of", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy_of"), pa.array(lists, pa.list_(pa.int64())),
+                                              pa.array([x.tobytes() for x in short], pa.binary())], ["id", "copy_of", "bands", "registers"])
 
     raw = body(text)
     src = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(raw)).alias("copy_of"), raw.alias("body"))
-    return src.mapInArrow(sign, "id long, copy_of binary, bands array<bigint>")
+    return src.mapInArrow(sign, "id long, copy_of binary, bands array<bigint>, registers binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose probability Jaccard similarity over whole texts reaches the threshold, with it."""
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the probability Jaccard similarity of their whole texts."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_side = None, None
-        for part in A.slices(batches, "body_b"):
-            others = A.bodies(part, "body_b")
-            owner, code, count = shingles(others)
-            edge = np.searchsorted(owner, np.arange(len(others) + 1))
-            found = []
-            for k in range(len(others)):
-                text_a = part.column("body_a")[k].as_py() or b""
-                if text_a != last:  # rows come by a, so a leader's shingles are mostly at hand
-                    own = shingles([text_a])
-                    by = np.argsort(own[1])
-                    last, last_side = text_a, (own[1][by], own[2][by].astype(np.float64))
-                mine, weight = code[edge[k]:edge[k + 1]], count[edge[k]:edge[k + 1]].astype(np.float64)
-                by = np.argsort(mine)
-                found.append(probability_jaccard(*last_side, mine[by], weight[by]))
-            near = [k for k, s in enumerate(found) if s >= similarity]
-            yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(near, pa.int64())), part.column("b").take(pa.array(near, pa.int64())),
-                                              pa.array([found[k] for k in near], pa.float64())], ["a", "b", "similarity"])
+        for part in A.slices(batches, "body_a", "body_b"):
+            found = pair_similarities(A.bodies(part, "body_a"), A.bodies(part, "body_b"))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
     # the texts of b move once, keyed by a; a leader's text is met there, not copied through a shuffle
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
@@ -152,6 +167,43 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     return both.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def led_pairs(rows: DataFrame, lead: DataFrame, registers: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a leader and a document of another class in its bucket that may be linked.
+
+    ``rows``: bucket, id, far, class; ``lead``: the same for leaders;
+    ``registers``: id, registers. Buckets are cut in chunks of about
+    ``CHUNK_ROWS`` and meet all leaders of the bucket. Left out are pairs
+    whose distances to the bucket's smallest id differ by more than a link
+    allows, and pairs whose registers agree far too rarely.
+    """
+    reach = 1.0 - similarity + 1e-9
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        number = lambda t, c: t.column(c).to_numpy()
+        signs = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            ids, far, kind, own = number(left, "id"), number(left, "far"), number(left, "class"), signs(left, "registers")
+            width = own.shape[1]
+            floor = width * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / width))
+            for a, far_a, kind_a, sign in zip(number(right, "lead_id"), number(right, "lead_far"), number(right, "lead_class"),
+                                               signs(right, "lead_registers")):
+                some = np.flatnonzero((kind != kind_a) & (np.abs(far - far_a) <= reach))
+                some = some[(own[some] == sign).sum(axis=1) >= floor]
+                found.append((np.minimum(ids[some], a), np.maximum(ids[some], a)))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *[x[0] for x in found]]), "b": np.concatenate([none, *[x[1] for x in found]])})
+
+    chunks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
+    left = (rows.join(registers, "id").join(lead.select("bucket").distinct().join(chunks, "bucket"), "bucket")
+            .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
+    right = lead.join(registers, "id").join(chunks, "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    fields = ["bucket", "chunk", "id", "far", "class", "registers"]
+    right = right.select(*[F.col(f).alias(f"lead_{f}") for f in fields])
+    groups = left.select(*fields).groupBy("bucket", "chunk").cogroup(right.groupBy("lead_bucket", "lead_chunk"))
+    return groups.applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                            leaders: int = LEADERS) -> DataFrame:
     """(id, class_id): the smallest id among all documents linked to a document, directly or through others.
@@ -163,15 +215,19 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 
     Round one compares every bucket's smallest id with the others of the
     bucket. Buckets that still hold several classes then send leaders from
-    outside their largest class, a bounded number each round, against all
-    documents of other classes, until each outsider has led. So no pair of
-    classes in a bucket is left without a comparison that could join them,
-    and the pairs of a round grow with the rows, not with their square.
+    outside their largest class, a bounded number each round, against the
+    documents of other classes, until each outsider has led. One minus the
+    probability Jaccard similarity is a metric, so a pair is safely left out
+    if its distances to the bucket's smallest id differ by more than a link
+    allows; others are left out only if their registers agree ``SLACK``
+    standard deviations too rarely for a link. So no two classes of a bucket
+    stay apart without the comparisons that could join them.
     """
     spark = docs.sparkSession
     table = cut_lineage(signed(docs, key, text), "near-signed")
-    texts_of = table.filter("id is not null").groupBy("copy_of").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
-    reps = cut_lineage(texts_of, "near-reps")
+    texts_of = table.filter("id is not null").groupBy("copy_of").agg(F.min("id").alias("rep"), F.min(F.struct("bands", "registers")).alias("s"))
+    reps = cut_lineage(texts_of.select("copy_of", "rep", "s.bands", "s.registers"), "near-reps")
+    registers = reps.select(F.col("rep").alias("id"), "registers").dropDuplicates(["id"])
     rows = cut_lineage(reps.filter(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")), "near-bands")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
     held = cut_lineage(rows.join(sizes, "bucket"), "near-buckets")
@@ -180,35 +236,37 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     texts = cut_lineage(texts.join(wanted, "id"), "near-texts")
     pairs = cut_lineage(held.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
     tested, led = pairs, held.select("bucket", F.col("leader").alias("id")).distinct()
-    links = cut_lineage(verify(pairs, texts, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+    first = cut_lineage(verify(pairs, texts).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "near-first")
+    links = first.filter(F.col("similarity") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     classes = cut_lineage(connected_components(links), "near-classes")
-    held = held.filter("n > 2").select("bucket", "id")
+    # with the distance to the bucket's smallest id
+    held = (held.filter("n > 2").join(first.select(F.col("a").alias("leader"), F.col("b").alias("id"), "similarity"), ["leader", "id"], "left")
+            .select("bucket", "id", (1.0 - F.coalesce("similarity", F.lit(1.0))).alias("far")))
     while True:
-        now = held.join(classes, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("class"))
+        now = held.join(classes, "id", "left").select("bucket", "id", "far", F.coalesce("class", "id").alias("class"))
         now = cut_lineage(now, "near-now")
         per_class = now.groupBy("bucket", "class").agg(F.count("*").alias("n"))
         mixed = (per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("top"))
                  .filter("classes > 1").select("bucket", F.col("top.class").alias("main")))
         open_rows = cut_lineage(now.join(mixed, "bucket"), "near-open")
-        out = open_rows.filter("class <> main").join(led, ["bucket", "id"], "left_anti").select("bucket", "id", "class")
+        out = open_rows.filter("class <> main").join(led, ["bucket", "id"], "left_anti").select("bucket", "id", "far", "class")
         # a leader's place in its bucket is first bounded in salted parts; the order is the same in all buckets
         order = [F.xxhash64("id"), F.col("id")]
         out = (out.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
                .withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(*order))).filter(F.col("r") <= leaders)
                .withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("r") <= leaders))
-        lead = cut_lineage(out.select("bucket", F.col("id").alias("a"), F.col("class").alias("class_a")), "near-lead")
+        lead = cut_lineage(out.select("bucket", "id", "far", "class"), "near-lead")
         if lead.isEmpty():
             break
-        led = led.unionByName(lead.select("bucket", F.col("a").alias("id")))
-        fresh = (open_rows.join(lead, "bucket").filter("class <> class_a")
-                 .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        led = led.unionByName(lead.select("bucket", "id"))
+        fresh = led_pairs(open_rows.select("bucket", "id", "far", "class"), lead, registers, similarity).join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(fresh, "near-pairs")
         tested = tested.unionByName(pairs)
-        more = cut_lineage(verify(pairs, texts, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+        more = cut_lineage(verify(pairs, texts).filter(F.col("similarity") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             classes = cut_lineage(connected_components(links), "near-classes")
-        held = open_rows.select("bucket", "id")
+        held = open_rows.select("bucket", "id", "far")
     known = reps.join(classes, reps.rep == classes.id, "left").select("copy_of", F.coalesce("class", "rep").alias("class_id"))
     return table.select("id", "copy_of").join(known, "copy_of", "left").select(
         "id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
