@@ -172,7 +172,10 @@ def near_miss(df: DataFrame, key: str = "id", features: str = "features", label:
     below = avg.filter(F.col("avg_d") < F.lit(v))
     n_below = below.count()
     ties = avg.filter(F.col("avg_d") == F.lit(v))
-    id_cut = order_statistic(ties, F.col("qid"), n_min - n_below - 1)
+    # ids in two parts, each exact as a double
+    high, low, rank = F.shiftright("qid", 31), F.col("qid").bitwiseAND(F.lit((1 << 31) - 1)), n_min - n_below - 1
+    top = int(order_statistic(ties, high, rank))
+    id_cut = (top << 31) + int(order_statistic(ties.filter(high == top), low, rank - ties.filter(high < top).count()))
     keep = below.select("qid").unionByName(ties.filter(F.col("qid") <= F.lit(id_cut)).select("qid"))
     chosen = majority.join(keep.withColumnRenamed("qid", "id"), "id", "left_semi")
     return minority.unionByName(chosen)

@@ -36,7 +36,10 @@ MAX_DEPTH = 30
 
 
 def depth(d) -> int:
-    return MAX_DEPTH if d is None else min(int(d), MAX_DEPTH)
+    """Spark's depth for a grid value: None means the deepest tree Spark grows; deeper ones are refused."""
+    if d is not None and int(d) > MAX_DEPTH:
+        raise ValueError(f"maxDepth {d} is above {MAX_DEPTH}, the deepest tree that Spark grows")
+    return MAX_DEPTH if d is None else int(d)
 
 
 def with_score(df: DataFrame, score: str = "score") -> DataFrame:
@@ -173,10 +176,11 @@ class RandomCutForest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         lo, hi = mm["min"].toArray(), mm["max"].toArray()
         rng = np.random.default_rng(self.getOrDefault(self.seed))
         g = self.getOrDefault(self.groups)
-        per = max(1, self.getOrDefault(self.nEstimators) // g)
+        total = self.getOrDefault(self.nEstimators)
         mf = self.getOrDefault(self.maxFeatures)
         members = []
-        for i in range(g):
+        for i in range(min(g, total)):
+            per = total // g + (i < total % g)
             cuts = [sorted(rng.uniform(a, b, self.getOrDefault(self.cuts)).tolist()) for a, b in zip(lo, hi)]
             binned = vec.withColumn(fc, _binned(as_array(vec, fc), cuts))
             rf = RandomForestClassifier(numTrees=per, maxDepth=depth(self.getOrDefault(self.maxDepth)),

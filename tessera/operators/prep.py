@@ -75,12 +75,15 @@ class PrepModel:
         return (self.capped(c, dtypes) - F.lit(mu)) / F.lit(sd)
 
     def code(self, c: str, dtypes: dict) -> Column:
-        """rank of the string value among the sorted levels (0-based)."""
+        """rank of the string value among the sorted levels (0-based); -1 for a level that the fit has not seen."""
         levels = self.codes[c]
         kv = []
         for i, v in enumerate(levels):
             kv += [F.lit(v), F.lit(i)]
-        return F.create_map(*kv)[self.imputed(c, dtypes)] if kv else F.lit(None).cast("int")
+        if not kv:
+            return F.lit(None).cast("int")
+        value = self.imputed(c, dtypes)
+        return F.when(value.isNotNull(), F.coalesce(F.create_map(*kv)[value], F.lit(-1)))
 
     def dummies(self, c: str, dtypes: dict) -> list[Column]:
         """one 0/1 int column per level, named <col>_<level>, levels sorted."""
@@ -175,7 +178,9 @@ class Preprocessor:
         for c, vals in per_col.items():
             if len(vals) > cfg.max_levels:
                 raise ValueError(f"{c}: {len(vals)} levels > max_levels={cfg.max_levels}")
-            vals.sort(key=lambda t: (-t[1], t[0]))
+            # ties: the smallest number, or the first string
+            numeric_codes = dtypes[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtypes[c].startswith("decimal")
+            vals.sort(key=lambda t: (-t[1], float(t[0]) if numeric_codes else t[0]))
             model.modes[c] = vals[0][0] if vals else None
             levels = sorted(v for v, _ in vals)
             (model.codes if c in r.binary else model.levels)[c] = levels

@@ -188,19 +188,35 @@ def _values_and_ranges(df: DataFrame, columns: dict[str, Column]):
     return vals, stats
 
 
+def _infinite_ends(vals: DataFrame, columns: list[int]) -> dict[int, tuple]:
+    """{column index: (number of -inf, number of finite values, least and greatest of them)} in one aggregate."""
+    if not columns:
+        return {}
+    own = lambda i: F.when(F.abs(F.col(f"v{i}")) < math.inf, F.col(f"v{i}"))
+    row = vals.agg(*[x for i in columns for x in (
+        F.count_if(F.col(f"v{i}") == -math.inf).alias(f"low{i}"), F.count(own(i)).alias(f"n{i}"),
+        F.min(own(i)).alias(f"lo{i}"), F.max(own(i)).alias(f"hi{i}"))]).first()
+    return {i: (row[f"low{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i in columns}
+
+
 def _order_stats(vals: DataFrame, stats, ranks: dict[int, set[int]], buckets: int,
                  collect_limit: int) -> dict[tuple[int, int], float]:
     """Histogram narrowing: {(column index, rank) -> value}."""
     need: dict[tuple[int, int], float | None] = {}
     # probes: (col index, bracket lo, bracket hi, base count below lo) -> list of ranks
     probes: dict[tuple[int, float, float, int], list[int]] = {}
+    infinite = _infinite_ends(vals, [i for i in ranks if math.isinf(stats[f"lo{i}"]) or math.isinf(stats[f"hi{i}"])])
     for i, rs in ranks.items():
-        lo, hi = stats[f"lo{i}"], stats[f"hi{i}"]
+        low, finite, lo, hi = infinite.get(i) or (0, None, stats[f"lo{i}"], stats[f"hi{i}"])
         for r in rs:
-            if lo == hi:
+            if r < low:
+                need[(i, r)] = -math.inf
+            elif finite is not None and r >= low + finite:
+                need[(i, r)] = math.inf
+            elif lo == hi:
                 need[(i, r)] = lo
             else:
-                probes.setdefault((i, lo, hi, 0), []).append(r)
+                probes.setdefault((i, lo, hi, low), []).append(r)
     while probes:
         keys = list(probes)
         small = {}
