@@ -24,12 +24,18 @@ def slices(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = SLICE_
         if not batch.num_rows:
             continue
         sizes = sum(np.fromiter((len(x) for x in bodies(batch, c)), np.int64, batch.num_rows) for c in columns or ("body",))
-        ends, first = np.cumsum(sizes), 0
-        while first < batch.num_rows:
-            used = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, used + limit, "right")))
+        for first, last in cuts(sizes, limit):
             yield batch.slice(first, last - first)
-            first = last
+
+
+def cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges whose sizes add up to at most ``limit``, or of one row."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        used = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, used + limit, "right")))
+        yield first, last
+        first = last
 
 
 def bodies(batch: pa.RecordBatch, column: str = "body") -> list[bytes]:

@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SEQUENCE = 512
 SHARD_SLOTS = 1 << 16
 ROUNDS = 6
-#: Text encoded at a time, about, as a quarter of it compressed; the larger, the fewer segments are encoded twice.
+#: Text encoded at a time; the larger, the fewer segments are encoded twice.
 SLICE_BYTES = 8 << 20
 TOKEN = np.dtype("<u2")
 
@@ -187,9 +187,10 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
         encoder, place, part_id = _encoder(shared.value), 0, TaskContext.get().partitionId()
         end = np.array([encoder.end], TOKEN)
         expand = zstandard.ZstdDecompressor()
-        for part in A.slices(batches, limit=SLICE_BYTES // 4):
+        for part in (b.slice(first, last - first) for b in batches
+                     for first, last in A.cuts(np.array([zstandard.frame_content_size(t) for t in A.bodies(b)], np.int64), SLICE_BYTES)):
             index, seq, count, tokens = [], [], [], []
-            for k, ids in enumerate(encoder.texts([expand.decompress(t) if t else b"" for t in A.bodies(part)])):
+            for k, ids in enumerate(encoder.texts([expand.decompress(t) for t in A.bodies(part)])):
                 ids = np.concatenate([ids, end])
                 for s, i in enumerate(range(0, len(ids), length)):
                     run = ids[i:i + length]
