@@ -167,32 +167,65 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def link_up(pairs: DataFrame, texts: DataFrame, links: DataFrame | None, classes: DataFrame | None,
+            similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verify pairs (a, b, score), the likeliest first: (found, links, classes).
+
+    First goes the pair with the highest score of every ``a`` and of every
+    ``b``, then all others whose ends are still in different classes; a pair
+    inside one class can join nothing. ``links`` and ``classes`` are those
+    known before (None at first) and come back with the new ones; ``found`` has
+    the similarity of each pair that was compared.
+    """
+    done: DataFrame | None = None
+    best = [pairs.groupBy(end).agg(F.max(F.struct("score", F.col(other).alias("o"))).alias("top")).select(F.col("top.o").alias(other), end)
+            for end, other in (("a", "b"), ("b", "a"))]
+    best_pairs = cut_lineage(best[0].select("a", "b").unionByName(best[1].select("a", "b")).distinct(), "near-best")
+    for rest in (False, True):
+        todo = best_pairs
+        if rest:
+            todo = pairs.join(best_pairs, ["a", "b"], "left_anti")
+            for end in ("a", "b"):
+                of = classes.select(F.col("id").alias(end), F.col("class").alias(f"class_{end}"))
+                todo = todo.join(of, end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
+            todo = todo.filter("class_a <> class_b").select("a", "b")
+        found = cut_lineage(verify(todo, texts), "near-found")
+        done = found if done is None else done.unionByName(found)
+        more = found.filter(F.col("similarity") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if classes is None or not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            classes = cut_lineage(connected_components(links), "near-classes")
+    return done, links, classes
+
+
 def led_pairs(rows: DataFrame, lead: DataFrame, registers: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a leader and a document of another class in its bucket that may be linked.
+    """Pairs (a, b, equal) of a leader and a document of another class in its bucket that may be linked, with the number of equal registers.
 
     ``rows``: bucket, id, far, class; ``lead``: the same for leaders;
     ``registers``: id, registers. Buckets are cut in chunks of about
     ``CHUNK_ROWS`` and meet all leaders of the bucket. Left out are pairs
-    whose distances to the bucket's smallest id differ by more than a link
-    allows, and pairs whose registers agree far too rarely.
+    whose known distances to the bucket's smallest id differ by more than a
+    link allows, and pairs whose registers agree far too rarely. ``far`` is
+    null where that distance is not known.
     """
     reach = 1.0 - similarity + 1e-9
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         number = lambda t, c: t.column(c).to_numpy()
         signs = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             ids, far, kind, own = number(left, "id"), number(left, "far"), number(left, "class"), signs(left, "registers")
             width = own.shape[1]
             floor = width * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / width))
             for a, far_a, kind_a, sign in zip(number(right, "lead_id"), number(right, "lead_far"), number(right, "lead_class"),
                                                signs(right, "lead_registers")):
-                some = np.flatnonzero((kind != kind_a) & (np.abs(far - far_a) <= reach))
-                some = some[(own[some] == sign).sum(axis=1) >= floor]
-                found.append((np.minimum(ids[some], a), np.maximum(ids[some], a)))
+                some = np.flatnonzero((kind != kind_a) & ~(np.abs(far - far_a) > reach))
+                equal = (own[some] == sign).sum(axis=1)
+                some, equal = some[equal >= floor], equal[equal >= floor]
+                found.append((np.minimum(ids[some], a), np.maximum(ids[some], a), equal))
         none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *[x[0] for x in found]]), "b": np.concatenate([none, *[x[1] for x in found]])})
+        return pa.table({c: np.concatenate([none, *[x[k] for x in found]]) for k, c in enumerate(("a", "b", "equal"))})
 
     chunks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
     left = (rows.join(registers, "id").join(lead.select("bucket").distinct().join(chunks, "bucket"), "bucket")
@@ -201,7 +234,7 @@ def led_pairs(rows: DataFrame, lead: DataFrame, registers: DataFrame, similarity
     fields = ["bucket", "chunk", "id", "far", "class", "registers"]
     right = right.select(*[F.col(f).alias(f"lead_{f}") for f in fields])
     groups = left.select(*fields).groupBy("bucket", "chunk").cogroup(right.groupBy("lead_bucket", "lead_chunk"))
-    return groups.applyInArrow(compare, "a long, b long").distinct()
+    return groups.applyInArrow(compare, "a long, b long, equal long").groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
@@ -213,8 +246,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     equal texts only. ``key`` is an integer; rows with a null key get a null
     class, and rows of a repeated key are each classed by their own text.
 
-    Round one compares every bucket's smallest id with the others of the
-    bucket. Buckets that still hold several classes then send leaders from
+    Round one compares every document with the smallest ids of its buckets:
+    first the one it shares most buckets with, then those still in another
+    class. Buckets that still hold several classes then send leaders from
     outside their largest class, a bounded number each round, against the
     documents of other classes, until each outsider has led. One minus the
     probability Jaccard similarity is a metric, so a pair is safely left out
@@ -234,14 +268,13 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     wanted = held.select("id").distinct()
     texts = docs.select(F.col(key).cast("long").alias("id"), body(text).alias("body"))
     texts = cut_lineage(texts.join(wanted, "id"), "near-texts")
-    pairs = cut_lineage(held.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
-    tested, led = pairs, held.select("bucket", F.col("leader").alias("id")).distinct()
-    first = cut_lineage(verify(pairs, texts).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "near-first")
-    links = first.filter(F.col("similarity") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    classes = cut_lineage(connected_components(links), "near-classes")
-    # with the distance to the bucket's smallest id
+    met = held.filter("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("score"))
+    met = cut_lineage(met, "near-met")
+    tested, led = met.select("a", "b"), held.select("bucket", F.col("leader").alias("id")).distinct()
+    first, links, classes = link_up(met, texts, None, None, similarity)
+    # with the distance to the bucket's smallest id; unknown where one class made the comparison needless
     held = (held.filter("n > 2").join(first.select(F.col("a").alias("leader"), F.col("b").alias("id"), "similarity"), ["leader", "id"], "left")
-            .select("bucket", "id", (1.0 - F.coalesce("similarity", F.lit(1.0))).alias("far")))
+            .select("bucket", "id", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(1.0 - F.col("similarity")).alias("far")))
     while True:
         now = held.join(classes, "id", "left").select("bucket", "id", "far", F.coalesce("class", "id").alias("class"))
         now = cut_lineage(now, "near-now")
@@ -260,12 +293,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
             break
         led = led.unionByName(lead.select("bucket", "id"))
         fresh = led_pairs(open_rows.select("bucket", "id", "far", "class"), lead, registers, similarity).join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(fresh, "near-pairs")
-        tested = tested.unionByName(pairs)
-        more = cut_lineage(verify(pairs, texts).filter(F.col("similarity") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            classes = cut_lineage(connected_components(links), "near-classes")
+        fresh = cut_lineage(fresh.withColumnRenamed("equal", "score"), "near-pairs")
+        tested = tested.unionByName(fresh.select("a", "b"))
+        _, links, classes = link_up(fresh, texts, links, classes, similarity)
         held = open_rows.select("bucket", "id", "far")
     known = reps.join(classes, reps.rep == classes.id, "left").select("copy_of", F.coalesce("class", "rep").alias("class_id"))
     return table.select("id", "copy_of").join(known, "copy_of", "left").select(
