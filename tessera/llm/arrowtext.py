@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 WINDOW = 1 << 20
 #: Separator between the texts of a slice; it belongs to no word in either alphabet.
 SEPARATOR = 10
