@@ -32,7 +32,9 @@ BAND_ROWS = 8
 #: Leaders that a bucket sends in a round after the first, from outside its largest class, and rows compared with them in one group.
 LEADERS = 256
 CHUNK_ROWS = 1024
-#: Standard deviations below the threshold at which a pair's share of equal registers still gets it verified.
+#: 4-bit registers of the longer sketch that documents of open buckets are compared by.
+SKETCH = 2048
+#: Standard deviations below the threshold at which a pair's share of equal sketch registers still gets it verified.
 SLACK = 4.0
 SALTS = 32
 
@@ -89,9 +91,14 @@ def band_codes(holder: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def register_bytes(holder: np.ndarray) -> np.ndarray:
-    """16 bits of each register."""
-    return (A.mix64(holder.ravel()) >> np.uint64(48)).astype("<u2").reshape(holder.shape)
+def nibbles(holder: np.ndarray) -> np.ndarray:
+    """4 bits of each register, two registers a byte."""
+    bits = (A.mix64(holder.ravel()) >> np.uint64(60)).astype(np.uint8).reshape(holder.shape)
+    return bits[:, ::2] << 4 | bits[:, 1::2]
+
+
+#: Equal halves of two bytes, by their exclusive or.
+_EQUAL_HALVES = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8)
 
 
 def _pieces(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -133,24 +140,36 @@ def pair_similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
 
 
 def signed(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(id, copy_of, bands, registers): a digest of the text, its band codes (none without words) and 16 bits of each register."""
+    """(id, copy_of, bands): a digest of the text and its band codes (none without words)."""
     ship_package(docs.sparkSession)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in A.slices(batches):
             texts = A.bodies(part)
             owner, code, count = shingles(texts)
-            holder = signatures(owner, code, count.astype(np.float64), len(texts), bands * rows)
-            codes, short = band_codes(holder, bands, rows), register_bytes(holder)
+            codes = band_codes(signatures(owner, code, count.astype(np.float64), len(texts), bands * rows), bands, rows)
             some = np.zeros(len(texts), bool)
             some[owner] = True
-            lists = [codes[k].tolist() if some[k] else [] for k in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy_of"), pa.array(lists, pa.list_(pa.int64())),
-                                              pa.array([x.tobytes() for x in short], pa.binary())], ["id", "copy_of", "bands", "registers"])
+            offsets = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[some].ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy_of"), lists], ["id", "copy_of", "bands"])
 
     raw = body(text)
     src = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(raw)).alias("copy_of"), raw.alias("body"))
-    return src.mapInArrow(sign, "id long, copy_of binary, bands array<bigint>, registers binary")
+    return src.mapInArrow(sign, "id long, copy_of binary, bands array<bigint>")
+
+
+def sketched(texts: DataFrame, registers: int = SKETCH) -> DataFrame:
+    """(id, sketch) of texts (id, body): 4 bits of each register of a longer signature."""
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in A.slices(batches):
+            bodies = A.bodies(part)
+            owner, code, count = shingles(bodies)
+            packed = nibbles(signatures(owner, code, count.astype(np.float64), len(bodies), registers))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in packed], pa.binary())], ["id", "sketch"])
+
+    return texts.select("id", "body").mapInArrow(sketch, "id long, sketch binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -167,38 +186,40 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def led_pairs(rows: DataFrame, lead: DataFrame, registers: DataFrame, similarity: float) -> DataFrame:
+def led_pairs(rows: DataFrame, lead: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of a leader and a document of another class in its bucket that may be linked.
 
     ``rows``: bucket, id, far, class; ``lead``: the same for leaders;
-    ``registers``: id, registers. Buckets are cut in chunks of about
+    ``sketches``: id, sketch. Buckets are cut in chunks of about
     ``CHUNK_ROWS`` and meet all leaders of the bucket. Left out are pairs
     whose distances to the bucket's smallest id differ by more than a link
-    allows, and pairs whose registers agree far too rarely.
+    allows, and pairs whose sketches agree far too rarely.
     """
     reach = 1.0 - similarity + 1e-9
 
+    agree = similarity + (1.0 - similarity) / 16  # unequal registers share their 4 bits by chance
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         number = lambda t, c: t.column(c).to_numpy()
-        signs = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1)
+        signs = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
-            ids, far, kind, own = number(left, "id"), number(left, "far"), number(left, "class"), signs(left, "registers")
-            width = own.shape[1]
-            floor = width * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / width))
+            ids, far, kind, own = number(left, "id"), number(left, "far"), number(left, "class"), signs(left, "sketch")
+            width = 2 * own.shape[1]
+            floor = width * agree - SLACK * np.sqrt(width * agree * (1.0 - agree))
             for a, far_a, kind_a, sign in zip(number(right, "lead_id"), number(right, "lead_far"), number(right, "lead_class"),
-                                               signs(right, "lead_registers")):
+                                               signs(right, "lead_sketch")):
                 some = np.flatnonzero((kind != kind_a) & (np.abs(far - far_a) <= reach))
-                some = some[(own[some] == sign).sum(axis=1) >= floor]
+                some = some[_EQUAL_HALVES[own[some] ^ sign].sum(axis=1, dtype=np.int64) >= floor]
                 found.append((np.minimum(ids[some], a), np.maximum(ids[some], a)))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *[x[0] for x in found]]), "b": np.concatenate([none, *[x[1] for x in found]])})
 
     chunks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-    left = (rows.join(registers, "id").join(lead.select("bucket").distinct().join(chunks, "bucket"), "bucket")
+    left = (rows.join(sketches, "id").join(lead.select("bucket").distinct().join(chunks, "bucket"), "bucket")
             .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
-    right = lead.join(registers, "id").join(chunks, "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    fields = ["bucket", "chunk", "id", "far", "class", "registers"]
+    right = lead.join(sketches, "id").join(chunks, "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    fields = ["bucket", "chunk", "id", "far", "class", "sketch"]
     right = right.select(*[F.col(f).alias(f"lead_{f}") for f in fields])
     groups = left.select(*fields).groupBy("bucket", "chunk").cogroup(right.groupBy("lead_bucket", "lead_chunk"))
     return groups.applyInArrow(compare, "a long, b long").distinct()
@@ -219,15 +240,14 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     documents of other classes, until each outsider has led. One minus the
     probability Jaccard similarity is a metric, so a pair is safely left out
     if its distances to the bucket's smallest id differ by more than a link
-    allows; others are left out only if their registers agree ``SLACK``
+    allows; others are left out only if their sketches agree ``SLACK``
     standard deviations too rarely for a link. So no two classes of a bucket
     stay apart without the comparisons that could join them.
     """
     spark = docs.sparkSession
     table = cut_lineage(signed(docs, key, text), "near-signed")
-    texts_of = table.filter("id is not null").groupBy("copy_of").agg(F.min("id").alias("rep"), F.min(F.struct("bands", "registers")).alias("s"))
-    reps = cut_lineage(texts_of.select("copy_of", "rep", "s.bands", "s.registers"), "near-reps")
-    registers = reps.select(F.col("rep").alias("id"), "registers").dropDuplicates(["id"])
+    texts_of = table.filter("id is not null").groupBy("copy_of").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
+    reps = cut_lineage(texts_of, "near-reps")
     rows = cut_lineage(reps.filter(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")), "near-bands")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
     held = cut_lineage(rows.join(sizes, "bucket"), "near-buckets")
@@ -242,6 +262,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     # with the distance to the bucket's smallest id
     held = (held.filter("n > 2").join(first.select(F.col("a").alias("leader"), F.col("b").alias("id"), "similarity"), ["leader", "id"], "left")
             .select("bucket", "id", (1.0 - F.coalesce("similarity", F.lit(1.0))).alias("far")))
+    sketches = None
     while True:
         now = held.join(classes, "id", "left").select("bucket", "id", "far", F.coalesce("class", "id").alias("class"))
         now = cut_lineage(now, "near-now")
@@ -258,8 +279,10 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
         lead = cut_lineage(out.select("bucket", "id", "far", "class"), "near-lead")
         if lead.isEmpty():
             break
+        if sketches is None:  # later rounds have no other documents
+            sketches = cut_lineage(sketched(texts.join(open_rows.select("id").distinct(), "id")).distinct(), "near-sketches")
         led = led.unionByName(lead.select("bucket", "id"))
-        fresh = led_pairs(open_rows.select("bucket", "id", "far", "class"), lead, registers, similarity).join(tested, ["a", "b"], "left_anti")
+        fresh = led_pairs(open_rows.select("bucket", "id", "far", "class"), lead, sketches, similarity).join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(fresh, "near-pairs")
         tested = tested.unionByName(pairs)
         more = cut_lineage(verify(pairs, texts).filter(F.col("similarity") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
