@@ -26,6 +26,8 @@ BUCKETS = 1 << 16
 THRESHOLD = -0.1
 #: Pseudo-count of a bucket in the raw corpus; the target gets its proportion, so an unseen n-gram scores 0.
 SMOOTHING = 20.0
+#: Share of the raw n-grams below which the target's pseudo-count falls no further: what a small trusted sample misses by chance scores near 0.
+SMOOTHED_SHARE = 1 / 3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Trusted ids are broadcast up to this many rows, and joined by a shuffle beyond.
@@ -75,7 +77,9 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
     """Smoothed log(target share / raw share) of every bucket (collects at most ``buckets`` rows).
 
     The pseudo-counts follow the raw multinomial's size and the target's in
-    the same proportion. Zeros without a target.
+    the same proportion. A target under ``SMOOTHED_SHARE`` of the raw n-grams
+    keeps the pseudo-count it has at that share, so few labels give ratios
+    nearer to 0, not lower ones. Zeros without a target.
     """
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts.collect():
@@ -83,6 +87,7 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMO
     if not target.sum():
         return np.zeros(buckets)
     part = target.sum() / raw.sum()
+    smoothing *= max(1.0, SMOOTHED_SHARE / part)
     return np.log((target + smoothing * part) / part) - np.log(raw + smoothing)
 
 

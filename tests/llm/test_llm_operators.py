@@ -172,6 +172,19 @@ def test_quality(spark, docs, messy):
     assert quality.score_quality(messy.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("percent, lost, caught", [(50, 0.01, 0.95), (10, 0.05, 0.8), (5, 0.05, 0.6)])
+def test_quality_verdict_holds_at_smaller_label_shares(spark, percent, lost, caught):
+    """Good documents whose labels are held out are kept when few labels are given, and junk is still found."""
+    large = SF.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{large}/labels.parquet")
+    given = labels.filter(F.col("quality") == 1).filter(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < percent)
+    out = quality.score_quality(spark.read.parquet(f"{large}/documents.parquet"), given, keep=["doc_id"])
+    rows = out.select("doc.doc_id", "quality.kept", "quality.base_failed").filter("not base_failed").join(labels, "doc_id")
+    rows = rows.join(given.select("doc_id"), "doc_id", "left_anti")
+    rejected = {r["quality"]: r["share"] for r in rows.groupBy("quality").agg(F.avg((~F.col("kept")).cast("double")).alias("share")).collect()}
+    assert rejected[1] <= lost and rejected[0] >= caught
+
+
 def test_sharding(spark, messy):
     rows = messy.select(F.col("doc_id").alias("key"), F.col("source").alias("stratum"))
     out = sharding.stratified_shards(rows, 4).collect()
