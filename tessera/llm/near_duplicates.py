@@ -27,6 +27,8 @@ from tessera.session import cut_lineage, ship_package
 # Production parameters.
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Room for rounding: a similarity is a sum of quotients, so one that equals the threshold may come out a little below it.
+ROUNDING = 1e-9
 BANDS = 40
 BAND_ROWS = 8
 #: Leaders that a bucket sends in a round after the first, from outside its largest class, and rows compared with them in one group.
@@ -195,7 +197,7 @@ def led_pairs(rows: DataFrame, lead: DataFrame, sketches: DataFrame, similarity:
     whose distances to the bucket's smallest id differ by more than a link
     allows, and pairs whose sketches agree far too rarely.
     """
-    reach = 1.0 - similarity + 1e-9
+    reach = 1.0 - similarity + ROUNDING
 
     agree = similarity + (1.0 - similarity) / 16  # unequal registers share their 4 bits by chance
 
@@ -257,7 +259,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     pairs = cut_lineage(held.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
     tested, led = pairs, held.select("bucket", F.col("leader").alias("id")).distinct()
     first = cut_lineage(verify(pairs, texts).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "near-first")
-    links = first.filter(F.col("similarity") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = first.filter(F.col("similarity") >= similarity - ROUNDING).select(F.col("a").alias("u"), F.col("b").alias("v"))
     classes = cut_lineage(connected_components(links), "near-classes")
     # with the distance to the bucket's smallest id
     held = (held.filter("n > 2").join(first.select(F.col("a").alias("leader"), F.col("b").alias("id"), "similarity"), ["leader", "id"], "left")
@@ -285,7 +287,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
         fresh = led_pairs(open_rows.select("bucket", "id", "far", "class"), lead, sketches, similarity).join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(fresh, "near-pairs")
         tested = tested.unionByName(pairs)
-        more = cut_lineage(verify(pairs, texts).filter(F.col("similarity") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+        more = cut_lineage(verify(pairs, texts).filter(F.col("similarity") >= similarity - ROUNDING).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             classes = cut_lineage(connected_components(links), "near-classes")

@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import sys
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -238,6 +239,22 @@ def test_near_duplicate_chains_and_groups(spark):
     assert dict(map(tuple, near_duplicates.near_duplicate_classes(table, leaders=4).collect())) == want
 
 
+def test_pairs_exactly_at_the_threshold_are_linked(spark):
+    """Pairs that share 8 of 10, 12 of 15, 56 of 70 shingles (linked) and 7 of 9 (not), judged by exact fractions."""
+    rows = []
+    for shared, left, right in [(8, 1, 1), (12, 1, 2), (12, 2, 1), (56, 7, 7), (7, 1, 1)] * 4:
+        word = [f"p{len(rows)}w{k}" for k in range(shared + 4)]
+        for n, side in ((left, "l"), (right, "r")):
+            rows.append((len(rows), " ".join([*word, *[f"{side}{len(rows)}x{k}" for k in range(n)]])))
+    want = {}
+    for (a, x), (b, y) in zip(rows[::2], rows[1::2]):
+        one, two = set(brute.shingle_weights(x)), set(brute.shingle_weights(y))
+        want |= {a: a, b: a if Fraction(len(one & two), len(one | two)) >= Fraction(8, 10) else b}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(a != c for a, c in want.items()) == 16
+    assert dict(map(tuple, near_duplicates.near_duplicate_classes(table).collect())) == want
+
+
 def test_pair_similarity_is_probability_jaccard():
     texts = [LINE, LINE + " " + LINE, "a b", "", "one two three four five six one two three four five six", "one two three four five six"]
     for a in texts:
