@@ -1,26 +1,26 @@
 """Registered queries of the model family (M1, M3-M7, M9-M11, G1-G6) on the survey table.
 
-Each is a full cell: prepare -> balance the training rows -> grid search
-with 3 stratified folds (F1 of class 1) -> refit -> score the test rows ->
-result record. SQL cannot express these fits, so they carry no oracle;
-tests check them on separable fixtures instead.
+Each runs cells of the reference's phases with the grids, folds and
+iterations of ``experiments``: prepare -> balance the training rows -> grid
+search with stratified folds (F1 of class 1) -> refit -> score the test rows
+-> result record, ranked. SQL cannot express these fits, so they carry no
+oracle; tests check them on separable fixtures instead.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import balance as B
 from ..operators import models as ML
 from ..operators.metrics import band_counts
-from ..operators.naive_bayes import GaussianNB
 from ..operators.sampling import undersample
 from ..sources.adapter import SURVEY_ROLES
 from ..session import cut_lineage
 from .common import rounded, survey_prepared
-from .tune import Cell, grid_search, run_cell, run_matrix
+from .experiments import PHASE1_BALANCERS, run_phase
+from .tune import grid_search
 
 
 def survey_arrays(spark: SparkSession, sf_dir: str):
@@ -45,74 +45,65 @@ BALANCERS = {
 }
 
 
-def _cell(spark, sf_dir, balancer: str, classifier: str, factory, grid: dict) -> DataFrame:
+def _phase(spark, sf_dir, phase: int, cells: list[str] | None = None) -> DataFrame:
+    """Leaderboard of a phase's cells (all, or those named) with the reference's grids, folds and iterations."""
     train, test = survey_arrays(spark, sf_dir)
-    balanced = cut_lineage(BALANCERS[balancer](train), "balanced")
-    rec, _ = run_cell(Cell(balancer, classifier, factory, grid), balanced, test)
-    return rounded(rec)
+    return rounded(run_phase(train, test, phase, cells=cells))
 
 
 def q_logistic_regression_cell(spark, sf_dir):
-    """M1 + G2: RUS, logistic regression, grid C x penalty."""
-    return _cell(spark, sf_dir, "B1_RUS", "C1_LogisticRegression", lambda: ML.SkLogisticRegression(maxIter=100),
-                 {"C": [0.1, 1.0], "penalty": ["l2", "l1"]})
+    """M1 + G2: phase-1 cell of RUS and logistic regression, 4 values of C, 1,000 iterations."""
+    return _phase(spark, sf_dir, 1, ["B1_RUS + C1_LogisticRegression"])
 
 
 def q_knn_cell(spark, sf_dir):
-    """M2 + G2: RUS, k nearest neighbours, grid k x weights."""
-    return _cell(spark, sf_dir, "B1_RUS", "C2_KNN", lambda: ML.KNNClassifier(),
-                 {"k": [5, 11], "weights": ["uniform", "distance"]})
+    """M2 + G2: phase-1 cell of RUS and k nearest neighbours, 4 k x 2 weights."""
+    return _phase(spark, sf_dir, 1, ["B1_RUS + C2_KNN"])
 
 
 def q_decision_tree_cell(spark, sf_dir):
-    """M3 + G2: RUS, decision tree, grid depth x criterion."""
-    return _cell(spark, sf_dir, "B1_RUS", "C3_DecisionTree", lambda: ML.SkDecisionTree(),
-                 {"maxDepth": [5, None], "criterion": ["gini", "entropy"]})
+    """M3 + G2: phase-1 cell of RUS and a decision tree, 4 depths x 2 criteria."""
+    return _phase(spark, sf_dir, 1, ["B1_RUS + C3_DecisionTree"])
 
 
 def q_random_forest_cell(spark, sf_dir):
-    """M4: RUS, random forest (20 trees, depth 10, sqrt features)."""
-    return _cell(spark, sf_dir, "B1_RUS", "C4_RandomForest",
-                 lambda: ML.SkRandomForest(nEstimators=20, maxDepth=10), {})
+    """M4 + G2: phase-1 cell of RUS and a random forest, 100 and 200 trees x 2 depths."""
+    return _phase(spark, sf_dir, 1, ["B1_RUS + C4_RandomForest"])
 
 
 def q_gradient_boosting_cell(spark, sf_dir):
-    """M5 + G2: RUS, gradient boosting, grid learning rate."""
-    return _cell(spark, sf_dir, "B1_RUS", "C5_GradientBoosting",
-                 lambda: ML.SkGradientBoosting(nEstimators=20, maxDepth=3), {"learningRate": [0.05, 0.1]})
+    """M5 + G2: phase-1 cell of RUS and gradient boosting, 100 and 200 rounds x 2 depths x 2 learning rates."""
+    return _phase(spark, sf_dir, 1, ["B1_RUS + C5_GradientBoosting"])
 
 
 def q_linear_svm_cell(spark, sf_dir):
-    """M6 + M7: RUS, linear SVM with 3-fold sigmoid calibration."""
-    return _cell(spark, sf_dir, "B1_RUS", "C6_SVM", lambda: ML.CalibratedLinearSVC(C=1.0, maxIter=100), {})
+    """M6 + M7 + G2: phase-1 cell of RUS and a linear SVM with 3-fold sigmoid calibration, 4 values of C."""
+    return _phase(spark, sf_dir, 1, ["B1_RUS + C6_SVM"])
 
 
 def q_naive_bayes_grid_cell(spark, sf_dir):
-    """M8 + G2: RUS, Gaussian NB, grid over var_smoothing."""
-    return _cell(spark, sf_dir, "B1_RUS", "C7_NaiveBayes", lambda: GaussianNB(),
-                 {"varSmoothing": [1e-9, 1e-6]})
+    """M8 + G2: phase-1 cell of RUS and Gaussian NB, 4 values of var_smoothing."""
+    return _phase(spark, sf_dir, 1, ["B1_RUS + C7_NaiveBayes"])
 
 
 def q_boosted_colsample_cell(spark, sf_dir):
-    """M9: RUS, boosted trees with row and feature sampling."""
-    return _cell(spark, sf_dir, "B1_RUS", "C8_XGBoost",
-                 lambda: ML.SkGradientBoosting(nEstimators=20, maxDepth=3, subsample=0.8, colsample=0.8), {})
+    """M9 + G2: phase-2 cell of RUS and boosted trees, 3 rounds x 4 depths x 3 learning rates x row and feature sampling."""
+    return _phase(spark, sf_dir, 2, ["B1_RUS + C8_XGBoost"])
 
 
 def q_extra_trees_cell(spark, sf_dir):
-    """M10 (approximate): partial RUS, 4 groups of 5 unbootstrapped trees on random cut points."""
-    return _cell(spark, sf_dir, "RUS_partial", "ExtraTrees",
-                 lambda: ML.RandomCutForest(nEstimators=20, maxDepth=15, groups=4), {})
+    """M10 (approximate) + G2: phase-3 cell of partial RUS and extra trees, 200 and 500 trees x 3 depths x 2 feature counts, 5 folds."""
+    return _phase(spark, sf_dir, 3, ["RUS_partial + ExtraTrees"])
 
 
 def q_mlp_cell(spark, sf_dir):
-    """RUS, multilayer perceptron (one hidden layer of 16)."""
-    return _cell(spark, sf_dir, "B1_RUS", "C9_MLP", lambda: ML.SkMLP(hidden=(16,), maxIter=100), {})
+    """M11 + G2: phase-1 cell of RUS and a multilayer perceptron, hidden layers of 100 and 50, 500 iterations."""
+    return _phase(spark, sf_dir, 1, ["B1_RUS + C9_MLP"])
 
 
 def q_smote_logistic_cell(spark, sf_dir):
-    """B3 on the survey table + M1: SMOTE-balanced training rows, logistic regression."""
-    return _cell(spark, sf_dir, "B2_SMOTE", "C1_LogisticRegression", lambda: ML.SkLogisticRegression(maxIter=100), {})
+    """B3 on the survey table + M1 + G2: phase-1 cell of SMOTE and logistic regression."""
+    return _phase(spark, sf_dir, 1, ["B2_SMOTE + C1_LogisticRegression"])
 
 
 def q_grid_search_scores(spark, sf_dir):
@@ -125,32 +116,25 @@ def q_grid_search_scores(spark, sf_dir):
 
 
 def q_experiment_matrix(spark, sf_dir):
-    """2 balancers x 3 classifiers, balanced tables shared, ranked by avg TPR."""
-    train, test = survey_arrays(spark, sf_dir)
-    cells = [Cell(b, c, f, g) for b in ("B1_RUS", "B2_SMOTE") for c, f, g in (
-        ("C1_LogisticRegression", lambda: ML.SkLogisticRegression(maxIter=100), {"C": [0.1, 1.0]}),
-        ("C3_DecisionTree", lambda: ML.SkDecisionTree(maxDepth=5), {}),
-        ("C7_NaiveBayes", lambda: GaussianNB(), {}))]
-    return rounded(run_matrix(train, test, BALANCERS, cells))
+    """All 36 cells of phase 1 (4 balancers x 9 classifiers), balanced tables shared, ranked by avg TPR."""
+    return _phase(spark, sf_dir, 1)
+
+
+def q_phase2_matrix(spark, sf_dir):
+    """All 36 cells of phase 2 (4 balancers x 9 classifiers), ranked by avg TPR."""
+    return _phase(spark, sf_dir, 2)
 
 
 def q_phase3_band_counts(spark, sf_dir):
-    """E7 decorated + E12: undersampling seeds x boosting, decorated bands, cells per band."""
+    """G6, E7 decorated + E12: all 21 cells of phase 3 (5 folds), decorated bands, cells per band."""
     train, test = survey_arrays(spark, sf_dir)
-    bal = {f"RUS_seed{s}": (lambda d, s=s: undersample(d, "label", "id", seed=s)) for s in (42, 123, 7, 99)}
-    cells = [Cell(b, "GradientBoosting", lambda: ML.SkGradientBoosting(nEstimators=10, maxDepth=3), {})
-             for b in bal]
-    board = run_matrix(train, test, bal, cells, decorate=True)
-    return band_counts(board)
+    return band_counts(run_phase(train, test, 3))
 
 
 def q_phase1_naive_bayes_matrix(spark, sf_dir):
     """The reference's phase-1 cells for naive Bayes - RUS, SMOTE, ADASYN, SMOTE+Tomek (fallback
     SMOTE) x the phase-1 var_smoothing grid, 3 folds - ranked by avg TPR."""
-    from .experiments import PHASE1_BALANCERS, run_phase
-    train, test = survey_arrays(spark, sf_dir)
-    board = run_phase(train, test, 1, cells=[f"{b} + C7_NaiveBayes" for b in PHASE1_BALANCERS])
-    return rounded(board)
+    return _phase(spark, sf_dir, 1, [f"{b} + C7_NaiveBayes" for b in PHASE1_BALANCERS])
 
 
 QUERIES = {
@@ -167,6 +151,7 @@ QUERIES = {
     "smote_logistic_cell": q_smote_logistic_cell,
     "grid_search_scores": q_grid_search_scores,
     "experiment_matrix": q_experiment_matrix,
+    "phase2_matrix": q_phase2_matrix,
     "phase3_band_counts": q_phase3_band_counts,
     "phase1_naive_bayes_matrix": q_phase1_naive_bayes_matrix,
 }

@@ -2,8 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tessera.plans import experiments as X
+from tessera.plans import queries_models
+from tessera.plans.tune import expand_grid
 
 
 def test_phase_cell_counts():
@@ -33,3 +36,37 @@ def test_run_two_cells_of_phase1(spark):
     board = X.run_phase(df.filter("id % 4 <> 0"), df.filter("id % 4 = 0"), 1,
                         cells=["B1_RUS + C7_NaiveBayes", "B2_SMOTE + C7_NaiveBayes"]).collect()
     assert sorted(r.model for r in board) == ["B1_RUS + C7_NaiveBayes", "B2_SMOTE + C7_NaiveBayes"]
+
+
+CELLS = {
+    "logistic_regression_cell": (1, ["B1_RUS + C1_LogisticRegression"]), "knn_cell": (1, ["B1_RUS + C2_KNN"]),
+    "decision_tree_cell": (1, ["B1_RUS + C3_DecisionTree"]), "random_forest_cell": (1, ["B1_RUS + C4_RandomForest"]),
+    "gradient_boosting_cell": (1, ["B1_RUS + C5_GradientBoosting"]), "linear_svm_cell": (1, ["B1_RUS + C6_SVM"]),
+    "naive_bayes_grid_cell": (1, ["B1_RUS + C7_NaiveBayes"]), "boosted_colsample_cell": (2, ["B1_RUS + C8_XGBoost"]),
+    "extra_trees_cell": (3, ["RUS_partial + ExtraTrees"]), "mlp_cell": (1, ["B1_RUS + C9_MLP"]),
+    "smote_logistic_cell": (1, ["B2_SMOTE + C1_LogisticRegression"]), "experiment_matrix": (1, None),
+    "phase2_matrix": (2, None), "phase3_band_counts": (3, None),
+}
+
+
+@pytest.mark.parametrize("name", CELLS)
+def test_queries_run_the_reference_grids(monkeypatch, name):
+    """Every cell that a query hands to the matrix has the reference's grid, folds and iterations."""
+    class Handed(Exception):
+        pass
+
+    def take(train, test, balancers, cells, folds=3, **options):
+        raise Handed(cells, folds)
+
+    monkeypatch.setattr(X, "run_matrix", take)
+    monkeypatch.setattr(queries_models, "survey_arrays", lambda spark, sf_dir: (None, None))
+    with pytest.raises(Handed) as caught:
+        queries_models.QUERIES[name](None, None)
+    cells, folds = caught.value.args
+    phase, wanted = CELLS[name]
+    spec = {f"{b} + {c}": (X.translate(c, g), it) for b, c, g, it in X.phase_cells(phase)}
+    assert [c.name for c in cells] == (wanted or list(spec)) and folds == (5 if phase == 3 else 3)
+    for c in cells:
+        grid, iterations = spec[c.name]
+        assert c.grid == grid and len(expand_grid(grid)) > 1
+        assert iterations is None or c.estimator().getOrDefault("maxIter") == iterations
