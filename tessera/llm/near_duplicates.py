@@ -199,8 +199,6 @@ def led_pairs(rows: DataFrame, lead: DataFrame, sketches: DataFrame, similarity:
     """
     reach = 1.0 - similarity + ROUNDING
 
-    agree = similarity + (1.0 - similarity) / 16  # unequal registers share their 4 bits by chance
-
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         number = lambda t, c: t.column(c).to_numpy()
         signs = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1)
@@ -208,7 +206,8 @@ def led_pairs(rows: DataFrame, lead: DataFrame, sketches: DataFrame, similarity:
         if left.num_rows and right.num_rows:
             ids, far, kind, own = number(left, "id"), number(left, "far"), number(left, "class"), signs(left, "sketch")
             width = 2 * own.shape[1]
-            floor = width * agree - SLACK * np.sqrt(width * agree * (1.0 - agree))
+            # unequal registers may share their 4 bits by chance, but a pair of few shingles need not have any that do
+            floor = width * similarity - SLACK * np.sqrt(width * similarity * (1.0 - similarity))
             for a, far_a, kind_a, sign in zip(number(right, "lead_id"), number(right, "lead_far"), number(right, "lead_class"),
                                                signs(right, "lead_sketch")):
                 some = np.flatnonzero((kind != kind_a) & (np.abs(far - far_a) <= reach))

@@ -255,6 +255,19 @@ def test_pairs_exactly_at_the_threshold_are_linked(spark):
     assert dict(map(tuple, near_duplicates.near_duplicate_classes(table).collect())) == want
 
 
+def test_sketches_do_not_drop_linked_pairs_of_few_shingles(spark):
+    """Pairs of 4 shared shingles of 5, among them some whose unequal registers never share their 4 bits by chance."""
+    rows = []
+    for k in [*range(450, 460), 823, 985, 1328, 1422, 1427]:
+        words = [f"t{k}w{i}" for i in range(8)]
+        rows += [(2 * k, k, " ".join([*words, f"l{k}x0"])), (2 * k + 1, k, " ".join(words))]
+    table = spark.createDataFrame(rows, "id long, bucket long, text string")
+    sketches = near_duplicates.sketched(table.select("id", F.col("text").cast("binary").alias("body")))
+    open_rows = table.select("bucket", "id", F.lit(0.0).alias("far"), F.col("id").alias("class"))
+    found = near_duplicates.led_pairs(open_rows, open_rows.filter("id % 2 = 0"), sketches, near_duplicates.SIMILARITY).collect()
+    assert sorted(map(tuple, found)) == [(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2])]
+
+
 def test_pair_similarity_is_probability_jaccard():
     texts = [LINE, LINE + " " + LINE, "a b", "", "one two three four five six one two three four five six", "one two three four five six"]
     for a in texts:
