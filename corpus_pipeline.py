@@ -24,10 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class; documents without an id are all kept."""
-    classes = near_duplicates.near_duplicate_classes(docs)
-    first = classes.filter("id = class_id").select(F.col("id").alias("doc_id")).distinct()
-    stay = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each near-duplicate class (of several texts with that id, the first by digest);
+    documents without an id are all kept."""
+    classes = near_duplicates.classed(docs)
+    first = classes.filter("id = class_id").groupBy("class", F.col("id").alias("doc_id")).agg(F.min("copy_of").alias("_copy_of"))
+    marked = docs.withColumn("_copy_of", near_duplicates.digest("text"))
+    stay = marked.join(first, ["doc_id", "_copy_of"], "left_semi").dropDuplicates(["doc_id", "_copy_of"]).drop("_copy_of")
     return stay.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 

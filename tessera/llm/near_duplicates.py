@@ -16,12 +16,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import arrowtext as A
 from tessera.llm.components import connected_components
-from tessera.llm.tables import body
+from tessera.llm.tables import body, lookup_join
 from tessera.session import cut_lineage, ship_package
 
 # Production parameters.
@@ -141,6 +141,11 @@ def pair_similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return np.bincount(of, x[shared] / (above + ratio[shared] * below), len(left))
 
 
+def digest(text: str) -> Column:
+    """A key of the text itself; null is an empty text."""
+    return F.unhex(F.md5(body(text)))
+
+
 def signed(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """(id, copy_of, bands): a digest of the text and its band codes (none without words)."""
     ship_package(docs.sparkSession)
@@ -157,7 +162,7 @@ def signed(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int =
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy_of"), lists], ["id", "copy_of", "bands"])
 
     raw = body(text)
-    src = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(raw)).alias("copy_of"), raw.alias("body"))
+    src = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("copy_of"), raw.alias("body"))
     return src.mapInArrow(sign, "id long, copy_of binary, bands array<bigint>")
 
 
@@ -226,14 +231,47 @@ def led_pairs(rows: DataFrame, lead: DataFrame, sketches: DataFrame, similarity:
     return groups.applyInArrow(compare, "a long, b long").distinct()
 
 
+def numbered(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``reps`` (copy_of, rep, ...) with ``node``, a number of its own for each text, and the (copy_of, node) that are not ``rep``.
+
+    A text's number is its smallest id ``rep``. Of several texts with the same
+    one, the first by digest has it; the others draw numbers until they are
+    free.
+    """
+    shared = cut_lineage(reps.groupBy("rep").count().filter("count > 1").select("rep"), "near-shared")
+    if shared.isEmpty():
+        return reps.withColumn("node", F.col("rep")), None
+    clash = cut_lineage(reps.select("copy_of", "rep").join(shared, "rep"), "near-clash")
+    left = clash.join(clash.groupBy("rep").agg(F.min("copy_of").alias("first")), "rep").filter("copy_of <> first").select("copy_of")
+    done, taken, turn = None, reps.select(F.col("rep").alias("node")), 0
+    while True:
+        drawn = cut_lineage(left.select("copy_of", F.xxhash64("copy_of", F.lit(turn)).alias("node")), "near-drawn")
+        once = drawn.groupBy("node").count().filter("count = 1").select("node")
+        fresh = cut_lineage(drawn.join(once, "node").join(taken, "node", "left_anti").select("copy_of", "node"), "near-numbers")
+        done = fresh if done is None else done.unionByName(fresh)
+        left = cut_lineage(drawn.join(fresh.select("copy_of"), "copy_of", "left_anti").select("copy_of"), "near-left")
+        if left.isEmpty():
+            break
+        taken, turn = taken.unionByName(fresh.select("node")), turn + 1
+    return lookup_join(reps, done.withColumnRenamed("copy_of", "_of"), F.col("copy_of") == F.col("_of"), "left").withColumn(
+        "node", F.coalesce("node", "rep")).drop("_of"), done
+
+
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                            leaders: int = LEADERS) -> DataFrame:
-    """(id, class_id): the smallest id among all documents linked to a document, directly or through others.
+    """(id, class_id) of ``classed``."""
+    return classed(docs, key, text, similarity, leaders).select("id", "class_id")
+
+
+def classed(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+    """(id, copy_of, class, class_id): class_id is the smallest id among all documents linked to a document, directly or
+    through others; copy_of is its text's digest, and class a number that no two classes share.
 
     Documents are linked by equal texts, or by a verified similarity found in
     a shared bucket. Null is an empty text; texts without words are linked to
     equal texts only. ``key`` is an integer; rows with a null key get a null
-    class, and rows of a repeated key are each classed by their own text.
+    class, and rows of a repeated key are each classed by their own text, so
+    that two classes may have the same class_id.
 
     Round one compares every bucket's smallest id with the others of the
     bucket. Buckets that still hold several classes then send leaders from
@@ -248,13 +286,13 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     table = cut_lineage(signed(docs, key, text), "near-signed")
     texts_of = table.filter("id is not null").groupBy("copy_of").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
-    reps = cut_lineage(texts_of, "near-reps")
-    rows = cut_lineage(reps.filter(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")), "near-bands")
+    reps, extra = numbered(cut_lineage(texts_of, "near-reps"))
+    rows = cut_lineage(reps.filter(F.size("bands") > 0).select(F.explode("bands").alias("bucket"), F.col("node").alias("id")), "near-bands")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
     held = cut_lineage(rows.join(sizes, "bucket"), "near-buckets")
-    wanted = held.select("id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), body(text).alias("body"))
-    texts = cut_lineage(texts.join(wanted, "id"), "near-texts")
+    wanted = reps.select("node", "rep", "copy_of").join(held.select(F.col("id").alias("node")).distinct(), "node")
+    texts = docs.select(F.col(key).cast("long").alias("rep"), digest(text).alias("copy_of"), body(text).alias("body"))
+    texts = cut_lineage(texts.join(wanted, ["rep", "copy_of"]).select(F.col("node").alias("id"), "body"), "near-texts")
     pairs = cut_lineage(held.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
     tested, led = pairs, held.select("bucket", F.col("leader").alias("id")).distinct()
     first = cut_lineage(verify(pairs, texts).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "near-first")
@@ -291,6 +329,15 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
             links = links.unionByName(more)
             classes = cut_lineage(connected_components(links), "near-classes")
         held = open_rows.select("bucket", "id", "far")
-    known = reps.join(classes, reps.rep == classes.id, "left").select("copy_of", F.coalesce("class", "rep").alias("class_id"))
-    return table.select("id", "copy_of").join(known, "copy_of", "left").select(
-        "id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+    known = reps.join(classes, reps.node == classes.id, "left").select("copy_of", "rep", F.coalesce("class", "node").alias("class"))
+    if extra is None:
+        known = known.select("copy_of", "class", F.col("class").alias("class_id"))
+    else:  # a class that holds a drawn number is not named by its smallest one
+        known = cut_lineage(known, "near-known")
+        named = cut_lineage(known.join(extra.select("copy_of"), "copy_of", "left_semi").select("class").distinct(), "near-named")
+        least = lookup_join(known, named.withColumnRenamed("class", "_class"), F.col("class") == F.col("_class"), "left_semi")
+        least = cut_lineage(least.groupBy(F.col("class").alias("_class")).agg(F.min("rep").alias("least")), "near-least")
+        known = lookup_join(known, least, F.col("class") == F.col("_class"), "left").select(
+            "copy_of", "class", F.coalesce("least", "class").alias("class_id"))
+    own = lambda c: F.when(F.col("id").isNotNull(), F.col(c)).alias(c)
+    return table.select("id", "copy_of").join(known, "copy_of", "left").select("id", "copy_of", own("class"), own("class_id"))

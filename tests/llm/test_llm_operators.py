@@ -3,6 +3,7 @@ empty tables and extra columns."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sys
 from collections import Counter
@@ -268,6 +269,21 @@ def test_sketches_do_not_drop_linked_pairs_of_few_shingles(spark):
     assert sorted(map(tuple, found)) == [(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2])]
 
 
+def test_texts_of_a_repeated_id_are_classed_apart(spark):
+    """Each text of an id is in its own class, and the stage keeps one document of each class."""
+    text = lambda name, n=120: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(5, text("a"), 5), (5, text("b"), 3), (7, text("a", 118), 5), (3, text("b", 119), 3), (9, text("c"), 9), (9, text("c"), 9),
+            (20, text("d"), 20), (20, text("e"), 20), (30, text("f"), 30), (30, text("g"), 29), (29, text("g"), 29), (31, text("f", 118), 30),
+            (40, text("h"), 40), (40, text("h", 119), 40), (40, text("i"), 40), (41, text("i", 119), 40)]
+    table = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    out = near_duplicates.classed(table).collect()
+    digests = {hashlib.md5(t.encode()).digest(): t for _, t, _ in rows}
+    assert Counter((r.id, digests[bytes(r.copy_of)], r.class_id) for r in out) == Counter(rows)
+    assert Counter(r.class_id for r in near_duplicates.near_duplicate_classes(table).collect()) == Counter(c for *_, c in rows)
+    kept = Counter((d, t.split()[0][0]) for d, t in pairs_of(corpus_pipeline.near_dedup(spark, table, SF)))
+    assert kept == Counter([(5, "a"), (3, "b"), (9, "c"), (20, "d"), (20, "e"), (30, "f"), (29, "g"), (40, "h"), (40, "i")])
+
+
 def test_pair_similarity_is_probability_jaccard():
     texts = [LINE, LINE + " " + LINE, "a b", "", "one two three four five six one two three four five six", "one two three four five six"]
     for a in texts:
