@@ -34,7 +34,7 @@ BAND_ROWS = 8
 #: Leaders that a bucket sends in a round after the first, from outside its largest class, and rows compared with them in one group.
 LEADERS = 256
 CHUNK_ROWS = 1024
-#: 4-bit registers of the longer sketch that documents of open buckets are compared by.
+#: 8-bit registers of the longer sketch that documents of open buckets are compared by.
 SKETCH = 2048
 #: Standard deviations below the threshold at which a pair's share of equal sketch registers still gets it verified.
 SLACK = 4.0
@@ -93,14 +93,9 @@ def band_codes(holder: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def nibbles(holder: np.ndarray) -> np.ndarray:
-    """4 bits of each register, two registers a byte."""
-    bits = (A.mix64(holder.ravel()) >> np.uint64(60)).astype(np.uint8).reshape(holder.shape)
-    return bits[:, ::2] << 4 | bits[:, 1::2]
-
-
-#: Equal halves of two bytes, by their exclusive or.
-_EQUAL_HALVES = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8)
+def sketch_bytes(holder: np.ndarray) -> np.ndarray:
+    """8 bits of each register."""
+    return (A.mix64(holder.ravel()) >> np.uint64(56)).astype(np.uint8).reshape(holder.shape)
 
 
 def _pieces(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -167,13 +162,13 @@ def signed(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int =
 
 
 def sketched(texts: DataFrame, registers: int = SKETCH) -> DataFrame:
-    """(id, sketch) of texts (id, body): 4 bits of each register of a longer signature."""
+    """(id, sketch) of texts (id, body): 8 bits of each register of a longer signature."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in A.slices(batches):
             bodies = A.bodies(part)
             owner, code, count = shingles(bodies)
-            packed = nibbles(signatures(owner, code, count.astype(np.float64), len(bodies), registers))
+            packed = sketch_bytes(signatures(owner, code, count.astype(np.float64), len(bodies), registers))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in packed], pa.binary())], ["id", "sketch"])
 
     return texts.select("id", "body").mapInArrow(sketch, "id long, sketch binary")
@@ -210,13 +205,13 @@ def led_pairs(rows: DataFrame, lead: DataFrame, sketches: DataFrame, similarity:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             ids, far, kind, own = number(left, "id"), number(left, "far"), number(left, "class"), signs(left, "sketch")
-            width = 2 * own.shape[1]
-            # unequal registers may share their 4 bits by chance, but a pair of few shingles need not have any that do
+            width = own.shape[1]
+            # unequal registers may share their 8 bits by chance, but a pair of few shingles need not have any that do
             floor = width * similarity - SLACK * np.sqrt(width * similarity * (1.0 - similarity))
             for a, far_a, kind_a, sign in zip(number(right, "lead_id"), number(right, "lead_far"), number(right, "lead_class"),
                                                signs(right, "lead_sketch")):
                 some = np.flatnonzero((kind != kind_a) & (np.abs(far - far_a) <= reach))
-                some = some[_EQUAL_HALVES[own[some] ^ sign].sum(axis=1, dtype=np.int64) >= floor]
+                some = some[(own[some] == sign).sum(axis=1, dtype=np.int64) >= floor]
                 found.append((np.minimum(ids[some], a), np.maximum(ids[some], a)))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *[x[0] for x in found]]), "b": np.concatenate([none, *[x[1] for x in found]])})
