@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 WINDOW = 1 << 20
@@ -28,6 +29,15 @@ def slices(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = SLICE_
             yield batch.slice(first, last - first)
 
 
+def string_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Like ``slices``, by the bytes of a string column, which stays in Arrow."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.binary_length(batch.column(column)).to_numpy().astype(np.int64)
+            for first, last in cuts(sizes, limit):
+                yield batch.slice(first, last - first)
+
+
 def cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges whose sizes add up to at most ``limit``, or of one row."""
     ends, first = np.cumsum(sizes), 0

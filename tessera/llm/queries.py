@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fm_index, mixing, near_duplicates, pii, quality, sharding, suffix_dedup, token_counts, token_shards
+from tessera.llm import (chat, fm_index, hidden_markov, importance, mixing, near_duplicates, pii, quality, sharding, spelling, suffix_dedup,
+                         token_counts, token_shards)
 from tessera.llm.tables import table
 
 # Production parameters: weights of the mix by source (others get 1) and the number of shards.
@@ -101,6 +102,24 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_trie_pair_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words of all documents, from pairs of trie nodes."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed by n-gram gains towards the benchmark's distribution; a quarter is drawn and ranked."""
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-frequency and hidden-Markov-model log probabilities of all documents."""
+    out = hidden_markov.score_texts(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fm_index_decontamination, op2_chat_formatting, op3_suffix_array_dedup, op4_poisson_mixing, op5_llr_quality, op6_stratified_interleaving,
-    op7_bootstrapped_pii, op8_probminhash, op9_training_order, op10_transducer_token_counts)}
+    op7_bootstrapped_pii, op8_probminhash, op9_training_order, op10_transducer_token_counts, op11_trie_pair_spelling,
+    op12_importance_resampling, op13_hidden_markov)}
