@@ -13,21 +13,22 @@ losses, Spark averages them):
 * n_estimators                -> numTrees / maxIter
 * max_features sqrt/log2/None -> featureSubsetStrategy sqrt/log2/all
 * extra-trees                 -> RandomCutForest (random cut points per group of trees)
-* learning_rate, subsample    -> stepSize, subsamplingRate
+* boosting                    -> ``boosting`` (all grid points and folds in the same passes)
 """
 
 from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
+                                       RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import Boosting, fit_together, search
 from .knn import knn_join
 from .naive_bayes import GaussianNB, HasScoreCol, as_array, as_vector
 from .sampling import stratified_folds
@@ -221,29 +222,66 @@ class RandomCutForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         return out.drop(*[f"_s{i}" for i in range(len(parts))])
 
 
-class SkGradientBoosting(_Wrapped):
-    """M5 (and M9 with colsample): n_estimators, max_depth, learning_rate, subsample, colsample."""
+class SkGradientBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
+    """M5: n_estimators, max_depth, learning_rate, subsample, min_samples_split. Grid searches fit all points and folds together."""
     nEstimators = _p("nEstimators", "boosting rounds", TypeConverters.toInt)
     maxDepth = _p("maxDepth", "depth", TypeConverters.identity)
     learningRate = _p("learningRate", "shrinkage", TypeConverters.toFloat)
     subsample = _p("subsample", "row share per round", TypeConverters.toFloat)
-    colsample = _p("colsample", "feature share per split (1.0 = all)", TypeConverters.toFloat)
+    colsample = _p("colsample", "feature share per tree (1.0 = all)", TypeConverters.toFloat)
+    minSamplesSplit = _p("minSamplesSplit", "rows of a node that may be split", TypeConverters.toInt)
+    _defaults = {"nEstimators": 100, "maxDepth": 3, "learningRate": 0.1, "subsample": 1.0, "colsample": 1.0, "minSamplesSplit": 2}
+    _fixed: dict = {}
 
     @keyword_only
-    def __init__(self, *, nEstimators=100, maxDepth=3, learningRate=0.1, subsample=1.0, colsample=1.0,
+    def __init__(self, *, nEstimators=100, maxDepth=3, learningRate=0.1, subsample=1.0, colsample=1.0, minSamplesSplit=2,
                  featuresCol="features", labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
         super().__init__()
-        self._setDefault(nEstimators=100, maxDepth=3, learningRate=0.1, subsample=1.0, colsample=1.0, seed=42)
+        self._setDefault(seed=42, **self._defaults)
         self._set(**self._input_kwargs)
 
-    def _spark_estimator(self, n):
-        cs = self.getOrDefault(self.colsample)
-        return GBTClassifier(maxIter=self.getOrDefault(self.nEstimators),
-                             maxDepth=depth(self.getOrDefault(self.maxDepth)),
-                             stepSize=self.getOrDefault(self.learningRate),
-                             subsamplingRate=self.getOrDefault(self.subsample),
-                             featureSubsetStrategy="all" if cs >= 1.0 else str(cs),
-                             seed=self.getOrDefault(self.seed), maxBins=64)
+    def _point(self, values: dict | None = None) -> Boosting:
+        v = {name: self.getOrDefault(name) for name in self._defaults} | (values or {})
+        return Boosting(int(v["nEstimators"]), depth(v["maxDepth"]), float(v["learningRate"]), float(v["subsample"]), float(v["colsample"]),
+                        min_split=int(v.get("minSamplesSplit", 2)), l1=float(v.get("regAlpha", 0)), l2=float(v.get("regLambda", 0)), **self._fixed)
+
+    def _rows(self, dataset: DataFrame, key: str | None, fold=None) -> DataFrame:
+        own = F.col(key) if key in dataset.columns else F.xxhash64(as_array(dataset, self.getFeaturesCol()))
+        return dataset.select(own.cast("long").alias("id"), as_array(dataset, self.getFeaturesCol()).alias("features"),
+                              F.col(self.getLabelCol()).alias("label"), (F.lit(0) if fold is None else F.col(fold)).alias("fold"))
+
+    def _fit(self, dataset):
+        models, _ = fit_together(self._rows(dataset, "id"), [self._point()], seed=self.getOrDefault(self.seed))
+        return self._copyValues(BoostedModel(models[0]))
+
+    def fit_grid(self, data: DataFrame, points: list[dict], folds: int, key: str, fold: str):
+        """(index of the best point, score of each point, model of the best on all rows), with the folds in column ``fold``."""
+        best, scores, model = search(self._rows(data, key, fold), [self._point(p) for p in points], folds, self.getOrDefault(self.seed))
+        return best, scores, self._copyValues(BoostedModel(model))
+
+
+class RegularisedBoosting(SkGradientBoosting):
+    """M9: second-order gains, L1 and L2 leaf penalties, columns drawn per tree, at least a Hessian of 1 in a leaf."""
+    regAlpha = _p("regAlpha", "L1 penalty of leaves", TypeConverters.toFloat)
+    regLambda = _p("regLambda", "L2 penalty of leaves", TypeConverters.toFloat)
+    _defaults = {"nEstimators": 100, "maxDepth": 6, "learningRate": 0.3, "subsample": 1.0, "colsample": 1.0, "regAlpha": 0.0, "regLambda": 1.0}
+    _fixed = {"split": "newton", "min_hessian": 1.0}
+
+    @keyword_only
+    def __init__(self, *, nEstimators=100, maxDepth=6, learningRate=0.3, subsample=1.0, colsample=1.0, regAlpha=0.0, regLambda=1.0,
+                 featuresCol="features", labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
+        own = dict(self._input_kwargs)
+        super().__init__()
+        self._set(**own)
+
+
+class BoostedModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
+    def __init__(self, ensemble=None):
+        super().__init__()
+        self.ensemble = ensemble
+
+    def _transform(self, dataset):
+        return self.ensemble.scored(dataset, as_array(dataset, self.getFeaturesCol()), self.getScoreCol(), self.getPredictionCol())
 
 
 class SkMLP(_Wrapped):
@@ -394,14 +432,3 @@ class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol
 def _by_q():
     from pyspark.sql import Window
     return Window.partitionBy("qid")
-
-
-def classifier(name: str, **params) -> Estimator:
-    """Factory by the reference's classifier codes."""
-    table = {
-        "C1_LogisticRegression": SkLogisticRegression, "C2_KNN": KNNClassifier, "C3_DecisionTree": SkDecisionTree,
-        "C4_RandomForest": SkRandomForest, "C5_GradientBoosting": SkGradientBoosting,
-        "C6_SVM": CalibratedLinearSVC, "C7_NaiveBayes": GaussianNB, "C8_XGBoost": SkGradientBoosting,
-        "C9_MLP": SkMLP, "ExtraTrees": RandomCutForest,
-    }
-    return table[name](**params)

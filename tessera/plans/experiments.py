@@ -3,7 +3,7 @@
 Each phase is a list of cells (balancer, classifier, grid). Grids are
 written with the reference's parameter names and translated to our
 estimators by ``translate``; parameters with no Spark counterpart
-(solver, min_samples_split, reg_alpha/reg_lambda, MLP alpha / activation /
+(solver, min_samples_split outside boosting, MLP alpha / activation /
 learning-rate schedule) are dropped and the grid is de-duplicated, so the
 number of fits can be smaller than the reference's static count
 (``static_grid_points`` gives that count).
@@ -112,9 +112,9 @@ PHASE3_PARTIAL = {
 
 FAMILY = {
     "C1_LogisticRegression": "lr", "C2_KNN": "knn", "C3_DecisionTree": "dt", "C4_RandomForest": "rf",
-    "C5_GradientBoosting": "gb", "C6_SVM": "svm", "C7_NaiveBayes": "nb", "C8_XGBoost": "gb", "C9_MLP": "mlp",
-    "GradientBoosting_deep": "gb", "RandomForest_deep": "rf", "XGBoost_deep": "gb", "DecisionTree_deep": "dt",
-    "ExtraTrees": "et", "GradientBoosting": "gb", "RandomForest": "rf", "XGBoost": "gb",
+    "C5_GradientBoosting": "gb", "C6_SVM": "svm", "C7_NaiveBayes": "nb", "C8_XGBoost": "xgb", "C9_MLP": "mlp",
+    "GradientBoosting_deep": "gb", "RandomForest_deep": "rf", "XGBoost_deep": "xgb", "DecisionTree_deep": "dt",
+    "ExtraTrees": "et", "GradientBoosting": "gb", "RandomForest": "rf", "XGBoost": "xgb",
 }
 RENAME = {
     "lr": {"C": "C", "penalty": "penalty"},
@@ -124,7 +124,9 @@ RENAME = {
            "max_features": "maxFeatures"},
     "et": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "max_features": "maxFeatures"},
     "gb": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "learning_rate": "learningRate",
-           "subsample": "subsample", "colsample_bytree": "colsample"},
+           "subsample": "subsample", "min_samples_split": "minSamplesSplit"},
+    "xgb": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "learning_rate": "learningRate", "subsample": "subsample",
+            "colsample_bytree": "colsample", "reg_alpha": "regAlpha", "reg_lambda": "regLambda"},
     "svm": {"estimator__C": "C"},
     "nb": {"var_smoothing": "varSmoothing"},
     "mlp": {"hidden_layer_sizes": "hidden"},
@@ -139,7 +141,7 @@ def estimator_factory(family: str, max_iter: int | None = None) -> Callable:
     if family == "mlp":
         return lambda: ML.SkMLP(maxIter=max_iter or 200)
     return {"knn": ML.KNNClassifier, "dt": ML.SkDecisionTree, "rf": ML.SkRandomForest, "et": ML.RandomCutForest,
-            "gb": ML.SkGradientBoosting, "nb": GaussianNB}[family]
+            "gb": ML.SkGradientBoosting, "xgb": ML.RegularisedBoosting, "nb": GaussianNB}[family]
 
 
 def translate(classifier: str, grid: dict) -> dict:

@@ -55,6 +55,11 @@ def grid_search(est: Estimator, grid: dict[str, list], train: DataFrame, folds:
         return SearchResult(est.fit(train), {})
     data = stratified_folds(train, label, key, k=folds, seed=seed, fold_col="fold")
     data = data.withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    if hasattr(est, "fit_grid"):  # fits all points and folds together
+        points = expand_grid(grid)
+        best_i, metrics, model = est.fit_grid(data, points, folds, key, "fold")
+        data.unpersist()
+        return SearchResult(model, points[best_i], list(zip(points, metrics)))
     maps = param_maps(est, grid)
     evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, labelCol=label,
                                                   predictionCol="prediction")

@@ -23,6 +23,8 @@ def test_translate_drops_unsupported_and_dedupes():
     g = X.translate("C3_DecisionTree", X.PHASE1_GRIDS["C3_DecisionTree"])
     assert g == {"maxDepth": [5, 10, 15, None], "criterion": ["gini", "entropy"]}
     assert X.translate("C9_MLP", X.PHASE1_GRIDS["C9_MLP"]) == {"hidden": [[100], [50]]}
+    assert X.translate("XGBoost_deep", X.PHASE3_DEEP["XGBoost_deep"]).keys() >= {"regAlpha", "regLambda", "colsample"}
+    assert X.translate("GradientBoosting_deep", X.PHASE3_DEEP["GradientBoosting_deep"])["minSamplesSplit"] == [2, 5, 10]
     assert X.translate("C1_LogisticRegression", X.PHASE1_GRIDS["C1_LogisticRegression"]) == {"C": [0.01, 0.1, 1, 10]}
 
 
