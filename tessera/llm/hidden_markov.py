@@ -43,8 +43,8 @@ ROUNDS = 4
 HELD_OUT = 10
 BLOCK_BYTES = 8 << 20
 #: Tokens that advance together, and tokens in a chunk.
-TOGETHER = 200_000
-CHUNK = 128
+TOGETHER = 250_000
+CHUNK = 256
 #: Added to the count of each word; an unknown word has this count.
 SMOOTHING = 0.1
 #: Share of a state's emissions that follows the whole corpus.
@@ -247,120 +247,135 @@ class Model:
                    np.vstack([emit, np.full((1, k), corpus.unknown)]))
 
 
+class _Aligned:
+    """Chunks side by side, the longest first: the tokens at place 0 of all of them, then those at place 1, and so on."""
+
+    def __init__(self, chunks: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.chunks = chunks[np.argsort(-size[chunks], kind="stable")]
+        own = size[self.chunks]
+        steps = int(own[0]) if len(own) else 0
+        self.live = np.searchsorted(-own, -np.arange(steps), "left")  # chunks longer than t
+        self.off = np.concatenate(([0], np.cumsum(self.live)))
+        place = np.repeat(np.arange(steps), self.live)
+        rank = np.arange(self.off[-1]) - self.off[place]
+        self.tokens = at[self.chunks][rank] + place
+        self.ends = self.off[own - 1] + np.arange(len(own)) if len(own) else own
+
+
 class Sequences:
-    """Class sequences of some texts, cut into chunks that advance together."""
+    """Class sequences of some texts, cut into chunks that advance together. Arrays hold a column for each token.
+
+    ``precise``: exact likelihoods. Otherwise emissions are scaled by token, for expected counts in single precision.
+    """
 
-    def __init__(self, model: Model, seq: np.ndarray, sizes: np.ndarray):
-        self.model, self.n, self.sizes = model, len(sizes), sizes
+    def __init__(self, model: Model, seq: np.ndarray, sizes: np.ndarray, precise: bool = True):
+        self.n, self.sizes, self.precise = len(sizes), sizes, precise
+        kind = np.float64 if precise else np.float32
+        emit = model.emit if precise else model.emit / np.maximum(model.emit.max(1, keepdims=True), 1e-300)
+        self.start, self.move, self.emit = model.start.astype(kind), model.move.astype(kind), emit.T.astype(kind)[:, seq]
         self.first = np.cumsum(sizes) - sizes
-        pieces = -(-sizes // CHUNK)
-        self.doc = np.repeat(np.arange(len(sizes)), pieces)
-        self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.pieces = -(-sizes // CHUNK)
+        self.head = np.cumsum(self.pieces) - self.pieces  # first chunk of each text
+        self.doc = np.repeat(np.arange(len(sizes)), self.pieces)
+        self.place = np.arange(len(self.doc)) - self.head[self.doc]
         self.at = self.first[self.doc] + self.place * CHUNK
         self.size = np.minimum(CHUNK, sizes[self.doc] - self.place * CHUNK)
-        self.last = self.place == pieces[self.doc] - 1
-        self.head = np.cumsum(pieces) - pieces  # first chunk of each text
-        self.pieces = pieces
-        self.emit = model.emit[seq]
-        k = len(model.start)
-        self.logs = np.zeros(len(self.doc))
-        self.alpha = np.empty((len(seq), k))
+        self.last = self.place == self.pieces[self.doc] - 1
+        self.scale = np.empty(len(seq), kind)
+        self.alpha = None if precise else np.empty((len(self.start), len(seq)), kind)
+
+    def _aligned(self, chunks: np.ndarray) -> _Aligned:
+        return _Aligned(chunks, self.at, self.size)
 
     def _matrices(self, chunks: np.ndarray) -> np.ndarray:
         """For full chunks, what carries a state before the chunk to a state at its end, up to a factor."""
-        k = len(self.model.start)
-        out = np.broadcast_to(np.eye(k), (len(chunks), k, k)).copy()
+        k, emit = len(self.start), self.emit[:, self.at[chunks] + np.arange(CHUNK)[:, None]]
+        out = np.repeat(np.eye(k, dtype=emit.dtype)[:, :, None], len(chunks), 2)
         for t in range(CHUNK):
-            out = (out.reshape(-1, k) @ self.model.move).reshape(-1, k, k) * self.emit[self.at[chunks] + t][:, None, :]
-            if t % 8 == 7:
-                out /= out.sum((1, 2), keepdims=True)
+            out = np.matmul(self.move.T, out)
+            out *= emit[:, t]
+            if t % 4 == 3:
+                out /= out.sum((0, 1))
         return out
 
-    def _forward(self, chunks: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        """Run through chunks from the distribution of their first state; the states at their ends."""
-        by = np.argsort(-self.size[chunks], kind="stable")
-        chunks, state, ends = chunks[by], prior[by], np.empty_like(prior)
-        live = np.searchsorted(-self.size[chunks], -np.arange(CHUNK), "left")  # chunks longer than t
-        for t in range(CHUNK):
-            m = int(live[t])
-            if not m:
-                break
-            at = self.at[chunks[:m]] + t
-            state = (state[:m] @ self.model.move if t else state[:m]) * self.emit[at]
-            scale = state.sum(1)
-            state /= scale[:, None]
-            self.logs[chunks[:m]] += np.log(scale)
-            self.alpha[at] = state
-            done = self.size[chunks[:m]] == t + 1
-            ends[by[:m][done]] = state[done]
-        return ends
+    def _forward(self, chunks: np.ndarray, prior: np.ndarray, ends: np.ndarray) -> None:
+        """Run through chunks from the distributions of their first states (columns by chunk) and set the states at their ends."""
+        run = self._aligned(chunks)
+        emit, state, step = self.emit[:, run.tokens], prior[:, run.chunks], self.move.T
+        scale = np.empty(len(run.tokens), emit.dtype)
+        for t, m in enumerate(run.live.tolist()):
+            own = emit[:, run.off[t]:run.off[t] + m]
+            own *= step @ state[:, :m] if t else state
+            own.sum(0, out=scale[run.off[t]:run.off[t] + m])
+            own /= scale[run.off[t]:run.off[t] + m]
+            state = own
+        ends[:, run.chunks] = emit[:, run.ends]
+        self.scale[run.tokens] = scale
+        if self.alpha is not None:
+            self.alpha[:, run.tokens] = emit
 
     def forward(self) -> np.ndarray:
-        """Natural log likelihood of every text; sets the filtered states."""
-        model = self.model
-        ends = np.empty((len(self.doc), len(model.start)))
-        ends[self.head] = self._forward(self.head, np.broadcast_to(model.start, (self.n, len(model.start))).copy())
+        """Natural log likelihood of every text, if precise; sets the filtered states otherwise."""
+        k, chunks = len(self.start), len(self.doc)
         self.middle = np.flatnonzero((self.place > 0) & ~self.last)
-        self.carry = self._matrices(self.middle)
-        where = np.zeros(len(self.doc), np.int64)
-        where[self.middle] = np.arange(len(self.middle))
-        self.where = where
-        longest = int(self.pieces.max()) if self.n else 0
-        order = np.argsort(-self.pieces, kind="stable")
-        for j in range(1, longest - 1):  # states at the ends of chunks in the middle
-            docs = order[:int(np.searchsorted(-self.pieces[order], -(j + 1), "left"))]
-            chunk = self.head[docs] + j
-            state = np.einsum("nk,nkl->nl", ends[chunk - 1], self.carry[where[chunk]])
-            ends[chunk] = state / state.sum(1, keepdims=True)
+        self.carry, self.where = self._matrices(self.middle), np.zeros(chunks, np.int64)
+        self.where[self.middle] = np.arange(len(self.middle))
+        ends, prior = np.empty((k, chunks), self.move.dtype), np.empty((k, chunks), self.move.dtype)
+        prior[:, self.head] = self.start[:, None]
+        self._forward(self.head, prior, ends)
+        self.order = np.argsort(-self.pieces, kind="stable")
+        for j in range(1, int(self.pieces.max()) - 1 if self.n else 0):  # states at the ends of chunks in the middle
+            chunk = self._inner(j)
+            state = np.einsum("kn,kln->ln", ends[:, chunk - 1], self.carry[:, :, self.where[chunk]])
+            ends[:, chunk] = state / state.sum(0)
         rest = np.flatnonzero(self.place > 0)
-        self._forward(rest, ends[rest - 1] @ model.move)
-        return np.bincount(self.doc, self.logs, self.n)
-
-    def _backward(self, chunks: np.ndarray, future: np.ndarray, beta: np.ndarray) -> np.ndarray:
-        """Run back through chunks from the weights of the states at their ends; the weights of the states before them."""
-        by = np.argsort(-self.size[chunks], kind="stable")
-        chunks, back = chunks[by], future[by].copy()
-        longer = np.searchsorted(-self.size[chunks], -np.arange(CHUNK), "left")
-        for t in range(CHUNK - 1, -1, -1):
-            m = int(longer[t])
-            if not m:
-                continue
-            at = self.at[chunks[:m]] + t
-            beta[at] = back[:m]
-            back[:m] = (self.emit[at] * back[:m]) @ self.model.move.T
-            back[:m] /= back[:m].sum(1, keepdims=True)
-        out = np.empty_like(back)
-        out[by] = back
-        return out
+        prior[:, rest] = self.move.T @ ends[:, rest - 1]
+        self._forward(rest, prior, ends)
+        return np.add.reduceat(np.log(self.scale), self.first) if self.precise else None
+
+    def _inner(self, j: int) -> np.ndarray:
+        """Chunk j of every text of which it is in the middle."""
+        texts = self.order[:int(np.searchsorted(-self.pieces[self.order], -(j + 1), "left"))]
+        return self.head[texts] + j
+
+    def _backward(self, chunks: np.ndarray, future: np.ndarray, before: np.ndarray, beta: np.ndarray) -> None:
+        """Run back through chunks from the weights of the states at their ends and set the weights of the states before them."""
+        run = self._aligned(chunks)
+        emit, back = self.emit[:, run.tokens], future[:, run.chunks]
+        held = np.empty_like(emit)
+        for t in range(len(run.live) - 1, -1, -1):
+            m, here = int(run.live[t]), slice(run.off[t], run.off[t + 1])
+            held[:, here] = back[:, :m]
+            own = self.move @ (emit[:, here] * back[:, :m])
+            own /= own.sum(0)
+            back[:, :m] = own
+        before[:, run.chunks] = back
+        beta[:, run.tokens] = held
 
     def expected(self, seq: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, transitions and emissions, after ``forward``."""
-        k = len(self.model.start)
-        beta, future = np.empty_like(self.alpha), np.ones((len(self.doc), k))
+        k, chunks = len(self.start), len(self.doc)
+        beta, future = np.empty_like(self.alpha), np.ones((k, chunks), self.alpha.dtype)
+        before = np.empty_like(future)
         ends = np.flatnonzero(self.last)
-        before = self._backward(ends, future[ends], beta)
-        inner = self.place[ends] > 0
-        future[ends[inner] - 1] = before[inner]
-        longest = int(self.pieces.max()) if self.n else 0
-        order = np.argsort(-self.pieces, kind="stable")
-        for j in range(longest - 2, 0, -1):
-            docs = order[:int(np.searchsorted(-self.pieces[order], -(j + 1), "left"))]
-            chunk = self.head[docs] + j
-            back = np.einsum("nkl,nl->nk", self.carry[self.where[chunk]], future[chunk])
-            future[chunk - 1] = back / back.sum(1, keepdims=True)
-        rest = np.flatnonzero(~self.last)
-        if len(rest):
-            self._backward(rest, future[rest], beta)
+        self._backward(ends, future, before, beta)
+        inner = ends[self.place[ends] > 0]
+        future[:, inner - 1] = before[:, inner]
+        for j in range(int(self.pieces.max()) - 2 if self.n else 0, 0, -1):
+            chunk = self._inner(j)
+            back = np.einsum("kln,ln->kn", self.carry[:, :, self.where[chunk]], future[:, chunk])
+            future[:, chunk - 1] = back / back.sum(0)
+        self._backward(np.flatnonzero(~self.last), future, before, beta)
         state = self.alpha * beta
-        state /= state.sum(1, keepdims=True)
-        emitted = np.stack([np.bincount(seq, state[:, i], classes + 1)[:classes] for i in range(k)], 1)
-        left = np.ones(len(seq), bool)
-        left[self.first + self.sizes - 1] = False
-        left = np.flatnonzero(left)
-        ahead = self.emit[left + 1] * beta[left + 1]
-        behind = self.alpha[left]
-        behind /= ((behind @ self.model.move) * ahead).sum(1, keepdims=True)
-        return state[self.first].sum(0), self.model.move * (behind.T @ ahead), emitted
+        total = state.sum(0)
+        state /= total
+        emitted = np.stack([np.bincount(seq, state[i], classes + 1)[:classes] for i in range(k)], 1)
+        # a transition's weight needs no sum of its own: it is the forward scale times the product of both sides
+        beta *= self.emit
+        beta /= self.scale * total
+        beta[:, self.first] = 0
+        moved = self.alpha[:, :-1] @ beta[:, 1:].T
+        return state[:, self.first].sum(1).astype(np.float64), (self.move * moved).astype(np.float64), emitted
 
 
 def _together(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -412,7 +427,7 @@ def train(blocks: DataFrame, corpus: Corpus, states: int = STATES, rounds: int =
                             move += np.bincount(guess[to - 1] * states + guess[to], minlength=states * states).reshape(states, states)
                             emitted += np.bincount(part * states + guess, minlength=(classes + 1) * states).reshape(-1, states)[:classes]
                         else:
-                            run = Sequences(shared.value, part, own)
+                            run = Sequences(shared.value, part, own, precise=False)
                             run.forward()
                             for total, found in zip((start, move, emitted), run.expected(part, classes)):
                                 total += found

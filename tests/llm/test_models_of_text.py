@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute_models as brute  # noqa: E402
 from test_llm_operators import LINE, SF, messy_rows, pairs_of  # noqa: E402
 
-from tessera.llm import hidden_markov, importance, queries, spelling  # noqa: E402
+from tessera.llm import arrowtext, fm_index, hidden_markov, importance, near_duplicates, queries, spelling, token_counts, token_shards  # noqa: E402
 
 #: Extra columns whose names clash with the operators' own.
 SCHEMA = ("doc_id long, text string, word string, rank long, n long, score double, weight double, doc string, block long, "
@@ -122,12 +122,14 @@ def test_chunked_recursions_equal_the_plain_ones(monkeypatch):
     model = hidden_markov.Model.estimated(rng.random(k), 20 * rng.random((k, k)), 9 * rng.random((classes, k)), corpus)
     sizes = np.array([1, 8, 9, 24, 25, 7, 100, 16, 3])
     seq = rng.integers(0, classes + 1, sizes.sum())
-    run = hidden_markov.Sequences(model, seq, sizes)
-    logs, found = run.forward(), run.expected(seq, classes)
+    logs = hidden_markov.Sequences(model, seq, sizes).forward()
+    run = hidden_markov.Sequences(model, seq, sizes, precise=False)
+    run.forward()
+    found = run.expected(seq, classes)
     plain = [brute.forward_backward(model.start, model.move, model.emit, s) for s in np.split(seq, np.cumsum(sizes)[:-1])]
     assert np.allclose(logs, [p[0] for p in plain], rtol=1e-12)
     for got, want in zip(found, (sum(p[i] for p in plain) for i in (1, 2, 3))):
-        assert np.allclose(got, want[:len(got)], rtol=1e-9)
+        assert np.allclose(got, want[:len(got)], rtol=1e-4)
 
 
 def test_distributed_rounds_equal_the_plain_ones(spark):
@@ -151,5 +153,38 @@ def test_distributed_rounds_equal_the_plain_ones(spark):
     first = hidden_markov.Model.estimated(*guess, corpus)
     plain = [brute.forward_backward(first.start, first.move, first.emit, s) for s in seqs]
     want = hidden_markov.Model.estimated(*(sum(p[i] for p in plain) for i in (1, 2)), sum(p[3] for p in plain)[:50], corpus)
-    assert np.allclose(model.emit, want.emit, rtol=1e-5) and np.allclose(model.move, want.move, rtol=1e-9)
+    assert np.allclose(model.emit, want.emit, rtol=1e-4) and np.allclose(model.move, want.move, rtol=1e-4)
     assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1) and np.allclose(model.start.sum(), 1)
+
+
+def twins(letters, n):
+    """Two words of n letters that polynomial hashes modulo a power of two cannot tell apart from some length on."""
+    odd = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(letters[k] for k in odd), "".join(letters[1 - k] for k in odd)
+
+
+@pytest.mark.parametrize("n", [33, 64, 512, 1024, 4096])
+def test_codes_of_long_words_differ(n):
+    for table in (arrowtext.ALNUM, arrowtext.SPACED):
+        a, b = twins("ab", n)
+        data, _ = arrowtext.joined([f"{a} {b} {a} x".encode()])
+        codes = arrowtext.words(data, table)[2]
+        assert codes[0] == codes[2] and len(set(codes.tolist())) == 3
+
+
+def test_long_words_that_once_met(spark):
+    """Decontamination, near-duplicates, token output and token counts with words of 1,024 and 4,096 letters that share polynomial codes."""
+    pairs = [twins("ab", 1024), twins("ac", 4096)]
+    texts = [(k, w) for k, w in enumerate([*pairs[0], *pairs[1], " ".join(pairs[0]), " ".join(pairs[1] + pairs[0])])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(7, pairs[0][0])], "item_id long, text string")
+    hits = {r.doc.doc_id: r.hit.n_hit for r in fm_index.find_contamination(df, items).collect()}
+    assert hits == {k: t.split().count(pairs[0][0]) for k, t in texts}
+    classes = {r.id: r.class_id for r in near_duplicates.near_duplicate_classes(df).collect()}
+    assert classes[0] != classes[1] and classes[2] != classes[3]
+    counter = token_counts.Counter(token_counts.vocabulary_text())
+    for r in token_counts.count_tokens(df).collect():
+        assert r.n_tokens == len(counter.library.encode(r.doc.text, add_special_tokens=False).ids)
+    encoder = token_shards._encoder(token_shards.vocabulary_text())
+    for (_, t), ids in zip(texts, encoder.texts([t.encode() for _, t in texts])):
+        assert int(encoder.sizes[ids].sum()) == len(t) and encoder.whole(t.encode()).tolist() == ids.tolist()
