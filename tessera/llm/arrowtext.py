@@ -7,6 +7,7 @@ does not grow with the partition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 WINDOW = 1 << 20
+#: Bytes of a word up to which its code is a polynomial hash.
+SHORT = 32
 #: Separator between the texts of a slice; it belongs to no word in either alphabet.
 SEPARATOR = 10
 
@@ -95,9 +98,10 @@ _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
 def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit codes of all words in ``data``; equal words have equal codes.
 
-    ``data`` ends with a separator. Codes are polynomial hashes over seeded
-    byte values; words longer than a window are hashed in steps with the
-    same result wherever they start.
+    ``data`` ends with a separator. Codes of words of up to ``SHORT`` bytes
+    are polynomial hashes over seeded byte values. Modulo a power of two,
+    such hashes meet for certain pairs of long words whatever the multiplier,
+    so longer words get a cryptographic digest.
     """
     is_word = (table != 0) if table is ALNUM else SPACED_WORD
     parts, at, n = [], 0, len(data)
@@ -109,8 +113,7 @@ def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                 stop = at + WINDOW
                 while is_word[data[stop]]:
                     stop += 1
-                code = _long_word(table[data[at:stop]])
-                parts.append((np.array([at]), np.array([stop]), np.array([code], np.uint64)))
+                parts.append((np.array([at]), np.array([stop]), _digests(table[data[at:stop]], [(0, stop - at)])))
                 at = stop
                 continue
             end = at + int(inside[-1]) + 1
@@ -122,20 +125,18 @@ def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             prefix = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum(_VALUES[table[piece]] * _POWERS[:len(piece)], out=prefix[1:])
             code = (prefix[stop] - prefix[start]) * _INVERSES[start]
-            parts.append((start + at, stop + at, mix64(code + (stop - start).astype(np.uint64))))
+            code = mix64(code + (stop - start).astype(np.uint64))
+            if len(long := np.flatnonzero(stop - start > SHORT)):
+                code[long] = _digests(table[piece], zip(start[long].tolist(), stop[long].tolist()))
+            parts.append((start + at, stop + at, code))
         at = end
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _long_word(mapped: np.ndarray) -> np.uint64:
-    total, scale = 0, 1
-    for at in range(0, len(mapped), WINDOW):
-        piece = mapped[at:at + WINDOW]
-        total += int((_VALUES[piece] * _POWERS[:len(piece)]).sum(dtype=np.uint64)) * scale
-        scale = scale * pow(_MULTIPLIER, WINDOW, 1 << 64) % (1 << 64)
-    return mix64(np.array([(total + len(mapped)) % (1 << 64)], np.uint64))[0]
+def _digests(mapped: np.ndarray, spans: Iterable[tuple[int, int]]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(mapped[a:b], digest_size=8).digest(), "little") for a, b in spans], np.uint64)
 
 
 def run_codes(codes: np.ndarray, length: int, step: int = 0xD6E8FEB86659FD93) -> np.ndarray:
