@@ -31,6 +31,8 @@ from tessera.session import scratch_path, ship_package
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SEQUENCE = 512
 SHARD_SLOTS = 1 << 16
+#: Sequences that a reader takes at once.
+SEGMENT_SLOTS = 1 << 12
 ROUNDS = 6
 #: Text encoded at a time; the larger, the fewer segments are encoded twice.
 SLICE_BYTES = 8 << 20
@@ -166,22 +168,25 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
 
     A document's tokens and one end id are cut into runs of ``length``; a
     null or empty text gives the end id alone. Rows with equal keys are
-    ordered by their compressed text.
+    ordered by a digest of their text, then by the compressed text; the ranges
+    are sampled from keys and digests alone.
     """
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(vocabulary_text(vocabulary))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).alias("key"), body(text).alias("body"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(body(text)).alias("digest"), body(text).alias("body"))
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compressed texts, which halves what the sort moves."""
         press = zstandard.ZstdCompressor(level=1)
         for part in batches:
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([press.compress(t) for t in A.bodies(part)], pa.binary())], ["key", "body"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("digest"), pa.array([press.compress(t) for t in A.bodies(part)], pa.binary())],
+                                             ["key", "digest", "body"])
 
-    rows = rows.mapInArrow(squeeze, T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("body", T.BinaryType())]))
-    rows = rows.repartitionByRange(parts, "key", "body").sortWithinPartitions("key", "body")
+    rows = rows.mapInArrow(squeeze, T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("digest", T.LongType()),
+                                                  T.StructField("body", T.BinaryType())]))
+    rows = rows.repartitionByRange(parts, "key", "digest").sortWithinPartitions("key", "digest", "body")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, place, part_id = _encoder(shared.value), 0, TaskContext.get().partitionId()
@@ -213,7 +218,7 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
 
 def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None,
                    length: int = SEQUENCE, shard_slots: int = SHARD_SLOTS, seed: int = 42) -> DataFrame:
-    """Rows slot, shard, offset, key, seq, n_tokens, payload; sorted by slot within range partitions.
+    """Rows slot, shard, offset, key, seq, n_tokens, payload; sorted by slot within partitions of whole segments.
 
     ``payload`` has ``2 * length`` bytes, padded with the end id;
     ``offset`` is its byte position in its shard. Slots are gapless from 0.
@@ -246,17 +251,68 @@ def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", voc
                            T.StructField("offset", T.LongType()), T.StructField("key", docs.schema[key].dataType),
                            T.StructField("seq", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.mapInArrow(place, schema).repartitionByRange(parts, "slot").sortWithinPartitions("slot")
+    # slots are a permutation, so equal ranges of them hold equal numbers of rows and need no sample
+    segment = segment_slots(shard_slots)
+    share = max(1, -(-total // (parts * segment))) * segment
+    placed = rows.mapInArrow(place, schema).repartitionById(parts, (F.col("slot") / share).cast("int")).sortWithinPartitions("slot")
     pad = F.unhex(F.lit(int(end).to_bytes(2, "little").hex() * length))
     payload = F.substring(F.concat(F.col("tokens"), pad), 1, 2 * length)
     return placed.withColumn("payload", payload).drop("tokens")
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """Write training-order rows under ``path``, one folder per shard, rows in slot order."""
-    ordered.write.partitionBy("shard").parquet(path)
+def segment_slots(shard_slots: int = SHARD_SLOTS) -> int:
+    """Slots of a segment: the largest divisor of a shard's slots up to ``SEGMENT_SLOTS``."""
+    return next(n for n in range(min(SEGMENT_SLOTS, shard_slots), 0, -1) if shard_slots % n == 0)
+
+
+def write_shards(ordered: DataFrame, path: str, shard_slots: int = SHARD_SLOTS) -> None:
+    """Write rows of ``training_order`` as fixed-stride binary segments: one folder per shard, columns segment, n_slots and data.
+
+    A shard's segments, end to end, are its bytes: the sequence of a slot
+    stands at its ``offset``, inside segment ``slot % shard_slots //
+    segment_slots(shard_slots)``. Raises if a partition does not hold whole
+    segments in slot order.
+    """
+    segment = segment_slots(shard_slots)
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        first = None
+        for b in batches:
+            for slot, payload in zip(b.column("slot").to_pylist(), b.column("payload").to_pylist()):
+                if held and slot % segment == 0:
+                    yield packed(first, held)
+                    held = []
+                if not held:
+                    first = slot
+                if slot != first + len(held) or first % segment:
+                    raise ValueError(f"slot {slot} is out of order")
+                held.append(payload)
+        if held:
+            yield packed(first, held)
+
+    def packed(first: int, held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([first // shard_slots], pa.int64()), pa.array([first % shard_slots // segment], pa.int64()),
+                                           pa.array([len(held)], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["shard", "segment", "n_slots", "data"])
+
+    rows = ordered.select("slot", "payload").mapInArrow(pack, "shard long, segment long, n_slots long, data binary")
+    rows.write.partitionBy("shard").parquet(path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """Rows from ``slot`` on, in order; only the shards from that slot's on are opened."""
-    return spark.read.parquet(path).filter((F.col("shard") >= slot // shard_slots) & (F.col("slot") >= slot)).orderBy("slot")
+    """(slot, payload) from ``slot`` on, sorted within partitions: opens the shards and segments from that slot's on, and goes to its byte."""
+    segment = segment_slots(shard_slots)
+    shard, part = slot // shard_slots, slot % shard_slots // segment
+    here = (F.col("shard") > shard) | ((F.col("shard") == shard) & (F.col("segment") >= part))
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                first, stride = r["shard"] * shard_slots + r["segment"] * segment, len(r["data"]) // r["n_slots"]
+                skip = max(0, slot - first)
+                yield pa.RecordBatch.from_arrays([pa.array(range(first + skip, first + r["n_slots"]), pa.int64()),
+                                                  pa.array([r["data"][i:i + stride] for i in range(skip * stride, len(r["data"]), stride)], pa.binary())],
+                                                 ["slot", "payload"])
+
+    rows = spark.read.schema("segment long, n_slots long, data binary, shard long").parquet(path).filter(F.col("shard") >= shard).filter(here)
+    return rows.sortWithinPartitions("shard", "segment").mapInArrow(unpack, "slot long, payload binary")

@@ -315,11 +315,42 @@ def test_training_order(spark, messy, tmp_path):
         assert ids[-1] == encoder.end and encoder.encoding.decode_bytes(ids[:-1].tolist()) == (t or "").encode()
         assert (ids[:-1] == encoder.whole((t or "").encode())).all()
         found[d] += 1
-    token_shards.write_shards(ordered, str(tmp_path / "shards"))
-    assert [r.slot for r in token_shards.read_from(spark, str(tmp_path / "shards"), 60, 50).collect()] == list(range(60, len(out)))
+    token_shards.write_shards(ordered, str(tmp_path / "shards"), 50)
+    for first in (0, 1, 50, 60, 99, len(out) - 1):  # resumes at any slot, inside a shard too
+        got = {r.slot: bytes(r.payload) for r in token_shards.read_from(spark, str(tmp_path / "shards"), first, 50).collect()}
+        assert got == {r.slot: bytes(r.payload) for r in out[first:]}
     assert token_shards.training_order(messy.limit(0)).count() == 0
 
 
+def test_slots_follow_a_plain_feistel_network(spark, tmp_path, monkeypatch):
+    """Sequences in order of (key, seq), each at the slot that a scalar network with cycle-walking gives its number."""
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ (x >> shift)) * factor % (1 << 64)
+        return x
+
+    df = spark.createDataFrame([(k * 7 % 101, "word " * (k % 9)) for k in range(101)], "doc_id long, text string")
+    monkeypatch.setattr(token_shards, "SEGMENT_SLOTS", 4)
+    out = token_shards.training_order(df, length=4, shard_slots=12, seed=5)
+    rows = out.collect()
+    n, half = len(rows), (int(len(rows) - 1).bit_length() + 1) // 2
+    want = {}
+    for k, key in enumerate(sorted((r.key, r.seq) for r in rows)):
+        x = k
+        while True:
+            left, right = x >> half, x & ((1 << half) - 1)
+            for r in range(1, token_shards.ROUNDS + 1):
+                left, right = right, left ^ (mix(right + mix(r + 5)) & ((1 << half) - 1))
+            x = left << half | right
+            if x < n:
+                break
+        want[x] = key
+    assert {r.slot: (r.key, r.seq) for r in rows} == want
+    token_shards.write_shards(out, str(tmp_path / "s"), 12)
+    assert token_shards.read_from(spark, str(tmp_path / "s"), 17, 12).count() == n - 17
+    assert all(len(r.data) == 8 * r.n_slots for r in spark.read.parquet(str(tmp_path / "s")).collect())
+
+
 def test_token_counts(spark, docs, messy):
     library = token_counts.Counter(token_counts.vocabulary_text()).library
     for table, piece in ((docs, token_counts.PIECE_BYTES), (messy, 1000), (messy, token_counts.PIECE_BYTES)):
