@@ -76,3 +76,26 @@ def role_report(spark: SparkSession, df: DataFrame, roles: Roles) -> DataFrame:
         F.when(F.col("n_roles").isNull(), "not classified")
          .when(F.col("in_table").isNull(), "not in table")
          .when(F.col("n_roles") > 1, "two roles").alias("problem"))
+
+
+def observed_roles(df: DataFrame, roles: Roles) -> DataFrame:
+    """R2 on the data: rows, missing values and distinct levels of every column with a role, and whether they fit it.
+
+    A key is complete and unique, a target or binary column has at most two
+    levels, a categorical one more than two, a numeric one any. Listed
+    columns that are not in the table are left out (P8). One grouped count in
+    long form, so a level that most rows share is added up before the shuffle.
+    """
+    there = roles.present(df.columns)
+    kind = {there.key: "key", there.target: "target", **{c: "binary" for c in there.binary},
+            **{c: "categorical" for c in there.categorical}, **{c: "numeric" for c in there.numeric}}
+    cells = [F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind"), F.col(f"`{c}`").cast("string").alias("value"))
+             for c, k in kind.items() if c in df.columns]
+    levels = df.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell.column_name", "cell.kind", "cell.value").count()
+    out = levels.groupBy("column_name", "kind").agg(
+        F.sum("count").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("count")).otherwise(0)).alias("n_null"),
+        F.count("value").alias("n_levels"))
+    fits = (F.when(F.col("kind") == "key", (F.col("n_null") == 0) & (F.col("n_levels") == F.col("n_rows")))
+            .when(F.col("kind").isin("target", "binary"), F.col("n_levels") <= 2)
+            .when(F.col("kind") == "categorical", F.col("n_levels") > 2).otherwise(F.col("n_levels") > 0))
+    return out.withColumn("fits", fits).drop("kind")

@@ -44,9 +44,13 @@ ORACLES = {
     "split_parquet_reload": _w(TRAIN, f"SELECT split, label, count(*) AS n_rows, CAST({len(FEATURES)} AS BIGINT) "
                                       "AS n_features FROM pr GROUP BY split, label"),
     "drop_unlabelled": _w(survey_ctes(), "SELECT CONTROL, Class FROM lab"),
-    "role_check": """SELECT column_name, role, CAST(1 AS BIGINT) AS n_roles, CAST(NULL AS VARCHAR) AS problem FROM (VALUES
-        ('CONTROL', 'key'), ('Class', 'target'), ('TOTPRICE', 'numeric'), ('ACCTBAL', 'numeric'), ('NUMKIDS', 'numeric'),
-        ('STATUSB', 'binary'), ('PRIORITY', 'categorical'), ('SEGMENT', 'categorical')) t(column_name, role)""",
+    "role_check": _w(survey_ctes(), "SELECT column_name, role, CAST(1 AS BIGINT) AS n_roles, CAST(NULL AS VARCHAR) AS problem, n_rows, n_null, n_levels, "
+        "CASE role WHEN 'key' THEN n_null = 0 AND n_levels = n_rows WHEN 'target' THEN n_levels <= 2 WHEN 'binary' THEN n_levels <= 2 "
+        "WHEN 'categorical' THEN n_levels > 2 ELSE n_levels > 0 END AS fits FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, '{r}' AS role, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_levels FROM v"
+            for c, r in (("CONTROL", "key"), ("Class", "target"), ("TOTPRICE", "numeric"), ("ACCTBAL", "numeric"), ("NUMKIDS", "numeric"),
+                         ("STATUSB", "binary"), ("PRIORITY", "categorical"), ("SEGMENT", "categorical")))
+        + ") UNION ALL SELECT 'ABSENT', 'numeric', 1, 'not in table', NULL, NULL, NULL, NULL"),
     "class_balance": _w(survey_ctes(), f"""SELECT n_no, n_yes, n_missing, n_rows,
         {r6('CASE WHEN n_no + n_yes > 0 THEN n_no / (n_no + n_yes) END')} AS share_no,
         {r6('CASE WHEN n_no + n_yes > 0 THEN n_yes / (n_no + n_yes) END')} AS share_yes,

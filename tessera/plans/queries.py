@@ -6,6 +6,8 @@ docstrings); the SQL oracle of each lives in ``oracle_sql.py``.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from ..operators import metrics as M
 from ..operators.naive_bayes import GaussianNB
 from ..operators.prep import Preprocessor, drop_unlabelled
 from ..operators.profile import class_balance, null_profile, null_total, value_counts
-from ..operators.roles import role_report
+from ..operators.roles import observed_roles, role_report
 from ..operators.sampling import stratified_folds, undersample
 from ..sources.adapter import SURVEY_ROLES, survey_view
 from ..sources.io import read_csv, reload_split, table_shape, write_table
@@ -69,8 +71,9 @@ def q_drop_unlabelled(spark, sf_dir):
 
 
 def q_role_check(spark, sf_dir):
-    """R1+R2: every table / role-list name with its role and problem."""
-    return role_report(spark, survey_view(spark, sf_dir), R)
+    """R1+R2+P8: every table / role-list name (one listed column is absent) with its role and problem, and what its values show."""
+    survey, listed = survey_view(spark, sf_dir), replace(R, numeric=(*R.numeric, "ABSENT"))
+    return role_report(spark, survey, listed).join(observed_roles(survey, listed), "column_name", "left")
 
 
 # --- profiles (A1-A8) ---------------------------------------------------------------

@@ -117,3 +117,14 @@ def test_scratch_root_refuses_local_folder_on_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         S.scratch_root(Fake())
+
+
+def test_observed_roles(spark):
+    from tessera.operators.roles import observed_roles
+
+    rows = [(1, "Yes", "a", "x", 1.0), (2, "No", "a", "y", None), (2, None, "b", "z", 2.0)]
+    df = spark.createDataFrame(rows, "k int, t string, two string, many string, num double")
+    got = {r.column_name: (r.n_rows, r.n_null, r.n_levels, r.fits)
+           for r in observed_roles(df, Roles("k", "t", ("two", "many"), ("gone",), ("num",))).collect()}
+    assert got == {"k": (3, 0, 2, False), "t": (3, 1, 2, True), "two": (3, 0, 2, True), "many": (3, 0, 3, False), "num": (3, 1, 2, True)}
+    assert observed_roles(df.limit(0), Roles("k", "t")).count() == 0
