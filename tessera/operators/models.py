@@ -12,12 +12,14 @@ losses, Spark averages them):
 * min_samples_leaf            -> minInstancesPerNode
 * n_estimators                -> numTrees / maxIter
 * max_features sqrt/log2/None -> featureSubsetStrategy sqrt/log2/all
-* extra-trees                 -> RandomCutForest (random cut points per group of trees)
+* extra-trees                 -> ``extra_trees`` (a random cut per node, one forest for all grid points)
 * boosting                    -> ``boosting`` (all grid points and folds in the same passes)
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
@@ -28,6 +30,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import extra_trees
 from .boosting import Boosting, fit_together, search
 from .knn import knn_join
 from .naive_bayes import GaussianNB, HasScoreCol, as_array, as_vector
@@ -151,75 +154,53 @@ class SkRandomForest(_Wrapped):
                                       seed=self.getOrDefault(self.seed), maxBins=64)
 
 
-class RandomCutForest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
-    """M10 (approximate extra-trees): ``groups`` forests without bootstrap, each grown on features
-    binned at its own random cut points (uniform in [min, max] of every feature), so split
-    thresholds are random per group rather than per node. Score = mean P(1) of the groups."""
-    nEstimators = _p("nEstimators", "trees over all groups", TypeConverters.toInt)
-    maxDepth = _p("maxDepth", "depth", TypeConverters.identity)
+class ExtraTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
+    """n_estimators, max_depth, min_samples_split, max_features. A grid search grows one forest per fold for all points."""
+    nEstimators = _p("nEstimators", "trees", TypeConverters.toInt)
+    maxDepth = _p("maxDepth", "depth, None = unlimited", TypeConverters.identity)
+    minSamplesSplit = _p("minSamplesSplit", "rows of a node that may be split", TypeConverters.toInt)
     maxFeatures = _p("maxFeatures", "sqrt, log2 or None", TypeConverters.identity)
-    groups = _p("groups", "groups of trees sharing random cut points", TypeConverters.toInt)
-    cuts = _p("cuts", "random cut points per feature", TypeConverters.toInt)
+    _defaults = {"nEstimators": 100, "maxDepth": None, "minSamplesSplit": 2, "maxFeatures": "sqrt"}
 
     @keyword_only
-    def __init__(self, *, nEstimators=100, maxDepth=None, maxFeatures="sqrt", groups=4, cuts=31,
-                 featuresCol="features", labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
+    def __init__(self, *, nEstimators=100, maxDepth=None, minSamplesSplit=2, maxFeatures="sqrt", featuresCol="features",
+                 labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
         super().__init__()
-        self._setDefault(nEstimators=100, maxDepth=None, maxFeatures="sqrt", groups=4, cuts=31, seed=42)
+        self._setDefault(seed=42, **self._defaults)
         self._set(**self._input_kwargs)
 
+    def _point(self, columns: int, values: dict | None = None) -> extra_trees.Forest:
+        v = {name: self.getOrDefault(name) for name in self._defaults} | (values or {})
+        drawn = {"sqrt": math.sqrt(columns), "log2": math.log2(max(columns, 1)), None: columns}[v["maxFeatures"]]
+        return extra_trees.Forest(int(v["nEstimators"]), v["maxDepth"], int(v["minSamplesSplit"]), max(1, int(drawn)))
+
+    def _rows(self, dataset: DataFrame, key: str, fold=None) -> tuple[DataFrame, int]:
+        x = as_array(dataset, self.getFeaturesCol())
+        first = dataset.select(F.size(x)).first()
+        if first is None:
+            raise ValueError("empty training table")
+        own = F.col(key) if key in dataset.columns else F.monotonically_increasing_id()
+        return dataset.select(own.alias("id"), x.alias("features"), F.col(self.getLabelCol()).alias("label"),
+                              (F.lit(0) if fold is None else F.col(fold)).alias("fold")), first[0]
+
     def _fit(self, dataset):
-        import numpy as np
-        from pyspark.ml.stat import Summarizer
-        fc, lc = self.getFeaturesCol(), self.getLabelCol()
-        vec = dataset.select(as_vector(dataset, fc).alias(fc), F.col(lc).cast("double").alias(lc))
-        mm = vec.agg(Summarizer.metrics("min", "max").summary(F.col(fc)).alias("s")).first()["s"]
-        lo, hi = mm["min"].toArray(), mm["max"].toArray()
-        rng = np.random.default_rng(self.getOrDefault(self.seed))
-        g = self.getOrDefault(self.groups)
-        total = self.getOrDefault(self.nEstimators)
-        mf = self.getOrDefault(self.maxFeatures)
-        members = []
-        for i in range(min(g, total)):
-            per = total // g + (i < total % g)
-            cuts = [sorted(rng.uniform(a, b, self.getOrDefault(self.cuts)).tolist()) for a, b in zip(lo, hi)]
-            binned = vec.withColumn(fc, _binned(as_array(vec, fc), cuts))
-            rf = RandomForestClassifier(numTrees=per, maxDepth=depth(self.getOrDefault(self.maxDepth)),
-                                        bootstrap=False, featureSubsetStrategy="all" if mf is None else str(mf),
-                                        maxBins=self.getOrDefault(self.cuts) + 1,
-                                        seed=self.getOrDefault(self.seed) + i, featuresCol=fc, labelCol=lc)
-            members.append((cuts, rf.fit(binned)))
-        return self._copyValues(RandomCutForestModel(members))
-
-
-def _binned(x, cuts):
-    """Per feature: number of its cut points <= value (a bucket index), as a vector."""
-    from pyspark.ml.functions import array_to_vector
-    table = F.array(*[F.array(*[F.lit(float(c)) for c in cs]) for cs in cuts])
-    return array_to_vector(F.transform(x, lambda v, i: F.size(F.filter(table[i], lambda c: c <= v)).cast("double")))
-
-
-class RandomCutForestModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
-    def __init__(self, members=None):
+        rows, columns = self._rows(dataset, "id")
+        return self._copyValues(ExtraTreesModel(extra_trees.fit(rows, self._point(columns), self.getOrDefault(self.seed))))
+
+    def fit_grid(self, data: DataFrame, points: list[dict], folds: int, key: str, fold: str):
+        """(index of the best point, score of each point, model of the best on all rows), with the folds in column ``fold``."""
+        rows, columns = self._rows(data, key, fold)
+        best, scores, grown = extra_trees.search(rows, [self._point(columns, p) for p in points], folds, self.getOrDefault(self.seed))
+        return best, scores, self._copyValues(ExtraTreesModel(grown))
+
+
+class ExtraTreesModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
+    def __init__(self, grown=None):
         super().__init__()
-        self.members = members or []
+        self.grown = grown
 
     def _transform(self, dataset):
-        fc = self.getFeaturesCol()
-        out = dataset
-        parts = []
-        for i, (cuts, rf) in enumerate(self.members):
-            tmp = out.withColumn("_x", _binned(as_array(out, fc), cuts))
-            rf = rf.copy().setFeaturesCol("_x").setProbabilityCol(f"_p{i}") \
-                   .setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}")
-            out = rf.transform(tmp).withColumn(f"_s{i}", vector_to_array(f"_p{i}")[1]) \
-                    .drop("_x", f"_p{i}", f"_y{i}", f"_r{i}")
-            parts.append(F.col(f"_s{i}"))
-        score = sum(parts[1:], parts[0]) / F.lit(float(len(parts)))
-        drop = [c for c in (self.getScoreCol(), self.getPredictionCol()) if c in dataset.columns]
-        out = out.drop(*drop).withColumn(self.getScoreCol(), score)
-        out = out.withColumn(self.getPredictionCol(), (F.col(self.getScoreCol()) > 0.5).cast("double"))
-        return out.drop(*[f"_s{i}" for i in range(len(parts))])
+        return self.grown.scored(dataset, as_array(dataset, self.getFeaturesCol()), self.getScoreCol(), self.getPredictionCol())
 
 
 class SkGradientBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):

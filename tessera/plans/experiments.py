@@ -122,7 +122,8 @@ RENAME = {
     "dt": {"max_depth": "maxDepth", "min_samples_leaf": "minSamplesLeaf", "criterion": "criterion"},
     "rf": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "min_samples_leaf": "minSamplesLeaf",
            "max_features": "maxFeatures"},
-    "et": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "max_features": "maxFeatures"},
+    "et": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "min_samples_split": "minSamplesSplit",
+           "max_features": "maxFeatures"},
     "gb": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "learning_rate": "learningRate",
            "subsample": "subsample", "min_samples_split": "minSamplesSplit"},
     "xgb": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "learning_rate": "learningRate", "subsample": "subsample",
@@ -140,7 +141,7 @@ def estimator_factory(family: str, max_iter: int | None = None) -> Callable:
         return lambda: ML.CalibratedLinearSVC(maxIter=max_iter or 100)
     if family == "mlp":
         return lambda: ML.SkMLP(maxIter=max_iter or 200)
-    return {"knn": ML.KNNClassifier, "dt": ML.SkDecisionTree, "rf": ML.SkRandomForest, "et": ML.RandomCutForest,
+    return {"knn": ML.KNNClassifier, "dt": ML.SkDecisionTree, "rf": ML.SkRandomForest, "et": ML.ExtraTrees,
             "gb": ML.SkGradientBoosting, "xgb": ML.RegularisedBoosting, "nb": GaussianNB}[family]
 
 

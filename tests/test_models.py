@@ -32,7 +32,7 @@ def data(spark):
     lambda: ML.CalibratedLinearSVC(C=1.0, maxIter=50),
     lambda: GaussianNB(),
     lambda: ML.SkMLP(hidden=(4,), maxIter=30),
-    lambda: ML.RandomCutForest(nEstimators=6, maxDepth=4, groups=3, cuts=15),
+    lambda: ML.ExtraTrees(nEstimators=12, maxDepth=4),
 ])
 def test_beats_chance(data, est):
     train, test = data
