@@ -177,6 +177,16 @@ class Grown:
             out[s:s + step] = self.value[at].reshape(len(part), -1).mean(1)
         return out
 
+    def nodes(self) -> Iterator[tuple[int, int, int, float, float]]:
+        """(tree, node, column or -1, cut, P(1)); the children of node i are 2i and 2i + 1, the root is 1."""
+        for tree, root in enumerate(self.roots.tolist()):
+            ahead = [(1, root)]
+            while ahead:
+                number, at = ahead.pop()
+                yield tree, number, int(self.feature[at]), float(self.cut[at]), float(self.value[at])
+                if self.feature[at] >= 0:
+                    ahead += [(2 * number + side, int(self.left[at]) + side) for side in (0, 1)]
+
     def scored(self, df: DataFrame, features, score: str, prediction: str) -> DataFrame:
         """``df`` with P(label = 1) and the predicted label (the smaller one at exactly one half)."""
         ship_package(df.sparkSession)

@@ -3,23 +3,27 @@
 Each runs cells of the reference's phases with the grids, folds and
 iterations of ``experiments``: prepare -> balance the training rows -> grid
 search with stratified folds (F1 of class 1) -> refit -> score the test rows
--> result record, ranked. SQL cannot express these fits, so they carry no
-oracle; tests check them on separable fixtures instead.
+-> result record, ranked. SQL expresses the searches through naive Bayes and
+the first splits of extra trees (``oracle_tune``); tests check the other fits
+on separable fixtures.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import balance as B
 from ..operators import models as ML
 from ..operators.metrics import band_counts
+from ..operators.naive_bayes import GaussianNB
 from ..operators.sampling import undersample
 from ..sources.adapter import SURVEY_ROLES
 from ..session import cut_lineage
 from .common import rounded, survey_prepared
-from .experiments import PHASE1_BALANCERS, run_phase
+from .experiments import PHASE1_BALANCERS, PHASE1_GRIDS, run_phase, translate
 from .tune import grid_search
 
 
@@ -92,7 +96,7 @@ def q_boosted_colsample_cell(spark, sf_dir):
 
 
 def q_extra_trees_cell(spark, sf_dir):
-    """M10 (approximate) + G2: phase-3 cell of partial RUS and extra trees, 200 and 500 trees x 3 depths x 2 feature counts, 5 folds."""
+    """M10 + G2: phase-3 cell of partial RUS and extra trees, 200 and 500 trees x 3 depths x 2 split sizes x 2 feature counts, 5 folds."""
     return _phase(spark, sf_dir, 3, ["RUS_partial + ExtraTrees"])
 
 
@@ -115,6 +119,34 @@ def q_grid_search_scores(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "params string, mean_f1 double, chosen boolean"))
 
 
+def q_naive_bayes_grid_scores(spark, sf_dir):
+    """The phase-1 grid of naive Bayes, mean F1 of class 1 over 3 folds for every point, and the chosen one."""
+    train, _ = survey_arrays(spark, sf_dir)
+    grid = translate("C7_NaiveBayes", PHASE1_GRIDS["C7_NaiveBayes"])
+    res = grid_search(GaussianNB(), grid, BALANCERS["B1_RUS"](train), folds=3)
+    best = max(range(len(res.scores)), key=lambda i: (res.scores[i][1], -i))
+    rows = [(round(math.log10(p["varSmoothing"])), float(s), i == best) for i, (p, s) in enumerate(res.scores)]
+    return rounded(spark.createDataFrame(rows, "log10_smoothing long, mean_f1 double, chosen boolean"))
+
+
+def q_phase2_naive_bayes_cells(spark, sf_dir):
+    """The phase-2 cells of naive Bayes on the two undersampled tables, 7 and 5 points, ranked by avg TPR."""
+    return _phase(spark, sf_dir, 2, ["B1_RUS + C7_NaiveBayes", "B4_RUS123 + C7_NaiveBayes"])
+
+
+def q_extra_trees_splits(spark, sf_dir):
+    """The first two levels of 16 extra trees on the partly undersampled training rows (nodes numbered from the root, 1)."""
+    model, prepared = survey_prepared(spark, sf_dir)
+    names = model.feature_columns()
+    rows = prepared.filter("split = 'train'").select(F.col(SURVEY_ROLES.key).cast("long").alias("id"),
+                                                     F.array(*[F.col(c).cast("double") for c in names]).alias("features"), "label")
+    balanced = BALANCERS["RUS_partial"](cut_lineage(rows, "survey-arrays"))
+    grown = ML.ExtraTrees(nEstimators=16, maxDepth=2).fit(balanced).grown
+    found = [(tree, node, None if feature < 0 else names[feature], None if feature < 0 else cut, share)
+             for tree, node, feature, cut, share in grown.nodes()]
+    return rounded(spark.createDataFrame(found, "tree long, node long, feature string, cut double, share double"))
+
+
 def q_experiment_matrix(spark, sf_dir):
     """All 36 cells of phase 1 (4 balancers x 9 classifiers), balanced tables shared, ranked by avg TPR."""
     return _phase(spark, sf_dir, 1)
@@ -150,6 +182,9 @@ QUERIES = {
     "mlp_cell": q_mlp_cell,
     "smote_logistic_cell": q_smote_logistic_cell,
     "grid_search_scores": q_grid_search_scores,
+    "naive_bayes_grid_scores": q_naive_bayes_grid_scores,
+    "phase2_naive_bayes_cells": q_phase2_naive_bayes_cells,
+    "extra_trees_splits": q_extra_trees_splits,
     "experiment_matrix": q_experiment_matrix,
     "phase2_matrix": q_phase2_matrix,
     "phase3_band_counts": q_phase3_band_counts,
