@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import arrowtext as A
 from tessera.llm.tables import body, packed
-from tessera.session import ship_package
+from tessera.session import cut_lineage, ship_package
 
 # Production parameters.
 WINDOW_WORDS = 10
@@ -285,19 +285,20 @@ def without_spans(raw: Column, spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str | None = None, **options) -> DataFrame:
     """``docs`` with the benchmark windows cut out of its texts; documents with no words left go.
 
-    Clean documents come back as they are, also those without words. The
-    column ``length``, if named, is set to the new number of characters of a
-    text that was cut.
+    A cut joins the words around it, so cut texts are searched again until
+    nothing is hit; a round takes at least a word from each text it reads, and
+    only texts cut in the round before are read again. Clean documents come
+    back as they are, also those without words. The column ``length``, if
+    named, is set to the new number of characters of a text that was cut.
     """
-    found = find_contamination(docs, benchmark, text=text, **options).filter("hit.n_hit < hit.n_words OR hit.n_hit = 0")
-    cut = F.col("hit.n_hit") > 0
-    found = found.withColumn("cut", F.when(cut, without_spans(body(F.col(f"doc.`{text}`")), F.col("hit.spans"))))
-    columns = []
-    for c in docs.columns:
-        own = F.col(f"doc.`{c}`")
-        if c == text:
-            own = F.when(cut, F.col("cut")).otherwise(own)
-        elif c == length:
-            own = F.when(cut, F.char_length("cut")).otherwise(own).cast(docs.schema[c].dataType)
-        columns.append(own.alias(c))
-    return found.select(*columns)
+    done, rest = None, docs
+    while True:
+        found = cut_lineage(find_contamination(rest, benchmark, text=text, **options), "decontaminated")
+        clean = found.filter("hit.n_hit = 0").select("doc.*")
+        done = clean if done is None else done.unionByName(clean)
+        found = found.filter("hit.n_hit > 0 AND hit.n_hit < hit.n_words")
+        if found.isEmpty():
+            return done
+        found = found.withColumn("cut", without_spans(body(F.col(f"doc.`{text}`")), F.col("hit.spans")))
+        new = {text: F.col("cut"), length: F.char_length("cut")}
+        rest = found.select(*[new.get(c, F.col(f"doc.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -76,6 +76,21 @@ def test_decontamination(spark, docs, messy):
     assert fm_index.decontaminate(messy, items.limit(0)).count() == messy.count()
 
 
+def test_decontamination_leaves_nothing_across_cuts(spark):
+    ten = "a b c d e f g h i j"
+    items = spark.createDataFrame([(1, ten), (2, "red blue"), (3, "up down"), (4, "one two")], "item_id long, text string")
+    rows = [(1, f"start red {ten} blue end", 0, "x"), (2, f"one up red {ten} blue down two", 0, "y"), (3, f"keep up red {ten} blue down tail", 0, None),
+            (4, "clean text", 10, "z"), (5, None, None, "w"), (6, f"red {ten} green", 0, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, hit string")
+    for block in (1 << 20, 1):
+        out = {r.doc_id: r for r in fm_index.decontaminate(docs, items, length="n_chars", block_bytes=block).collect()}
+        assert set(out) == {1, 3, 4, 5, 6}  # nothing is left of document 2
+        left = {k: (r.text or "").split() for k, r in out.items()}
+        assert left == {1: ["start", "end"], 3: ["keep", "tail"], 4: ["clean", "text"], 5: [], 6: ["red", "green"]}
+        assert out[4].text == "clean text" and out[4].n_chars == 10 and out[4].hit == "z" and out[5].n_chars is None
+        assert all(out[k].n_chars == len(out[k].text) for k in (1, 3, 6))
+
+
 def test_fm_index_counts_and_places():
     rng = np.random.default_rng(1)
     text = np.concatenate([rng.integers(1, 4, 400), [0]])
