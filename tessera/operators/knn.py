@@ -13,7 +13,9 @@ Plan, all on Spark:
    one value holds a third of the table.
 3. Pass A: each query is matched against its own slab -> an upper bound
    on its k-th distance. Pass B: it visits only the slabs whose t-range
-   lies within that bound (a contiguous run of slabs). Candidates of both
+   lies within that bound (a contiguous run of slabs), and a block returns
+   only candidates within it, so few rows beyond k per query are shuffled,
+   however many blocks it visits. Candidates of both
    passes are merged with a window per query ordered by (distance, ref id).
 
 Within a group, numpy screens candidates with one matrix product
@@ -99,6 +101,7 @@ def _local_topk(k: int, metric: str, exclude_self: bool, chunk_cells: int = 4_00
         qid = qpdf["_qid"].to_numpy(dtype=np.int64)
         rid = rpdf["_rid"].to_numpy(dtype=np.int64)
         qv = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
+        bound = qpdf["_bound"].to_numpy(dtype=np.float64)
         rv = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
         r_sq = np.einsum("ij,ij->i", rv, rv)
         step = max(1, chunk_cells // max(1, len(rid)))
@@ -113,7 +116,7 @@ def _local_topk(k: int, metric: str, exclude_self: bool, chunk_cells: int = 4_00
             rows, cols, dd = rows[order], cols[order], dd[order]
             first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.array([], dtype=int)
             pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-            sel = pos < k
+            sel = (pos < k) & (dd <= bound[s:s + step][rows])
             oq.append(qid[s:s + step][rows[sel]])
             orr.append(rid[cols[sel]])
             od.append(dd[sel])
@@ -169,7 +172,7 @@ class _Slabs:
 
 def _block_topk(visits: DataFrame, refs_slabbed: DataFrame, slabs: _Slabs, k: int, metric: str,
                 exclude_self: bool, block_rows: int, vcount: dict | None = None) -> DataFrame:
-    """Local top-k candidates for every (query, visited slab) pair (None when nothing is visited).
+    """Local top-k candidates, none beyond the query's ``_bound``, for every (query, visited slab) pair (None when nothing is visited).
 
     ``vcount`` (visitors per slab) is computed with one small aggregate unless the caller knows it.
     """
@@ -185,7 +188,7 @@ def _block_topk(visits: DataFrame, refs_slabbed: DataFrame, slabs: _Slabs, k: in
     q = (visits.join(F.broadcast(tab), "_slab")
          .withColumn("_qc", F.pmod(F.xxhash64("_qid"), F.col("_qchunks")).cast("int"))
          .withColumn("_rc", F.explode(F.sequence(F.lit(0), F.col("_rchunks") - 1)))
-         .select("_slab", "_rc", "_qc", "_qid", "_qv"))
+         .select("_slab", "_rc", "_qc", "_qid", "_qv", "_bound"))
     r = (refs_slabbed.join(F.broadcast(tab), "_slab")
          .withColumn("_rc", F.pmod(F.xxhash64("_rid"), F.col("_rchunks")).cast("int"))
          .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_qchunks") - 1)))
@@ -258,7 +261,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     # pass A: own slab (with a single slab this is already the whole answer)
     known = ({0: n_q} if slabs.size == 1 else
              {i: c for i, c in enumerate(slabs.n)} if same else None)
-    cand_a = _block_topk(q.select("_qid", "_qv", "_slab"), r_slabbed, slabs, k, metric, exclude_self, block_rows,
+    cand_a = _block_topk(q.select("_qid", "_qv", F.lit(float("inf")).alias("_bound"), "_slab"), r_slabbed, slabs, k, metric, exclude_self, block_rows,
                          vcount=known)
     if cand_a is None:
         return q.sparkSession.createDataFrame([], "qid long, rank long, rid long, distance double")
@@ -267,6 +270,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
         top_a = cut_lineage(top_a, "knn-pass-a")      # k rows per query; feeds the bound and the merge
         bound = top_a.groupBy("_qid").agg(F.max("_d").alias("_dk"), F.count(F.lit(1)).alias("_nk"))
         dist_k = F.when(F.col("_nk") >= k, F.col("_dk")).otherwise(F.lit(float("inf")))
+        bound = bound.withColumn("_bound", dist_k)
         if metric == "euclidean":
             dist_k = F.sqrt(dist_k)            # candidates carry squared distances
         # float safety: t is a rounded dot product, so widen the reach a little (only adds work)
@@ -282,7 +286,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
         last = F.least(F.lit(slabs.size - 1), F.col("_ib").cast("int"))
         visits_b = (qb.withColumn("_vs", F.explode(F.sequence(first, F.greatest(first, last))))
                     .filter(F.col("_vs") != F.col("_slab"))
-                    .select("_qid", "_qv", F.col("_vs").alias("_slab")))
+                    .select("_qid", "_qv", F.coalesce("_bound", F.lit(float("inf"))).alias("_bound"), F.col("_vs").alias("_slab")))
         cand_b = _block_topk(visits_b, r_slabbed, slabs, k, metric, exclude_self, block_rows)
         if cand_b is not None:
             top_a = (top_a.select(*CAND_COLS).unionByName(cand_b)

@@ -125,3 +125,5 @@ keep AS (SELECT qid FROM av ORDER BY avg_d, qid LIMIT (SELECT n_min FROM cnt))""
     "knn_classifier_uniform": _knn_cls("uniform"),
     "knn_classifier_distance": _knn_cls("distance"),
 }
+ORACLES |= {name + tail: ORACLES[name + tail.replace("_blocks", "")] for name, tail in (
+    ("knn_join", "_blocks_euclidean"), ("knn_join", "_blocks_manhattan"), ("adasyn", "_blocks"), ("tomek_links", "_blocks"), ("near_miss", "_blocks"))}

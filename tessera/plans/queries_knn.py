@@ -78,6 +78,37 @@ def q_balance_fallback_report(spark, sf_dir):
     return B.balanced_counts(out, name)
 
 
+#: Rows of a block in the queries that run the many-block plan on a small table.
+SMALL_BLOCK = 64
+
+
+def q_knn_join_blocks_euclidean(spark, sf_dir):
+    """K1 through many blocks: slabs, pass A and the visits of pass B."""
+    e = _emb(spark, sf_dir)
+    return rounded(knn_join(e, e, 5, exclude_self=True, block_rows=SMALL_BLOCK))
+
+
+def q_knn_join_blocks_manhattan(spark, sf_dir):
+    """K2 through many blocks."""
+    e = _emb(spark, sf_dir)
+    return rounded(knn_join(e, e, 5, metric="manhattan", exclude_self=True, block_rows=SMALL_BLOCK))
+
+
+def q_adasyn_blocks(spark, sf_dir):
+    """B5 on the many-block neighbour join."""
+    return rounded(_vec_summary(B.adasyn(_emb(spark, sf_dir), seed=42, block_rows=SMALL_BLOCK)))
+
+
+def q_tomek_links_blocks(spark, sf_dir):
+    """B6 on the many-block neighbour join."""
+    return B.tomek_links(_emb(spark, sf_dir), block_rows=SMALL_BLOCK)
+
+
+def q_near_miss_blocks(spark, sf_dir):
+    """B8 on the many-block neighbour join."""
+    return B.near_miss(_emb(spark, sf_dir), block_rows=SMALL_BLOCK // 4).select("id", "label")
+
+
 def _knn_scores(spark, sf_dir, weights):
     e = _emb(spark, sf_dir)
     sp = stratified_split(e, "label", "id", 0.3, 42)
@@ -107,6 +138,11 @@ QUERIES = {
     "smote_tomek": q_smote_tomek,
     "near_miss": q_near_miss,
     "balance_fallback_report": q_balance_fallback_report,
+    "knn_join_blocks_euclidean": q_knn_join_blocks_euclidean,
+    "knn_join_blocks_manhattan": q_knn_join_blocks_manhattan,
+    "adasyn_blocks": q_adasyn_blocks,
+    "tomek_links_blocks": q_tomek_links_blocks,
+    "near_miss_blocks": q_near_miss_blocks,
     "knn_classifier_uniform": q_knn_classifier_uniform,
     "knn_classifier_distance": q_knn_classifier_distance,
 }

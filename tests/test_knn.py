@@ -47,3 +47,15 @@ def test_hot_duplicate_point(spark):
 def test_queries_against_other_table(spark):
     rng = np.random.default_rng(4)
     _check(spark, rng.normal(size=(80, 4)), 3, "euclidean", 9, queries=rng.normal(size=(30, 4)))
+
+
+def test_pass_b_returns_only_candidates_within_the_bound(spark, monkeypatch):
+    """Two far clusters and ties at the bound: equal to brute force, with few candidates beyond k."""
+    from tessera.operators import knn
+    rng = np.random.default_rng(4)
+    pts = np.vstack([np.round(rng.normal(size=(120, 3)) * 2), np.round(rng.normal(size=(60, 3))) + 500])
+    seen, block_topk = [], knn._block_topk
+    monkeypatch.setattr(knn, "_block_topk", lambda *a, **k: seen.append(block_topk(*a, **k)) or seen[-1])
+    _check(spark, pts, 4, "euclidean", 16)
+    own, others = (c.count() for c in seen)
+    assert own <= 180 * 4 * 2 and others < 180 * 4 * 4
