@@ -19,6 +19,9 @@ rows of smaller nodes then meet in one task each, which grows the rest. Both
 ways give the same trees. A fitted forest (17 bytes and a value for each node)
 is held by the driver and broadcast to score, as Spark's own forests are.
 Ids are unique; a table without rows of both classes gives trees of one leaf.
+
+What a node does is its forest's ``rule``; ``exact_trees`` brings another one
+(the best cut of all, on bootstrapped rows) and shares the rest.
 """
 
 from __future__ import annotations
@@ -56,14 +59,47 @@ class Forest:
     def limit(self) -> tuple[int, int]:
         return (1 << 30 if self.depth is None else self.depth), max(2, self.min_split)
 
+    @property
+    def rule(self) -> RandomCuts:
+        return RandomCuts(self.features)
+
+
+@dataclass(frozen=True)
+class RandomCuts:
+    """How extra trees split: a random cut in each of ``features`` drawn columns; every row counts once."""
+
+    features: int
+
+    def weights(self, key: np.uint64, ids: np.ndarray) -> np.ndarray:
+        return np.ones(len(ids), np.int64)
+
+    def grow(self, x, y, weights, rows, at, keys, depths, limit) -> Nodes:
+        return grow(x, y, rows, at, keys, depths, self.features, limit)
+
+    def splits(self, data: DataFrame, tops: list[_Top], opened: dict) -> dict:
+        """(top, node) -> (column, cut, rows, weight and positive weight up to the cut) of the nodes that find a split."""
+        drawn, out = {}, {}
+        for (m, node), (_, n, pos, lo, hi) in opened.items():
+            columns, cuts = drawn_cuts(np.array([tops[m].key[node]], np.uint64), lo[None], hi[None], self.features)
+            if columns[0, 0] >= 0:
+                drawn[m, node] = columns[0][columns[0] >= 0], cuts[0][columns[0] >= 0]
+        for place, (nl, pl) in (_lefts(data, tops, drawn) if drawn else {}).items():
+            columns, cuts = drawn[place]
+            best = int(purest(np.array([opened[place][1]]), np.array([opened[place][2]]), nl[None], pl[None], columns[None])[0])
+            out[place] = int(columns[best]), float(cuts[best]), int(nl[best]), int(nl[best]), int(pl[best])
+        return out
+
 
 @dataclass
 class Nodes:
-    """Nodes of some trees, roots first; the children of an inner node (``feature`` not negative) are ``left`` and the one after."""
+    """Nodes of some trees, roots first; the children of an inner node (``feature`` not negative) are ``left`` and the one after.
+
+    ``size`` counts rows, ``n`` and ``pos`` their weights."""
 
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
+    size: np.ndarray
     n: np.ndarray
     pos: np.ndarray
     depth: np.ndarray
@@ -134,7 +170,7 @@ def grow(x: np.ndarray, y: np.ndarray, rows: np.ndarray, at: np.ndarray, keys: n
             child = 2 * (np.cumsum(cuts_made) - 1)[at] + ~below[place, best[at]]
             rows, at = rows[cuts_made[at]], child[cuts_made[at]]
             ahead, ahead_depths = children_keys(keys[split]), np.repeat(depths[split] + 1, 2)
-        levels.append((feature, cut, left, n, pos, depths, keys))
+        levels.append((feature, cut, left, n, n, pos, depths, keys))
         base, keys, depths = base + m, ahead, ahead_depths
     return Nodes(*(np.concatenate(c) for c in zip(*levels)))
 
@@ -146,7 +182,7 @@ def held_values(nodes: Nodes, x: np.ndarray, at: np.ndarray, limits: list[tuple[
     while len(rows):
         inner = nodes.feature[at] >= 0
         for v, (depth, split) in enumerate(limits):
-            stop = (~inner | (nodes.depth[at] >= depth) | (nodes.n[at] < split)) & np.isnan(out[v, rows])
+            stop = (~inner | (nodes.depth[at] >= depth) | (nodes.size[at] < split)) & np.isnan(out[v, rows])
             out[v, rows[stop]] = value[at[stop]]
         rows, at = rows[inner], at[inner]
         at = nodes.left[at] + ~(x[rows, nodes.feature[at]] <= nodes.cut[at])
@@ -241,7 +277,7 @@ def _jobs(folds: Iterable[int], stages: list[int], together: int) -> list[_Job]:
     return out
 
 
-def _local(data: DataFrame, jobs: list[_Job], k: int, limit, limits, seed: int) -> DataFrame:
+def _local(data: DataFrame, jobs: list[_Job], rule, limit, limits, seed: int) -> DataFrame:
     """Held-out values (with ``limits``) or trees of the jobs, on a table of at most ``LOCAL_ROWS`` rows."""
     spark = data.sparkSession
     table = data.orderBy("id").toArrow()
@@ -251,9 +287,12 @@ def _local(data: DataFrame, jobs: list[_Job], k: int, limit, limits, seed: int)
         ids, x, y, fold = shared.value
         for number in (j for b in batches for j in b.column("id").to_pylist()):
             job = jobs[number]
-            used, held = np.flatnonzero(fold != job.fold), np.flatnonzero(fold == job.fold)
+            held = np.flatnonzero(fold == job.fold)
             for tree in range(job.first, job.last):
-                nodes = grow(x, y, used, np.zeros(len(used), np.int64), np.array([tree_key(seed, tree)]), np.zeros(1, np.int64), k, limit)
+                key = tree_key(seed, tree)
+                weights = rule.weights(key, ids)
+                used = np.flatnonzero((fold != job.fold) & (weights > 0))
+                nodes = rule.grow(x, y, weights, used, np.zeros(len(used), np.int64), np.array([key]), np.zeros(1, np.int64), limit)
                 if limits is None:
                     yield _grown_row(tree, 0, nodes)
                     continue
@@ -270,12 +309,12 @@ class _Top:
 
     def __init__(self, fold: int, tree: int, stage: int, key: np.uint64):
         self.fold, self.tree, self.stage = fold, tree, stage
-        self.feature, self.cut, self.left, self.n, self.pos, self.depth, self.key, self.above = [-1], [0.0], [0], [-1], [0], [0], [key], [-1]
+        self.feature, self.cut, self.left, self.size, self.n, self.pos, self.depth, self.key, self.above = [-1], [0.0], [0], [-1], [-1], [0], [0], [key], [-1]
         self.open, self.local = [0], []
 
     def nodes(self) -> Nodes:
-        return Nodes(*(np.array(c, t) for c, t in ((self.feature, np.int32), (self.cut, np.float64), (self.left, np.int32), (self.n, np.int64),
-                                                    (self.pos, np.int64), (self.depth, np.int64), (self.key, np.uint64))))
+        return Nodes(*(np.array(c, t) for c, t in ((self.feature, np.int32), (self.cut, np.float64), (self.left, np.int32), (self.size, np.int64),
+                                                    (self.n, np.int64), (self.pos, np.int64), (self.depth, np.int64), (self.key, np.uint64))))
 
     def reached(self, x: np.ndarray) -> np.ndarray:
         at, feature, cut, left = np.zeros(len(x), np.int64), *(np.array(c) for c in (self.feature, self.cut, self.left))
@@ -286,45 +325,46 @@ class _Top:
             rows = rows[feature[at[rows]] >= 0]
         return at
 
-    def split(self, node: int, feature: int, cut: float, nl: int, pl: int) -> None:
+    def split(self, node: int, feature: int, cut: float, rows: int, nl: int, pl: int) -> None:
         self.feature[node], self.cut[node], self.left[node] = feature, cut, len(self.feature)
         keys = children_keys(np.array([self.key[node]], np.uint64))
-        for key, n, pos in zip(keys, (nl, self.n[node] - nl), (pl, self.pos[node] - pl)):
-            for column, v in ((self.feature, -1), (self.cut, 0.0), (self.left, 0), (self.n, n), (self.pos, pos), (self.depth, self.depth[node] + 1), (self.key, key),
+        for key, size, n, pos in zip(keys, (rows, self.size[node] - rows), (nl, self.n[node] - nl), (pl, self.pos[node] - pl)):
+            for column, v in ((self.feature, -1), (self.cut, 0.0), (self.left, 0), (self.size, size), (self.n, n), (self.pos, pos), (self.depth, self.depth[node] + 1), (self.key, key),
                               (self.above, node)):
                 column.append(v)
             self.open.append(len(self.feature) - 1)
 
 
-def _ranges(data: DataFrame, tops: list[_Top]) -> dict:
-    """(top, node) -> (rows, positives, minima, maxima) of the open nodes."""
+def _ranges(data: DataFrame, tops: list[_Top], rule) -> dict:
+    """(top, node) -> (rows, weight, positive weight, minima, maxima) of the open nodes."""
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y, fold = _matrix(b), b.column("label").to_numpy(), b.column("fold").to_numpy()
+            x, y, fold, ids = _matrix(b), b.column("label").to_numpy(), b.column("fold").to_numpy(), b.column("id").to_numpy()
             for m, top in enumerate(tops):
                 if not top.open:
                     continue
-                at = top.reached(x)
+                at, weights = top.reached(x), rule.weights(top.key[0], ids)
                 for node in top.open:
-                    mine = (at == node) & (fold != top.fold)
+                    mine = (at == node) & (fold != top.fold) & (weights > 0)
                     if mine.any():
-                        v = x[mine]
+                        v, w = x[mine], weights[mine]
                         d = v.shape[1]
                         yield _table({"top": np.full(d, m, np.int32), "node": np.full(d, node, np.int32), "col": np.arange(d, dtype=np.int32), "lo": v.min(0), "hi": v.max(0),
-                                      "n": np.full(d, len(v), np.int64), "pos": np.full(d, int(y[mine].sum()), np.int64)})
+                                      "size": np.full(d, len(v), np.int64), "n": np.full(d, w.sum(), np.int64), "pos": np.full(d, w @ y[mine], np.int64)})
 
-    parts = data.mapInArrow(run, "top int, node int, col int, lo double, hi double, n long, pos long")
+    parts = data.mapInArrow(run, "top int, node int, col int, lo double, hi double, size long, n long, pos long")
     # Spark's min passes NaN over and numpy's does not: such a column is left out of the draw either way
     spoilt = F.max((F.isnan("lo") | F.isnan("hi")).cast("int")).alias("nan")
+    sums = [F.sum(c).alias(c) for c in ("size", "n", "pos")]
     found: dict = {}
-    for r in parts.groupBy("top", "node", "col").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.sum("pos").alias("pos"), spoilt).collect():
-        found.setdefault((r["top"], r["node"]), []).append((r["col"], np.nan if r["nan"] else r["lo"], r["hi"], r["n"], r["pos"]))
+    for r in parts.groupBy("top", "node", "col").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *sums, spoilt).collect():
+        found.setdefault((r["top"], r["node"]), []).append((r["col"], np.nan if r["nan"] else r["lo"], r["hi"], r["size"], r["n"], r["pos"]))
     out = {}
     for place, columns in found.items():
         columns.sort()
-        out[place] = columns[0][3], columns[0][4], np.array([c[1] for c in columns]), np.array([c[2] for c in columns])
+        out[place] = *columns[0][3:], np.array([c[1] for c in columns]), np.array([c[2] for c in columns])
     return out
 
 
@@ -351,30 +391,27 @@ def _lefts(data: DataFrame, tops: list[_Top], drawn: dict) -> dict:
     return out
 
 
-def _grow_tops(data: DataFrame, tops: list[_Top], k: int, limit: tuple[int, int]) -> None:
+def _grow_tops(data: DataFrame, tops: list[_Top], rule, limit: tuple[int, int]) -> None:
     while any(t.open for t in tops):
-        drawn = {}
-        for (m, node), (n, pos, lo, hi) in _ranges(data, tops).items():
-            top = tops[m]
-            top.n[node], top.pos[node] = n, pos
-            if n <= LOCAL_ROWS:
+        opened = {}
+        for (m, node), found in _ranges(data, tops, rule).items():
+            top, (size, n, pos) = tops[m], found[:3]
+            top.size[node], top.n[node], top.pos[node] = size, n, pos
+            if size <= LOCAL_ROWS:
                 top.local.append(node)
-            elif 0 < pos < n and n >= limit[1] and top.depth[node] < limit[0]:
-                columns, cuts = drawn_cuts(np.array([top.key[node]], np.uint64), lo[None], hi[None], k)
-                if columns[0, 0] >= 0:
-                    drawn[m, node] = columns[0][columns[0] >= 0], cuts[0][columns[0] >= 0]
-        lefts = _lefts(data, tops, drawn) if drawn else {}
+            elif 0 < pos < n and size >= limit[1] and top.depth[node] < limit[0]:
+                opened[m, node] = found
+        splits = rule.splits(data, tops, opened) if opened else {}
         for top in tops:
             top.open = []
-        for (m, node), (nl, pl) in lefts.items():
-            top, (columns, cuts) = tops[m], drawn[m, node]
-            best = int(purest(np.array([top.n[node]]), np.array([top.pos[node]]), nl[None], pl[None], columns[None])[0])
-            top.split(node, int(columns[best]), float(cuts[best]), int(nl[best]), int(pl[best]))
-            top.local += [c for c in top.open[-2:] if top.n[c] <= LOCAL_ROWS]
-            top.open[-2:] = [c for c in top.open[-2:] if top.n[c] > LOCAL_ROWS]
+        for (m, node), split in splits.items():
+            top = tops[m]
+            top.split(node, *split)
+            top.local += [c for c in top.open[-2:] if top.size[c] <= LOCAL_ROWS]
+            top.open[-2:] = [c for c in top.open[-2:] if top.size[c] > LOCAL_ROWS]
 
 
-def _finished(data: DataFrame, tops: list[_Top], k: int, limit, limits) -> DataFrame:
+def _finished(data: DataFrame, tops: list[_Top], rule, limit, limits) -> DataFrame:
     """Held-out values (with ``limits``) or the parts of trees below the local nodes."""
     def routed(batches):
         for b in batches:
@@ -392,8 +429,9 @@ def _finished(data: DataFrame, tops: list[_Top], k: int, limit, limits) -> DataF
         m, node = (v.as_py() for v in key)
         top, x, y = tops[m], _matrix(table), table.column("label").to_numpy()
         held = table.column("held").to_numpy(zero_copy_only=False)
-        used = np.flatnonzero(~held)
-        nodes = grow(x, y, used, np.zeros(len(used), np.int64), np.array([top.key[node]], np.uint64), np.array([top.depth[node]]), k, limit)
+        weights = rule.weights(top.key[0], table.column("id").to_numpy())
+        used = np.flatnonzero(~held & (weights > 0))
+        nodes = rule.grow(x, y, weights, used, np.zeros(len(used), np.int64), np.array([top.key[node]], np.uint64), np.array([top.depth[node]]), limit)
         if limits is None:
             return pa.Table.from_batches([_grown_row(top.tree, node, nodes)])
         p = held_values(nodes, x[held], np.zeros(int(held.sum()), np.int64), limits)
@@ -424,7 +462,7 @@ def _above(top: _Top, node: int, p: np.ndarray, limits) -> None:
         path.append(top.above[path[-1]])
     for v, (depth, split) in enumerate(limits):
         for a in reversed(path[1:]):
-            if top.depth[a] >= depth or top.n[a] < split:
+            if top.depth[a] >= depth or top.size[a] < split:
                 p[v] = top.pos[a] / top.n[a]
                 break
 
@@ -438,15 +476,15 @@ def _prepared(data: DataFrame) -> tuple[DataFrame, int]:
     return data, rows
 
 
-def _run(data: DataFrame, rows: int, folds: Iterable[int], stages: list[int], k: int, limit, limits, seed: int) -> Iterator[tuple[DataFrame, list[_Top]]]:
+def _run(data: DataFrame, rows: int, folds: Iterable[int], stages: list[int], rule, limit, limits, seed: int) -> Iterator[tuple[DataFrame, list[_Top]]]:
     """Held-out values or trees, a table for each set of trees that grows together."""
     if rows <= LOCAL_ROWS:
-        yield _local(data, _jobs(folds, stages, TREES_A_TASK), k, limit, limits, seed), []
+        yield _local(data, _jobs(folds, stages, TREES_A_TASK), rule, limit, limits, seed), []
         return
     for job in _jobs(folds, stages, TREES_TOGETHER):
         tops = [_Top(job.fold, t, job.stage, tree_key(seed, t)) for t in range(job.first, job.last)]
-        _grow_tops(data, tops, k, limit)
-        yield cut_lineage(_finished(data, tops, k, limit, limits), "extra-trees-part"), tops
+        _grow_tops(data, tops, rule, limit)
+        yield cut_lineage(_finished(data, tops, rule, limit, limits), "extra-trees-part"), tops
 
 
 def fit(data: DataFrame, spec: Forest, seed: int = 42) -> Grown:
@@ -454,7 +492,7 @@ def fit(data: DataFrame, spec: Forest, seed: int = 42) -> Grown:
     ship_package(data.sparkSession)
     data, rows = _prepared(data)
     pieces = []
-    for part, tops in _run(data, rows, [-1], [spec.trees], spec.features, spec.limit, None, seed):
+    for part, tops in _run(data, rows, [-1], [spec.trees], spec.rule, spec.limit, None, seed):
         below = {(r["tree"], r["node"]): tuple(np.frombuffer(r[c], t) for c, t in (("feature", np.int32), ("cut", np.float64), ("left", np.int32), ("value", np.float64)))
                  for r in part.collect()}
         pieces += [_joined(top, below) for top in tops] or [below[tree, 0] for tree in range(spec.trees)]
@@ -482,12 +520,12 @@ def search(data: DataFrame, points: list[Forest], folds: int, seed: int = 42) ->
     ship_package(data.sparkSession)
     ready, rows = _prepared(data)
     found: dict = {}
-    for k in dict.fromkeys(p.features for p in points):
-        own = [p for p in points if p.features == k]
+    for rule in dict.fromkeys(p.rule for p in points):
+        own = [p for p in points if p.rule == rule]
         limits, stages = list(dict.fromkeys(p.limit for p in own)), sorted({p.trees for p in own})
         widest = max(d for d, _ in limits), min(s for _, s in limits)
         values = None
-        for part, _ in _run(ready, rows, range(folds), stages, k, widest, limits, seed):
+        for part, _ in _run(ready, rows, range(folds), stages, rule, widest, limits, seed):
             values = part if values is None else values.unionByName(part)
         # a set of trees counts in every stage from its own on
         each = values.withColumn("stage", F.explode(F.sequence("stage", F.lit(len(stages) - 1))))
@@ -500,7 +538,7 @@ def search(data: DataFrame, points: list[Forest], folds: int, seed: int = 42) ->
         for r in sums.groupBy("fold", "stage").agg(*counts).collect():
             for v, lim in enumerate(limits):
                 tp, fp, fn = r[f"tp{v}"], r[f"fp{v}"], r[f"fn{v}"]
-                found.setdefault((k, stages[r["stage"]], lim), {})[r["fold"]] = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
-    scores = [sum(found[p.features, p.trees, p.limit].values()) / folds for p in points]
+                found.setdefault((rule, stages[r["stage"]], lim), {})[r["fold"]] = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+    scores = [sum(found[p.rule, p.trees, p.limit].values()) / folds for p in points]
     best = max(range(len(points)), key=lambda i: (scores[i], -i))
     return best, scores, fit(ready, points[best], seed)

@@ -8,11 +8,8 @@ losses, Spark averages them):
 
 * C (inverse regularisation)  -> regParam = 1 / (C * n_rows)
 * penalty l1 / l2             -> elasticNetParam 1 / 0
-* max_depth None              -> maxDepth 30 (Spark's cap)
-* min_samples_leaf            -> minInstancesPerNode
-* n_estimators                -> numTrees / maxIter
-* max_features sqrt/log2/None -> featureSubsetStrategy sqrt/log2/all
-* extra-trees                 -> ``extra_trees`` (a random cut per node, one forest for all grid points)
+* decision tree, forest       -> ``exact_trees`` (the best of all cuts per node, one forest for all grid points)
+* extra-trees                 -> ``extra_trees`` (a random cut per node, the same passes)
 * boosting                    -> ``boosting`` (all grid points and folds in the same passes)
 """
 
@@ -22,8 +19,7 @@ import math
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
@@ -32,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import extra_trees
 from .boosting import Boosting, fit_together, search
+from .exact_trees import ExactForest
 from .knn import knn_join
 from .naive_bayes import GaussianNB, HasScoreCol, as_array, as_vector
 from .sampling import stratified_folds
@@ -40,9 +37,9 @@ MAX_DEPTH = 30
 
 
 def depth(d) -> int:
-    """Spark's depth for a grid value: None means the deepest tree Spark grows; deeper ones are refused."""
+    """Depth of boosted trees for a grid value: None means the deepest that boosting numbers; deeper ones are refused."""
     if d is not None and int(d) > MAX_DEPTH:
-        raise ValueError(f"maxDepth {d} is above {MAX_DEPTH}, the deepest tree that Spark grows")
+        raise ValueError(f"maxDepth {d} is above {MAX_DEPTH}, the deepest boosted tree")
     return MAX_DEPTH if d is None else int(d)
 
 
@@ -108,52 +105,6 @@ class SkLogisticRegression(_Wrapped):
                                   maxIter=self.getOrDefault(self.maxIter))
 
 
-class SkDecisionTree(_Wrapped):
-    """M3: max_depth, min_samples_leaf, criterion gini/entropy."""
-    maxDepth = _p("maxDepth", "depth, None = unlimited (30)", TypeConverters.identity)
-    minSamplesLeaf = _p("minSamplesLeaf", "rows per leaf", TypeConverters.toInt)
-    criterion = _p("criterion", "gini or entropy", TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, *, maxDepth=None, minSamplesLeaf=1, criterion="gini", featuresCol="features",
-                 labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
-        super().__init__()
-        self._setDefault(maxDepth=None, minSamplesLeaf=1, criterion="gini", seed=42)
-        self._set(**self._input_kwargs)
-
-    def _spark_estimator(self, n):
-        return DecisionTreeClassifier(maxDepth=depth(self.getOrDefault(self.maxDepth)),
-                                      minInstancesPerNode=self.getOrDefault(self.minSamplesLeaf),
-                                      impurity=self.getOrDefault(self.criterion), seed=self.getOrDefault(self.seed),
-                                      maxBins=64)
-
-
-class SkRandomForest(_Wrapped):
-    """M4: n_estimators, max_depth, min_samples_leaf, max_features sqrt/log2/None, bootstrap."""
-    nEstimators = _p("nEstimators", "trees", TypeConverters.toInt)
-    maxDepth = _p("maxDepth", "depth", TypeConverters.identity)
-    minSamplesLeaf = _p("minSamplesLeaf", "rows per leaf", TypeConverters.toInt)
-    maxFeatures = _p("maxFeatures", "sqrt, log2 or None", TypeConverters.identity)
-    bootstrap = _p("bootstrap", "sample rows per tree", TypeConverters.toBoolean)
-
-    @keyword_only
-    def __init__(self, *, nEstimators=100, maxDepth=None, minSamplesLeaf=1, maxFeatures="sqrt", bootstrap=True,
-                 featuresCol="features", labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
-        super().__init__()
-        self._setDefault(nEstimators=100, maxDepth=None, minSamplesLeaf=1, maxFeatures="sqrt", bootstrap=True,
-                         seed=42)
-        self._set(**self._input_kwargs)
-
-    def _spark_estimator(self, n):
-        mf = self.getOrDefault(self.maxFeatures)
-        return RandomForestClassifier(numTrees=self.getOrDefault(self.nEstimators),
-                                      maxDepth=depth(self.getOrDefault(self.maxDepth)),
-                                      minInstancesPerNode=self.getOrDefault(self.minSamplesLeaf),
-                                      featureSubsetStrategy="all" if mf is None else str(mf),
-                                      bootstrap=self.getOrDefault(self.bootstrap),
-                                      seed=self.getOrDefault(self.seed), maxBins=64)
-
-
 class ExtraTrees(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
     """n_estimators, max_depth, min_samples_split, max_features. A grid search grows one forest per fold for all points."""
     nEstimators = _p("nEstimators", "trees", TypeConverters.toInt)
@@ -203,6 +154,43 @@ class ExtraTreesModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
         return self.grown.scored(dataset, as_array(dataset, self.getFeaturesCol()), self.getScoreCol(), self.getPredictionCol())
 
 
+class SkDecisionTree(ExtraTrees):
+    """M3: max_depth, min_samples_split, min_samples_leaf, criterion gini/entropy; the best of all cuts in every node."""
+    minSamplesLeaf = _p("minSamplesLeaf", "rows per leaf", TypeConverters.toInt)
+    criterion = _p("criterion", "gini or entropy", TypeConverters.toString)
+    _defaults = {"maxDepth": None, "minSamplesSplit": 2, "minSamplesLeaf": 1, "criterion": "gini"}
+
+    @keyword_only
+    def __init__(self, *, maxDepth=None, minSamplesSplit=2, minSamplesLeaf=1, criterion="gini", featuresCol="features",
+                 labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
+        own = dict(self._input_kwargs)
+        super().__init__()
+        self._set(**own)
+
+    def _point(self, columns, values=None):
+        v = {name: self.getOrDefault(name) for name in self._defaults} | (values or {})
+        return ExactForest(1, v["maxDepth"], int(v["minSamplesSplit"]), columns, int(v["minSamplesLeaf"]), v["criterion"])
+
+
+class SkRandomForest(ExtraTrees):
+    """M4: n_estimators, max_depth, min_samples_split, min_samples_leaf, max_features sqrt/log2/None, bootstrap (Poisson counts)."""
+    minSamplesLeaf = SkDecisionTree.minSamplesLeaf
+    bootstrap = _p("bootstrap", "sample rows per tree", TypeConverters.toBoolean)
+    _defaults = {"nEstimators": 100, "maxDepth": None, "minSamplesSplit": 2, "minSamplesLeaf": 1, "maxFeatures": "sqrt", "bootstrap": True}
+
+    @keyword_only
+    def __init__(self, *, nEstimators=100, maxDepth=None, minSamplesSplit=2, minSamplesLeaf=1, maxFeatures="sqrt", bootstrap=True,
+                 featuresCol="features", labelCol="label", predictionCol="prediction", scoreCol="score", seed=42):
+        own = dict(self._input_kwargs)
+        super().__init__()
+        self._set(**own)
+
+    def _point(self, columns, values=None):
+        v = {name: self.getOrDefault(name) for name in self._defaults} | (values or {})
+        drawn = super()._point(columns, values)
+        return ExactForest(drawn.trees, drawn.depth, drawn.min_split, drawn.features, int(v["minSamplesLeaf"]), "gini", bool(v["bootstrap"]))
+
+
 class SkGradientBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
     """M5: n_estimators, max_depth, learning_rate, subsample, min_samples_split. Grid searches fit all points and folds together."""
     nEstimators = _p("nEstimators", "boosting rounds", TypeConverters.toInt)

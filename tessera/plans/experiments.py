@@ -3,8 +3,7 @@
 Each phase is a list of cells (balancer, classifier, grid). Grids are
 written with the reference's parameter names and translated to our
 estimators by ``translate``; parameters with no Spark counterpart
-(solver, min_samples_split outside boosting, MLP alpha / activation /
-learning-rate schedule) are dropped and the grid is de-duplicated, so the
+(solver, MLP alpha / activation / learning-rate schedule) are dropped and the grid is de-duplicated, so the
 number of fits can be smaller than the reference's static count
 (``static_grid_points`` gives that count).
 """
@@ -119,8 +118,8 @@ FAMILY = {
 RENAME = {
     "lr": {"C": "C", "penalty": "penalty"},
     "knn": {"n_neighbors": "k", "weights": "weights", "metric": "metric"},
-    "dt": {"max_depth": "maxDepth", "min_samples_leaf": "minSamplesLeaf", "criterion": "criterion"},
-    "rf": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "min_samples_leaf": "minSamplesLeaf",
+    "dt": {"max_depth": "maxDepth", "min_samples_split": "minSamplesSplit", "min_samples_leaf": "minSamplesLeaf", "criterion": "criterion"},
+    "rf": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "min_samples_split": "minSamplesSplit", "min_samples_leaf": "minSamplesLeaf",
            "max_features": "maxFeatures"},
     "et": {"n_estimators": "nEstimators", "max_depth": "maxDepth", "min_samples_split": "minSamplesSplit",
            "max_features": "maxFeatures"},

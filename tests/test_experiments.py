@@ -21,7 +21,8 @@ def test_static_grid_points():
 
 def test_translate_drops_unsupported_and_dedupes():
     g = X.translate("C3_DecisionTree", X.PHASE1_GRIDS["C3_DecisionTree"])
-    assert g == {"maxDepth": [5, 10, 15, None], "criterion": ["gini", "entropy"]}
+    assert g == {"maxDepth": [5, 10, 15, None], "minSamplesSplit": [2, 5, 10], "criterion": ["gini", "entropy"]}
+    assert X.translate("C4_RandomForest", X.PHASE1_GRIDS["C4_RandomForest"])["minSamplesSplit"] == [2, 5]
     assert X.translate("C9_MLP", X.PHASE1_GRIDS["C9_MLP"]) == {"hidden": [[100], [50]]}
     assert X.translate("XGBoost_deep", X.PHASE3_DEEP["XGBoost_deep"]).keys() >= {"regAlpha", "regLambda", "colsample"}
     assert X.translate("GradientBoosting_deep", X.PHASE3_DEEP["GradientBoosting_deep"])["minSamplesSplit"] == [2, 5, 10]
