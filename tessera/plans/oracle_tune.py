@@ -1,7 +1,9 @@
-"""SQL oracles (DuckDB) of grid searches (G1, G2, G5, G6) through naive Bayes and of the splits of extra trees."""
+"""SQL oracles (DuckDB) of grid searches (G1, G2, G5, G6) through naive Bayes and of the splits of trees and forests."""
 
 from __future__ import annotations
 
+import math
+
 from .oracles import FEATURES, h, metrics_ctes, nb_ctes, prep_ctes, r6, result_select, undersample_ctes
 
 # fixed: the grids of the naive Bayes cells of phase 1, and of phase 2 by balancer
@@ -98,6 +100,65 @@ def _extra_trees() -> str:
     return "WITH " + ", ".join(parts) + "\n" + body
 
 
+# --- decision trees and random forests -----------------------------------------------------
+
+# fixed: trees, levels of splits and rows per leaf of the registered queries
+TREE_LEVELS, TREE_LEAF = 3, 1
+FOREST_TREES, FOREST_LEVELS, FOREST_LEAF = 12, 2, 5
+
+
+def _times_drawn(draw: str) -> str:
+    """Poisson(1) quantile of ``draw``: how many values of the distribution it has reached."""
+    reached, total = [], 0.0
+    for i in range(18):
+        total += math.exp(-1) / math.factorial(i)
+        reached.append(f"CAST({draw} >= '{total!r}'::DOUBLE AS BIGINT)")
+    return "(" + " + ".join(reached) + ")"
+
+
+def _best_cuts(trees: int, levels: int, drawn: int, leaf: int, bootstrap: bool) -> str:
+    """Nodes of trees whose nodes take the cut of least Gini impurity, from running counts over the values of each drawn column."""
+    parts = [prep_ctes() + _TT, undersample_ctes("trn", "bal", 42),
+             "long AS (" + " UNION ALL ".join(f"SELECT CONTROL, {c} AS col, CAST({f} AS DOUBLE) AS v FROM bal" for c, f in enumerate(FEATURES)) + ")",
+             f"nd0 AS (SELECT tree, 1 AS node, key FROM {_mixed(f'(SELECT range AS tree FROM range({trees}))', _u(f'{SEED << 32} + tree'), 'key')})"]
+    if bootstrap:
+        pairs = _mixed("bal", _u("CONTROL"), "own")
+        draws = _mixed(f"(SELECT tree, CONTROL, label, own, key FROM {pairs}, nd0)", "xor(own, key)", "draw")
+        parts.append(f"ro0 AS (SELECT * FROM (SELECT tree, 1 AS node, CONTROL, label, {_times_drawn('CAST(draw >> 11 AS DOUBLE) / 9007199254740992.0::DOUBLE')} AS w "
+                     f"FROM {draws}) WHERE w > 0)")
+    else:
+        parts.append("ro0 AS (SELECT tree, 1 AS node, CONTROL, label, 1 AS w FROM bal, nd0)")
+    stats = "count(*) AS size, sum(w) AS n, sum(w * label) AS pos"
+    for lv in range(levels):
+        running = "OVER (PARTITION BY tree, node, col ORDER BY v)"
+        parts += [
+            f"st{lv} AS (SELECT tree, node, {stats} FROM ro{lv} GROUP BY ALL)",
+            f"rg{lv} AS (SELECT tree, node, col, min(v) AS lo, max(v) AS hi FROM ro{lv} JOIN long USING (CONTROL) GROUP BY ALL)",
+            f"dr{lv} AS (SELECT tree, node, col FROM "
+            + _mixed(f"(SELECT * FROM rg{lv} JOIN nd{lv} USING (tree, node) JOIN st{lv} USING (tree, node) WHERE lo < hi AND pos > 0 AND pos < n)",
+                     f"xor(key, {_u('4 * (col + 1)')})", "turn")
+            + f" QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY turn >> 1, col) <= {drawn})",
+            f"ct{lv} AS (SELECT tree, node, col, v, {stats} FROM ro{lv} JOIN dr{lv} USING (tree, node) JOIN long USING (CONTROL, col) GROUP BY tree, node, col, v)",
+            f"ru{lv} AS (SELECT tree, node, col, v, lead(v) {running} AS nxt, sum(size) {running} AS rows_left, "
+            f"CAST(sum(n) {running} AS DOUBLE) AS nl, CAST(sum(pos) {running} AS DOUBLE) AS pl FROM ct{lv})",
+            f"sc{lv} AS (SELECT tree, node, col, v, v / 2 + nxt / 2 AS cut, floor(((pl * pl + (nl - pl) * (nl - pl)) / nl "
+            f"+ ((pos - pl) * (pos - pl) + (n - nl - (pos - pl)) * (n - nl - (pos - pl))) / (n - nl)) / n * 1e12 + 0.5) AS score "
+            f"FROM ru{lv} JOIN (SELECT tree, node, size, CAST(n AS DOUBLE) AS n, CAST(pos AS DOUBLE) AS pos FROM st{lv}) USING (tree, node) "
+            f"WHERE nxt IS NOT NULL AND rows_left >= {leaf} AND size - rows_left >= {leaf})",
+            f"bs{lv} AS (SELECT * FROM sc{lv} QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY score DESC, col, v) = 1)",
+            f"ro{lv + 1} AS (SELECT tree, 2 * node + CAST(long.v > cut AS INTEGER) AS node, CONTROL, label, w "
+            f"FROM ro{lv} JOIN (SELECT tree, node, col, cut FROM bs{lv}) USING (tree, node) JOIN long USING (CONTROL, col))",
+            f"nd{lv + 1} AS (SELECT tree, 2 * node + side - 1 AS node, child AS key FROM "
+            f"{_mixed(f'(SELECT tree, node, key, side FROM nd{lv}, range(1, 3) s(side))', f'xor(key, {_u('side')})', 'child')})"]
+    parts.append(f"st{levels} AS (SELECT tree, node, {stats} FROM ro{levels} GROUP BY ALL)")
+    names = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
+    rows = [f"SELECT tree, node, n, pos, col, cut FROM st{lv} LEFT JOIN (SELECT tree, node, col, cut FROM bs{lv}) USING (tree, node)" for lv in range(levels)]
+    rows.append(f"SELECT tree, node, n, pos, NULL, NULL FROM st{levels}")
+    body = f"""SELECT CAST(tree AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, {names}[col + 1] AS feature, {r6('cut')} AS cut, {r6('pos / n')} AS share
+               FROM ({' UNION ALL '.join(rows)})"""
+    return "WITH " + ", ".join(parts) + "\n" + body
+
+
 ORACLES = {
     "naive_bayes_grid_scores": _NB_BASE + " SELECT CAST(round(log10(smoothing)) AS BIGINT) AS log10_smoothing, " + r6("mean_f1")
     + " AS mean_f1, place = (SELECT place FROM best) AS chosen FROM points",
@@ -106,4 +167,6 @@ ORACLES = {
     + result_select("res").replace("SELECT model,", "SELECT model, CAST(1 AS BIGINT) AS position,"),
     "phase2_naive_bayes_cells": _nb_matrix(),
     "extra_trees_splits": _extra_trees(),
+    "decision_tree_splits": _best_cuts(1, TREE_LEVELS, len(FEATURES), TREE_LEAF, False),
+    "random_forest_splits": _best_cuts(FOREST_TREES, FOREST_LEVELS, DRAWN, FOREST_LEAF, True),
 }

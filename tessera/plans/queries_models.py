@@ -4,7 +4,7 @@ Each runs cells of the reference's phases with the grids, folds and
 iterations of ``experiments``: prepare -> balance the training rows -> grid
 search with stratified folds (F1 of class 1) -> refit -> score the test rows
 -> result record, ranked. SQL expresses the searches through naive Bayes and
-the first splits of extra trees (``oracle_tune``); tests check the other fits
+the first splits of trees and forests (``oracle_tune``); tests check the other fits
 on separable fixtures.
 """
 
@@ -66,12 +66,12 @@ def q_knn_cell(spark, sf_dir):
 
 
 def q_decision_tree_cell(spark, sf_dir):
-    """M3 + G2: phase-1 cell of RUS and a decision tree, 4 depths x 2 criteria."""
+    """M3 + G2: phase-1 cell of RUS and a decision tree, 4 depths x 3 split sizes x 2 criteria."""
     return _phase(spark, sf_dir, 1, ["B1_RUS + C3_DecisionTree"])
 
 
 def q_random_forest_cell(spark, sf_dir):
-    """M4 + G2: phase-1 cell of RUS and a random forest, 100 and 200 trees x 2 depths."""
+    """M4 + G2: phase-1 cell of RUS and a random forest, 100 and 200 trees x 2 depths x 2 split sizes."""
     return _phase(spark, sf_dir, 1, ["B1_RUS + C4_RandomForest"])
 
 
@@ -134,19 +134,33 @@ def q_phase2_naive_bayes_cells(spark, sf_dir):
     return _phase(spark, sf_dir, 2, ["B1_RUS + C7_NaiveBayes", "B4_RUS123 + C7_NaiveBayes"])
 
 
-def q_extra_trees_splits(spark, sf_dir):
-    """The first two levels of 16 extra trees on the partly undersampled training rows (nodes numbered from the root, 1)."""
+def _splits(spark, sf_dir, balancer: str, estimator) -> DataFrame:
+    """Nodes of an estimator's trees on the balanced training rows (numbered from the root, 1)."""
     model, prepared = survey_prepared(spark, sf_dir)
     names = model.feature_columns()
     rows = prepared.filter("split = 'train'").select(F.col(SURVEY_ROLES.key).cast("long").alias("id"),
                                                      F.array(*[F.col(c).cast("double") for c in names]).alias("features"), "label")
-    balanced = BALANCERS["RUS_partial"](cut_lineage(rows, "survey-arrays"))
-    grown = ML.ExtraTrees(nEstimators=16, maxDepth=2).fit(balanced).grown
+    balanced = BALANCERS[balancer](cut_lineage(rows, "survey-arrays"))
     found = [(tree, node, None if feature < 0 else names[feature], None if feature < 0 else cut, share)
-             for tree, node, feature, cut, share in grown.nodes()]
+             for tree, node, feature, cut, share in estimator.fit(balanced).grown.nodes()]
     return rounded(spark.createDataFrame(found, "tree long, node long, feature string, cut double, share double"))
 
 
+def q_extra_trees_splits(spark, sf_dir):
+    """The first two levels of 16 extra trees on the partly undersampled training rows."""
+    return _splits(spark, sf_dir, "RUS_partial", ML.ExtraTrees(nEstimators=16, maxDepth=2))
+
+
+def q_decision_tree_splits(spark, sf_dir):
+    """M3: the first three levels of a decision tree on the undersampled training rows, every cut of every column tried."""
+    return _splits(spark, sf_dir, "B1_RUS", ML.SkDecisionTree(maxDepth=3))
+
+
+def q_random_forest_splits(spark, sf_dir):
+    """M4: the first two levels of 12 bootstrapped trees on the undersampled training rows, 5 rows or more in a leaf."""
+    return _splits(spark, sf_dir, "B1_RUS", ML.SkRandomForest(nEstimators=12, maxDepth=2, minSamplesLeaf=5))
+
+
 def q_experiment_matrix(spark, sf_dir):
     """All 36 cells of phase 1 (4 balancers x 9 classifiers), balanced tables shared, ranked by avg TPR."""
     return _phase(spark, sf_dir, 1)
@@ -185,6 +199,8 @@ QUERIES = {
     "naive_bayes_grid_scores": q_naive_bayes_grid_scores,
     "phase2_naive_bayes_cells": q_phase2_naive_bayes_cells,
     "extra_trees_splits": q_extra_trees_splits,
+    "decision_tree_splits": q_decision_tree_splits,
+    "random_forest_splits": q_random_forest_splits,
     "experiment_matrix": q_experiment_matrix,
     "phase2_matrix": q_phase2_matrix,
     "phase3_band_counts": q_phase3_band_counts,
