@@ -10,6 +10,7 @@ losses, Spark averages them):
 * penalty l1 / l2             -> elasticNetParam 1 / 0
 * decision tree, forest       -> ``exact_trees`` (the best of all cuts per node, one forest for all grid points)
 * extra-trees                 -> ``extra_trees`` (a random cut per node, the same passes)
+* linear SVM                  -> ``linear_svm`` (squared hinge; C as it is)
 * boosting                    -> ``boosting`` (all grid points and folds in the same passes)
 """
 
@@ -19,14 +20,14 @@ import math
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import extra_trees
+from . import extra_trees, linear_svm
 from .boosting import Boosting, fit_together, search
 from .exact_trees import ExactForest
 from .knn import knn_join
@@ -280,13 +281,10 @@ class SkMLP(_Wrapped):
 
 
 class CalibratedLinearSVC(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
-    """M6 + M7: linear SVM (hinge loss) with sigmoid calibration over k stratified folds.
+    """M6 + M7: linear SVM (squared hinge loss) with sigmoid calibration over k stratified folds (``linear_svm``).
 
-    For each fold: fit the SVM on the other folds, fit a 1-D logistic
-    regression on the held-out margins with softened targets
-    ((n+ + 1)/(n+ + 2), 1/(n- + 2)), given as each row twice with weights.
-    Score = mean of the k calibrated probabilities; prediction = score > 0.5.
-    Needs an ``id`` column for the folds.
+    Score = mean of the k calibrated probabilities; prediction = score > 0.5. A grid search fits all
+    points, folds and calibration folds together. Needs an ``id`` column for the folds; ``maxIter`` bounds the passes.
     """
     C = _p("C", "inverse regularisation strength", TypeConverters.toFloat)
     folds = _p("folds", "calibration folds", TypeConverters.toInt)
@@ -300,34 +298,23 @@ class CalibratedLinearSVC(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
         self._setDefault(C=1.0, folds=3, maxIter=2000, idCol="id", seed=42)
         self._set(**self._input_kwargs)
 
+    def _search(self, dataset, points: list[dict], folds: int, key: str, fold: str | None):
+        lc, k = self.getLabelCol(), self.getOrDefault(self.folds)
+        data = dataset.select(F.col(key), as_array(dataset, self.getFeaturesCol()).alias("features"), F.col(lc).cast("int").alias("label"),
+                              (F.lit(0) if fold is None else F.col(fold)).alias("fold"))
+        data = stratified_folds(data, "label", key, k=max(1, folds) * k, seed=self.getOrDefault(self.seed), fold_col="turn")
+        scores, classifiers = linear_svm.search(data, [float(p.get("C", self.getOrDefault(self.C))) for p in points], folds, k,
+                                                self.getOrDefault(self.maxIter))
+        best = max(range(len(points)), key=lambda i: (scores[i], -i))
+        pairs = [(w[:-1].tolist(), float(w[-1]), float(ab[0]), float(ab[1])) for w, ab in classifiers[best]]
+        return best, scores, self._copyValues(CalibratedLinearSVCModel(pairs))
+
     def _fit(self, dataset):
-        fc, lc, key = self.getFeaturesCol(), self.getLabelCol(), self.getOrDefault(self.idCol)
-        data = dataset.select(F.col(key), as_vector(dataset, fc).alias(fc), F.col(lc).cast("double").alias(lc))
-        k = self.getOrDefault(self.folds)
-        data = stratified_folds(data, lc, key, k=k, seed=self.getOrDefault(self.seed), fold_col="_fold")
-        pairs = []
-        # rows per (fold, class) in one small aggregate: training sizes and Platt targets of every fold
-        fc_counts = {(r["_fold"], r[lc]): r["count"] for r in data.groupBy("_fold", lc).count().collect()}
-        for i in range(k):
-            train, held = data.filter(F.col("_fold") != i), data.filter(F.col("_fold") == i)
-            n = sum(c for (f, _), c in fc_counts.items() if f != i)
-            svm = LinearSVC(regParam=1.0 / (self.getOrDefault(self.C) * max(n, 1)), standardization=False,
-                            maxIter=self.getOrDefault(self.maxIter), featuresCol=fc, labelCol=lc).fit(train)
-            margin = svm.transform(held).select(vector_to_array("rawPrediction")[1].alias("m"), F.col(lc))
-            counts = {y: c for (f, y), c in fc_counts.items() if f == i}
-            t_pos = (counts.get(1.0, 0) + 1.0) / (counts.get(1.0, 0) + 2.0)
-            t_neg = 1.0 / (counts.get(0.0, 0) + 2.0)
-            t = F.when(F.col(lc) == 1.0, t_pos).otherwise(t_neg)
-            soft = margin.select(F.array(F.col("m")).alias("a"), t.alias("t"))
-            twice = soft.select("a", F.lit(1.0).alias("y"), F.col("t").alias("w")).unionByName(
-                soft.select("a", F.lit(0.0).alias("y"), (1 - F.col("t")).alias("w")))
-            from pyspark.ml.functions import array_to_vector
-            twice = twice.select(array_to_vector("a").alias("m"), "y", "w")
-            platt = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0,
-                                       standardization=False, maxIter=100).fit(twice)
-            pairs.append((svm.coefficients.toArray().tolist(), svm.intercept,
-                          float(platt.coefficients[0]), float(platt.intercept)))
-        return self._copyValues(CalibratedLinearSVCModel(pairs))
+        return self._search(dataset, [{}], 1, self.getOrDefault(self.idCol), None)[2]
+
+    def fit_grid(self, data: DataFrame, points: list[dict], folds: int, key: str, fold: str):
+        """(index of the best point, score of each point, model of the best on all rows), with the folds in column ``fold``."""
+        return self._search(data, points, folds, key, fold)
 
 
 class CalibratedLinearSVCModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol, HasSeed):
