@@ -1,4 +1,4 @@
-"""SQL oracles (DuckDB) of grid searches (G1, G2, G5, G6) through naive Bayes and of the splits of trees and forests."""
+"""SQL oracles (DuckDB) of grid searches (G1, G2, G5, G6) through naive Bayes of the splits of trees and forests (M3, M4, M10) and of linear SVMs (M6)."""
 
 from __future__ import annotations
 
@@ -159,6 +159,25 @@ def _best_cuts(trees: int, levels: int, drawn: int, leaf: int, bootstrap: bool)
     return "WITH " + ", ".join(parts) + "\n" + body
 
 
+# --- linear SVM ----------------------------------------------------------------------------
+
+# fixed: values of C, columns and Newton steps of the registered query
+SVM_C, SVM_COLUMNS, SVM_STEPS = [0.01, 0.1, 1, 10], (0, 1), 30
+
+
+def _svm_weights() -> str:
+    """Minimum of the squared hinge of one column: the rows inside the margin are a least-squares problem of two weights."""
+    parts = [prep_ctes() + _TT, undersample_ctes("trn", "bal", 42),
+             "x AS (" + " UNION ALL ".join(f"SELECT {i} AS place, CAST({FEATURES[i]} AS DOUBLE) AS v, CAST(2 * label - 1 AS DOUBLE) AS y FROM bal" for i in SVM_COLUMNS) + ")",
+             "w0 AS (SELECT place, c, 0::DOUBLE AS w, 0::DOUBLE AS b FROM (SELECT DISTINCT place FROM x), "
+             f"(SELECT CAST(unnest({SVM_C}) AS DOUBLE) AS c))"]
+    for i in range(SVM_STEPS):
+        parts.append(f"""w{i + 1} AS MATERIALIZED (SELECT place, c, (p * e - k * q) / (a * e - k * k) AS w, (a * q - k * p) / (a * e - k * k) AS b FROM (
+            SELECT place, c, 1 + 2 * c * sum(v * v) AS a, 2 * c * sum(v) AS k, 1 + 2 * c * count(*) AS e, 2 * c * sum(v * y) AS p, 2 * c * sum(y) AS q
+            FROM w{i} JOIN x USING (place) WHERE y * (w * v + b) < 1 GROUP BY place, c))""")
+    return "WITH " + ", ".join(parts) + f" SELECT CAST(place AS BIGINT) AS place, c, {r6('w')} AS weight, {r6('b')} AS intercept FROM w{SVM_STEPS}"
+
+
 ORACLES = {
     "naive_bayes_grid_scores": _NB_BASE + " SELECT CAST(round(log10(smoothing)) AS BIGINT) AS log10_smoothing, " + r6("mean_f1")
     + " AS mean_f1, place = (SELECT place FROM best) AS chosen FROM points",
@@ -167,6 +186,7 @@ ORACLES = {
     + result_select("res").replace("SELECT model,", "SELECT model, CAST(1 AS BIGINT) AS position,"),
     "phase2_naive_bayes_cells": _nb_matrix(),
     "extra_trees_splits": _extra_trees(),
+    "linear_svm_weights": _svm_weights(),
     "decision_tree_splits": _best_cuts(1, TREE_LEVELS, len(FEATURES), TREE_LEAF, False),
     "random_forest_splits": _best_cuts(FOREST_TREES, FOREST_LEVELS, DRAWN, FOREST_LEAF, True),
 }

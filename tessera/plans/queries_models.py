@@ -4,7 +4,7 @@ Each runs cells of the reference's phases with the grids, folds and
 iterations of ``experiments``: prepare -> balance the training rows -> grid
 search with stratified folds (F1 of class 1) -> refit -> score the test rows
 -> result record, ranked. SQL expresses the searches through naive Bayes and
-the first splits of trees and forests (``oracle_tune``); tests check the other fits
+the first splits of trees and forests and linear SVMs of one column (``oracle_tune``); tests check the other fits
 on separable fixtures.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import balance as B
+from ..operators import linear_svm
 from ..operators import models as ML
 from ..operators.metrics import band_counts
 from ..operators.naive_bayes import GaussianNB
@@ -161,6 +162,19 @@ def q_random_forest_splits(spark, sf_dir):
     return _splits(spark, sf_dir, "B1_RUS", ML.SkRandomForest(nEstimators=12, maxDepth=2, minSamplesLeaf=5))
 
 
+def q_linear_svm_weights(spark, sf_dir):
+    """M6: weights of squared-hinge SVMs of one scaled column each on the undersampled training rows, for the phase-1 values of C."""
+    train, _ = survey_arrays(spark, sf_dir)
+    bal = cut_lineage(BALANCERS["B1_RUS"](train), "balanced")
+    cs = PHASE1_GRIDS["C6_SVM"]["estimator__C"]
+    found = []
+    for i in (0, 1):
+        rows = bal.select(F.array(F.col("features")[i]).alias("features"), F.col("label").cast("int").alias("label"), F.lit(0).alias("fold"), F.lit(0).alias("turn"))
+        weights = linear_svm.fit_margins(rows, [linear_svm.Margin(float(c), -1, -1) for c in cs], linear_svm.Layout(1, 1), 2, 100)
+        found += [(i, float(c), float(w), float(b)) for c, (w, b) in zip(cs, weights)]
+    return rounded(spark.createDataFrame(found, "place long, c double, weight double, intercept double"))
+
+
 def q_experiment_matrix(spark, sf_dir):
     """All 36 cells of phase 1 (4 balancers x 9 classifiers), balanced tables shared, ranked by avg TPR."""
     return _phase(spark, sf_dir, 1)
@@ -201,6 +215,7 @@ QUERIES = {
     "extra_trees_splits": q_extra_trees_splits,
     "decision_tree_splits": q_decision_tree_splits,
     "random_forest_splits": q_random_forest_splits,
+    "linear_svm_weights": q_linear_svm_weights,
     "experiment_matrix": q_experiment_matrix,
     "phase2_matrix": q_phase2_matrix,
     "phase3_band_counts": q_phase3_band_counts,
