@@ -40,6 +40,15 @@ def _stats_rows() -> str:
 ORACLES = {
     "survey_csv_roundtrip": _w(survey_ctes(), "SELECT CONTROL, Class, " + ", ".join(
         f"{r6(c)} AS {c}" for c in NUMERIC) + ", STATUSB, PRIORITY, SEGMENT FROM v"),
+    "survey_csv_types": _w(survey_ctes(), "SELECT *, CASE WHEN n_rows = 0 THEN 'string' WHEN n_integer = n_rows THEN 'bigint' "
+        "WHEN n_number + n_missing = n_rows THEN 'double' WHEN n_boolean = n_rows THEN 'boolean' ELSE 'string' END AS type FROM ("
+        + " UNION ALL ".join(
+            f"SELECT CAST({i} AS BIGINT) AS place, '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_missing, "
+            f"count(*) FILTER (WHERE regexp_full_match(CAST({c} AS VARCHAR), '-?[0-9]+')) AS n_integer, "
+            f"count(*) FILTER (WHERE TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NOT NULL) AS n_number, CAST(0 AS BIGINT) AS n_boolean FROM v"
+            for i, c in enumerate(["CONTROL", "Class", *NUMERIC, "STATUSB", "PRIORITY", "SEGMENT"])) + ")"),
+    "survey_csv_inferred": _w(survey_ctes(), "SELECT CONTROL, Class, " + ", ".join(f"{r6(c)} AS {c}" for c in [*NUMERIC, "STATUSB", "PRIORITY"])
+                              + ", SEGMENT FROM v"),
     "table_shape": _w(survey_ctes(), "SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_cols FROM v"),
     "split_parquet_reload": _w(TRAIN, f"SELECT split, label, count(*) AS n_rows, CAST({len(FEATURES)} AS BIGINT) "
                                       "AS n_features FROM pr GROUP BY split, label"),

@@ -19,7 +19,7 @@ from ..operators.profile import class_balance, null_profile, null_total, value_c
 from ..operators.roles import observed_roles, role_report
 from ..operators.sampling import stratified_folds, undersample
 from ..sources.adapter import SURVEY_ROLES, survey_view
-from ..sources.io import read_csv, reload_split, table_shape, write_table
+from ..sources.io import infer_types, read_csv, read_csv_inferred, read_csv_strings, reload_split, table_shape, write_table
 from ..session import cut_lineage, scratch_path
 from .common import assemble, rounded, survey_prepared, survey_split
 
@@ -45,6 +45,18 @@ def q_survey_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read_csv(spark, path, df.schema))
 
 
+def q_survey_csv_types(spark, sf_dir):
+    """Types inferred from the survey table's CSV, with the counts that decide them."""
+    path = write_table(survey_view(spark, sf_dir), scratch_path(spark, "survey-csv"), "csv")
+    return infer_types(read_csv_strings(spark, path))
+
+
+def q_survey_csv_inferred(spark, sf_dir):
+    """The survey table's CSV scanned back with inferred types (codes with gaps are doubles)."""
+    path = write_table(survey_view(spark, sf_dir), scratch_path(spark, "survey-csv"), "csv")
+    return rounded(read_csv_inferred(spark, path))
+
+
 def q_table_shape(spark, sf_dir):
     """S3: rows x columns of the survey table."""
     return table_shape(survey_view(spark, sf_dir))
@@ -307,6 +319,8 @@ def q_band_counts(spark, sf_dir):
 
 QUERIES = {
     "survey_csv_roundtrip": q_survey_csv_roundtrip,
+    "survey_csv_types": q_survey_csv_types,
+    "survey_csv_inferred": q_survey_csv_inferred,
     "table_shape": q_table_shape,
     "split_parquet_reload": q_split_parquet_reload,
     "drop_unlabelled": q_drop_unlabelled,
