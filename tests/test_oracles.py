@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 FAST = ["table_shape", "drop_unlabelled", "class_balance", "null_profile", "value_counts", "prep_stats",
         "prepared_table", "stratified_split", "stratified_folds", "random_undersample", "partial_undersample",
         "rus_naive_bayes_cell", "knn_join_euclidean", "smote", "adasyn", "near_miss", "knn_classifier_distance", "naive_bayes_grid_scores",
-        "naive_bayes_grid_cell", "phase2_naive_bayes_cells", "extra_trees_splits"]
+        "naive_bayes_grid_cell", "phase2_naive_bayes_cells", "extra_trees_splits", "decision_tree_splits", "random_forest_splits",
+        "linear_svm_weights", "survey_csv_types", "survey_csv_inferred"]
 
 
 @pytest.fixture(scope="module")
