@@ -2,26 +2,28 @@
 
 Plan, all on Spark:
 
-1. Every vector gets t = x . p for a seeded unit vector p. For any pair,
-   |t_q - t_r| <= ||q - r||_2 and |t_q - t_r| <= ||q - r||_1 * max|p_i|,
-   so a projection gap is a lower bound on the distance.
-2. Reference rows are range-partitioned on t into slabs (approximate
-   quantiles, a bounded list of cut points); a slab with more than
-   ``block_rows`` rows is split into hash chunks, and the query rows that
-   visit a slab are split the same way, so every (slab, ref chunk, query
-   chunk) group holds at most about ``block_rows`` rows per side even when
-   one value holds a third of the table.
-3. Pass A: each query is matched against its own slab -> an upper bound
-   on its k-th distance. Pass B: it visits only the slabs whose t-range
-   lies within that bound (a contiguous run of slabs), and a block returns
-   only candidates within it, so few rows beyond k per query are shuffled,
-   however many blocks it visits. Candidates of both
+1. The reference side is cut into cells by a kd tree: every inner node sends
+   rows with x[axis] <= cut to the left. The tree is grown on the driver from a
+   bounded random sample; it only decides where rows go, so any tree gives the
+   same result. A cell's region is a box, and the distance of a query to that box
+   is a lower bound on its distance to every row of the cell.
+2. A cell holds ``block_rows`` rows or, in tables of more than ``MIN_CELLS`` such
+   cells, up to ``GROUP_ROWS``: vectors are shuffled once per visited cell, so
+   cells of a fixed small size would ship every vector n / block_rows times. Cells
+   and their visitors are split into hash chunks of ``GROUP_ROWS``, so every (cell,
+   ref chunk, query chunk) group is bounded even when one value holds a third of
+   the table.
+3. Pass A: each query is matched against its own cell -> an upper bound
+   on its k-th distance. Pass B: it visits only the cells whose box lies
+   within that bound, and a group returns only candidates within it, so few rows
+   beyond k per query are shuffled. Candidates of both
    passes are merged with a window per query ordered by (distance, ref id).
 
-Within a group, numpy screens candidates with one matrix product
-(|q|^2 + |r|^2 - 2 q.r, keeping every pair within a proven rounding band of
-each query's k-th value), then recomputes the survivors' distances
-dimension by dimension (the summation order of an SQL list sum) and keeps
+Within a group, both sides are ordered into small boxes; a block of queries
+skips the boxes of references beyond its bounds. numpy screens the rest (|q|^2 +
+|r|^2 - 2 q.r, or sums of float32 differences, keeping every pair within a
+proven rounding band), then recomputes the survivors' distances dimension by
+dimension (the summation order of an SQL list sum) and keeps
 each query's local top k by (distance, id). The global top k by
 (distance, id) is a subset of the union of local top k, so the result is
 exact.
@@ -29,25 +31,25 @@ exact.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 
-MAX_SLABS = 4096                 # bound on the slab table (collected, broadcast)
+MAX_SLABS = 4096                 # bound on the cell table (collected, broadcast)
+MIN_CELLS = 16                   # cells a table is cut into before cells grow beyond block_rows
+GROUP_ROWS = 16384               # rows per side of a group
+SAMPLE_PER_CELL, SAMPLE_ROWS = 64, 65536
+BOX_ROWS = 256                   # rows of a box inside a group
 CAND_SCHEMA = "_qid long, _rid long, _d double"
 
 
-def _dot(vec_col, p: np.ndarray):
-    arr = F.array(*[F.lit(float(x)) for x in p])
-    return F.aggregate(F.zip_with(vec_col, arr, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def _pairwise(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     """Distances (squared for euclidean), summed over dimensions in order."""
     out = np.zeros((q.shape[0], r.shape[0]))
@@ -69,134 +71,294 @@ def _exact_rows(q: np.ndarray, r: np.ndarray, rows: np.ndarray, cols: np.ndarray
     return out
 
 
-def _screen(q: np.ndarray, r: np.ndarray, r_sq: np.ndarray, k: int, metric: str, exclude):
-    """Candidate pairs that surely contain each query's k nearest (by exact distance).
+def _box_gap(q_lo: np.ndarray, q_hi: np.ndarray, lo: np.ndarray, hi: np.ndarray, metric: str) -> np.ndarray:
+    """Lower bound on the distance (squared for euclidean) between boxes, row by row; rounded down."""
+    gap = np.maximum(np.maximum(lo - q_hi, q_lo - hi), 0.0)
+    return (np.einsum("ij,ij->i", gap, gap) if metric == "euclidean" else gap.sum(axis=1)) * (1 - 1e-9)
+
+
+def _boxes(x: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Row numbers of ``x`` in boxes of at most ``rows``: halves along the widest axis."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= rows:
+            out.append(at)
+            continue
+        part = x[at]
+        axis = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        order, half = np.argpartition(part[:, axis], len(at) // 2), len(at) // 2
+        todo += [at[order[half:]], at[order[:half]]]
+    return out
+
+
+def _few_copies(rv: np.ndarray, rid: np.ndarray, k: int) -> np.ndarray:
+    """Rows to keep so that of equal vectors the k + 1 smallest ids remain: a query's k nearest
+    by (distance, id), itself left out, hold no others."""
+    as_bytes = np.ascontiguousarray(rv).view(np.dtype((np.void, rv.dtype.itemsize * rv.shape[1]))).ravel()
+    _, group = np.unique(as_bytes, return_inverse=True)
+    order = np.lexsort((rid, group))
+    g, i = group[order], rid[order]
+    new_group = np.r_[True, g[1:] != g[:-1]]
+    step = np.cumsum(np.r_[True, (i[1:] != i[:-1]) | new_group[1:]])       # distinct (group, id), numbered
+    start = np.maximum.accumulate(np.where(new_group, step, 0))
+    return np.sort(order[step - start <= k])
 
-    Euclidean: squared distances from the BLAS identity |q|^2 + |r|^2 - 2 q.r, whose
-    rounding error is at most tol = 1e-9 * (|q|^2 + max|r|^2) + 1e-300; every pair within
-    2 tol of the k-th screened value is kept, which contains the exact top k.
-    Manhattan has no such identity: all pairs of the (bounded) chunk are exact.
+
+class _Screen:
+    """Approximate distances of query rows to the references, each within ``tol`` of the exact one.
+
+    Euclidean: squared distances from the BLAS identity |q|^2 + |r|^2 - 2 q.r; rounding
+    error at most 1e-9 * (|q|^2 + max|r|^2) + 1e-300. Manhattan: float32 sums over tiles that stay in
+    the cache; error at most (d + 4) * 2^-23 * (|q| + max|r|), float64 where values are too large for it.
     """
-    if metric == "euclidean":
-        q_sq = np.einsum("ij,ij->i", q, q)
-        approx = q_sq[:, None] + r_sq[None, :] - 2.0 * (q @ r.T)
-        tol = 1e-9 * (q_sq + r_sq.max()) + 1e-300
-    else:
-        approx = _pairwise(q, r, metric)
-        tol = np.zeros(q.shape[0])
-    if exclude is not None:
-        approx[exclude] = np.inf
-    kk = min(k, approx.shape[1])
-    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-    rows, cols = np.nonzero(approx <= (kth + 2 * tol)[:, None])
-    keep = np.isfinite(approx[rows, cols])
-    return rows[keep], cols[keep]
-
-
-def _local_topk(k: int, metric: str, exclude_self: bool, chunk_cells: int = 4_000_000):
+
+    def __init__(self, rv: np.ndarray, metric: str):
+        self.rv, self.metric = rv, metric
+        if metric == "euclidean":
+            self.sq = np.einsum("ij,ij->i", rv, rv)
+            self.top = self.sq.max()
+        else:
+            self.top = np.abs(rv).sum(axis=1).max()
+            self.small = self.top < 1e30
+            self.cols = np.ascontiguousarray(rv.T.astype(np.float32 if self.small else np.float64))
+
+    def tol(self, q: np.ndarray) -> np.ndarray:
+        if self.metric == "euclidean":
+            return 1e-9 * (np.einsum("ij,ij->i", q, q) + self.top) + 1e-300
+        return (q.shape[1] + 4) * (2.0 ** -23 if self.small else 1e-15) * (np.abs(q).sum(axis=1) + self.top) + 1e-30
+
+    def __call__(self, q: np.ndarray, at) -> np.ndarray:
+        """``at``: slice or row numbers of the references."""
+        if self.metric == "euclidean":
+            out = q @ self.rv[at].T
+            out *= -2.0
+            out += np.einsum("ij,ij->i", q, q)[:, None]
+            out += self.sq[at]
+            return out
+        cols = self.cols[:, at]
+        q = q.astype(cols.dtype)
+        out = np.empty((len(q), cols.shape[1]), cols.dtype)
+        for s in range(0, len(q), 16):
+            part = q[s:s + 16]
+            for a in range(0, cols.shape[1], 4096):
+                tile = np.zeros((len(part), min(4096, cols.shape[1] - a)), cols.dtype)
+                diff = np.empty_like(tile)
+                for j in range(q.shape[1]):
+                    np.subtract(part[:, j:j + 1], cols[j, a:a + 4096], out=diff)
+                    np.abs(diff, out=diff)
+                    tile += diff
+                out[s:s + 16, a:a + 4096] = tile
+        return out
+
+
+def _kth(approx: np.ndarray, k: int) -> np.ndarray:
+    """k-th smallest value per row (inf if there are fewer)."""
+    if approx.shape[1] < k:
+        return np.full(len(approx), np.inf)
+    return np.partition(approx, k - 1, axis=1)[:, k - 1].astype(np.float64)
+
+
+def _local_topk(k: int, metric: str, exclude_self: bool):
     def fn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or rpdf.empty:
-            return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_rid": pd.Series([], dtype="int64"),
-                                 "_d": pd.Series([], dtype="float64")})
-        qid = qpdf["_qid"].to_numpy(dtype=np.int64)
-        rid = rpdf["_rid"].to_numpy(dtype=np.int64)
-        qv = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
-        bound = qpdf["_bound"].to_numpy(dtype=np.float64)
-        rv = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
-        r_sq = np.einsum("ij,ij->i", rv, rv)
-        step = max(1, chunk_cells // max(1, len(rid)))
-        oq, orr, od = [], [], []
-        for s in range(0, len(qid), step):
-            qs = qv[s:s + step]
-            excl = (qid[s:s + step, None] == rid[None, :]) if exclude_self else None
-            rows, cols = _screen(qs, rv, r_sq, k, metric, excl)
-            dd = _exact_rows(qs, rv, rows, cols, metric)
-            # per query: order by (exact d, rid) and keep k
-            order = np.lexsort((rid[cols], dd, rows))
-            rows, cols, dd = rows[order], cols[order], dd[order]
-            first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.array([], dtype=int)
-            pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-            sel = (pos < k) & (dd <= bound[s:s + step][rows])
-            oq.append(qid[s:s + step][rows[sel]])
-            orr.append(rid[cols[sel]])
-            od.append(dd[sel])
-        return pd.DataFrame({"_qid": np.concatenate(oq), "_rid": np.concatenate(orr), "_d": np.concatenate(od)})
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if not qpdf.empty and not rpdf.empty:
+            qv = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
+            rv = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
+            qid, bound = qpdf["_qid"].to_numpy(dtype=np.int64), qpdf["_bound"].to_numpy(dtype=np.float64)
+            rid = rpdf["_rid"].to_numpy(dtype=np.int64)
+            found += _group_topk(qv, qid, bound, rv, rid, k, metric, exclude_self)
+        return pd.DataFrame(dict(zip(("_qid", "_rid", "_d"), map(np.concatenate, zip(*found)))))
     return fn
 
 
-class _Slabs:
-    """Slab layout of the reference side (small, collected driver metadata)."""
-
-    def __init__(self, refs: DataFrame, block_rows: int, max_slabs: int, n: int):
-        n_slabs = int(max(1, min(max_slabs, math.ceil(n / block_rows))))
-        if n_slabs == 1:          # everything fits one block: no cut points, no statistics job
-            self.splits = [float("-inf"), float("inf")]
-            self.index, self.n, self.lo, self.hi = {0.0: 0}, [n], [float("-inf")], [float("inf")]
-            self.chunks, self.size = [1], 1
-            return
-        cuts = []
-        if n_slabs > 1:
-            probs = [i / n_slabs for i in range(1, n_slabs)]
-            cuts = refs.agg(F.percentile_approx("_t", probs, max(10000, 10 * n_slabs))).first()[0] or []
-        self.splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
-        raw = self._raw(refs)
-        stats = raw.groupBy("_s0").agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("lo"),
-                                       F.max("_t").alias("hi")).orderBy("_s0").collect()
-        # renumber non-empty slabs 0..S-1 so their t-ranges are strictly ordered
-        self.index = {r["_s0"]: i for i, r in enumerate(stats)}
-        self.n = [r["n"] for r in stats]
-        self.lo = [r["lo"] for r in stats]
-        self.hi = [r["hi"] for r in stats]
-        self.chunks = [max(1, math.ceil(c / block_rows)) for c in self.n]
-        self.size = len(stats)
-
-    def slab_of(self, df: DataFrame, out: str) -> DataFrame:
-        """Slab index of each row's t (rows outside the cut list fall in the edge slabs)."""
-        raw = self._raw(df)
-        # empty raw buckets map to the next non-empty slab below (any choice is exact, only cost differs)
-        mapping, last = {}, 0
-        for b in range(len(self.splits) - 1):
-            if float(b) in self.index:
-                last = self.index[float(b)]
-            mapping[float(b)] = last
-        kv = []
-        for b, s in mapping.items():
-            kv += [F.lit(b), F.lit(s)]
-        return raw.withColumn(out, F.create_map(*kv)[F.col("_s0")]).drop("_s0")
-
-    def _raw(self, df: DataFrame) -> DataFrame:
-        if len(self.splits) < 3:
-            return df.withColumn("_s0", F.lit(0.0))
-        return Bucketizer(splits=self.splits, inputCol="_t", outputCol="_s0").transform(df)
-
-
-def _block_topk(visits: DataFrame, refs_slabbed: DataFrame, slabs: _Slabs, k: int, metric: str,
-                exclude_self: bool, block_rows: int, vcount: dict | None = None) -> DataFrame:
-    """Local top-k candidates, none beyond the query's ``_bound``, for every (query, visited slab) pair (None when nothing is visited).
-
-    ``vcount`` (visitors per slab) is computed with one small aggregate unless the caller knows it.
-    """
+def _group_topk(qv, qid, bound, rv, rid, k: int, metric: str, exclude_self: bool):
+    """Per block of queries: (query ids, ref ids, distances) of the k nearest within the bounds."""
+    keep = _few_copies(rv, rid, k) if rv.shape[1] else np.arange(len(rv))
+    parts = _boxes(rv[keep], BOX_ROWS)
+    order = keep[np.concatenate(parts)]
+    rv, rid = rv[order], rid[order]
+    ends = np.cumsum([len(p) for p in parts])
+    starts = np.r_[0, ends[:-1]]
+    lo, hi = np.minimum.reduceat(rv, starts, axis=0), np.maximum.reduceat(rv, starts, axis=0)
+    screen = _Screen(rv, metric)
+    for at in _boxes(qv, BOX_ROWS):
+        q, ids = qv[at], qid[at]
+        tol = screen.tol(q)
+        limit = bound[at] + tol
+        gap = _box_gap(q.min(axis=0), q.max(axis=0), lo, hi, metric)
+
+        def measure(cols):
+            approx = screen(q, cols)
+            if exclude_self:
+                approx[ids[:, None] == rid[cols][None, :]] = np.inf
+            return approx
+
+        if np.isinf(limit).any() and len(parts) > 1:       # the nearest boxes give a first bound
+            near, held = [], 0
+            for b in np.argsort(gap, kind="stable"):
+                near.append(np.arange(starts[b], ends[b]))
+                held += len(near[-1])
+                if held > k:
+                    break
+            limit = np.minimum(limit, _kth(measure(np.concatenate(near)), k) + 2 * tol)
+        wanted = np.flatnonzero(~(gap > limit.max()))
+        if not len(wanted):
+            continue
+        cols = (slice(0, len(rid)) if len(wanted) == len(parts) else
+                np.concatenate([np.arange(starts[b], ends[b]) for b in wanted]))
+        approx = measure(cols)
+        mask = approx <= limit[:, None]
+        if np.count_nonzero(mask) > 8 * k * len(q):
+            mask = approx <= np.minimum(limit, _kth(approx, k) + 2 * tol)[:, None]
+        hits = np.flatnonzero(mask)
+        rows, picked = np.divmod(hits[np.isfinite(approx.ravel()[hits])], mask.shape[1])
+        picked = picked if isinstance(cols, slice) else cols[picked]
+        dd = _exact_rows(q, rv, rows, picked, metric)
+        # per query: order by (exact d, rid) and keep k
+        best = np.lexsort((rid[picked], dd, rows))
+        rows, picked, dd = rows[best], picked[best], dd[best]
+        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.array([], dtype=int)
+        pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        sel = (pos < k) & (dd <= bound[at][rows])
+        yield ids[rows[sel]], rid[picked[sel]], dd[sel]
+
+
+class _Cells:
+    """kd tree of the reference side (small driver metadata): nodes by number, the root first."""
+
+    def __init__(self, sample: np.ndarray, n_cells: int, choice: str, seed: int):
+        self.axis, self.cut, self.left, self.right = [-1], [0.0], [-1], [-1]
+        dim = sample.shape[1] if sample.ndim == 2 else 0
+        lo, hi = [np.full(dim, -np.inf)], [np.full(dim, np.inf)]
+        rng = np.random.default_rng(seed)
+        todo, leaves = [(-len(sample), 0, sample)], 1
+        while todo and leaves < n_cells:
+            _, node, rows = heapq.heappop(todo)
+            if len(rows) < 2 or not dim:
+                continue
+            spread = rows.var(axis=0)
+            axes = np.flatnonzero(spread > 0)
+            if not len(axes):
+                continue
+            axis = int(rng.choice(axes)) if choice == "random" else int(np.argmax(spread))
+            x = np.sort(rows[:, axis])
+            cut = x[(len(x) - 1) // 2]
+            if cut == x[-1]:
+                cut = x[np.searchsorted(x, cut) - 1]
+            go_left = rows[:, axis] <= cut
+            if go_left.all() or not go_left.any():
+                continue
+            self.axis[node], self.cut[node] = axis, float(cut)
+            for side, part in ((self.left, rows[go_left]), (self.right, rows[~go_left])):
+                new = len(self.axis)
+                side[node] = new
+                for values, v in ((self.axis, -1), (self.cut, 0.0), (self.left, -1), (self.right, -1)):
+                    values.append(v)
+                lo.append(lo[node].copy())
+                hi.append(hi[node].copy())
+                (hi if side is self.left else lo)[new][axis] = cut
+                heapq.heappush(todo, (-len(part), new, part))
+            leaves += 1
+        self.axis, self.cut, self.left, self.right = map(np.array, (self.axis, self.cut, self.left, self.right))
+        self.lo, self.hi = np.stack(lo), np.stack(hi)
+        self.cell = np.where(self.axis < 0, np.cumsum(self.axis < 0) - 1, -1)
+        self.size = leaves
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Cell of each row."""
+        node = np.zeros(len(x), np.int64)
+        inner = np.arange(len(x)) if self.size > 1 else np.empty(0, np.int64)
+        while len(inner):
+            at = node[inner]
+            node[inner] = np.where(x[inner, self.axis[at]] <= self.cut[at], self.left[at], self.right[at])
+            inner = inner[self.axis[node[inner]] >= 0]
+        return self.cell[node]
+
+    def within(self, x: np.ndarray, bound: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for every cell whose box lies within the row's bound."""
+        row, node, out = np.arange(len(x)), np.zeros(len(x), np.int64), []
+        while len(row):
+            leaf = self.axis[node] < 0
+            out.append((row[leaf], self.cell[node[leaf]]))
+            row, node = row[~leaf], node[~leaf]
+            row, node = np.r_[row, row], np.r_[self.left[node], self.right[node]]
+            near = np.empty(len(row), bool)
+            for a in range(0, len(row), 65536):
+                r, n = row[a:a + 65536], node[a:a + 65536]
+                near[a:a + 65536] = ~(_box_gap(x[r], x[r], self.lo[n], self.hi[n], metric) > bound[r])
+            row, node = row[near], node[near]
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    if vectors.null_count or vectors.flatten().null_count:
+        raise ValueError("neighbour join: a vector is null or holds a null")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _with_cell(df: DataFrame, vec: str, cells: _Cells) -> DataFrame:
+    """Adds the cell of each row's vector as ``_cell``."""
+    if cells.size == 1:
+        return df.withColumn("_cell", F.lit(0))
+
+    def route(batches):
+        for b in batches:
+            if b.num_rows:
+                found = cells.of(_matrix(b.column(b.schema.get_field_index(vec)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names=[*b.schema.names, "_cell"])
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    return df.mapInArrow(route, f"{schema}, _cell int")
+
+
+def _visits(qb: DataFrame, cells: _Cells, metric: str, count: bool) -> DataFrame:
+    """Visits of pass B: a row per query and cell other than its own within its bound, or their number by cell."""
+    def visit(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                own = part.column(part.schema.get_field_index("_cell")).to_numpy()
+                bound = part.column(part.schema.get_field_index("_bound")).to_numpy()
+                row, cell = cells.within(_matrix(part.column(part.schema.get_field_index("_qv"))), bound, metric)
+                row, cell = row[cell != own[row]], cell[cell != own[row]]
+                if count:
+                    at, n = np.unique(cell, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))],
+                                                     names=["_cell", "n"])
+                    continue
+                for s in range(0, len(row), 8192):
+                    rows = part.take(pa.array(row[s:s + 8192])).select(["_qid", "_qv", "_bound"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell[s:s + 8192].astype(np.int32))],
+                                                     names=["_qid", "_qv", "_bound", "_cell"])
+    return qb.mapInArrow(visit, "_cell int, n long" if count else "_qid long, _qv array<double>, _bound double, _cell int")
+
+
+def _counts(rows: DataFrame) -> dict:
+    return {r["_cell"]: r["n"] for r in rows.groupBy("_cell").agg(F.sum("n").alias("n")).collect()}
+
+
+def _block_topk(visits: DataFrame, refs: DataFrame, rcount: dict, vcount: dict, k: int, metric: str,
+                exclude_self: bool) -> DataFrame:
+    """Local top-k candidates, none beyond the query's ``_bound``, for every (query, visited cell) pair
+    (None when nothing is visited)."""
     spark = visits.sparkSession
-    if vcount is None:
-        vcount = {r["_slab"]: r["n"] for r in visits.groupBy("_slab").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not vcount:
+    tab = [(c, math.ceil(rcount[c] / GROUP_ROWS), math.ceil(n / GROUP_ROWS)) for c, n in vcount.items() if c in rcount]
+    if not tab:
         return None
-    qchunks = {s: max(1, math.ceil(n / block_rows)) for s, n in vcount.items()}
-    # slab table: bounded by MAX_SLABS rows, safe to broadcast
-    tab = spark.createDataFrame([(s, slabs.chunks[s], qchunks.get(s, 1)) for s in range(slabs.size)],
-                                "_slab int, _rchunks int, _qchunks int")
-    q = (visits.join(F.broadcast(tab), "_slab")
+    # cell table: bounded by max_slabs rows, safe to broadcast
+    table = F.broadcast(spark.createDataFrame(tab, "_cell int, _rchunks int, _qchunks int"))
+    q = (visits.join(table, "_cell")
          .withColumn("_qc", F.pmod(F.xxhash64("_qid"), F.col("_qchunks")).cast("int"))
          .withColumn("_rc", F.explode(F.sequence(F.lit(0), F.col("_rchunks") - 1)))
-         .select("_slab", "_rc", "_qc", "_qid", "_qv", "_bound"))
-    r = (refs_slabbed.join(F.broadcast(tab), "_slab")
+         .select("_cell", "_rc", "_qc", "_qid", "_qv", "_bound"))
+    r = (refs.join(table, "_cell")
          .withColumn("_rc", F.pmod(F.xxhash64("_rid"), F.col("_rchunks")).cast("int"))
          .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_qchunks") - 1)))
-         .select("_slab", "_rc", "_qc", "_rid", "_rv"))
-    keys = ["_slab", "_rc", "_qc"]
+         .select("_cell", "_rc", "_qc", "_rid", "_rv"))
+    keys = ["_cell", "_rc", "_qc"]
     # The distance blocks are CPU-bound: spread the groups over explicit hash partitions (AQE does
     # not coalesce a repartition with a given count), one group per partition up to a bound.
-    n_groups = sum(slabs.chunks[s] * qchunks.get(s, 1) for s in vcount)
+    n_groups = sum(rc * qc for _, rc, qc in tab)
     sc = spark.sparkContext
     n_parts = int(max(1, min(n_groups, max(4 * sc.defaultParallelism,
                                            int(spark.conf.get("spark.sql.shuffle.partitions"))), MAX_SLABS)))
@@ -214,10 +376,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
 
     Returns (qid, rank 1..k, rid, distance); ties are broken by the smaller
     reference id. exclude_self drops pairs with equal ids (self-join).
-    projection: 'pca' projects on the references' first principal component
-    (one distributed fit; the widest direction gives the largest gaps, so the
-    most pruning), 'random' on a seeded random direction. Any unit vector
-    keeps the result exact.
+    projection: 'pca' cuts each cell along the axis of its largest variance (the
+    widest boxes apart, so the most pruning), 'random' along a seeded random axis.
+    Any cuts keep the result exact.
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -228,88 +389,50 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
     r = cut_lineage(refs.select(F.col(rid).cast("long").alias("_rid"),
                                 F.col(rvec).cast("array<double>").alias("_rv")), "knn-refs")
     if same:
-        q0 = r.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"))
-    else:
-        q0 = cut_lineage(queries.select(F.col(qid).cast("long").alias("_qid"),
-                                        F.col(qvec).cast("array<double>").alias("_qv")), "knn-queries")
-    # one small action: row counts of both sides and the dimension
-    sides = r.select(F.lit(0).alias("side"), F.size("_rv").alias("d"))
-    if not same:
-        sides = sides.unionByName(q0.select(F.lit(1).alias("side"), F.size("_qv").alias("d")))
-    meta = {row["side"]: (row["n"], row["d"]) for row in
-            sides.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()}
-    n_r, dim = meta.get(0, (0, 0))
-    n_q = n_r if same else meta.get(1, (0, 0))[0]
-    p = np.random.default_rng(seed).standard_normal(max(dim or 0, 1))
-    if projection == "pca" and n_r > block_rows and dim:
-        from pyspark.ml.feature import PCA
-        from pyspark.ml.functions import array_to_vector
-        pc = PCA(k=1, inputCol="_v", outputCol="_pc").fit(r.select(array_to_vector("_rv").alias("_v"))).pc
-        p = np.array(pc.toArray()[:, 0], dtype=np.float64)
-    p /= np.linalg.norm(p)
-    scale = 1.0 if metric == "euclidean" else float(np.max(np.abs(p)))   # gap <= scale * distance
-    r = r.withColumn("_t", _dot(F.col("_rv"), p))
-    slabs = _Slabs(r, block_rows, max_slabs, n_r)
-    r_slabbed = slabs.slab_of(r, "_slab").select("_slab", "_rid", "_rv")
-    if same:
-        q = r.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"), "_t")
+        q = r.select(F.col("_rid").alias("_qid"), F.col("_rv").alias("_qv"))
     else:
-        q = q0.withColumn("_t", _dot(F.col("_qv"), p))
-    q = slabs.slab_of(q, "_slab")
+        q = cut_lineage(queries.select(F.col(qid).cast("long").alias("_qid"),
+                                       F.col(qvec).cast("array<double>").alias("_qv")), "knn-queries")
+    n_r = r.count()
+    # small tables: block_rows rows a cell; larger ones: GROUP_ROWS, and no fewer than MIN_CELLS cells
+    n_cells = max(1, min(math.ceil(n_r / block_rows), max(MIN_CELLS, math.ceil(n_r / GROUP_ROWS)), max_slabs))
+    sample = np.empty((0, 0))
+    if n_cells > 1:
+        share = min(1.0, min(SAMPLE_PER_CELL * n_cells, SAMPLE_ROWS) / n_r)
+        rows = (r if share == 1.0 else r.sample(False, share, seed)).select("_rv").toArrow()["_rv"].combine_chunks()
+        sample = _matrix(rows) if len(rows) else sample
+    cells = _Cells(sample, n_cells, projection, seed)
+    r, q = _with_cell(r, "_rv", cells), _with_cell(q, "_qv", cells)
+    one = F.lit(1).alias("n")
+    rcount = _counts(r.select("_cell", one))
+    qcount = rcount if same else _counts(q.select("_cell", one))
     w = Window.partitionBy("_qid").orderBy("_d", "_rid")
 
-    # pass A: own slab (with a single slab this is already the whole answer)
-    known = ({0: n_q} if slabs.size == 1 else
-             {i: c for i, c in enumerate(slabs.n)} if same else None)
-    cand_a = _block_topk(q.select("_qid", "_qv", F.lit(float("inf")).alias("_bound"), "_slab"), r_slabbed, slabs, k, metric, exclude_self, block_rows,
-                         vcount=known)
-    if cand_a is None:
+    # pass A: own cell (with a single cell this is already the whole answer)
+    cand = _block_topk(q.select("_qid", "_qv", F.lit(float("inf")).alias("_bound"), "_cell"), r, rcount, qcount, k,
+                       metric, exclude_self)
+    if cand is None:
         return q.sparkSession.createDataFrame([], "qid long, rank long, rid long, distance double")
-    top_a = cand_a.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
-    if slabs.size > 1:
-        top_a = cut_lineage(top_a, "knn-pass-a")      # k rows per query; feeds the bound and the merge
-        bound = top_a.groupBy("_qid").agg(F.max("_d").alias("_dk"), F.count(F.lit(1)).alias("_nk"))
-        dist_k = F.when(F.col("_nk") >= k, F.col("_dk")).otherwise(F.lit(float("inf")))
-        bound = bound.withColumn("_bound", dist_k)
-        if metric == "euclidean":
-            dist_k = F.sqrt(dist_k)            # candidates carry squared distances
-        # float safety: t is a rounded dot product, so widen the reach a little (only adds work)
-        reach = F.least(F.lit(1e300), dist_k * F.lit(scale) * F.lit(1 + 1e-9) + F.lit(1e-9) * (F.abs("_t") + 1))
-        qb = q.join(bound, "_qid", "left").withColumn("_reach", F.coalesce(reach, F.lit(1e300)))
-        qb = qb.withColumn("_a", F.col("_t") - F.col("_reach")).withColumn("_b", F.col("_t") + F.col("_reach"))
-        # first slab with hi >= a, last slab with lo <= b (one extra slab of margin on each side)
-        his = [float("-inf")] + _strict(slabs.hi) + [float("inf")]
-        los = [float("-inf")] + _strict(slabs.lo) + [float("inf")]
-        qb = Bucketizer(splits=his, inputCol="_a", outputCol="_ia").transform(qb)
-        qb = Bucketizer(splits=los, inputCol="_b", outputCol="_ib").transform(qb)
-        first = F.greatest(F.lit(0), F.col("_ia").cast("int") - 1)
-        last = F.least(F.lit(slabs.size - 1), F.col("_ib").cast("int"))
-        visits_b = (qb.withColumn("_vs", F.explode(F.sequence(first, F.greatest(first, last))))
-                    .filter(F.col("_vs") != F.col("_slab"))
-                    .select("_qid", "_qv", F.coalesce("_bound", F.lit(float("inf"))).alias("_bound"), F.col("_vs").alias("_slab")))
-        cand_b = _block_topk(visits_b, r_slabbed, slabs, k, metric, exclude_self, block_rows)
+    top = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
+    if cells.size > 1:
+        top = cut_lineage(top, "knn-pass-a")      # k rows per query; feeds the bound and the merge
+        bound = top.groupBy("_qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d")).alias("_dk"))
+        # written once: read for the number of visits and for the visits
+        qb = cut_lineage(q.join(bound, "_qid", "left").select(
+            "_qid", "_qv", F.coalesce("_dk", F.lit(float("inf"))).alias("_bound"), "_cell"), "knn-bounds")
+        cand_b = _block_topk(_visits(qb, cells, metric, False), r, rcount, _counts(_visits(qb, cells, metric, True)), k,
+                             metric, exclude_self)
         if cand_b is not None:
-            top_a = (top_a.select(*CAND_COLS).unionByName(cand_b)
-                     .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k))
+            top = (top.select(*CAND_COLS).unionByName(cand_b)
+                   .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k))
     d = F.sqrt("_d") if metric == "euclidean" else F.col("_d")
-    return top_a.select(F.col("_qid").alias("qid"), F.col("_rk").cast("long").alias("rank"),
-                        F.col("_rid").alias("rid"), d.alias("distance"))
+    return top.select(F.col("_qid").alias("qid"), F.col("_rk").cast("long").alias("rank"),
+                      F.col("_rid").alias("rid"), d.alias("distance"))
 
 
 CAND_COLS = ["_qid", "_rid", "_d"]
 
 
-def _strict(values):
-    """Make a sorted list strictly increasing (Bucketizer needs it); nudges only equal neighbours."""
-    out = []
-    for v in values:
-        v = float(v)
-        if out and v <= out[-1]:
-            v = np.nextafter(out[-1], np.inf)
-        out.append(v)
-    return out
-
-
 def brute_force_knn(queries: pd.DataFrame, refs: pd.DataFrame, k: int, metric: str = "euclidean",
                     exclude_self: bool = False) -> pd.DataFrame:
     """Test helper on small pandas frames (id, features): the definition K1 must equal."""
