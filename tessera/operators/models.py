@@ -355,6 +355,50 @@ class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Ha
                                F.col(lc).cast("int").alias("label"))
         return self._copyValues(KNNModel(train))
 
+    def fit_grid(self, data: DataFrame, points: list[dict], folds: int, key: str, fold: str):
+        """(index of the best point, score of each point, model of the best on all rows), with the folds in column ``fold``.
+
+        One neighbour join per metric and fold: the k nearest of a point are the first k of the largest k."""
+        full = [{n: self.getOrDefault(n) for n in ("k", "weights", "metric")} | p for p in points]
+        scores = [[] for _ in points]
+        for metric in dict.fromkeys(p["metric"] for p in full):
+            at = [i for i, p in enumerate(full) if p["metric"] == metric]
+            for f in range(folds):
+                train = self._fit(data.filter(F.col(fold) != f)).train
+                rows = self._fit(data.filter(F.col(fold) == f)).train
+                nn = knn_join(rows.select("id", "features"), train, max(full[i]["k"] for i in at), metric=metric)
+                votes = _votes(nn, train)
+                sums = []
+                for i in at:
+                    w = F.when(F.col("rank") <= full[i]["k"], _weight(full[i]["weights"])).otherwise(0.0)
+                    sums += [F.sum(F.when(F.col("label") == 1, w).otherwise(0.0)).alias(f"_w1_{i}"), F.sum(w).alias(f"_wa_{i}")]
+                scored = rows.select("id", "label").join(votes.groupBy(F.col("qid").alias("id")).agg(*sums), "id")
+                yes, counts = F.col("label") == 1, []
+                for i in at:
+                    said = F.col(f"_w1_{i}") > F.col(f"_wa_{i}") - F.col(f"_w1_{i}")
+                    counts += [F.count_if(said & yes).alias(f"tp_{i}"), F.count_if(said & ~yes).alias(f"fp_{i}"),
+                               F.count_if(~said & yes).alias(f"fn_{i}")]
+                got = scored.agg(*counts).first()
+                for i in at:
+                    tp, fp, fn = (got[f"{c}_{i}"] for c in ("tp", "fp", "fn"))
+                    precision, recall = tp / (tp + fp) if tp + fp else 0.0, tp / (tp + fn) if tp + fn else 0.0
+                    scores[i].append(2 * precision * recall / (precision + recall) if tp else 0.0)
+        means = [sum(s) / len(s) for s in scores]
+        best = max(range(len(points)), key=lambda i: (means[i], -i))       # first best wins
+        return best, means, self.copy()._set(**points[best]).fit(data)
+
+
+def _votes(nn: DataFrame, train: DataFrame) -> DataFrame:
+    """Neighbours with their labels and whether the query has any at distance 0."""
+    votes = nn.join(train.select(F.col("id").alias("rid"), "label"), "rid")
+    return votes.withColumn("_zero", F.max((F.col("distance") == 0).cast("int")).over(_by_q()))
+
+
+def _weight(weights: str):
+    if weights != "distance":
+        return F.lit(1.0)
+    return F.when(F.col("_zero") == 1, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
+
 
 class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol):
     k = KNNClassifier.k
@@ -370,13 +414,7 @@ class KNNModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasScoreCol
         key = self.getOrDefault(self.idCol)
         q = dataset.select(F.col(key).cast("long").alias("id"), as_array(dataset, self.getFeaturesCol()).alias("features"))
         nn = knn_join(q, self.train, self.getOrDefault(self.k), metric=self.getOrDefault(self.metric))
-        votes = nn.join(self.train.select(F.col("id").alias("rid"), "label"), "rid")
-        if self.getOrDefault(self.weights) == "distance":
-            zero = F.max((F.col("distance") == 0).cast("int")).over(_by_q())
-            w = F.when(zero == 1, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
-        else:
-            w = F.lit(1.0)
-        votes = votes.withColumn("_w", w)
+        votes = _votes(nn, self.train).withColumn("_w", _weight(self.getOrDefault(self.weights)))
         agg = votes.groupBy("qid").agg(F.sum(F.when(F.col("label") == 1, F.col("_w")).otherwise(0.0)).alias("_w1"),
                                        F.sum("_w").alias("_wa"))
         scored = agg.select(F.col("qid").alias(key), (F.col("_w1") / F.col("_wa")).alias(self.getScoreCol()),
