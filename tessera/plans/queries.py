@@ -255,7 +255,8 @@ def q_stream_naive_bayes_scores(spark, sf_dir):
     """Streaming predict: the test rows arrive as files and are scored by the fitted preparation
     and RUS + NB model in micro-batches (Structured Streaming, foreachBatch)."""
     from ..streaming import score_stream
-    split = survey_split(spark, sf_dir)
+    # the fit, the training rows and the arriving files read the split: write it once
+    split = cut_lineage(survey_split(spark, sf_dir), "survey-split")
     model = Preprocessor(R).fit(split.filter(F.col("split") == "train"))
     prepared = model.transform(split, keep=("split",))
     feats = model.feature_columns()
@@ -263,8 +264,11 @@ def q_stream_naive_bayes_scores(spark, sf_dir):
     nb = GaussianNB().fit(assemble(bal, feats))
     test_raw = split.filter(F.col("split") == "test").drop("split")
     src = scratch_path(spark, "stream-src")
-    test_raw.repartition(4, R.key).write.parquet(src)
-    sink = score_stream(spark, src, test_raw.schema, model, nb, scratch_path(spark, "stream-sink"))
+    # four micro-batches, each of a file per core: one file would be one task
+    per_batch = spark.sparkContext.defaultParallelism
+    test_raw.repartition(4 * per_batch, R.key).write.parquet(src)
+    sink = score_stream(spark, src, test_raw.schema, model, nb, scratch_path(spark, "stream-sink"),
+                        files_per_trigger=per_batch)
     out = spark.read.parquet(sink)
     return rounded(out.select(R.key, "label", F.col("prediction").cast("int").alias("prediction"), "score"))
 
