@@ -110,22 +110,35 @@ class _Screen:
 
     Euclidean: squared distances from the BLAS identity |q|^2 + |r|^2 - 2 q.r; rounding
     error at most 1e-9 * (|q|^2 + max|r|^2) + 1e-300. Manhattan: float32 sums over tiles that stay in
-    the cache; error at most (d + 4) * 2^-23 * (|q| + max|r|), float64 where values are too large for it.
+    the cache; error at most (d + 4) * 2^-23 * (|q| + max|r|), float64 where values are too large for it;
+    int16 steps of a common size (error at most a step per dimension) where those are fine against the bounds.
     """
 
-    def __init__(self, rv: np.ndarray, metric: str):
-        self.rv, self.metric = rv, metric
+    def __init__(self, rv: np.ndarray, metric: str, qv: np.ndarray, bound: np.ndarray):
+        self.rv, self.metric, self.step = rv, metric, 0.0
         if metric == "euclidean":
             self.sq = np.einsum("ij,ij->i", rv, rv)
             self.top = self.sq.max()
         else:
             self.top = np.abs(rv).sum(axis=1).max()
             self.small = self.top < 1e30
-            self.cols = np.ascontiguousarray(rv.T.astype(np.float32 if self.small else np.float64))
+            dim = rv.shape[1]
+            self.low = np.minimum(rv.min(axis=0), qv.min(axis=0)) if dim else np.empty(0)
+            width = (np.maximum(rv.max(axis=0), qv.max(axis=0)) - self.low).max(initial=0.0)
+            if dim and 32767 // dim and (dim + 1) * width / (32767 // dim) <= 0.05 * np.median(bound) < np.inf:
+                self.step = width / (32767 // dim)
+            self.cols = np.ascontiguousarray(self._coded(rv).T)
+
+    def _coded(self, x: np.ndarray) -> np.ndarray:
+        if self.step:
+            return np.rint((x - self.low) / self.step).astype(np.int16)
+        return x.astype(np.float32 if self.small else np.float64)
 
     def tol(self, q: np.ndarray) -> np.ndarray:
         if self.metric == "euclidean":
             return 1e-9 * (np.einsum("ij,ij->i", q, q) + self.top) + 1e-300
+        if self.step:
+            return (q.shape[1] + 1) * self.step + 1e-12 * (np.abs(q).sum(axis=1) + self.top)
         return (q.shape[1] + 4) * (2.0 ** -23 if self.small else 1e-15) * (np.abs(q).sum(axis=1) + self.top) + 1e-30
 
     def __call__(self, q: np.ndarray, at) -> np.ndarray:
@@ -137,8 +150,8 @@ class _Screen:
             out += self.sq[at]
             return out
         cols = self.cols[:, at]
-        q = q.astype(cols.dtype)
-        out = np.empty((len(q), cols.shape[1]), cols.dtype)
+        q = self._coded(q)
+        out = np.empty((len(q), cols.shape[1]), np.float32 if self.small else np.float64)
         for s in range(0, len(q), 16):
             part = q[s:s + 16]
             for a in range(0, cols.shape[1], 4096):
@@ -149,6 +162,8 @@ class _Screen:
                     np.abs(diff, out=diff)
                     tile += diff
                 out[s:s + 16, a:a + 4096] = tile
+        if self.step:
+            out *= np.float32(self.step)
         return out
 
 
@@ -181,7 +196,7 @@ def _group_topk(qv, qid, bound, rv, rid, k: int, metric: str, exclude_self: bool
     ends = np.cumsum([len(p) for p in parts])
     starts = np.r_[0, ends[:-1]]
     lo, hi = np.minimum.reduceat(rv, starts, axis=0), np.maximum.reduceat(rv, starts, axis=0)
-    screen = _Screen(rv, metric)
+    screen = _Screen(rv, metric, qv, bound)
     for at in _boxes(qv, BOX_ROWS):
         q, ids = qv[at], qid[at]
         tol = screen.tol(q)
