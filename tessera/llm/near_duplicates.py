@@ -69,7 +69,7 @@ def signatures(text: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int, r
     """ProbMinHash registers (the code of the earliest shingle) of ``n`` texts; zeros for a text without shingles."""
     earliest = np.full(n * registers, np.inf)
     holder = np.zeros(n * registers, np.uint64)
-    time, step = np.zeros(len(code)), 0
+    time, step, check = np.zeros(len(code)), 0, 0
     while len(code):
         draw = A.mix64(code + np.uint64((step + 1) * _ARRIVAL % (1 << 64)))
         time = time - np.log(((draw >> np.uint64(32)).astype(np.float64) + 0.5) / 2.0 ** 32) / weight
@@ -78,9 +78,12 @@ def signatures(text: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int, r
         np.minimum.at(earliest, register[sooner], time[sooner])
         won = sooner[earliest[register[sooner]] == time[sooner]]
         holder[register[won]] = code[won]
-        latest = earliest.reshape(n, registers).max(axis=1)
-        alive = time < latest[text]
-        text, code, weight, time, step = text[alive], code[alive], weight[alive], time[alive], step + 1
+        step += 1
+        if step > check:  # arrivals later than all registers change nothing, so shingles may stop some steps late
+            open_texts, of = np.unique(text, return_inverse=True)
+            alive = time < earliest.reshape(n, registers)[open_texts].max(axis=1)[of]
+            text, code, weight, time = text[alive], code[alive], weight[alive], time[alive]
+            check = step + step // 16
     return holder.reshape(n, registers)
 
 
@@ -321,7 +324,7 @@ def classed(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         tested = tested.unionByName(pairs)
         more = cut_lineage(verify(pairs, texts).filter(F.col("similarity") >= similarity - ROUNDING).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
         if not more.isEmpty():
-            links = links.unionByName(more)
+            links = classes.select(F.col("id").alias("u"), F.col("class").alias("v")).unionByName(more)
             classes = cut_lineage(connected_components(links), "near-classes")
         held = open_rows.select("bucket", "id", "far")
     known = reps.join(classes, reps.node == classes.id, "left").select("copy_of", "rep", F.coalesce("class", "node").alias("class"))

@@ -396,3 +396,28 @@ def test_pipeline(spark, docs):
     assert {d for d, _ in pairs_of(steps[3])} == {r.doc_id for r in steps[4].select("doc_id").distinct().collect()}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    from tessera.llm import components
+    written = []
+    real = components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df, name: written.append(name) or real(df, name))
+    star = [(k, 1) for k in range(2, 40)] + [(k, 50) for k in range(51, 60)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(star, "u long, v long")).collect()))
+    assert got == {1: 1, 50: 50, **dict(star)} and written == ["cc-edges"]
+    path = [(k, k + 1) for k in range(1, 30)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(path, "u long, v long")).collect()))
+    assert got == {k: 1 for k in range(1, 31)}
+
+
+def test_signatures_of_texts_together_and_alone(monkeypatch):
+    texts = [LONG.encode(), b"", *[f"a{k} b c d e f{k}".encode() for k in range(20)]]
+    text, code, count = near_duplicates.shingles(texts)
+    alone = [near_duplicates.signatures(np.zeros((text == t).sum(), np.int64), code[text == t], count[text == t].astype(float), 1, 64)
+             for t in range(len(texts))]
+    looks, real = [], near_duplicates.np.log
+    monkeypatch.setattr(near_duplicates.np, "log", lambda x: looks.append(len(x)) or real(x))
+    both = near_duplicates.signatures(text, code, count.astype(float), len(texts), 64)
+    assert (both == np.concatenate(alone)).all() and not both[1].any()
+    assert sum(looks) < 3 * len(code) + len(texts) * 64 * 16  # arrivals drawn
