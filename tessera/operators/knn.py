@@ -8,11 +8,12 @@ Plan, all on Spark:
    same result. A cell's region is a box, and the distance of a query to that box
    is a lower bound on its distance to every row of the cell.
 2. A cell holds ``block_rows`` rows or, in tables of more than ``MIN_CELLS`` such
-   cells, up to ``GROUP_ROWS``: vectors are shuffled once per visited cell, so
+   cells, up to ``group_rows``: vectors are shuffled once per visited cell, so
    cells of a fixed small size would ship every vector n / block_rows times. Cells
-   and their visitors are split into hash chunks of ``GROUP_ROWS``, so every (cell,
+   and their visitors are split into hash chunks of ``group_rows``, so every (cell,
    ref chunk, query chunk) group is bounded even when one value holds a third of
-   the table.
+   the table. ``group_rows`` grows with the table up to ``MAX_GROUP_ROWS``, so until
+   then a vector is shuffled a fixed number of times, however long the table is.
 3. Pass A: each query is matched against its own cell -> an upper bound
    on its k-th distance. Pass B: it visits only the cells whose box lies
    within that bound, and a group returns only candidates within it, so few rows
@@ -44,7 +45,8 @@ from ..session import cut_lineage, ship_package
 
 MAX_SLABS = 4096                 # bound on the cell table (collected, broadcast)
 MIN_CELLS = 16                   # cells a table is cut into before cells grow beyond block_rows
-GROUP_ROWS = 16384               # rows per side of a group
+GROUP_ROWS = 16384               # rows per side of a group, in larger tables up to
+MAX_GROUP_ROWS = 65536
 SAMPLE_PER_CELL, SAMPLE_ROWS = 64, 65536
 BOX_ROWS = 256                   # rows of a box inside a group
 CAND_SCHEMA = "_qid long, _rid long, _d double"
@@ -197,7 +199,7 @@ def _group_topk(qv, qid, bound, rv, rid, k: int, metric: str, exclude_self: bool
     starts = np.r_[0, ends[:-1]]
     lo, hi = np.minimum.reduceat(rv, starts, axis=0), np.maximum.reduceat(rv, starts, axis=0)
     screen = _Screen(rv, metric, qv, bound)
-    for at in _boxes(qv, BOX_ROWS):
+    for at in _boxes(qv, max(16, min(BOX_ROWS, BOX_ROWS * GROUP_ROWS // len(rv)))):   # bounds a block's distances
         q, ids = qv[at], qid[at]
         tol = screen.tol(q)
         limit = bound[at] + tol
@@ -352,12 +354,18 @@ def _counts(rows: DataFrame) -> dict:
     return {r["_cell"]: r["n"] for r in rows.groupBy("_cell").agg(F.sum("n").alias("n")).collect()}
 
 
+def group_rows(n: int) -> int:
+    """Rows per side of a group in a table of ``n`` rows."""
+    return min(MAX_GROUP_ROWS, max(GROUP_ROWS, math.ceil(n / MIN_CELLS)))
+
+
 def _block_topk(visits: DataFrame, refs: DataFrame, rcount: dict, vcount: dict, k: int, metric: str,
                 exclude_self: bool) -> DataFrame:
     """Local top-k candidates, none beyond the query's ``_bound``, for every (query, visited cell) pair
     (None when nothing is visited)."""
     spark = visits.sparkSession
-    tab = [(c, math.ceil(rcount[c] / GROUP_ROWS), math.ceil(n / GROUP_ROWS)) for c, n in vcount.items() if c in rcount]
+    most = group_rows(sum(rcount.values()))
+    tab = [(c, math.ceil(rcount[c] / most), math.ceil(n / most)) for c, n in vcount.items() if c in rcount]
     if not tab:
         return None
     # cell table: bounded by max_slabs rows, safe to broadcast
@@ -409,8 +417,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, *, qid: str = "id", ri
         q = cut_lineage(queries.select(F.col(qid).cast("long").alias("_qid"),
                                        F.col(qvec).cast("array<double>").alias("_qv")), "knn-queries")
     n_r = r.count()
-    # small tables: block_rows rows a cell; larger ones: GROUP_ROWS, and no fewer than MIN_CELLS cells
-    n_cells = max(1, min(math.ceil(n_r / block_rows), max(MIN_CELLS, math.ceil(n_r / GROUP_ROWS)), max_slabs))
+    # small tables: block_rows rows a cell; larger ones: a group's rows, and no fewer than MIN_CELLS cells
+    n_cells = max(1, min(math.ceil(n_r / block_rows), max(MIN_CELLS, math.ceil(n_r / group_rows(n_r))), max_slabs))
     sample = np.empty((0, 0))
     if n_cells > 1:
         share = min(1.0, min(SAMPLE_PER_CELL * n_cells, SAMPLE_ROWS) / n_r)
