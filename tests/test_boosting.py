@@ -91,3 +91,42 @@ def test_penalties_shrink_leaves(data):
     df, x, _ = data
     loose, tight = (ML.RegularisedBoosting(nEstimators=3, maxDepth=3, regLambda=v, regAlpha=v).fit(df).ensemble for v in (0.0, 50.0))
     assert np.ptp(tight.margins(x)) < 0.5 * np.ptp(loose.margins(x))
+
+
+def test_columns_of_few_bins_are_summed_jointly():
+    rng = np.random.default_rng(5)
+    level, rows = rng.integers(0, 6, 4000), 4000
+    bins = np.vstack([rng.integers(0, 40, rows), *[level == v for v in range(6)], rng.integers(0, 3, (4, rows))]).astype(np.uint8)
+    offsets = np.concatenate(([0], np.cumsum(bins.max(1).astype(int) + 1)))
+    for most in (512, 4):     # 4: no joint value of two columns fits
+        B.MAX_JOINT, was = most, B.MAX_JOINT
+        codes = B.coded(bins, offsets)
+        B.MAX_JOINT = was
+        assert sorted(p for c in codes for p in c.places) == list(range(offsets[-1]))
+        assert len(codes) == 2 or most == 4
+        block = B._Block(np.arange(rows), bins, codes, rng.integers(0, 2, rows).astype(float), np.arange(rows) % 3, [0], rng.normal(size=(rows, 1)))
+        tree = B.Tree()
+        tree.split(0, 0, 17, 0.0, 0.0)
+        (_, sums), = B._sums((0, block), {0: (tree, [1, 2])}, [B.Boosting(1, 2, fold=1)], offsets, 1, 0, 42)
+        p = 1 / (1 + np.exp(-block.margin[:, 0]))
+        for node, mine in enumerate((bins[0] <= 17, bins[0] > 17)):
+            for c, first in enumerate(offsets[:-1]):
+                for v in range(offsets[c + 1] - first):
+                    at = mine & (bins[c] == v) & (block.fold != 1)
+                    assert np.allclose(sums[:, node, first + v], [at.sum(), (block.label - p)[at].sum(), (p * (1 - p))[at].sum()])
+
+
+def test_one_block_up_to_its_bound_and_margins_dealt(data, monkeypatch):
+    df, x, _ = data
+    monkeypatch.setattr(B, "PASS_ROWS", 150)
+    cuts = B.column_cuts(df, "features")
+    rows = df.withColumn("label", F.col("label").cast("double"))
+    assert B._blocks(rows, cuts, len(x))[1] == 1
+    whole = B.fit_together(df, SPECS, {2})
+    monkeypatch.setattr(B, "LOCAL_MARGINS", 600)     # a model to a task
+    for a, b in zip(whole[0], B.fit_together(df, SPECS, {2})[0]):
+        same(a, b)
+    monkeypatch.setattr(B, "LOCAL_CELLS", 600)       # 600 rows of 4 columns are too wide
+    assert B._blocks(rows, cuts, len(x))[1] == 4
+    for a, b in zip(whole[0], B.fit_together(df, SPECS, {2})[0]):
+        same(a, b)
