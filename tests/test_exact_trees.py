@@ -130,3 +130,16 @@ def test_grid_search_reaches_all_points(data):
         assert len(found.scores) == 16 and max(s for _, s in found.scores) > 0.6
         out = found.model.transform(df.drop("fold"))
         assert out.columns == ["id", "features", "label", "score", "prediction"] and out.count() == 300
+
+
+def test_values_of_a_batch_are_counted_once():
+    found, rows, n, pos = E.by_value(np.array([2.0, 1.0, 2.0, -0.0, 0.0]), np.array([1, 2, 3, 1, 1]), np.array([0, 2, 3, 1, 0]))
+    assert found.tolist() == [0, 1, 2] and (rows.tolist(), n.tolist(), pos.tolist()) == ([2, 1, 2], [2, 2, 4], [1, 2, 3])
+
+
+def test_folds_grow_in_the_same_passes(data, monkeypatch):
+    monkeypatch.setattr(X, "LOCAL_ROWS", 80)
+    grown, one = [], X._grow_tops
+    monkeypatch.setattr(X, "_grow_tops", lambda df, tops, *rest: (grown.append([t.fold for t in tops]), one(df, tops, *rest)))
+    X.search(data[0], [E.ExactForest(1, 3, 2, 1)], 3)
+    assert grown == [[0, 1, 2], [-1]]
