@@ -36,7 +36,6 @@ import heapq
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,23 +107,29 @@ def _few_copies(rv: np.ndarray, rid: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Screen:
-    """Approximate distances of query rows to the references, each within ``tol`` of the exact one.
+    """Approximate distances of query rows to the references, each within ``tol`` of the exact one less ``shift``.
 
-    Euclidean: squared distances from the BLAS identity |q|^2 + |r|^2 - 2 q.r; rounding
-    error at most 1e-9 * (|q|^2 + max|r|^2) + 1e-300. Manhattan: float32 sums over tiles that stay in
+    Euclidean: |r|^2 - 2 q.r in one BLAS product, so the squared distance less |q|^2; rounding error at most
+    1e-9 * (|q|^2 + max|r|^2) + 1e-300. Where it is fine against the bounds the product is in float32: error
+    at most (d + 8) * 2^-23 * (|q|^2 + max|r|^2) + (d + 8) * 1e-37. Manhattan: float32 sums over tiles that stay in
     the cache; error at most (d + 4) * 2^-23 * (|q| + max|r|), float64 where values are too large for it;
     int16 steps of a common size (error at most a step per dimension) where those are fine against the bounds.
     """
 
     def __init__(self, rv: np.ndarray, metric: str, qv: np.ndarray, bound: np.ndarray):
-        self.rv, self.metric, self.step = rv, metric, 0.0
+        self.metric, self.step = metric, 0.0
+        dim = rv.shape[1]
         if metric == "euclidean":
-            self.sq = np.einsum("ij,ij->i", rv, rv)
-            self.top = self.sq.max()
+            sq = np.einsum("ij,ij->i", rv, rv)
+            self.top = sq.max()
+            reach = np.einsum("ij,ij->i", qv, qv).max() + self.top
+            self.small = bool(reach < 1e30) and bool(
+                (dim + 8) * (2.0 ** -23 * reach + 1e-37) <= 1e-3 * np.median(bound) < np.inf)
+            self.cols = np.empty((len(rv), dim + 1), np.float32 if self.small else np.float64)
+            self.cols[:, :dim], self.cols[:, dim] = rv, sq
         else:
             self.top = np.abs(rv).sum(axis=1).max()
             self.small = self.top < 1e30
-            dim = rv.shape[1]
             self.low = np.minimum(rv.min(axis=0), qv.min(axis=0)) if dim else np.empty(0)
             width = (np.maximum(rv.max(axis=0), qv.max(axis=0)) - self.low).max(initial=0.0)
             if dim and 32767 // dim and (dim + 1) * width / (32767 // dim) <= 0.05 * np.median(bound) < np.inf:
@@ -136,9 +141,13 @@ class _Screen:
             return np.rint((x - self.low) / self.step).astype(np.int16)
         return x.astype(np.float32 if self.small else np.float64)
 
+    def shift(self, q: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", q, q) if self.metric == "euclidean" else np.zeros(len(q))
+
     def tol(self, q: np.ndarray) -> np.ndarray:
         if self.metric == "euclidean":
-            return 1e-9 * (np.einsum("ij,ij->i", q, q) + self.top) + 1e-300
+            reach = np.einsum("ij,ij->i", q, q) + self.top
+            return (q.shape[1] + 8) * (2.0 ** -23 * reach + 1e-37) if self.small else 1e-9 * reach + 1e-300
         if self.step:
             return (q.shape[1] + 1) * self.step + 1e-12 * (np.abs(q).sum(axis=1) + self.top)
         return (q.shape[1] + 4) * (2.0 ** -23 if self.small else 1e-15) * (np.abs(q).sum(axis=1) + self.top) + 1e-30
@@ -146,11 +155,9 @@ class _Screen:
     def __call__(self, q: np.ndarray, at) -> np.ndarray:
         """``at``: slice or row numbers of the references."""
         if self.metric == "euclidean":
-            out = q @ self.rv[at].T
-            out *= -2.0
-            out += np.einsum("ij,ij->i", q, q)[:, None]
-            out += self.sq[at]
-            return out
+            own = np.empty((len(q), q.shape[1] + 1), self.cols.dtype)
+            own[:, :-1], own[:, -1] = -2.0 * q, 1.0
+            return own @ self.cols[at].T
         cols = self.cols[:, at]
         q = self._coded(q)
         out = np.empty((len(q), cols.shape[1]), np.float32 if self.small else np.float64)
@@ -169,6 +176,14 @@ class _Screen:
         return out
 
 
+def _at_most(approx: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """approx <= limit by row, the limits rounded up to the type of ``approx``."""
+    if approx.dtype != limit.dtype:
+        with np.errstate(over="ignore"):
+            limit = np.nextafter(limit.astype(approx.dtype), approx.dtype.type(np.inf))
+    return approx <= limit[:, None]
+
+
 def _kth(approx: np.ndarray, k: int) -> np.ndarray:
     """k-th smallest value per row (inf if there are fewer)."""
     if approx.shape[1] < k:
@@ -176,16 +191,25 @@ def _kth(approx: np.ndarray, k: int) -> np.ndarray:
     return np.partition(approx, k - 1, axis=1)[:, k - 1].astype(np.float64)
 
 
+def _within_kth(approx: np.ndarray, rows: np.ndarray, slack: np.ndarray, k: int) -> np.ndarray:
+    """Which of the found pairs (in order of their query rows) lie within their row's k-th approximation plus its slack."""
+    keep = np.ones(len(rows), bool)
+    ends = np.cumsum(np.bincount(rows, minlength=len(slack)))
+    for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+        if b - a > k:
+            found = approx[a:b]
+            keep[a:b] = found <= np.float64(np.partition(found, k - 1)[k - 1]) + slack[i]
+    return keep
+
+
 def _local_topk(k: int, metric: str, exclude_self: bool):
-    def fn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(queries: pa.Table, refs: pa.Table) -> pa.Table:
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if not qpdf.empty and not rpdf.empty:
-            qv = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
-            rv = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
-            qid, bound = qpdf["_qid"].to_numpy(dtype=np.int64), qpdf["_bound"].to_numpy(dtype=np.float64)
-            rid = rpdf["_rid"].to_numpy(dtype=np.int64)
+        if queries.num_rows and refs.num_rows:
+            qid, bound, rid = (t.column(c).to_numpy() for t, c in ((queries, "_qid"), (queries, "_bound"), (refs, "_rid")))
+            qv, rv = (_matrix(t.column(c).combine_chunks()) for t, c in ((queries, "_qv"), (refs, "_rv")))
             found += _group_topk(qv, qid, bound, rv, rid, k, metric, exclude_self)
-        return pd.DataFrame(dict(zip(("_qid", "_rid", "_d"), map(np.concatenate, zip(*found)))))
+        return pa.table(dict(zip(("_qid", "_rid", "_d"), map(np.concatenate, zip(*found)))))
     return fn
 
 
@@ -201,12 +225,11 @@ def _group_topk(qv, qid, bound, rv, rid, k: int, metric: str, exclude_self: bool
     screen = _Screen(rv, metric, qv, bound)
     for at in _boxes(qv, max(16, min(BOX_ROWS, BOX_ROWS * GROUP_ROWS // len(rv)))):   # bounds a block's distances
         q, ids = qv[at], qid[at]
-        tol = screen.tol(q)
+        tol, shift = screen.tol(q), screen.shift(q)
         limit = bound[at] + tol
         gap = _box_gap(q.min(axis=0), q.max(axis=0), lo, hi, metric)
 
-        def measure(cols):
-            approx = screen(q, cols)
+        def others(approx, cols):
             if exclude_self:
                 approx[ids[:, None] == rid[cols][None, :]] = np.inf
             return approx
@@ -218,19 +241,27 @@ def _group_topk(qv, qid, bound, rv, rid, k: int, metric: str, exclude_self: bool
                 held += len(near[-1])
                 if held > k:
                     break
-            limit = np.minimum(limit, _kth(measure(np.concatenate(near)), k) + 2 * tol)
+            near = np.concatenate(near)
+            limit = np.minimum(limit, _kth(others(screen(q, near), near), k) + shift + 2 * tol)
         wanted = np.flatnonzero(~(gap > limit.max()))
         if not len(wanted):
             continue
         cols = (slice(0, len(rid)) if len(wanted) == len(parts) else
                 np.concatenate([np.arange(starts[b], ends[b]) for b in wanted]))
-        approx = measure(cols)
-        mask = approx <= limit[:, None]
-        if np.count_nonzero(mask) > 8 * k * len(q):
-            mask = approx <= np.minimum(limit, _kth(approx, k) + 2 * tol)[:, None]
+        approx = screen(q, cols)
+        mask = _at_most(approx, limit - shift)
+        if np.count_nonzero(mask) > mask.size // 16:
+            mask = _at_most(approx, np.minimum(limit - shift, _kth(others(approx, cols), k) + 2 * tol))
         hits = np.flatnonzero(mask)
-        rows, picked = np.divmod(hits[np.isfinite(approx.ravel()[hits])], mask.shape[1])
+        rows, picked = np.divmod(hits, mask.shape[1])
+        near = approx.ravel()[hits]
         picked = picked if isinstance(cols, slice) else cols[picked]
+        valid = np.isfinite(near)
+        if exclude_self:
+            valid &= ids[rows] != rid[picked]
+        if len(hits) > 8 * k * len(q):
+            valid[valid] = _within_kth(near[valid], rows[valid], 2 * tol, k)
+        rows, picked = rows[valid], picked[valid]
         dd = _exact_rows(q, rv, rows, picked, metric)
         # per query: order by (exact d, rid) and keep k
         best = np.lexsort((rid[picked], dd, rows))
@@ -292,19 +323,25 @@ class _Cells:
             inner = inner[self.axis[node[inner]] >= 0]
         return self.cell[node]
 
+    def _side(self, v: np.ndarray, node: np.ndarray, axis: np.ndarray, metric: str) -> np.ndarray:
+        """Part of the distance (squared for euclidean) to the nodes' boxes that lies along an axis each."""
+        gap = np.maximum(np.maximum(self.lo[node, axis] - v, v - self.hi[node, axis]), 0.0)
+        return gap * gap if metric == "euclidean" else gap
+
     def within(self, x: np.ndarray, bound: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) for every cell whose box lies within the row's bound."""
-        row, node, out = np.arange(len(x)), np.zeros(len(x), np.int64), []
+        row, node, gap, out = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x)), []
         while len(row):
             leaf = self.axis[node] < 0
             out.append((row[leaf], self.cell[node[leaf]]))
-            row, node = row[~leaf], node[~leaf]
-            row, node = np.r_[row, row], np.r_[self.left[node], self.right[node]]
-            near = np.empty(len(row), bool)
-            for a in range(0, len(row), 65536):
-                r, n = row[a:a + 65536], node[a:a + 65536]
-                near[a:a + 65536] = ~(_box_gap(x[r], x[r], self.lo[n], self.hi[n], metric) > bound[r])
-            row, node = row[near], node[near]
+            row, node, gap = row[~leaf], node[~leaf], gap[~leaf]
+            # a child's box differs from its parent's along one axis; the gap there only grows
+            axis = self.axis[node]
+            v, rest = x[row, axis], gap - self._side(x[row, axis], node, axis, metric)
+            children = [(child, rest + self._side(v, child, axis, metric)) for child in (self.left[node], self.right[node])]
+            near = [~(g * (1 - 1e-9) > bound[row]) for _, g in children]
+            node, gap = (np.concatenate([c[i][n] for c, n in zip(children, near)]) for i in (0, 1))
+            row = np.concatenate([row[n] for n in near])
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
@@ -387,7 +424,7 @@ def _block_topk(visits: DataFrame, refs: DataFrame, rcount: dict, vcount: dict,
                                            int(spark.conf.get("spark.sql.shuffle.partitions"))), MAX_SLABS)))
     q = q.repartition(n_parts, *keys)
     r = r.repartition(n_parts, *keys)
-    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(
         _local_topk(k, metric, exclude_self), CAND_SCHEMA)
 
 
@@ -459,6 +496,8 @@ CAND_COLS = ["_qid", "_rid", "_d"]
 def brute_force_knn(queries: pd.DataFrame, refs: pd.DataFrame, k: int, metric: str = "euclidean",
                     exclude_self: bool = False) -> pd.DataFrame:
     """Test helper on small pandas frames (id, features): the definition K1 must equal."""
+    import pandas as pd
+
     qv = np.stack(queries["features"].to_numpy()).astype(np.float64)
     rv = np.stack(refs["features"].to_numpy()).astype(np.float64)
     d = _pairwise(qv, rv, metric)

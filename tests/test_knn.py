@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
+from tessera.operators import knn
 from tessera.operators.knn import brute_force_knn, knn_join
 
 
@@ -112,3 +114,41 @@ def test_groups_grow_with_the_table(spark, monkeypatch):
         visits.clear()
     monkeypatch.setattr(knn, "MAX_GROUP_ROWS", 16)
     _check(spark, pts, 3, "euclidean", 4)
+
+
+def test_coarse_bounds_are_screened_in_single_precision_and_stay_exact():
+    """Unit vectors with bounds far above float32 steps; pairs closer to each other than those steps keep their exact order."""
+    rng = np.random.default_rng(3)
+    r = rng.normal(size=(600, 16))
+    r /= np.linalg.norm(r, axis=1)[:, None]
+    r = np.concatenate([r, r * (1 + 1e-9)])
+    q = r[:300] + 0.01 * rng.normal(size=(300, 16))
+    qid, rid = np.arange(10_000, 10_300), np.arange(len(r))
+    exact = knn._pairwise(q, r, "euclidean")
+    bound = np.sort(exact, axis=1)[:, 39]
+    assert knn._Screen(r, "euclidean", q, bound).cols.dtype == np.float32
+    tables = pa.table({"_qid": qid, "_qv": list(q), "_bound": bound}), pa.table({"_rid": rid, "_rv": list(r)})
+    got = knn._local_topk(4, "euclidean", True)(*tables).to_pandas().sort_values(["_qid", "_d", "_rid"])
+    order = np.stack([np.lexsort((rid, d))[:4] for d in exact])
+    assert got["_rid"].to_numpy().reshape(300, 4).tolist() == order.tolist()
+    assert (got["_d"].to_numpy().reshape(300, 4) == np.take_along_axis(exact, order, axis=1)).all()
+
+
+def test_single_precision_is_not_used_where_its_steps_are_coarse():
+    r = 1e6 + np.random.default_rng(4).normal(size=(200, 3))
+    assert knn._Screen(r, "euclidean", r, np.full(200, 1e-3)).cols.dtype == np.float64
+    assert knn._Screen(r, "euclidean", r, np.full(200, np.inf)).cols.dtype == np.float64
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_visits_measure_one_axis_per_node(metric, monkeypatch):
+    """Visited cells are those whose box lies within the bound; no gap to a whole box is computed on the way."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    cells = knn._Cells(x, 32, "pca", 7)
+    bound = rng.uniform(0, 3, len(x))
+    leaves = np.flatnonzero(cells.axis < 0)
+    wanted = {(i, int(cells.cell[n])) for i in range(len(x)) for n in leaves
+              if knn._box_gap(x[i:i + 1], x[i:i + 1], cells.lo[n:n + 1], cells.hi[n:n + 1], metric)[0] <= bound[i]}
+    monkeypatch.setattr(knn, "_box_gap", None)
+    assert set(zip(*(a.tolist() for a in cells.within(x, bound, metric)))) == wanted
