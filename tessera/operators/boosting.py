@@ -19,6 +19,11 @@ over numpy arrays, which is why they are an RDD and not a DataFrame. Columns of
 few bins, such as one-hot ones, are summed by their joint value in a block, of
 which there are few, and dealt to the bins of each column afterwards.
 
+Rows whose values share all their bins have the same margin in every model: a
+block keeps them as one cell, and the rows only count into the weights of its
+cells by fold and sample. If no model samples rows, a large table meets by cell
+before it is cut into blocks, and is one block if its cells fit.
+
 Splits: ``friedman`` weighs the squared difference of the children's mean
 gradients; ``newton`` is the regularised second-order gain. Leaves are Newton
 steps, shrunk by ``l1`` and ``l2``.
@@ -123,23 +128,40 @@ def drawn_columns(n: int, share: float, seed: int, turn: int) -> np.ndarray:
 
 
 def _pull(g, l1: float):
-    return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
+    return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0) if l1 else g
 
 
 def leaf_value(n, g, h, spec: Boosting):
     return _pull(g, spec.l1) / np.maximum(h + spec.l2, 1e-12)
 
 
-def best_splits(sums: np.ndarray, spec: Boosting, offsets: np.ndarray, columns: np.ndarray) -> list[tuple]:
-    """For each node of ``sums`` [count, gradient, Hessian; node; bin]: (feature, cut, left sums, right sums), None for a leaf, and its own sums."""
+@dataclass
+class _Splits:
+    """Best splits of some nodes (``feature`` -1: none); sums are [count, gradient, Hessian; node]."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    own: np.ndarray
+
+
+def best_splits(sums: np.ndarray, spec: Boosting, offsets: np.ndarray, columns: np.ndarray) -> _Splits:
+    """The best splits of the nodes of ``sums`` [count, gradient, Hessian; node; bin]; nothing is split off at a column's last bin."""
     total = sums[:, :, offsets[0]:offsets[1]].sum(2)
     run = np.cumsum(sums, 2)
-    start = np.repeat(offsets[:-1], np.diff(offsets))
-    left = run - np.where(start > 0, run[:, :, np.maximum(start - 1, 0)], 0.0)
+    usable = np.repeat(columns, np.diff(offsets))
+    usable[offsets[1:] - 1] = False
+    places = np.flatnonzero(usable)
+    if not len(places):
+        none = np.full(total.shape[1], -1)
+        return _Splits(none, none, total, total, total)
+    feature = np.searchsorted(offsets, places, "right") - 1
+    start = offsets[feature]
+    left = run[:, :, places] - np.where(start > 0, run[:, :, np.maximum(start - 1, 0)], 0.0)
     right = total[:, :, None] - left
     (nl, gl, hl), (nr, gr, hr), (n, g, h) = left, right, total[:, :, None]
     fits = (nl >= spec.min_leaf) & (nr >= spec.min_leaf) & (n >= spec.min_split) & (hl >= spec.min_hessian) & (hr >= spec.min_hessian)
-    fits &= np.repeat(columns, np.diff(offsets))[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         if spec.split == "friedman":
             gain = nl * nr / n * (gl / nl - gr / nr) ** 2
@@ -147,15 +169,9 @@ def best_splits(sums: np.ndarray, spec: Boosting, offsets: np.ndarray, columns:
             weight = lambda a, b: _pull(a, spec.l1) ** 2 / (b + spec.l2)
             gain = weight(gl, hl) + weight(gr, hr) - weight(g, h)
     gain = np.where(fits & (gain > 1e-10), gain, -np.inf)
-    best = gain.argmax(1)
-    out = []
-    for node, k in enumerate(best.tolist()):
-        if not np.isfinite(gain[node, k]):
-            out.append((None, total[:, node]))
-            continue
-        feature = int(np.searchsorted(offsets, k, "right")) - 1
-        out.append(((feature, k - int(offsets[feature]), left[:, node, k], right[:, node, k]), total[:, node]))
-    return out
+    best, nodes = gain.argmax(1), np.arange(gain.shape[0])
+    found = np.isfinite(gain[nodes, best])
+    return _Splits(np.where(found, feature[best], -1), places[best] - start[best], left[:, nodes, best], right[:, nodes, best], total)
 
 
 @dataclass
@@ -194,6 +210,10 @@ def coded(bins: np.ndarray, offsets: np.ndarray) -> list[_Codes]:
 
 @dataclass
 class _Block:
+    """Rows (``ids``, ``label``, ``fold``) and the cells that they are in (``bins``, ``codes``, ``margin``).
+
+    A row stands for ``count`` rows of one cell and fold, and ``label`` is their sum. Without ``cell`` each row is its own."""
+
     ids: np.ndarray
     bins: np.ndarray
     codes: list[_Codes]
@@ -201,11 +221,62 @@ class _Block:
     fold: np.ndarray
     models: list[int]
     margin: np.ndarray
+    cell: np.ndarray | None = None
+    count: np.ndarray | None = None
+
+    def weights(self, spec: Boosting, turn: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and positive rows of each cell that a model sees in a turn."""
+        use = self.fold != spec.fold
+        if spec.subsample < 1:
+            use &= _drawn(self.ids, spec.subsample, seed, turn)
+        cell = np.flatnonzero(use) if self.cell is None else self.cell[use]
+        cells = self.bins.shape[1]
+        return np.bincount(cell, None if self.count is None else self.count[use], cells).astype(np.float64), np.bincount(cell, self.label[use], cells)
+
+    def held_counts(self, j: int, spec: Boosting) -> np.ndarray:
+        """[true positives, false positives, false negatives] of the block's model ``j`` on the rows that it leaves out."""
+        held = np.flatnonzero(self.fold == spec.fold)
+        said = self.margin[held if self.cell is None else self.cell[held], j] > 0
+        pos = self.label[held]
+        neg = (1 if self.count is None else self.count[held]) - pos
+        return np.array([pos[said].sum(), neg[said].sum(), pos[~said].sum()]).astype(np.int64)
+
+
+def collapsed(ids: np.ndarray, bins: np.ndarray, label: np.ndarray, fold: np.ndarray, count: np.ndarray, sampled: bool) -> tuple[np.ndarray, ...]:
+    """(ids, bins of the cells, label, fold, count, cell) of some rows; those of a cell and fold are one row unless rows are sampled by id."""
+    each = np.ascontiguousarray(bins.T)
+    _, first, cell = np.unique(each.view(f"V{each.shape[1] * each.itemsize}").ravel(), return_index=True, return_inverse=True)
+    bins, cell = np.ascontiguousarray(each[first].T), cell.ravel()
+    if not sampled:
+        folds, of_fold = np.unique(fold, return_inverse=True)
+        found, of = np.unique(cell * len(folds) + of_fold, return_inverse=True)
+        label, count = np.bincount(of, label, len(found)), np.bincount(of, count, len(found))
+        ids, cell, fold = np.zeros(len(found), np.int64), found // max(1, len(folds)), folds[found % max(1, len(folds))]
+    return ids, bins, label, fold, count, cell
+
+
+def _summed(codes: list[_Codes], at: np.ndarray, nodes: int, weights: tuple, wide: int) -> np.ndarray:
+    """[count, gradient, Hessian; node; bin] of the cells that are in a node (``at`` not negative)."""
+    rows = np.flatnonzero(at >= 0)
+    if every := len(rows) == len(at):
+        rows = slice(None)
+    sums, at, weights = np.zeros((3, nodes, wide)), at[rows], [w[rows] for w in weights]
+    for c in codes:
+        key = at * c.size
+        key += c.code if every else c.code[rows]
+        by_code = np.stack([np.bincount(key, w, nodes * c.size) for w in weights]).reshape(3, nodes, c.size)
+        sums[:, :, c.places] = by_code if c.spread is None else by_code @ c.spread
+    return sums
+
+
+def _gradients(margin: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    p = 1 / (1 + np.exp(-margin))
+    return n, pos - n * p, n * p * (1 - p)
 
 
 def _sums(item: tuple, trees: dict, specs: list[Boosting], offsets: np.ndarray, level: int, turn: int, seed: int) -> list[tuple[int, np.ndarray]]:
     """The block's sums for the open nodes of its models."""
-    block, out, wide = item[1], [], int(offsets[-1])
+    block, out, kept = item[1], [], {}
     for j, m in enumerate(block.models):
         tree, open_nodes = trees[m]
         if not open_nodes:
@@ -214,71 +285,90 @@ def _sums(item: tuple, trees: dict, specs: list[Boosting], offsets: np.ndarray,
         number = np.full(len(tree.feature), -1)
         number[open_nodes] = np.arange(len(open_nodes))
         at = number[tree.leaves(block.bins, level)]
-        use = (at >= 0) & (block.fold != spec.fold)
-        if spec.subsample < 1:
-            use &= _drawn(block.ids, spec.subsample, seed, turn)
-        rows = np.flatnonzero(use)
-        p, nodes, at = 1 / (1 + np.exp(-block.margin[rows, j])), len(open_nodes), at[rows]
-        weights = (None, block.label[rows] - p, p * (1 - p))
-        sums = np.zeros((3, nodes, wide))
-        for codes in block.codes:
-            key = at * codes.size + codes.code[rows]
-            by_code = np.stack([np.bincount(key, w, nodes * codes.size) for w in weights]).reshape(3, nodes, codes.size)
-            sums[:, :, codes.places] = by_code if codes.spread is None else by_code @ codes.spread
-        out.append((m, sums))
+        if (own := (spec.fold, spec.subsample)) not in kept:
+            kept[own] = block.weights(spec, turn, seed)
+        out.append((m, _summed(block.codes, at, len(open_nodes), _gradients(block.margin[:, j], *kept[own]), int(offsets[-1]))))
     return out
 
 
-def _splits(item: tuple, specs: list[Boosting], offsets: np.ndarray, turn: int, seed: int) -> tuple[int, list[tuple]]:
+def _splits(item: tuple, specs: list[Boosting], offsets: np.ndarray, turn: int, seed: int) -> tuple[int, _Splits]:
     m, sums = item
     return m, best_splits(sums, specs[m], offsets, drawn_columns(len(offsets) - 1, specs[m].colsample, seed, turn))
 
 
 def _advanced(block: _Block, trees: dict[int, Tree], specs: list[Boosting]) -> _Block:
     """The block with the margins after a round."""
-    margin = block.margin.copy()
+    margin = block.margin.copy(order="K")
     for j, m in enumerate(block.models):
         margin[:, j] += specs[m].rate * np.array(trees[m].value)[trees[m].leaves(block.bins, specs[m].depth)]
     return replace(block, margin=margin)
 
 
-def _extended(grown, found: Iterable[tuple[int, list[tuple]]], specs: list[Boosting], level: int) -> None:
-    """Apply the best splits of a level to the trees (by model: tree and open nodes)."""
-    for m, splits in found:
-        tree, open_nodes = grown[m]
-        ahead: list[int] = []
-        for node, (split, own) in zip(open_nodes, splits):
-            if level == 0:
-                tree.value[0] = float(leaf_value(*own, specs[m]))
-            if split:
-                feature, cut, left, right = split
-                ahead += tree.split(node, feature, cut, float(leaf_value(*left, specs[m])), float(leaf_value(*right, specs[m])))
-        grown[m] = (tree, ahead if level + 1 < specs[m].depth else [])
+def _able(sums: np.ndarray, spec: Boosting) -> list[bool]:
+    """Whether nodes are large enough to be split (with a margin for rounding)."""
+    n, _, h = sums
+    return ((n >= max(spec.min_split, 2 * spec.min_leaf)) & (h >= spec.min_hessian * (2 - 1e-6))).tolist()
+
+
+def _extended(tree: Tree, open_nodes: list[int], found: _Splits, spec: Boosting, level: int) -> list[int]:
+    """Apply the best splits of a level to a tree; the nodes of the next one that may be split."""
+    if level == 0:
+        tree.value[0] = float(leaf_value(*found.own[:, 0], spec))
+    made, ahead = np.flatnonzero(found.feature >= 0), []
+    left, right = found.left[:, made], found.right[:, made]
+    columns = found.feature[made].tolist(), found.cut[made].tolist(), leaf_value(*left, spec).tolist(), leaf_value(*right, spec).tolist()
+    for i, feature, cut, vl, vr, *able in zip(made.tolist(), *columns, _able(left, spec), _able(right, spec)):
+        ahead += [node for node, on in zip(tree.split(open_nodes[i], feature, cut, vl, vr), able) if on]
+    return ahead if level + 1 < spec.depth else []
+
+
+def _grown(block: _Block, codes: list[_Codes], j: int, weights: tuple, spec: Boosting, offsets: np.ndarray, turn: int, seed: int) -> tuple[Tree, np.ndarray]:
+    """A model's tree of a turn, from a block that is the whole table, and the node that each cell ends in."""
+    cells, wide, columns = block.bins.shape[1], int(offsets[-1]), drawn_columns(len(offsets) - 1, spec.colsample, seed, turn)
+    weights, flat = _gradients(block.margin[:, j], *weights), block.bins.ravel()
+    tree, node, at, open_nodes = Tree(), np.zeros(cells, np.int64), np.zeros(cells, np.int64), [0]
+    for level in range(spec.depth):
+        found = best_splits(_summed(codes, at, len(open_nodes), weights, wide), spec, offsets, columns)
+        open_nodes = _extended(tree, open_nodes, found, spec, level)
+        # cells of the nodes that were split go one step down
+        step = np.flatnonzero((found.feature >= 0)[at] & (at >= 0))
+        of = node[step]
+        feature, cut, left = (np.array(x, np.int64) for x in (tree.feature, tree.cut, tree.left))
+        node[step] = left[of] + (flat[feature[of] * cells + step] > cut[of])
+        if not open_nodes:
+            break
+        number = np.full(len(tree.feature), -1)
+        number[open_nodes] = np.arange(len(open_nodes))
+        at = number[node]
+    return tree, node
 
 
 def _rounds(block: _Block, turns: range, specs: list[Boosting], offsets: np.ndarray, stages: set[int], seed: int) -> tuple:
     """A block that is the whole table, after some rounds; the trees of its models by round, and their counts at the stages."""
-    trees, counts = [], []
+    trees, counts, always = [], [], {}
+    block = replace(block, margin=block.margin.copy(order="K"))
+    codes = [replace(c, code=c.code.astype(np.int64)) for c in block.codes]
     for turn in turns:
-        grown = {m: (Tree(), [0] if turn < specs[m].rounds else []) for m in block.models}
-        for level in range(max(specs[m].depth for m in block.models)):
-            sums = _sums((0, block), grown, specs, offsets, level, turn, seed)
-            _extended(grown, [_splits(x, specs, offsets, turn, seed) for x in sums], specs, level)
-        trees.append({m: tree for m, (tree, _) in grown.items() if turn < specs[m].rounds})
-        block = _advanced(block, {m: tree for m, (tree, _) in grown.items()}, specs)
-        if turn + 1 in stages:
-            counts += [((m, turn + 1), c) for m, c in _held_counts((0, block), specs)]
+        trees.append({})
+        kept = dict(always)
+        for j, m in enumerate(block.models):
+            spec = specs[m]
+            if turn < spec.rounds:
+                own = spec.fold, spec.subsample
+                if own not in kept:
+                    kept[own] = block.weights(spec, turn, seed)
+                    if spec.subsample >= 1:
+                        always[own] = kept[own]
+                trees[-1][m], node = _grown(block, codes, j, kept[own], spec, offsets, turn, seed)
+                block.margin[:, j] += spec.rate * np.array(trees[-1][m].value)[node]
+            if turn + 1 in stages:
+                counts.append(((m, turn + 1), block.held_counts(j, spec)))
     return block, trees, counts
 
 
 def _held_counts(item: tuple, specs: list[Boosting]) -> list[tuple[int, np.ndarray]]:
     """(model, [true positives, false positives, false negatives]) on the rows that the model leaves out."""
-    block, out = item[1], []
-    for j, m in enumerate(block.models):
-        held = block.fold == specs[m].fold
-        said, true = block.margin[held, j] > 0, block.label[held] > 0
-        out.append((m, np.array([(said & true).sum(), (said & ~true).sum(), (~said & true).sum()])))
-    return out
+    return [(m, item[1].held_counts(j, specs[m])) for j, m in enumerate(item[1].models)]
 
 
 def column_cuts(data: DataFrame, features: str, max_cuts: int = MAX_CUTS) -> list[list[float]]:
@@ -300,21 +390,38 @@ def local_rows(most: int, columns: int) -> int:
     return min(most, max(PASS_ROWS, LOCAL_CELLS // max(1, columns)))
 
 
-def _blocks(data: DataFrame, cuts: list[list[float]], rows: int):
-    """RDD of (number, (ids, bins, label, fold)), written once; and how many there are."""
-    n_blocks = 1 if rows <= local_rows(BLOCK_ROWS, len(cuts)) else math.ceil(rows / min(BLOCK_ROWS, PASS_ROWS))
+def _blocks(data: DataFrame, cuts: list[list[float]], rows: int, sampled: bool = True):
+    """RDD of (number, (ids, bins, label, fold, count)), written once; and how many there are.
+
+    Unless rows are ``sampled``, those of a table of more than one block are summed by their bins and fold first."""
+    most, kind = local_rows(BLOCK_ROWS, len(cuts)), np.uint8 if MAX_CUTS < 256 else np.int32
+
+    def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column("features").flatten()).reshape(b.num_rows, -1)
+                bins = np.ascontiguousarray(binned(x, cuts).T.astype(kind))
+                bins = pa.Array.from_buffers(pa.binary(bins.shape[1] * bins.itemsize), b.num_rows, [None, pa.py_buffer(bins)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id"), bins, b.column("label"), b.column("fold"), pa.array(np.ones(b.num_rows, np.int64))],
+                                                 ["id", "bins", "label", "fold", "count"])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("id").to_numpy(), np.array(b.column("features").flatten()).reshape(b.num_rows, -1),
-                  b.column("label").to_numpy(), b.column("fold").to_numpy()) for b in batches if b.num_rows]
+        parts = [tuple(np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(b.num_rows, -1) if c == "bins" else b.column(c).to_numpy()
+                       for c in ("id", "bins", "label", "fold", "count")) for b in batches if b.num_rows]
         if parts:
-            ids, x, label, fold = (np.concatenate(c) for c in zip(*parts))
-            arrays = (ids, binned(x, cuts), label, fold)
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in arrays], ["ids", "bins", "label", "fold"])
-
-    rows_ = data.select("id", "features", "label", "fold").repartition(n_blocks, "id")
-    packed = cut_lineage(rows_.mapInArrow(pack, "ids binary, bins binary, label binary, fold binary"), "boosting-blocks")
-    blocks = packed.rdd.zipWithIndex().map(lambda r: (r[1], tuple(np.frombuffer(c, t) for c, t in zip(r[0], (np.int64, np.int32, np.float64, np.int32)))))
+            ids, bins, label, fold, count = (np.concatenate(c) for c in zip(*parts))
+            arrays = (ids, np.ascontiguousarray(bins.T), label, fold, count)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in arrays], ["ids", "bins", "label", "fold", "count"])
+
+    values, by = data.select("id", "features", "label", "fold").mapInArrow(numbered, "id long, bins binary, label double, fold int, count long"), "id"
+    if not sampled and rows > most:
+        sums = F.lit(0).cast("long").alias("id"), F.sum("label").alias("label"), F.sum("count").alias("count")
+        values, by = cut_lineage(values.groupBy("bins", "fold").agg(*sums).select("id", "bins", "label", "fold", "count"), "boosting-cells"), "bins"
+        rows = values.count()
+    n_blocks = 1 if rows <= most else math.ceil(rows / min(BLOCK_ROWS, PASS_ROWS))
+    packed = cut_lineage(values.repartition(n_blocks, by).mapInArrow(pack, "ids binary, bins binary, label binary, fold binary, count binary"), "boosting-blocks")
+    types = (np.int64, kind, np.float64, np.int32, np.int64)
+    blocks = packed.rdd.zipWithIndex().map(lambda r: (r[1], tuple(np.frombuffer(c, t) for c, t in zip(r[0], types))))
     return blocks, max(1, packed.count())
 
 
@@ -363,7 +470,8 @@ def fit_together(data: DataFrame, specs: list[Boosting], stages: Iterable[int] =
     sizes = {(r.fold, r.label): r["count"] for r in data.groupBy("fold", "label").count().collect()}
     cuts = column_cuts(data, "features")
     offsets = np.concatenate(([0], np.cumsum([len(c) + 1 for c in cuts])))
-    blocks, n_blocks = _blocks(data, cuts, sum(sizes.values()))
+    sampled = any(s.subsample < 1 for s in specs)
+    blocks, n_blocks = _blocks(data, cuts, sum(sizes.values()), sampled)
     held = math.ceil(sum(sizes.values()) * len(specs) / LOCAL_MARGINS) if n_blocks == 1 else 1
     groups = max(1, min(len(specs), max(sc.defaultParallelism // n_blocks, held)))
     priors = []
@@ -375,12 +483,12 @@ def fit_together(data: DataFrame, specs: list[Boosting], stages: Iterable[int] =
     dealt = [order[g::groups] for g in range(groups)]
 
     def started(item):
-        number, (ids, bins, label, fold) = item
-        bins = bins.reshape(len(cuts), -1).astype(np.uint8 if MAX_CUTS < 256 else np.int32)
+        number, (ids, bins, label, fold, count) = item
+        ids, bins, label, fold, count, cell = collapsed(ids, bins.reshape(len(cuts), -1), label, fold, count, sampled)
         codes = coded(bins, offsets)
         for g, models in enumerate(dealt):
-            margin = np.tile(np.array([priors[m] for m in models]), (len(ids), 1))
-            yield number * groups + g, _Block(ids, bins, codes, label, fold, models, margin)
+            margin = np.tile(np.array([priors[m] for m in models])[:, None], (1, bins.shape[1])).T
+            yield number * groups + g, _Block(ids, bins, codes, label, fold, models, margin, cell, count)
 
     state = blocks.flatMap(started).partitionBy(n_blocks * groups, int).persist(StorageLevel.MEMORY_AND_DISK)
     trees: list[list[Tree]] = [[] for _ in specs]
@@ -405,7 +513,8 @@ def fit_together(data: DataFrame, specs: list[Boosting], stages: Iterable[int] =
         for level in range(max(s.depth for s, on in zip(specs, live) if on)):
             sums = state.flatMap(partial(_sums, trees=grown, specs=specs, offsets=offsets, level=level, turn=turn, seed=seed))
             sums = sums.reduceByKey(add, min(len(specs), n_blocks * groups))
-            _extended(grown, sums.map(partial(_splits, specs=specs, offsets=offsets, turn=turn, seed=seed)).collect(), specs, level)
+            for m, found in sums.map(partial(_splits, specs=specs, offsets=offsets, turn=turn, seed=seed)).collect():
+                grown[m] = grown[m][0], _extended(*grown[m], found, specs[m], level)
             if old is not None:
                 old.unpersist()
                 old = None

@@ -130,3 +130,33 @@ def test_one_block_up_to_its_bound_and_margins_dealt(data, monkeypatch):
     assert B._blocks(rows, cuts, len(x))[1] == 4
     for a, b in zip(whole[0], B.fit_together(df, SPECS, {2})[0]):
         same(a, b)
+
+
+def test_rows_of_equal_bins_are_one_cell(data, monkeypatch):
+    df, x, y = data
+    n, rng = 900, np.random.default_rng(8)
+    few = pd.DataFrame({"id": np.arange(n), "features": [list(map(float, r)) for r in rng.integers(0, (5, 4, 2), (n, 3))],
+                        "label": rng.integers(0, 2, n).astype(float), "fold": (np.arange(n) % 3).astype(np.int32)})
+    rows = df.sparkSession.createDataFrame(few, "id long, features array<double>, label double, fold int")
+    cuts, specs = B.column_cuts(rows, "features"), [B.Boosting(4, 3, 0.3), B.Boosting(3, 2, 0.1, fold=1), B.Boosting(2, 5, 0.2, split="newton", l2=1.0, min_hessian=1.0, fold=2)]
+    whole, counts = B.fit_together(rows, specs, {2, 3, 4})
+    monkeypatch.setattr(B, "BLOCK_ROWS", 150)        # at most 40 cells x 3 folds
+    monkeypatch.setattr(B, "PASS_ROWS", 150)
+    monkeypatch.setattr(B, "LOCAL_CELLS", 150)
+    blocks, n_blocks = B._blocks(rows, cuts, n, sampled=False)
+    assert n_blocks == 1 and B._blocks(rows, cuts, n)[1] == 6
+    (_, (ids, bins, label, fold, count)), = blocks.collect()
+    assert len(ids) <= 120 and count.sum() == n and label.sum() == few.label.sum()
+    cells, again = B.fit_together(rows, specs, {2, 3, 4})
+    monkeypatch.setattr(B, "BLOCK_ROWS", 40)         # cells in several blocks
+    several, passes = B.fit_together(rows, specs, {2, 3, 4})
+    for a, b, c in zip(whole, cells, several):
+        same(a, b)
+        same(a, c)
+    for (m, stage), c in counts.items():
+        assert c.tolist() == again[m, stage].tolist()
+        if stage <= specs[m].rounds:
+            held = few.fold.to_numpy() == specs[m].fold
+            said = B.replace(whole[m], trees=whole[m].trees[:stage]).margins(np.stack(few.features))[held] > 0
+            true = few.label.to_numpy()[held] > 0
+            assert c.tolist() == passes[m, stage].tolist() == [(said & true).sum(), (said & ~true).sum(), (~said & true).sum()]
