@@ -160,3 +160,17 @@ def test_rows_of_equal_bins_are_one_cell(data, monkeypatch):
             said = B.replace(whole[m], trees=whole[m].trees[:stage]).margins(np.stack(few.features))[held] > 0
             true = few.label.to_numpy()[held] > 0
             assert c.tolist() == passes[m, stage].tolist() == [(said & true).sum(), (said & ~true).sum(), (~said & true).sum()]
+
+
+def test_larger_children_are_what_the_smaller_ones_leave():
+    rng = np.random.default_rng(6)
+    n = 3000
+    bins = np.vstack([rng.integers(0, 40, n), rng.integers(0, 3, n)]).astype(np.uint8)
+    offsets = np.array([0, 40, 43])
+    codes, node = B.coded(bins, offsets), 1 + (bins[0] > 9) + 2 * (bins[1] > 0)     # nodes 1 and 2, 3 and 4
+    weights = np.ones(n), rng.normal(size=n), rng.random(n)
+    above = B._summed(codes, (node - 1) // 2, 2, weights, 43)
+    children, at = np.array([[1, 2], [3, 4]]), node - 1
+    sums = B._below(above, np.array([False, True]), children, node, codes, weights)
+    direct = B._summed(codes, at, 4, weights, 43)
+    assert np.allclose(sums, direct) and (sums[:, direct[0] == 0] == 0).all()
