@@ -102,3 +102,16 @@ def test_grid_search_reaches_all_points(data):
     assert len(found.scores) == 24 and max(s for _, s in found.scores) > 0.6
     out = found.model.transform(df.drop("fold"))
     assert out.columns == ["id", "features", "label", "score", "prediction"] and out.count() == 400
+
+
+def test_ranges_of_bits_numbers_and_odd_values():
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.normal(size=400), rng.integers(0, 2, 400), rng.choice([-3.0, 7.5], 400), np.full(400, 2.0), rng.integers(0, 3, 400), rng.integers(0, 2, 400)])
+    x[5, 4], x[7, 5], x[11, 2] = np.nan, np.inf, np.nan
+    rows, start = np.sort(rng.choice(400, 300, replace=False)), np.array([0, 1, 40, 41, 200])
+    ranges = X._Ranges(x, rows)
+    lo, hi = ranges.of(rows, start)
+    assert np.array_equal(lo, np.minimum.reduceat(x[rows], start, 0), equal_nan=True)
+    assert np.array_equal(hi, np.maximum.reduceat(x[rows], start, 0), equal_nan=True)
+    assert set(X._Ranges(x[20:], np.arange(380)).bits) == {1, 2, 5} and 0 in ranges.columns and 3 not in ranges.columns
+    assert len(X._Ranges(x, rows[:0]).columns) == 0
